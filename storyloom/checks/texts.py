@@ -25,7 +25,7 @@ def squeeze_sql(text: str) -> str:
 def decode_sql(text: str) -> str:
     """Only the entities that the derived pages contain, replaced in the documented order."""
     out = text
-    for source, target in [("&#8217;", "’"), ("&#38;", "&"), ("&#x2014;", "—"), ("&hellip;", "…"), ("&unknown;", " "), ("&copy;", " "),
+    for source, target in [("&#8217;", "’"), ("&#38;", "&"), ("&#x2014;", "—"), ("&hellip;", "…"), ("&unknown;", " "), ("&copy;", " "), ("&middot;", " "),
                            ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&quot;", '"'), ("&amp;", "&")]:
         out = f"replace({out}, {quote(source)}, {quote(target)})"
     return out

@@ -15,6 +15,11 @@ UNIT_SEPARATOR = "␟"
 REPLACEMENT = "�"
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trim_all(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
@@ -31,15 +36,19 @@ def _code_point(code: Column) -> Column:
 
 def _decode_pieces(text: Column, opener: str, pattern: str, decode) -> Column:
     """One left-to-right pass: split on ``opener`` and decode each piece that starts like an entity."""
-    pieces = F.split(text, opener)
 
     def piece(p: Column) -> Column:
         name = F.regexp_extract(p, pattern, 1)
         rest = F.regexp_replace(p, pattern, "")
-        return F.when(F.length(name) > 0, F.concat(decode(name), rest)).otherwise(F.concat(F.lit(opener), p))
+        return F.when(p.rlike(pattern), F.concat(decode(name), rest)).otherwise(F.concat(F.lit(opener), p))
 
-    tail = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), piece)
-    return F.when(text.contains(opener), F.concat(pieces[0], F.array_join(tail, ""))).otherwise(text)
+    def rejoin(pieces: Column) -> Column:
+        tail = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+        return F.concat(pieces[0], F.array_join(F.transform(tail, piece), ""))
+
+    return bind(
+        text, lambda t: F.when(t.contains(opener), bind(F.split(t, opener), rejoin)).otherwise(t)
+    )
 
 
 def decode_entities(text: Column) -> Column:
@@ -64,8 +73,10 @@ def strip_html(html: Column) -> Column:
 
 
 def count_words(html: Column) -> Column:
-    text = strip_html(F.coalesce(html, F.lit("")))
-    return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, " ")))
+    return bind(
+        strip_html(F.coalesce(html, F.lit(""))),
+        lambda text: F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, " "))),
+    )
 
 
 def make_excerpt(description: Column, body: Column) -> Column:
@@ -73,11 +84,17 @@ def make_excerpt(description: Column, body: Column) -> Column:
     said = trim_all(F.coalesce(description, F.lit("")))
     usable = (said != "") & ~F.lower(said).isin(*K.PLACEHOLDER_TEXTS)
     base = strip_html(F.when(usable, description).otherwise(F.coalesce(body, F.lit(""))))
-    cut = F.substring(base, 1, K.EXCERPT_MAX)
-    last_space = F.length(cut) - F.locate(" ", F.reverse(cut))
-    keep = F.when(cut.contains(" ") & (last_space > K.EXCERPT_MIN_CUT), last_space).otherwise(F.lit(K.EXCERPT_MAX))
-    shortened = F.concat(F.substring(cut, F.lit(1), keep), F.lit("…"))
-    return F.when(base == "", F.lit(None).cast("string")).when(F.length(base) <= K.EXCERPT_MAX, base).otherwise(shortened)
+
+    def shortened(cut: Column) -> Column:
+        last_space = F.length(cut) - F.locate(" ", F.reverse(cut))
+        whole_words = F.when(cut.contains(" ") & (last_space > K.EXCERPT_MIN_CUT), last_space).otherwise(F.lit(K.EXCERPT_MAX))
+        return F.concat(F.substring(cut, F.lit(1), whole_words), F.lit("…"))
+
+    def pick(t: Column) -> Column:
+        long_text = bind(F.substring(t, 1, K.EXCERPT_MAX), shortened)
+        return F.when(F.length(t) > K.EXCERPT_MAX, long_text).when(t != "", t)
+
+    return bind(base, pick)
 
 
 def first_image(html: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .text import trim_all
+from .text import bind, trim_all
 
 URL = "^([hH][tT][tT][pP][sS]?)://([^/?#\\s]+)([^?#\\s]*)(\\?[^#\\s]*)?(#.*)?$"
 
@@ -27,12 +27,14 @@ def canonicalize_url(raw: Column) -> Column:
 
     Anything that is not a plain http(s) address is returned trimmed.
     """
-    url = trim_all(raw)
+    return bind(trim_all(raw), lambda url: F.when(url.rlike(URL), _clean(url)).otherwise(url))
+
+
+def _clean(url: Column) -> Column:
     scheme = F.lower(F.regexp_extract(url, URL, 1))
     host = F.lower(F.regexp_extract(url, URL, 2))
     host = F.when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(F.regexp_replace(host, ":80$", ""))
-    path = F.regexp_extract(url, URL, 3)
-    path = F.when(path == "", F.lit("/")).otherwise(path)
+    path = F.regexp_replace(F.regexp_extract(url, URL, 3), "^$", "/")
     query = F.regexp_replace(F.regexp_extract(url, URL, 4), "^\\?", "")
     params = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), _param)
     kept = F.filter(params, lambda p: ~p["k"].startswith("utm_") & ~p["k"].isin(*K.TRACKING_PARAMS))
@@ -41,6 +43,10 @@ def canonicalize_url(raw: Column) -> Column:
     search = F.array_join(
         F.transform(ordered, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&"
     )
-    base = F.concat(scheme, F.lit("://"), host, path)
-    clean = F.when(search == "", F.regexp_replace(base, "/$", "")).otherwise(F.concat(base, F.lit("?"), search))
-    return F.when(url.rlike(URL), clean).otherwise(url)
+    address = F.struct(F.concat(scheme, F.lit("://"), host, path).alias("base"), search.alias("search"))
+    return bind(
+        address,
+        lambda a: F.when(a["search"] == "", F.regexp_replace(a["base"], "/$", "")).otherwise(
+            F.concat(a["base"], F.lit("?"), a["search"])
+        ),
+    )
