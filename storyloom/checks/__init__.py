@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["texts", "landed"]
+MODULES = ["texts", "landed", "stores"]
 
 
 def _load():

@@ -26,57 +26,63 @@ def _atom_link(links: Column) -> Column:
     return F.coalesce(F.get(alternate, F.lit(0))["_href"], F.get(links, F.lit(0))["_href"])
 
 
-def _common(entries: DataFrame, e) -> DataFrame:
-    """Drop incomplete entries and apply the shared field rules to the columns in ``e``."""
-    body = e["body"]
-    rows = entries.select(
-        "source_id", F.trim(e["title"]).alias("title"), F.trim(e["link"]).alias("url"), e["guid"].alias("guid"),
-        F.trim(e["author"]).alias("author"), e["summary"].alias("summary"), e["description"].alias("description"),
-        body.alias("content_html"), e["image"].alias("image"), parse_date(e["date"]).alias("published_at"),
-        parse_date(e["updated"]).alias("updated_at"),
-    ).filter((F.col("url") != "") & (F.col("title") != "") & F.col("published_at").isNotNull())
-    c = F.col
-    rows = rows.withColumn("status_hint", T.status_hint(c("title"), c("summary")))
-    return raw_items(
-        rows, source_id=c("source_id"), guid=F.when(c("guid") != "", c("guid")).otherwise(c("url")), title=c("title"),
-        url=c("url"), author=F.when(c("author") != "", c("author")),
-        excerpt=F.coalesce(c("summary"), T.strip_html(c("description"))), content_html=c("content_html"),
-        image_url=F.coalesce(c("image"), T.first_image(c("content_html"))), published_at=c("published_at"),
-        updated_at=c("updated_at"), status_hint=c("status_hint"),
-        correction_note=F.when(c("status_hint").isNotNull(), c("title")),
+def _entry(**fields: Column) -> Column:
+    return F.struct(*[value.cast("string").alias(name) for name, value in fields.items()])
+
+
+def _rss_entry(i: Column) -> Column:
+    return _entry(
+        title=i["title"], link=i["link"], guid=i["guid"]["_VALUE"],
+        author=F.coalesce(i["dc:creator"], i["creator"], i["author"]), summary=i["summary"],
+        description=i["description"], body=i["content:encoded"],
+        image=F.coalesce(F.get(i["enclosure"], F.lit(0))["_url"], F.get(i["media:content"], F.lit(0))["_url"]),
+        date=F.coalesce(i["pubDate"], i["dc:date"]), updated=i["updated"],
     )
 
 
-def _rss_fields(i: Column) -> dict[str, Column]:
-    return {
-        "title": i["title"], "link": i["link"], "guid": i["guid"]["_VALUE"],
-        "author": F.coalesce(i["dc:creator"], i["creator"], i["author"]), "summary": i["summary"],
-        "description": i["description"], "body": i["content:encoded"],
-        "image": F.coalesce(F.get(i["enclosure"], F.lit(0))["_url"], F.get(i["media:content"], F.lit(0))["_url"]),
-        "date": F.coalesce(i["pubDate"], i["dc:date"]), "updated": i["updated"],
-    }
+def _atom_entry(i: Column) -> Column:
+    return _entry(
+        title=i["title"]["_VALUE"], link=_atom_link(i["link"]), guid=i["id"], author=i["author"]["name"],
+        summary=i["summary"]["_VALUE"], description=i["content"]["_VALUE"], body=F.lit(None),
+        image=F.get(i["media:content"], F.lit(0))["_url"], date=F.coalesce(i["published"], i["updated"]),
+        updated=i["updated"],
+    )
 
 
-def _atom_fields(i: Column) -> dict[str, Column]:
-    return {
-        "title": i["title"]["_VALUE"], "link": _atom_link(i["link"]), "guid": i["id"], "author": i["author"]["name"],
-        "summary": i["summary"]["_VALUE"], "description": i["content"]["_VALUE"], "body": F.lit(None).cast("string"),
-        "image": F.get(i["media:content"], F.lit(0))["_url"], "date": F.coalesce(i["published"], i["updated"]),
-        "updated": i["updated"],
-    }
+def _complete(entries: DataFrame) -> DataFrame:
+    """(source_id, e) entries to raw items; incomplete entries are dropped, never filled in."""
+    c = F.col
+    rows = (
+        entries.select("source_id", "e.*")
+        .withColumns({"title": F.trim("title"), "link": F.trim("link"), "author": F.trim("author")})
+        .withColumns({"published_at": parse_date(c("date")), "updated_at": parse_date(c("updated"))})
+        .filter((c("link") != "") & (c("title") != "") & c("published_at").isNotNull())
+        .withColumn("status_hint", T.status_hint(c("title"), c("summary")))
+    )
+    return raw_items(
+        rows, source_id=c("source_id"), guid=F.when(c("guid") != "", c("guid")).otherwise(c("link")), title=c("title"),
+        url=c("link"), author=F.when(c("author") != "", c("author")),
+        excerpt=F.coalesce(c("summary"), T.strip_html(c("description"))), content_html=c("body"),
+        image_url=F.coalesce(c("image"), T.first_image(c("body"))), published_at=c("published_at"),
+        updated_at=c("updated_at"), status_hint=c("status_hint"),
+        correction_note=F.when(c("status_hint").isNotNull(), c("title")),
+    )
 
 
 def parse_feeds(payloads: DataFrame) -> DataFrame:
     """(source_id, payload) feed documents to raw items; a malformed document yields no rows."""
-    parsed = payloads.select("source_id", F.from_xml("payload", FEED_SCHEMA).alias("feed"))
-    rss = parsed.select("source_id", F.explode("feed.channel.item").alias("i"))
-    atom = parsed.select("source_id", F.explode("feed.entry").alias("i"))
-    return _common(rss, _rss_fields(F.col("i"))).unionByName(_common(atom, _atom_fields(F.col("i"))))
+    feed = payloads.select("source_id", F.from_xml("payload", FEED_SCHEMA).alias("feed"))
+    none = F.array().cast(feed.select(F.transform("feed.channel.item", _rss_entry).alias("e")).schema["e"].dataType)
+    entries = F.concat(
+        F.coalesce(F.transform("feed.channel.item", _rss_entry), none),
+        F.coalesce(F.transform("feed.entry", _atom_entry), none),
+    )
+    return _complete(feed.select("source_id", F.explode(entries).alias("e")))
 
 
 def read_feed_files(spark: SparkSession, path: str, source_id: Column) -> DataFrame:
     """RSS files through the XML source; ``source_id`` may use ``_metadata.file_path``."""
     fields = spark.createDataFrame([], f"i {RSS_ITEM}").schema["i"].dataType
     rows = spark.read.format("xml").option("rowTag", "item").schema(fields).load(path)
-    named = rows.select(source_id.cast("bigint").alias("source_id"), F.struct(*[f"`{n}`" for n in fields.names]).alias("i"))
-    return _common(named, _rss_fields(F.col("i")))
+    item = F.struct(*[F.col(f"`{n}`") for n in fields.names])
+    return _complete(rows.select(source_id.cast("bigint").alias("source_id"), _rss_entry(item).alias("e")))
