@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["texts", "landed", "stores"]
+MODULES = ["texts", "landed", "stores", "readers"]
 
 
 def _load():
@@ -27,6 +27,7 @@ def all_oracles():
 def _utc(fn):
     def run(spark, sf_dir):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.set("spark.sql.dataFrameQueryContext.enabled", "false")
         return fn(spark, sf_dir)
 
     run.__name__ = fn.__name__

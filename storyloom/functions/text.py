@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -138,7 +138,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def cluster_key(title: Column) -> Column:
-    return F.substring(F.array_join(F.array_sort(title_tokens(title)), "-"), 1, 200)
+    return F.substring(F.array_join(F.sort_array(title_tokens(title)), "-"), 1, 200)
 
 
 def strip_urls(text: Column) -> Column:
@@ -188,30 +188,46 @@ def term_pattern(term: str) -> str:
     return f"(?i)(?:^|[^a-z0-9]){escaped}(?:$|[^a-z0-9])"
 
 
-def _hits(text: Column, lowered: Column, terms: Sequence[str]) -> Column:
-    total = F.lit(0)
-    for term in terms:
-        # The substring test is cheap and decides most rows before the pattern runs.
-        total = total + (lowered.contains(term.lower()) & text.rlike(term_pattern(term))).cast("int")
-    return total
+def _matched_terms(text: Column, terms: Column) -> Column:
+    """Terms found in the text. The substring test is cheap and decides nearly all before a pattern runs."""
+    both = F.struct(text.alias("text"), F.lower(text).alias("low"))
+    return bind(both, lambda b: F.filter(terms, lambda x: b["low"].contains(x["term"]) & F.regexp_like(b["text"], x["pattern"])))
 
 
 def classify(title: Column, excerpt: Column, hints: Column, taxonomy=None) -> Column:
-    """Up to three topics by weighted term hits; the source's hints when nothing matches."""
-    excerpt = F.coalesce(excerpt, F.lit(""))
-    low_title, low_excerpt = F.lower(title), F.lower(excerpt)
-    found = []
-    for order, (topic, strong, weak) in enumerate(taxonomy or K.TAXONOMY):
-        strong_title, strong_excerpt = _hits(title, low_title, strong), _hits(excerpt, low_excerpt, strong)
-        score = 3 * (2 * strong_title + _hits(title, low_title, weak)) + (
-            2 * strong_excerpt + _hits(excerpt, low_excerpt, weak)
-        )
-        is_strong = (strong_title + strong_excerpt) > 0
-        entry = F.struct(
-            (-(score + F.when(is_strong, F.lit(3)).otherwise(F.lit(0)))).alias("rank_score"),
-            F.lit(order).alias("ord"),
-            F.lit(topic).alias("topic"),
-        )
-        found.append(F.when(is_strong | (score >= 2), entry))
-    best = F.transform(F.slice(F.array_sort(F.array_compact(F.array(*found))), 1, 3), lambda s: s["topic"])
-    return F.when(F.size(best) > 0, best).otherwise(hints)
+    """Up to three topics by weighted term hits; the source's hints when nothing matches.
+
+    The taxonomy is one constant array, so the plan stays small whatever its size.
+    """
+    taxonomy = taxonomy or K.TAXONOMY
+    rows = [
+        {"topic": order, "strong": strong, "term": term.lower(), "pattern": term_pattern(term)}
+        for order, (_, strong_terms, weak_terms) in enumerate(taxonomy)
+        for strong, terms in ((True, strong_terms), (False, weak_terms))
+        for term in terms
+    ]
+    terms = F.from_json(F.lit(json.dumps(rows)), "array<struct<topic:int,strong:boolean,term:string,pattern:string>>")
+    names = F.from_json(F.lit(json.dumps([topic for topic, _, _ in taxonomy])), "array<string>")
+
+    def points(found: Column, topic: Column) -> tuple[Column, Column]:
+        own = F.filter(found, lambda x: x["topic"] == topic)
+        strong = F.size(F.filter(own, lambda x: x["strong"]))
+        return F.size(own) + strong, strong
+
+    def total(h: Column, topic: Column) -> Column:
+        in_title, strong_title = points(h["title"], topic)
+        in_excerpt, strong_excerpt = points(h["excerpt"], topic)
+        score = F.struct((3 * in_title + in_excerpt).alias("n"), (strong_title + strong_excerpt > 0).alias("strong"))
+        return bind(score, lambda p: F.when(p["strong"], p["n"] + 3).when(p["n"] >= 2, p["n"]))
+
+    def best(h: Column) -> Column:
+        present = F.array_distinct(F.concat(h["title"]["topic"], h["excerpt"]["topic"]))
+        ranked = F.transform(present, lambda t: F.struct(total(h, t).alias("total"), (-t).alias("ord")))
+        kept = F.slice(F.sort_array(F.filter(ranked, lambda r: r["total"].isNotNull()), asc=False), 1, 3)
+        return F.transform(kept, lambda r: F.element_at(names, 1 - r["ord"]))
+
+    found = F.struct(
+        _matched_terms(title, terms).alias("title"),
+        _matched_terms(F.coalesce(excerpt, F.lit("")), terms).alias("excerpt"),
+    )
+    return bind(bind(found, best), lambda topics: F.when(F.size(topics) > 0, topics).otherwise(hints))

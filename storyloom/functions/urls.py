@@ -39,7 +39,7 @@ def _clean(url: Column) -> Column:
     params = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), _param)
     kept = F.filter(params, lambda p: ~p["k"].startswith("utm_") & ~p["k"].isin(*K.TRACKING_PARAMS))
     # The position keeps equal keys in their original order.
-    ordered = F.array_sort(F.transform(kept, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v"))))
+    ordered = F.sort_array(F.transform(kept, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v"))))
     search = F.array_join(
         F.transform(ordered, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&"
     )

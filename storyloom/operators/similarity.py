@@ -45,7 +45,7 @@ def _other_source(e1: Column, e2: Column, source_id: Column) -> Column:
 def story_sets(items: DataFrame) -> DataFrame:
     """Distinct non-empty token sets: set_id, tokens, n and their two entries."""
     rows = items.select(
-        F.array_sort(T.title_tokens(F.col("title"))).alias("tokens"), F.lit(1.0).alias("sim"), "id", "source_id", "cluster_id"
+        F.sort_array(T.title_tokens(F.col("title"))).alias("tokens"), F.lit(1.0).alias("sim"), "id", "source_id", "cluster_id"
     ).filter(F.size("tokens") > 0)
     return _two_best(rows, "tokens").select(F.col("e1.id").alias("set_id"), "tokens", F.size("tokens").alias("n"), "e1", "e2")
 
@@ -56,7 +56,7 @@ def order_by_rarity(sets: DataFrame) -> DataFrame:
     frequency = words.groupBy("token").agg(F.count("*").alias("df"))
     ranked = (
         words.join(broadcast_if_small(frequency), "token").groupBy("set_id")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
+        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("r"))
     )
     # One title's tokens, so the collected list is short.
     length = F.floor(F.size("r") / 2).cast("int") + 1
@@ -158,7 +158,7 @@ def best_matches(items: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
         "canonical_url",
     ).filter(F.col("e2").isNotNull()).withColumnsRenamed({"e1": "u1", "e2": "u2"})
     rows = (
-        items.withColumn("tokens", F.array_sort(T.title_tokens(F.col("title"))))
+        items.withColumn("tokens", F.sort_array(T.title_tokens(F.col("title"))))
         .join(known, "tokens", "left").join(urls, "canonical_url", "left")
     )
     s = F.col("source_id")
@@ -174,7 +174,7 @@ def best_matches(items: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
 
 def title_pairs(items: DataFrame) -> DataFrame:
     """Every cross-source pair of items with title similarity >= 1/2, for reports; the output itself is all pairs."""
-    rows = items.select("id", "source_id", F.array_sort(T.title_tokens(F.col("title"))).alias("tokens")).filter(F.size("tokens") > 0)
+    rows = items.select("id", "source_id", F.sort_array(T.title_tokens(F.col("title"))).alias("tokens")).filter(F.size("tokens") > 0)
     sets = rows.select("tokens").distinct().select("tokens", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("set_id"))
     sets = materialize(order_by_rarity(sets), "pair-sets")
     side = F.struct("set_id", "tokens", "n", "prefix")
