@@ -203,7 +203,7 @@ SHOWN_SQL = WORLD_SQL + ", shown AS MATERIALIZED (SELECT * FROM picks WHERE slug
       LEFT JOIN (SELECT a.profile_id, t.slug, sum(greatest(0, a.weight)) AS w FROM affinities a JOIN category_topics t ON a.dimension = 'topic' AND a.key = t.topic GROUP BY ALL) f ON f.profile_id = r.profile_id AND f.slug = g.slug
       LEFT JOIN (SELECT profile_id, slug, sum(pow(2.0, -age / 24)) AS mass FROM scoped GROUP BY ALL) m ON m.profile_id = r.profile_id AND m.slug = g.slug
       LEFT JOIN (SELECT profile_id, slug, bool_or(len(covered) > 0 AND age < 2) OR count(*) FILTER (WHERE age < 0.75 AND source_class IN ('news', 'social')) >= 3 AS hot,
-        count(*) FILTER (WHERE is_new AND NOT was_read) AS new_count, least(count(*), CASE WHEN slug = 'today' THEN 14 ELSE 28 END) AS n FROM picks GROUP BY ALL) b ON b.profile_id = r.profile_id AND b.slug = g.slug""", "collapsed profiles category_topics")
+        count(*) FILTER (WHERE is_new AND NOT was_read) AS new_count, least(count(*), max(CASE WHEN slug = 'today' THEN 14 ELSE 28 END)) AS n FROM picks GROUP BY profile_id, slug) b ON b.profile_id = r.profile_id AND b.slug = g.slug""", "collapsed profiles category_topics")
 def world_reports(spark, d):
     worlds = feeds.worlds_job(tables(spark, d), demo.now()).worlds
     return worlds.select("profile_id", "slug", "ord", "label", F.round("affinity", 6).alias("affinity"), F.round("activity", 6).alias("activity"), "breaking", "new_count", F.size("entries").alias("n"))

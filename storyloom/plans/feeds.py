@@ -62,40 +62,54 @@ def story_columns(saved: Column, read: Column, is_new: Column, exploration: Colu
     ]
 
 
-def _facts(pool: DataFrame, now: Column) -> Column:
-    """id -> what the reports need of a story, as one bounded map value."""
+def _facts(pool: DataFrame, now: Column) -> DataFrame:
     c = F.col
     age = hours_between(now, c("published_at"))
     fast = c("source_class").isin("news", "social")
-    fact = F.struct(
-        c("source_name"), c("url"), c("published_at"), (age < K.BREAKING_CLUSTER_HOURS).alias("young"),
+    return pool.select(
+        c("id").alias("pick_id"), "published_at", (age < K.BREAKING_CLUSTER_HOURS).alias("young"),
         ((age < K.BREAKING_BURST_MINUTES / 60.0) & fast).alias("burst"),
     )
-    return pool.agg(F.map_from_entries(F.collect_list(F.struct(c("id"), fact.alias("f"))))).scalar()
+
+
+def _members(pool: DataFrame) -> DataFrame:
+    """Stories per cluster within the pool, to name the outlets behind a collapsed entry."""
+    return pool.filter("cluster_id IS NOT NULL").groupBy("cluster_id").agg(
+        F.collect_list(F.struct("id", "source_name", "url")).alias("members")
+    )
 
 
 def _picked(t: Tables, pool: DataFrame, now: Column, slugs: Column, limit: int) -> DataFrame:
-    """One row per profile and world: ``picks`` in final order with ids of collapsed stories and reader flags."""
+    """One row per profile and world with its final ``entries`` in order.
+
+    The pool and its clusters are capped at 500 rows, so both joins broadcast them; the rows stay partitioned by
+    profile and the last aggregation needs no shuffle.
+    """
+    c = F.col
     readers = O.reader_state(t.profiles, t.affinities, t.saves, t.reads, t.mutes, pool)
     scored = O.score_readers(readers, O.pool_array(pool, now, slugs), now)
-    c = F.col
-    worlds = O.reranked(O.collapsed(O.ranked_worlds(scored)), limit).withColumn("facts", _facts(pool, now))
-    facts = c("facts")
+    worlds = O.reranked(O.collapsed(O.ranked_worlds(scored)), limit)
+    world = ["mass", "latest_update", "last_feed_opened_at", "affinity"]
+    rows = worlds.select("profile_id", "slug", *world, "also", "saved", "read", F.posexplode_outer("picks").alias("rank", "p"))
+    rows = rows.select(
+        "profile_id", "slug", *world, "rank", c("p.id").alias("pick_id"), c("p.cluster_id").alias("cluster_id"), (-c("p.neg")).alias("score"),
+        c("p.exploration").alias("exploration"), O.covered_by(c("p"), c("also")).alias("covered"),
+        F.array_contains("saved", c("p.id")).alias("saved"), F.array_contains("read", c("p.id")).alias("read"),
+    )
+    rows = rows.join(F.broadcast(_facts(pool, now)), "pick_id", "left").join(F.broadcast(_members(pool)), "cluster_id", "left")
     since = F.coalesce("last_feed_opened_at", now - F.expr(f"interval {K.FIRST_VISIT_NEW_HOURS} hours"))
 
-    def report(p: Column, i: Column) -> Column:
-        fact = F.element_at(facts, p["id"])
-        return F.struct(
-            i.alias("rank"), p["id"].alias("id"), (-p["neg"]).alias("score"), p["exploration"].alias("exploration"),
-            F.transform(O.covered_by(p, c("also")), lambda o: F.struct(
-                F.element_at(facts, o)["source_name"].alias("source_name"), F.element_at(facts, o)["url"].alias("url"),
-            )).alias("also_covered_by"),
-            F.array_contains("saved", p["id"]).alias("saved"), F.array_contains("read", p["id"]).alias("read"),
-            (fact["published_at"] > since).alias("is_new"), fact["published_at"].alias("published_at"),
-            fact["young"].alias("young"), fact["burst"].alias("burst"),
-        )
-
-    return worlds.withColumn("picks", F.transform("picks", report)).drop("also", "facts")
+    def outlet(o: Column) -> Column:
+        member = F.filter("members", lambda m: m["id"] == o)[0]
+        return F.struct(member["source_name"].alias("source_name"), member["url"].alias("url"))
+
+    entry = F.struct(
+        "rank", c("pick_id").alias("id"), "score", "exploration", F.transform("covered", outlet).alias("also_covered_by"), "saved", "read",
+        (c("published_at") > since).alias("is_new"), "published_at", "young", "burst",
+    )
+    return rows.select("profile_id", "slug", *world, F.when(c("pick_id").isNotNull(), entry).alias("entry")).groupBy("profile_id", "slug").agg(
+        F.sort_array(F.collect_list("entry")).alias("picks"), *[F.first(w).alias(w) for w in world]
+    )
 
 
 def feed_job(t: Tables, now: Column, category: str = TODAY, limit: int = K.FEED_LIMIT) -> Feed:
