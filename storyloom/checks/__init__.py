@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["texts", "landed", "stores", "readers"]
+MODULES = ["texts", "landed", "stores", "readers", "streams"]
 
 
 def _load():
