@@ -147,7 +147,7 @@ def collapsed_worlds(spark, d):
     worlds = feed.collapsed(feed.ranked_worlds(scored(spark, d)))
     rows = worlds.select("profile_id", "slug", "also", F.posexplode("ranked").alias("pos", "e"))
     return rows.select("profile_id", "slug", (F.col("pos") + 1).alias("place"), "e.id", F.round(-F.col("e.neg"), 6).alias("score"),
-                       F.array_join(feed.covered_by(F.col("e"), F.col("also")), ",").alias("covered"))
+                       F.array_join(feed.covered_by(F.col("e.cluster_id"), F.col("also")), ",").alias("covered"))
 
 
 def greedy_sql(limit: int, where: str) -> str:

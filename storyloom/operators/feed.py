@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.story import hours_between, recency
-from ..session import broadcast_if_small
+from ..functions.text import bind
+from ..session import broadcast_if_small, materialize
 from .diversity import pick_order
 from .filters import SUMMARY_COLUMNS, interests_or_default, since
 
@@ -104,10 +105,15 @@ def reader_state(profiles, affinities, saves, reads, mutes, pool) -> DataFrame:
             F.first("profile", ignorenulls=True).alias("p"),
         )
         .filter("p IS NOT NULL").select("profile_id", "aff", "saved", "read", "muted", "p.*")
-        .repartition(ranking_partitions(spark), "profile_id")
     )
 
 
+def stored_readers(readers: DataFrame) -> DataFrame:
+    """Reader state written once, then spread over the ranking tasks."""
+    rows = materialize(readers, "readers")
+    return rows.repartition(ranking_partitions(rows.sparkSession), "profile_id")
+
+
 def ranking_partitions(spark) -> int:
     """Reader rows are small but each unpacks the whole pool, so they must not be coalesced by their own size."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
@@ -183,10 +189,10 @@ def collapsed(worlds: DataFrame) -> DataFrame:
     ).drop("cids")
 
 
-def covered_by(entry: Column, also: Column) -> Column:
-    """Ids of the collapsed stories behind an entry."""
-    same = F.filter(also, lambda o: o["cluster_id"] == entry["cluster_id"])
-    return F.when(entry["cluster_id"].isNotNull(), same["id"]).otherwise(F.array().cast("array<bigint>"))
+def covered_by(cluster_id: Column, also: Column) -> Column:
+    """Ids of the collapsed stories behind the entry of a cluster."""
+    same = F.filter(also, lambda o: o["cluster_id"] == cluster_id)
+    return F.when(cluster_id.isNotNull(), same["id"]).otherwise(F.array().cast("array<bigint>"))
 
 
 def prune(ranked: Column, limit: int) -> Column:
@@ -199,13 +205,18 @@ def prune(ranked: Column, limit: int) -> Column:
 
 
 def rerank(ranked: Column, limit: int, **penalties) -> Column:
-    """Greedy diverse order of a ranked array, as an array of entries with ``exploration`` set.
+    """Greedy diverse order of a ranked array: rank, id, cluster_id, score and whether the slot explored.
 
     Only the pick order is computed in Python, over Arrow batches of the few columns it needs; positions come
     back and the entries never leave the JVM.
     """
     order = pick_order(ranked["neg"], ranked["topic"], ranked["source_id"], ranked["explore"], limit, **penalties)
-    return F.transform(order, lambda o: F.get(ranked, F.abs(o) - 1).withField("exploration", o < 0))
+    def entry(o: Column, i: Column) -> Column:
+        return bind(F.get(ranked, F.abs(o) - 1), lambda e: F.struct(
+            i.alias("rank"), e["id"].alias("id"), e["cluster_id"].alias("cluster_id"), (-e["neg"]).alias("score"), (o < 0).alias("exploration")
+        ))
+
+    return F.transform(order, entry)
 
 
 def reranked(worlds: DataFrame, limit: int, **penalties) -> DataFrame:

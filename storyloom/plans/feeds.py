@@ -86,15 +86,14 @@ def _picked(t: Tables, pool: DataFrame, now: Column, slugs: Column, limit: int)
     profile and the last aggregation needs no shuffle.
     """
     c = F.col
-    readers = O.reader_state(t.profiles, t.affinities, t.saves, t.reads, t.mutes, pool)
+    readers = O.stored_readers(O.reader_state(t.profiles, t.affinities, t.saves, t.reads, t.mutes, pool))
     scored = O.score_readers(readers, O.pool_array(pool, now, slugs), now)
     worlds = O.reranked(O.collapsed(O.ranked_worlds(scored)), limit)
     world = ["mass", "latest_update", "last_feed_opened_at", "affinity"]
-    rows = worlds.select("profile_id", "slug", *world, "also", "saved", "read", F.posexplode_outer("picks").alias("rank", "p"))
-    rows = rows.select(
-        "profile_id", "slug", *world, "rank", c("p.id").alias("pick_id"), c("p.cluster_id").alias("cluster_id"), (-c("p.neg")).alias("score"),
-        c("p.exploration").alias("exploration"), O.covered_by(c("p"), c("also")).alias("covered"),
-        F.array_contains("saved", c("p.id")).alias("saved"), F.array_contains("read", c("p.id")).alias("read"),
+    rows = worlds.select("profile_id", "slug", *world, "also", "saved", "read", F.inline_outer("picks")).select(
+        "profile_id", "slug", *world, "rank", c("id").alias("pick_id"), "cluster_id", "score", "exploration",
+        O.covered_by(c("cluster_id"), c("also")).alias("covered"),
+        F.array_contains("saved", c("id")).alias("saved"), F.array_contains("read", c("id")).alias("read"),
     )
     rows = rows.join(F.broadcast(_facts(pool, now)), "pick_id", "left").join(F.broadcast(_members(pool)), "cluster_id", "left")
     since = F.coalesce("last_feed_opened_at", now - F.expr(f"interval {K.FIRST_VISIT_NEW_HOURS} hours"))
