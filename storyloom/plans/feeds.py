@@ -79,14 +79,18 @@ def _members(pool: DataFrame) -> DataFrame:
     )
 
 
-def _picked(t: Tables, pool: DataFrame, now: Column, slugs: Column, limit: int) -> DataFrame:
+def stored_readers(t: Tables, pool: DataFrame) -> DataFrame:
+    """Reader state over the pool, written once and spread over the ranking tasks."""
+    return O.stored_readers(O.reader_state(t.profiles, t.affinities, t.saves, t.reads, t.mutes, pool))
+
+
+def _picked(readers: DataFrame, pool: DataFrame, now: Column, slugs: Column, limit: int) -> DataFrame:
     """One row per profile and world with its final ``entries`` in order.
 
     The pool and its clusters are capped at 500 rows, so both joins broadcast them; the rows stay partitioned by
     profile and the last aggregation needs no shuffle.
     """
     c = F.col
-    readers = O.stored_readers(O.reader_state(t.profiles, t.affinities, t.saves, t.reads, t.mutes, pool))
     scored = O.score_readers(readers, O.pool_array(pool, now, slugs), now)
     worlds = O.reranked(O.collapsed(O.ranked_worlds(scored)), limit)
     world = ["mass", "latest_update", "last_feed_opened_at", "affinity"]
@@ -118,13 +122,13 @@ def feed_job(t: Tables, now: Column, category: str = TODAY, limit: int = K.FEED_
     everything = stored_pool(t, now)
     pool = in_category(everything, topics)
     # Every scoped story sits in one list; the empty entry puts all tabs in, so only the first is kept.
-    lists = _picked(t, pool, now, F.array(F.lit(TODAY)), limit).filter(c("slug") == TODAY)
+    readers = stored_readers(t, everything)
+    lists = _picked(readers, pool, now, F.array(F.lit(TODAY)), limit).filter(c("slug") == TODAY)
     picks = lists.select("profile_id", F.inline("picks"))
     about = F.broadcast(pool)
     entries = picks.select("profile_id", "rank", "id", "score", "exploration", "also_covered_by", "saved", "read").join(about, "id").select(
         "profile_id", "rank", "score", *story_columns(c("saved"), c("read"), F.lit(False), c("exploration"), c("also_covered_by"))
     )
-    readers = O.reader_state(t.profiles, t.affinities.limit(0), t.saves, t.reads, t.mutes, everything)
     none = F.array().cast("array<struct<source_name:string,url:string>>")
     fresh = latest_social(readers, pool, now).join(about, "id").select(
         "profile_id", "place", *story_columns(c("saved"), c("read"), F.lit(False), F.lit(False), none)
@@ -152,7 +156,7 @@ def worlds_job(t: Tables, now: Column, cut=lambda df: df) -> Worlds:
     """All worlds of every profile. ``cut`` may store the ranked worlds when several outputs are written."""
     c = F.col
     pool = stored_pool(t, now)
-    ranked = cut(_picked(t, pool, now, O.slugs_of(c("topics")), K.WORLD_LIMIT))
+    ranked = cut(_picked(stored_readers(t, pool), pool, now, O.slugs_of(c("topics")), K.WORLD_LIMIT))
     labels = F.create_map(*[F.lit(x) for slug, label, _ in K.CATEGORIES for x in (slug, label)])
     ords = F.create_map(*[F.lit(x) for slug, i in ORDS.items() for x in (slug, i)])
     breaking = F.exists("picks", lambda p: (F.size(p["also_covered_by"]) >= 1) & p["young"]) | (
