@@ -1,11 +1,14 @@
 """Language-model scoring by prediction by partial matching on bytes.
 
-The model is a trie of byte contexts of up to two bytes, filled from all training texts: Spark sums the counts
-of three-byte windows. A symbol's probability is taken at the longest context that has seen it; each step to a
-shorter one costs an escape (method C: distinct symbols over occurrences plus distinct symbols), and symbols
-seen in the longer context are excluded there, in the counts and in the escape. As a context of two bytes fixes
-the shorter ones, these products are worked out once for each context, and a text's code length is a sum of
-look-ups. The trie has at most 256 ** 3 counts whatever the corpus, so it may be broadcast.
+The model is a trie of byte contexts of up to five bytes, filled from all training texts: Spark sums the counts
+of six-byte windows. A symbol's probability is taken at the longest context that has seen it; each step to a
+shorter one costs an escape (method D: half the distinct symbols over the occurrences, and half an occurrence
+less for each symbol), and symbols seen in the longer context are excluded there, in counts and escape.
+
+The trie has a fixed size, so it may be broadcast: contexts of up to two bytes are all kept (at most 256 ** 3
+counts), longer ones from a number of occurrences on that leaves at most ``TRIE_ENTRIES`` counts of whole
+contexts. A kept context's suffix occurs at least as often and is kept too, so a text's code length is a sum of
+look-ups: the exclusions below a context depend on that context alone and are worked out once.
 
 Words are counted for the base score. Those that occur often travel in a broadcast of bounded size, the others
 meet their counts in a join.
@@ -18,6 +21,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,110 +33,234 @@ from .common import crc_remainder, map_texts, text_slices, utf8
 START, END = 0xFE, 0xFF
 #: Most frequent words that are broadcast.
 BROADCAST_WORDS = 200_000
+#: Counts of contexts of three bytes and more in the broadcast trie.
+TRIE_ENTRIES = 1 << 21
+ORDER = 5
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TABLE = _LOWER.tobytes()
 
 
 def _symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased bytes of all texts, each as START START bytes END, and the offsets of the texts."""
+    """Lower-cased bytes of all texts, each as ORDER times START, its bytes, END; and the offsets of the texts."""
     raw, offsets = utf8(texts)
     lens = np.diff(offsets)
-    at = offsets + 3 * np.arange(len(offsets))
+    at = offsets + (ORDER + 1) * np.arange(len(offsets))
     out = np.full(at[-1], START, np.uint8)
-    place = np.arange(len(raw)) + np.repeat(at[:-1] + 2 - offsets[:-1], lens)
+    place = np.arange(len(raw)) + np.repeat(at[:-1] + ORDER - offsets[:-1], lens)
     out[place] = _LOWER[raw]
     out[at[1:] - 1] = END
     return out, at
 
 
-def _windows(x: np.ndarray) -> np.ndarray:
-    """The three-byte window that ends at each place from the third on."""
-    wide = x.astype(np.int32)
-    return (wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:]
+def _windows(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The six-byte window that ends at each real symbol, and the number of symbols of each text."""
+    wide = x.astype(np.int64)
+    n = len(x) - ORDER
+    codes = np.zeros(n, np.int64)
+    for i in range(ORDER + 1):
+        codes = (codes << 8) | wide[i : i + n]
+    real = np.ones(len(x), bool)
+    for i in range(ORDER):
+        real[at[:-1] + i] = False
+    return codes[real[ORDER:]], np.diff(at) - ORDER
 
 
 def _count_windows(batches):
     found = []
+
+    def merged():
+        keys, back = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+        return keys, np.bincount(back, np.concatenate([n for _, n in found])).astype(np.int64)
+
+    def sent(keys, sums):
+        for at in range(0, len(keys), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000]), pa.array(sums[at : at + 50_000])], names=["code", "n"])
+
     for batch in batches:
-        texts = pa.compute.fill_null(batch.column(0), "")
+        texts = pc.fill_null(batch.column(0), "")
         for a, b in text_slices(texts):
-            x, at = _symbols(texts.slice(a, b - a))
-            codes = _windows(x)
-            real = np.ones(len(x), bool)
-            real[at[:-1]] = real[at[:-1] + 1] = False
-            sums = np.bincount(codes[real[2:]])
-            keys = np.nonzero(sums)[0]
-            found.append((keys, sums[keys]))
+            found.append(np.unique(_windows(*_symbols(texts.slice(a, b - a)))[0], return_counts=True))
+            if sum(len(k) for k, _ in found) > 3_000_000:
+                keys, sums = merged()
+                found.clear()
+                if len(keys) > 2_000_000:
+                    yield from sent(keys, sums)
+                else:
+                    found.append((keys, sums))
     if found:
-        keys, back = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-        sums = np.bincount(back, np.concatenate([n for _, n in found])).astype(np.int64)
-        for at in range(0, len(keys), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000], pa.int32()), pa.array(sums[at : at + 50_000])], names=["code", "n"])
+        yield from sent(*merged())
+
+
+class _Table:
+    """Open-addressed columns by long key; a missing key has position -1."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(len(keys) * 2).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int64)
+        self.where = np.full(1 << self.bits, -1, np.int32)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):  # of the keys that want a free slot, one takes it; the others go one on
+            free = self.slots[at] < 0
+            self.where[at[free]] = left[free]
+            self.slots[at[free]] = keys[left[free]]
+            rest = self.where[at] != left
+            left, at = left[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+        self.slots[self.where >= 0] = keys[self.where[self.where >= 0]]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        seen = self.slots[at]
+        other = np.nonzero((seen != keys) & (seen >= 0))[0]
+        while len(other):
+            at[other] = (at[other] + 1) & ((1 << self.bits) - 1)
+            seen = self.slots[at[other]]
+            other = other[(seen != keys[other]) & (seen >= 0)]
+        return np.where(self.slots[at] == keys, self.where[at], -1)
+
+
+def _log(x: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log10(x)
 
 
 class Trie:
-    """log10 probabilities by context: ``row`` of each two-byte context, and a row of 256 values."""
+    """``low``: (code, count) of three-byte windows; ``high``: by order from three on, the same of kept contexts."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        counts = counts.astype(np.float64)
+    def __init__(self, low: tuple[np.ndarray, np.ndarray], high: dict[int, tuple[np.ndarray, np.ndarray]]):
+        codes, counts = low[0], low[1].astype(np.float64)
         one, zero = np.zeros((256, 256)), np.zeros(256)
         np.add.at(one, ((codes >> 8) & 255, codes & 255), counts)
         np.add.at(zero, codes & 255, counts)
         contexts, at = np.unique(codes >> 8, return_inverse=True)
-        last = self._uniform(zero)
-        floor = self._below(zero[None], np.zeros((1, 256), bool), last[None])[0]
-        with np.errstate(divide="ignore"):
-            shorter = self._with_escape(one, np.zeros((256, 256), bool), zero, last)
-            rows = [np.log10(np.vstack([shorter, floor[None]]))]
-            for k in range(0, len(contexts), 4096):
-                two = np.zeros((len(contexts[k : k + 4096]), 256))
-                mine = (at >= k) & (at < k + 4096)
-                np.add.at(two, (at[mine] - k, codes[mine] & 255), counts[mine])
-                seen = two > 0
-                tail = self._with_escape(one[contexts[k : k + 4096] & 255], seen, zero, last)
-                rows.append(np.log10(self._below(two, np.zeros_like(seen), tail)))
-        self.table = np.concatenate(rows).astype(np.float32)
+        new = zero == 0
+        last = new / max(1, new.sum())  # below the empty context: equal shares of the symbols that never occurred
+        floor = _mixed(zero[None], np.zeros((1, 256), bool), last[None])
+        bare = _mixed(one, np.zeros((256, 256), bool), _mixed(np.broadcast_to(zero, one.shape), one > 0, np.broadcast_to(last, one.shape)))
+        rows, seen_rows, escapes = [bare, floor], [np.zeros((257, 256), bool)], [np.ones(257)]
+        for k in range(0, len(contexts), 4096):
+            two = np.zeros((len(contexts[k : k + 4096]), 256))
+            mine = (at >= k) & (at < k + 4096)
+            np.add.at(two, (at[mine] - k, codes[mine] & 255), counts[mine])
+            seen, shorter = two > 0, one[contexts[k : k + 4096] & 255]
+            tail = _mixed(np.broadcast_to(zero, two.shape), shorter > 0, np.broadcast_to(last, two.shape))
+            rows.append(_mixed(two, np.zeros_like(seen), _mixed(shorter, seen, tail)))
+            seen_rows.append(seen)
+            escapes.append(0.5 * seen.sum(1) / two.sum(1))
+        self.table, self.seen = _log(np.concatenate(rows)).astype(np.float32), np.concatenate(seen_rows)
+        self.escape = _log(np.concatenate(escapes)).astype(np.float32)
         self.row = np.where(one.sum(1) > 0, np.arange(256), 256)[np.arange(1 << 16) & 255].astype(np.int32)
         self.row[contexts] = 257 + np.arange(len(contexts))
-
-    @staticmethod
-    def _uniform(zero: np.ndarray) -> np.ndarray:
-        """Below the empty context: equal shares of the symbols that never occurred."""
-        new = zero == 0
-        return new / max(1, new.sum())
-
-    @staticmethod
-    def _below(counts: np.ndarray, excluded: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Probabilities of one order: own symbols that are not excluded, and the escape times ``shorter``."""
-        own = np.where(excluded, 0, counts)
-        n, d = own.sum(1, keepdims=True), (own > 0).sum(1, keepdims=True)
-        escape = np.where(n > 0, d / np.maximum(n + d, 1), 1.0)
-        return np.where(own > 0, own / np.maximum(n + d, 1), escape * shorter)
-
-    def _with_escape(self, one: np.ndarray, excluded: np.ndarray, zero: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Orders one, zero and below for rows of order-one counts; ``excluded``: what order two has seen."""
-        seen = (one > 0) | excluded
-        base = self._below(np.broadcast_to(zero, one.shape), seen, np.broadcast_to(last, one.shape))
-        return self._below(one, excluded, base)
+        self._longer(low, high)
+
+    def _longer(self, low, high) -> None:
+        """Entries: log probability at their own context. Nodes: escape; then, for the suffix without what the node has seen, escape and factor."""
+        keys, tops, node_keys, own, norms, chains = [], [], [], [], [], []
+        below, amount = low
+        for k in range(3, ORDER + 1):
+            codes, counts = high.get(k, (np.zeros(0, np.int64), np.zeros(0)))
+            order = np.argsort(codes)
+            codes, counts = codes[order], counts[order].astype(np.float64)
+            if not len(codes):
+                break
+            # Occurrences and distinct symbols of the contexts below, by sorted code.
+            by_code = np.argsort(below)
+            below, amount = below[by_code], amount[by_code].astype(np.float64)
+            first = np.nonzero(np.append(True, np.diff(below >> 8) > 0))[0]
+            names, n_below, d_below = (below >> 8)[first], np.add.reduceat(amount, first), np.diff(np.append(first, len(below)))
+            start = np.nonzero(np.append(True, np.diff(codes >> 8) > 0))[0]
+            nodes, n, d = (codes >> 8)[start], np.add.reduceat(counts, start), np.diff(np.append(start, len(codes)))
+            suffix = np.searchsorted(names, nodes & ((1 << 8 * (k - 1)) - 1))
+            taken = np.add.reduceat(amount[np.searchsorted(below, codes & ((1 << 8 * k) - 1))], start)
+            left, kinds = n_below[suffix] - taken, d_below[suffix] - d
+            some = left > 0
+            keys.append(codes | (k << 48))
+            tops.append(_log((counts - 0.5) / np.repeat(n, d)))
+            node_keys.append(nodes | (k << 48))
+            own.append(_log(0.5 * d / n))
+            norms.append(np.where(some, _log(n_below[suffix]) - _log(np.where(some, left, 1)), 0))
+            chains.append(np.where(some, _log(0.5 * np.maximum(kinds, 1) / np.where(some, left, 1)), 0))
+            below, amount = codes, counts
+        flat = lambda parts, t: np.concatenate(parts).astype(t) if parts else np.zeros(0, t)
+        self.keys, self.node_keys = flat(keys, np.int64), flat(node_keys, np.int64)
+        # The last place of each column is for what is missing.
+        self.top, self.own, self.norm, self.chain = (np.append(flat(x, np.float32), np.float32(0)) for x in (tops, own, norms, chains))
+
+    def ready(self) -> Trie:
+        """With its look-up tables, which are built where they are used."""
+        self.entry, self.node = _Table(self.keys), _Table(self.node_keys)
+        return self
 
     def score(self, texts: pa.Array) -> np.ndarray:
         """log10 probability of each whole text and its end."""
         out = np.zeros(len(texts))
-        for a, b in text_slices(texts, 2_000_000):
-            x, at = _symbols(texts.slice(a, b - a))
-            value = np.zeros(len(x))
-            codes = _windows(x)
-            value[2:] = self.table[self.row[codes >> 8], codes & 255]
-            value[at[:-1]] = value[at[:-1] + 1] = 0
-            out[a:b] = np.add.reduceat(value, at[:-1])
+        for a, b in text_slices(texts, 1_000_000):
+            codes, lens = _windows(*_symbols(texts.slice(a, b - a)))
+            out[a:b] = np.add.reduceat(self._values(codes), np.cumsum(lens) - lens)
         return out
 
-
-def train(texts: DataFrame, text: str = "text") -> Trie:
+    def _values(self, codes: np.ndarray) -> np.ndarray:
+        value = np.zeros(len(codes))
+        open_, norm, chain = np.arange(len(codes)), np.zeros(len(codes), np.float32), np.zeros(len(codes), np.float32)
+        started = np.zeros(len(codes), bool)
+        for k in range(ORDER, 2, -1) if len(self.keys) else ():
+            code = codes[open_] & ((1 << 8 * (k + 1)) - 1)
+            at = self.entry.find(code | (k << 48))
+            hit = at >= 0
+            value[open_[hit]] += self.top[at[hit]] + norm[hit]
+            miss = ~hit
+            open_, started = open_[miss], started[miss]
+            node = self.node.find((code[miss] >> 8) | (k << 48))
+            value[open_] += np.where(started, chain[miss], self.own[node])
+            norm, chain, started = self.norm[node], self.chain[node], node >= 0
+        code = codes[open_]
+        row, symbol = self.row[(code >> 8) & 0xFFFF], code & 255
+        flat = self.table[row, symbol]
+        value[open_] += flat + np.where(started, np.where(self.seen[row, symbol], norm, chain - self.escape[row]), 0)
+        return value
+
+
+def _mixed(counts: np.ndarray, excluded: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Probabilities of one order: own symbols that are not excluded, and the escape times ``shorter``."""
+    own = np.where(excluded, 0, counts)
+    n, d = own.sum(1, keepdims=True), (own > 0).sum(1, keepdims=True)
+    escape = np.where(n > 0, 0.5 * d / np.maximum(n, 1), 1.0)
+    return np.where(own > 0, (own - 0.5) / np.maximum(n, 1), escape * shorter)
+
+
+def train(texts: DataFrame, text: str = "text", entries: int = TRIE_ENTRIES) -> Trie:
     """The trie of all rows of ``texts``; without rows every symbol has the same probability."""
-    counts = texts.select(text).mapInArrow(_count_windows, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    return Trie(counts.column("code").to_numpy().astype(np.int64), counts.column("n").to_numpy())
+    counts = texts.select(text).mapInArrow(_count_windows, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "windows")
+    low = counts.groupBy(F.expr("code & 16777215L").alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    orders = range(3, ORDER + 1)
+    windows = {k: counts if k == ORDER else counts.groupBy(F.expr(f"code & {(1 << 8 * (k + 1)) - 1}L").alias("code")).agg(F.sum("n").alias("n")) for k in orders}
+    contexts = None
+    for k, w in windows.items():
+        mine = w.groupBy(F.expr("shiftright(code, 8)").alias("context")).agg(F.sum("n").alias("times"), F.count("*").alias("entries"))
+        mine = mine.select(F.lit(k).alias("k"), "context", F.expr("cast(floor(log2(times)) as int)").alias("size"), "entries")
+        contexts = mine if contexts is None else contexts.unionByName(mine)
+    contexts = materialize(contexts, "contexts")
+    sizes = {r.size: r.n for r in contexts.groupBy("size").agg(F.sum("entries").alias("n")).collect()}
+    least = _least_size(sizes, entries)
+    high = {}
+    for k, w in windows.items():
+        kept = contexts.where((F.col("k") == k) & (F.col("size") >= least)).select("context")
+        found = w.withColumn("context", F.expr("shiftright(code, 8)")).join(kept, "context", "left_semi").select("code", "n").toArrow()
+        high[k] = (found.column("code").to_numpy(), found.column("n").to_numpy())
+    return Trie((low.column("code").to_numpy(), low.column("n").to_numpy()), high)
+
+
+def _least_size(sizes: dict[int, int], most: int) -> int:
+    """The least k such that what has size k or more numbers at most ``most``."""
+    k, total = max(sizes, default=0) + 1, 0
+    while k > 0 and total + sizes.get(k - 1, 0) <= most:
+        k -= 1
+        total += sizes.get(k, 0)
+    return k
 
 
 def words_of(text: str) -> list[bytes]:
@@ -181,6 +309,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hel
 
     def worker():
         trie, known, end = sent.value
+        trie.ready()
 
         def run(texts, _):
             sums, n_tokens, n_known, words, times, stops = [], [], [], [], [], [0]
@@ -220,9 +349,6 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hel
 
 def _frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
     """The words of at least 2 ** k occurrences, with the least k that leaves at most ``most`` of them."""
-    sizes = {r.k: r.n for r in counts.groupBy(F.expr("cast(floor(log2(c)) as int)").alias("k")).agg(F.count("*").alias("n")).collect()}
-    k, total = max(sizes, default=0) + 1, 0
-    while k > 0 and total + sizes.get(k - 1, 0) <= most:
-        k -= 1
-        total += sizes.get(k, 0)
-    return [(r.word, r.c) for r in counts.where(F.expr("floor(log2(c))") >= k).collect()] if total else []
+    size = F.expr("cast(floor(log2(c)) as int)")
+    sizes = {r.k: r.n for r in counts.groupBy(size.alias("k")).agg(F.count("*").alias("n")).collect()}
+    return [(r.word, r.c) for r in counts.where(size >= _least_size(sizes, most)).collect()] if sizes else []
