@@ -11,6 +11,11 @@ from storyloom.llm.queries import PSEUDONYM_KEY, model_path
 from storyloom.session import scratch_path
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The rows as one struct beside their text, so that their columns cannot clash with those of an operator."""
+    return docs.select(F.struct("*").alias("__row"), F.col("text").alias("__whole"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a determined language go."""
     return language_id.keep_identified(docs)
@@ -23,16 +28,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = containment.contained_items(docs.withColumn("__whole", F.col("text")), table(spark, sf_dir, "benchmark"), extra=[*others, "__whole"])
-    return found.where(~F.col("contaminated")).withColumnRenamed("__whole", "text").select(docs.columns)
+    found = containment.contained_items(_packed(docs), table(spark, sf_dir, "benchmark"), "__row", "__whole")
+    return found.where(~F.col("contaminated")).select("__row.*")
 
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become pseudonyms; ``n_chars`` follows the text."""
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    new = pii.pseudonymize(docs, PSEUDONYM_KEY, others)
-    return new.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    new = pii.pseudonymize(_packed(docs), PSEUDONYM_KEY, ["__row"], "__whole")
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
+    return new.select([changed.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

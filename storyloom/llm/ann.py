@@ -14,6 +14,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,7 +77,7 @@ class Hasher:
 
 def _by_dimension(lists: pa.Array):
     """(row numbers, float64 matrix) of the vectors of each length."""
-    lens = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    lens = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     ends = np.cumsum(lens)
     for dim in np.unique(lens).tolist():

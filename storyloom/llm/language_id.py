@@ -164,5 +164,7 @@ def predict(docs: DataFrame, model, keep: list[str] | None = None, text: str = "
 
 def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """The rows of a documents table whose language is determined with at least ``least_score``; the others go."""
-    model = train(docs)
-    return predict(docs, model, docs.columns).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select(docs.columns)
+    # The rows travel as one struct, so that their columns cannot clash with the results.
+    rows = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__whole"))
+    found = predict(rows, train(docs), ["__row"], "__whole")
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select("__row.*")

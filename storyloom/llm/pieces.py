@@ -212,9 +212,17 @@ class Pieces:
         out = []
         real = ~self.special[ids] | np.isin(ids, self.byte_ids) | (ids == self.unknown)
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            shown = np.argmax(real[a:b]) if b > a else 0
-            drop = int(b > a and real[a + shown] and self.leads[ids[a + shown]])
-            out.append(_valid(raw[int(ends[a]) + drop : int(ends[b])]))
+            shown = np.nonzero(real[a:b])[0] + a
+            if not len(shown):
+                out.append(b"")
+                continue
+            first, last = int(shown[0]), int(shown[-1])
+            start = int(ends[first]) + int(self.leads[ids[first]])
+            if last - first + 1 == len(shown):
+                out.append(_valid(raw[start : int(ends[last + 1])]))
+            else:  # ids of nothing in between part the bytes beside them
+                cuts = [start, *ends[np.nonzero(~real[first:last])[0] + first].tolist(), int(ends[last + 1])]
+                out.append(b"".join(_valid(raw[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)))
         return out
 
 

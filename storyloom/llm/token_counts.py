@@ -11,6 +11,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -74,7 +75,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, doc_id: str = "
                     total += n
                 totals.append(total)
             tokens = np.array(totals, np.int64)
-            sizes = pa.compute.binary_length(texts).cast(pa.int64())
+            sizes = pc.binary_length(texts).cast(pa.int64())
             return [sizes, pa.array(tokens), pa.array(tokens > limit)]
 
         return run

@@ -15,7 +15,7 @@ from .common import map_texts
 #: (verdict, host, path): a rule holds for the host and its subdomains if the path starts with the rule's.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 BUCKETS = 1 << 14
-ORDERS = (3, 4, 5)
+ORDERS = (2, 3, 4)
 #: Labelled URLs that a fit may have; it runs on the driver.
 MAX_LABELLED = 100_000
 THRESHOLD = 0.5
