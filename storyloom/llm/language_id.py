@@ -7,8 +7,6 @@ broadcast, and a batch of texts is scored as one sparse count matrix: gathered r
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +29,6 @@ _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _BLOCK = 1 << 20
 
 
-@lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
@@ -56,12 +53,12 @@ def _blocks(texts: list[str]):
         yield np.array(rows), parts, np.array(more)
 
 
-def _grams(parts: list[str], more: np.ndarray):
+def _grams(parts: list[str], more: np.ndarray, letters: np.ndarray):
     """For each order: bucket of each place (BUCKETS where no n-gram starts), and the start of each part; letters by place."""
     lens = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
     code = np.frombuffer("\n".join(parts + [""]).encode("utf-32-le", "surrogatepass"), "<u4")
     starts = np.cumsum(lens) - lens
-    letter = _letters()[code]
+    letter = letters[code]
     code = np.where(letter, code, np.uint32(32)).astype(np.uint32)
     left = np.repeat(starts + lens - 1, lens) - np.arange(len(code))  # characters from this place to the end of the part
     shared = np.zeros(len(code), np.int8)  # 2, 1 at the two characters that a part shares with the one before
@@ -87,13 +84,14 @@ def _grams(parts: list[str], more: np.ndarray):
 def _count(batches):
     """(language index, bucket, count) of a task's training texts."""
     totals: dict[str, np.ndarray] = {}
+    letters = _letters()
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
         texts = batch.column(1).to_pylist()
         for lang in dict.fromkeys(langs.tolist()):
             sums = totals.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
             for _, parts, more in _blocks([texts[i] or "" for i in np.nonzero(langs == lang)[0]]):
-                for bucket in _grams(parts, more)[0]:
+                for bucket in _grams(parts, more, letters)[0]:
                     sums += np.bincount(bucket, minlength=BUCKETS + 1)
     for lang, sums in totals.items():
         at = np.nonzero(sums[:BUCKETS])[0]
@@ -139,13 +137,14 @@ def predict(docs: DataFrame, model, keep: list[str] | None = None, text: str = "
 
     def worker():
         languages, matrix = sent.value
+        letters = _letters()
         weights, prior = np.ascontiguousarray(matrix[: BUCKETS + 1]), matrix[BUCKETS + 1]
 
         def run(texts, _):
             texts = texts.to_pylist()
             sums, lettered = np.tile(prior, (len(texts), 1)), np.zeros(len(texts), bool)
             for rows, parts, more in _blocks(texts):
-                grams, starts, letter = _grams(parts, more)
+                grams, starts, letter = _grams(parts, more, letters)
                 np.logical_or.at(lettered, rows, np.logical_or.reduceat(letter, starts))
                 if len(languages):
                     for bucket in grams:

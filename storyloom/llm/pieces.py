@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -243,7 +242,6 @@ def _valid(raw: bytes) -> bytes:
         return "".join(out).encode()
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> Pieces:
     return Pieces(path)
 

@@ -189,6 +189,13 @@ class Trie:
         # The last place of each column is for what is missing.
         self.top, self.own, self.norm, self.chain = (np.append(flat(x, np.float32), np.float32(0)) for x in (tops, own, norms, chains))
 
+    @classmethod
+    def of(cls, columns: dict) -> Trie:
+        """From the columns of another, as a broadcast carries them."""
+        trie = cls.__new__(cls)
+        trie.__dict__.update(columns)
+        return trie
+
     def ready(self) -> Trie:
         """With its look-up tables, which are built where they are used."""
         self.entry, self.node = _Table(self.keys), _Table(self.node_keys)
@@ -305,11 +312,11 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hel
     n_texts = training.count()
     tokens, distinct = totals.n + n_texts, totals.v + (n_texts > 0)
     frequent = _frequent(counts, broadcast_words)
-    sent = docs.sparkSession.sparkContext.broadcast((trie, {w.encode(): math.log10(c + 0.5) for w, c in frequent}, math.log10(n_texts + 0.5)))
+    sent = docs.sparkSession.sparkContext.broadcast((vars(trie), {w.encode(): math.log10(c + 0.5) for w, c in frequent}, math.log10(n_texts + 0.5)))
 
     def worker():
-        trie, known, end = sent.value
-        trie.ready()
+        columns, known, end = sent.value
+        trie = Trie.of(columns).ready()
 
         def run(texts, _):
             sums, n_tokens, n_known, words, times, stops = [], [], [], [], [], [0]
