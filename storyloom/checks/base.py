@@ -67,6 +67,14 @@ CATEGORY_ROWS = ", ".join(
     f"({i}, {quote(slug)}, {quote(label)}, {sql_list(topics)}::varchar[])" for i, (slug, label, topics) in enumerate(K.CATEGORIES)
 )
 
+_CUT = "substr(t, 1, 320)"
+_LAST_SPACE = f"(length({_CUT}) - strpos(reverse({_CUT}), ' '))"
+# The documents' texts hold no markup, so an excerpt is the text with single blanks, cut at a word.
+DOC_EXCERPT = (
+    f"CASE WHEN t = '' THEN NULL WHEN length(t) <= 320 THEN t WHEN contains({_CUT}, ' ') AND {_LAST_SPACE} > 192 "
+    f"THEN substr({_CUT}, 1, {_LAST_SPACE}) || '…' ELSE {_CUT} || '…' END"
+)
+
 # name -> (tables it needs first, SQL)
 TABLES: dict[str, tuple[str, str]] = {
     "categories": ("", f"SELECT * FROM (VALUES {CATEGORY_ROWS}) AS v(ord, slug, label, topics)"),
@@ -96,8 +104,8 @@ TABLES: dict[str, tuple[str, str]] = {
     "docs": (
         "",
         """SELECT doc_id AS id, substr(source, 4)::bigint AS source_id, text, n_chars,
-        replace(substr(text, 1, 80), chr(10), ' ') AS title,
-        substr(replace(text, chr(10), ' '), 1, 200) AS excerpt FROM documents""",
+        regexp_extract(text, '^[^.\n]*') AS title, {DOC_EXCERPT} AS excerpt
+        FROM (SELECT *, trim(regexp_replace(replace(text, chr(10), ' '), '  +', ' ', 'g')) AS t FROM documents)""".replace("{DOC_EXCERPT}", DOC_EXCERPT),
     ),
     "items": (
         "docs",
@@ -127,7 +135,7 @@ TABLES: dict[str, tuple[str, str]] = {
     "signals": (
         "typed_events",
         """SELECT event_id AS id, 'p' || user_id AS profile_id,
-        CASE WHEN type IN ('save', 'unsave') THEN event_id % 40
+        CASE WHEN type IN ('save', 'unsave') THEN (event_id // 16) % (SELECT count(*) FROM documents)
              ELSE event_id % (SELECT count(*) FROM documents) END AS item_id,
         type, value::double AS value, ts AS created_at FROM typed_events""",
     ),

@@ -80,7 +80,7 @@ def atom_entries(spark, d):
 def story_payloads(spark, d):
     i = F.col("doc_id")
     story = F.struct(
-        i.alias("id"), F.when(i % 9 == 0, "job").otherwise("story").alias("type"), F.substring("text", 1, 80).alias("title"),
+        i.alias("id"), F.when(i % 9 == 0, "job").otherwise("story").alias("type"), demo.first_sentence(F.col("text")).alias("title"),
         F.when(i % 4 != 0, F.concat(F.lit("https://example.com/"), i)).alias("url"),
         F.when(i % 6 != 0, F.concat(F.lit("user"), i % 30)).alias("by"), (F.lit(EPOCH) + i * 60).alias("time"),
         F.when(i % 8 != 0, F.col("n_chars") % 400).alias("score"), F.when(i % 7 != 0, i % 50).alias("descendants"),
@@ -90,7 +90,7 @@ def story_payloads(spark, d):
 
 
 STORY_OK = "doc_id % 9 <> 0 AND doc_id % 31 <> 0 AND doc_id % 8 <> 0 AND n_chars % 400 >= 100"
-STORY_SQL = f"""SELECT 'hn-' || doc_id AS guid, substr(text, 1, 80) AS title,
+STORY_SQL = f"""SELECT 'hn-' || doc_id AS guid, regexp_extract(text, '^[^.\n]*') AS title,
       CASE WHEN doc_id % 4 <> 0 THEN 'https://example.com/' || doc_id ELSE 'https://news.ycombinator.com/item?id=' || doc_id END AS url,
       CASE WHEN doc_id % 6 <> 0 THEN 'user' || (doc_id % 30) END AS author,
       (n_chars % 400) || ' points · ' || (CASE WHEN doc_id % 7 <> 0 THEN doc_id % 50 ELSE 0 END) || ' comments on Hacker News' AS excerpt,
@@ -209,12 +209,15 @@ def original_posts(spark, d):
 
 @check("posts_past_cursor", """WITH p AS (SELECT user_id % 20 AS source_id, event_id AS post_id FROM events),
       c AS (SELECT source_id, quantile_disc(post_id, 0.5) AS last_id FROM p WHERE source_id % 4 > 0 GROUP BY source_id),
-      f AS (SELECT p.*, row_number() OVER (PARTITION BY p.source_id ORDER BY post_id DESC) AS n FROM p LEFT JOIN c USING (source_id) WHERE last_id IS NULL OR post_id > last_id)
-      SELECT source_id, post_id FROM f WHERE n <= 25""")
+      f AS (SELECT p.*, row_number() OVER (PARTITION BY p.source_id ORDER BY post_id) AS n FROM p LEFT JOIN c USING (source_id) WHERE last_id IS NULL OR post_id > last_id)
+      SELECT source_id, post_id, n <= 25 AS in_request FROM f""")
 def posts_past_cursor(spark, d):
+    """All posts past the cursor, and which of them one request of 25 brings."""
     p = posts(spark, d)
     cursors = p.filter(F.col("source_id") % 4 > 0).groupBy("source_id").agg(F.expr("percentile_disc(0.5) within group (order by post_id)").cast("bigint").alias("last_id"))
-    return landing.newer_than_cursor(p, cursors, x.run_cap()).select("source_id", "post_id")
+    first = landing.newer_than_cursor(p, cursors, x.run_cap()).select("source_id", "post_id", F.lit(True).alias("first"))
+    fresh = landing.newer_than_cursor(p, cursors).join(first, ["source_id", "post_id"], "left")
+    return fresh.select("source_id", "post_id", F.coalesce("first", F.lit(False)).alias("in_request"))
 
 
 @check("advanced_cursors", """WITH p AS (SELECT user_id % 20 AS source_id, event_id AS post_id FROM events WHERE user_id % 20 > 2),

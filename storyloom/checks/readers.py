@@ -214,14 +214,14 @@ def world_entries(spark, d):
     return feeds.worlds_job(tables(spark, d), demo.now()).world_entries.withColumn("score", F.round("score", 6))
 
 
-@check("visible_stories", SHOWN_SQL + """ SELECT profile_id, s.id, min(s.ord * 1000 + rank)::int AS position, bool_or(is_new) AS is_new, bool_or(was_read) AS read,
+@check("visible_stories", SHOWN_SQL + """ SELECT profile_id, s.id, min(s.ord::bigint * 4294967296 + rank)::bigint AS position, bool_or(is_new) AS is_new, bool_or(was_read) AS read,
       len(max_by(covered, s.ord))::int AS also_covered, any_value(i.title) AS title FROM shown s JOIN items i ON i.id = s.id GROUP BY profile_id, s.id""", "collapsed")
 def visible_stories(spark, d):
     s = feeds.worlds_job(tables(spark, d), demo.now()).stories
     return s.select("profile_id", "id", "position", "is_new", "read", F.size("also_covered_by").alias("also_covered"), "title")
 
 
-@check("reader_summaries", SHOWN_SQL + """, st AS (SELECT profile_id, id, min(ord * 1000 + rank) AS position, any_value(published_at) AS published_at FROM shown WHERE is_new AND NOT was_read GROUP BY ALL),
+@check("reader_summaries", SHOWN_SQL + """, st AS (SELECT profile_id, id, min(ord::bigint * 4294967296 + rank) AS position, any_value(published_at) AS published_at FROM shown WHERE is_new AND NOT was_read GROUP BY ALL),
       c AS (SELECT profile_id, count(*) AS n, array_to_string(list(id ORDER BY published_at DESC, position)[1:8], ',') AS ids FROM st GROUP BY ALL)
       SELECT r.profile_id, r.last_feed_opened_at AS last_visit_at, (SELECT max(updated_at) FROM scored s WHERE s.profile_id = r.profile_id) AS updated_at, coalesce(n, 0) AS new_count, coalesce(ids, '') AS catch_up
       FROM profiles r LEFT JOIN c USING (profile_id)""", "collapsed profiles")
@@ -245,13 +245,13 @@ def shown_with_topics(spark, d):
 
 @check("world_bridges", SHOWN_SQL + """, s AS (SELECT s.profile_id, s.ord, s.rank, s.id, (SELECT list(slug ORDER BY p) FROM (SELECT t.slug, min(u.p) AS p FROM (SELECT unnest(i.topics) AS t, generate_subscripts(i.topics, 1) AS p) u JOIN category_topics t ON t.topic = u.t GROUP BY ALL)) AS slugs
         FROM shown s JOIN items i ON i.id = s.id),
-      b AS (SELECT profile_id, id, min(rank) AS rank, min(ord * 1000 + rank) AS seen, any_value(slugs) AS slugs FROM s WHERE len(slugs) >= 2 GROUP BY ALL)
+      b AS (SELECT profile_id, id, min(rank) AS rank, min(ord::bigint * 4294967296 + rank) AS seen, any_value(slugs) AS slugs FROM s WHERE len(slugs) >= 2 GROUP BY ALL)
       SELECT profile_id, (row_number() OVER (PARTITION BY profile_id ORDER BY rank, seen))::int AS place, id, slugs[1] AS a, slugs[2] AS b, rank::int AS rank FROM b QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY rank, seen) <= 5""", "collapsed category_topics")
 def world_bridges(spark, d):
     return bridges.bridges(shown_with_topics(spark, d))
 
 
-@check("search_index", SHOWN_SQL + " SELECT profile_id, id, min_by(slug, ord * 1000 + rank) AS slug, min(ord * 1000 + rank)::int AS position FROM shown GROUP BY ALL", "collapsed")
+@check("search_index", SHOWN_SQL + " SELECT profile_id, id, min_by(slug, ord::bigint * 4294967296 + rank) AS slug, min(ord::bigint * 4294967296 + rank)::bigint AS position FROM shown GROUP BY ALL", "collapsed")
 def search_index(spark, d):
     return bridges.search_index(shown_with_topics(spark, d))
 

@@ -24,7 +24,7 @@ def raw_entries(spark, d):
     url = F.concat(F.lit("https://Src"), src, F.lit(".example.com/story/"), i, F.lit("/?utm_source=a&id="), i)
     return demo.table(spark, d, "documents").select(
         src.alias("source_id"), F.concat(F.lit("doc-"), i).alias("guid"), i.alias("ord"),
-        F.concat(F.lit(" "), F.substring("text", 1, 80)).alias("title"), url.alias("url"),
+        F.concat(F.lit(" "), demo.first_sentence(F.col("text"))).alias("title"), url.alias("url"),
         F.when(i % 9 == 0, F.concat(F.lit("https://wire.example.com/"), i, F.lit("#x"))).alias("canonical_url"),
         F.when(i % 5 != 0, F.concat(F.lit(" Author "), i % 17)).alias("author"),
         F.when(i % 2 == 0, "null").alias("excerpt"),
@@ -38,7 +38,7 @@ def raw_entries(spark, d):
 
 TABLES["raw_entries"] = (
     "source_tier",
-    f"""SELECT substr(source, 4)::bigint AS source_id, 'doc-' || doc_id AS guid, doc_id AS ord, ' ' || substr(text, 1, 80) AS raw_title,
+    f"""SELECT substr(source, 4)::bigint AS source_id, 'doc-' || doc_id AS guid, doc_id AS ord, ' ' || regexp_extract(text, '^[^.\n]*') AS raw_title,
     'https://src' || substr(source, 4) || '.example.com/story/' || doc_id || '/?id=' || doc_id AS clean_url, doc_id,
     CASE WHEN doc_id % 9 = 0 THEN 'https://wire.example.com/' || doc_id END AS wire, CASE WHEN doc_id % 5 <> 0 THEN 'Author ' || (doc_id % 17) END AS author,
     replace(replace(text, '<', '('), '&', '+') AS plain,
@@ -206,7 +206,7 @@ def age_policy(spark, d):
 @check("signal_batches", """WITH b AS (SELECT *, row_number() OVER (PARTITION BY user_id % 15, event_id // 2500 ORDER BY event_id) AS n FROM events)
       SELECT 'p' || (user_id % 15) AS profile_id, event_id AS item_id, CASE event_type WHEN 'view' THEN 'impression' WHEN 'click' THEN 'open' WHEN 'purchase' THEN 'read_time' ELSE 'save' END AS type,
       CASE WHEN event_id % 3 = 0 THEN 1.0 WHEN event_id % 3 = 1 THEN greatest(0, least(3600, (event_id % 9000) - 100))::double ELSE 1.0 END AS value
-      FROM b WHERE n <= 100 AND event_type <> 'error' AND event_id % 8 <> 0""")
+      , n <= 100 AS in_request FROM b WHERE event_type <> 'error' AND event_id % 8 <> 0""")
 def signal_batches(spark, d):
     e = F.col("event_id")
     kind = F.when(F.col("event_type") == "view", "impression").when(F.col("event_type") == "click", "open").when(F.col("event_type") == "purchase", "read_time").when(F.col("event_type") == "error", "bogus").otherwise("save")
@@ -216,12 +216,15 @@ def signal_batches(spark, d):
         F.when(e % 3 == 0, "").when(e % 3 == 1, F.concat(F.lit(', "value": '), e % 9000 - 100)).otherwise(', "value": "7"'), F.lit("}"))
     batches = demo.table(spark, d, "events").select(F.concat(F.lit("p"), F.col("user_id") % 15).alias("profile_id"), F.floor(e / 2500).alias("batch_id"), e, entry.alias("entry")).groupBy("profile_id", "batch_id").agg(
         F.concat(F.lit('{"signals": ['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "entry"))), lambda s: s["entry"]), ","), F.lit("]}")).alias("payload"))
-    return L.parse_signal_batches(batches).select("profile_id", "item_id", "type", "value")
+    cut = L.parse_signal_batches(batches, K.SIGNAL_BATCH_LIMIT).select("profile_id", "item_id", F.lit(True).alias("cut"))
+    rows = L.parse_signal_batches(batches).join(cut, ["profile_id", "item_id"], "left")
+    return rows.select("profile_id", "item_id", "type", "value", F.coalesce("cut", F.lit(False)).alias("in_request"))
 
 
-@check("signals_on_known_items", "SELECT count(*) AS n FROM signals WHERE item_id IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)", "signals")
+@check("signals_on_known_items", "SELECT id, item_id FROM signals WHERE item_id IN (SELECT doc_id FROM documents WHERE lang <> 'en')", "signals")
 def signals_on_known_items(spark, d):
-    return L.known_items(demo.signals(spark, d), demo.item_keys(spark, d).filter("id % 2 = 0")).agg(F.count("*").alias("n"))
+    known = demo.table(spark, d, "documents").filter("lang <> 'en'").select(F.col("doc_id").alias("id"))
+    return L.known_items(demo.signals(spark, d), known).select("id", "item_id")
 
 
 @check("valid_interests", f"""SELECT event_id, array_to_string(list_filter([event_type, {quote('nba')}, ['tech', 'bogus', 'media'][event_id % 3 + 1], 'ai', 'ai'], lambda t: list_contains({sql_list(K.KNOWN_TOPICS)}, t)), ',') AS interests,

@@ -153,8 +153,6 @@ def title_similarity(spark, d):
     )
 
 
-POST = "substr(text, 1, 300) || ' reut.rs/' || doc_id || ' , see https://t.co/' || doc_id || '  now'"
-
 
 @check("posts_without_links", f"""SELECT doc_id, {squeeze_sql("regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' reut.rs/' || doc_id || ' , see https://t.co/' || doc_id || '  now', '(?i)https?://[^S]+', '', 'g'), '(?i)\\b[a-z0-9-]+\\.[a-z]{2,6}/[^S]+', '', 'g'), '[S]{2,}', ' ', 'g'), '[S]+([.,;:!?])', '\\1', 'g')".replace('S]', RE2_SPACE + ']')).replace("'[" + RE2_SPACE + "]+', ' ', 'g'), '^ +| +$'", "'^[" + RE2_SPACE + "]+|[" + RE2_SPACE + "]+$', '', 'g'), '^ +| +$'")} AS post_text FROM documents""")
 def posts_without_links(spark, d):
@@ -173,7 +171,7 @@ def posts_as_html(spark, d):
 
 
 HINT_TITLE = ("CASE doc_id % 6 WHEN 0 THEN 'Correction: ' WHEN 1 THEN 'UPDATE: ' WHEN 2 THEN 'Retraction of ' WHEN 3 THEN 'Updated: ' "
-              "ELSE '' END || substr(text, 1, 60)")
+              "ELSE '' END || regexp_extract(text, '^[^.\n]*')")
 
 
 @check("correction_notes", f"""WITH t AS (SELECT doc_id, {HINT_TITLE} AS title, text AS summary FROM documents),
@@ -184,7 +182,7 @@ HINT_TITLE = ("CASE doc_id % 6 WHEN 0 THEN 'Correction: ' WHEN 1 THEN 'UPDATE: '
 def correction_notes(spark, d):
     k = F.col("doc_id") % 6
     prefix = F.when(k == 0, "Correction: ").when(k == 1, "UPDATE: ").when(k == 2, "Retraction of ").when(k == 3, "Updated: ").otherwise("")
-    t = demo.table(spark, d, "documents").select("doc_id", F.concat(prefix, F.substring("text", 1, 60)).alias("title"), "text")
+    t = demo.table(spark, d, "documents").select("doc_id", F.concat(prefix, demo.first_sentence(F.col("text"))).alias("title"), "text")
     t = t.withColumn("status_hint", T.status_hint(F.col("title"), F.col("text")))
     return t.select("doc_id", "status_hint", F.when(F.col("status_hint").isNotNull(), F.col("title")).alias("correction_note"))
 

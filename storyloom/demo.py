@@ -72,13 +72,17 @@ def hints(source_id: Column) -> Column:
     return F.array(F.element_at(F.array(*[F.lit(t) for t in K.KNOWN_TOPICS]), (source_id % 10 + 1).cast("int")))
 
 
+def first_sentence(text: Column) -> Column:
+    """Up to the first full stop or line end."""
+    return F.regexp_extract(text, "^[^.\\n]*", 0)
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("id")
     published = now() - minutes((i * 37 % 10080).cast("int"))
     docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), _source_number().alias("source_id"), "text", "n_chars",
-        F.replace(F.substring("text", 1, 80), F.lit("\n"), F.lit(" ")).alias("title"),
-        F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 200).alias("excerpt"),
+        first_sentence(F.col("text")).alias("title"), T.make_excerpt(F.lit(None).cast("string"), F.col("text")).alias("excerpt"),
     )
     url = F.concat(F.lit("https://src"), F.col("source_id"), F.lit(".example.com/story/"), i)
     return docs.select(
@@ -107,7 +111,7 @@ def item_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event log as reader signals; saves and unsaves fall on few items so that they meet."""
+    """The event log as reader signals; saves and unsaves of near events fall on one item, so that they meet."""
     n_items = table(spark, sf_dir, "documents").agg(F.count("*").alias("n")).scalar()
     e = F.col("event_id")
     kind = (
@@ -118,7 +122,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return table(spark, sf_dir, "events").select(
         e.alias("id"), F.concat(F.lit("p"), F.col("user_id")).alias("profile_id"),
-        F.when(kind.isin("save", "unsave"), e % 40).otherwise(e % n_items).alias("item_id"),
+        F.when(kind.isin("save", "unsave"), F.floor(e / 16) % n_items).otherwise(e % n_items).alias("item_id"),
         kind.alias("type"), F.col("value").cast("double").alias("value"), F.col("ts").cast("timestamp").alias("created_at"),
     )
 

@@ -15,7 +15,15 @@ from pyspark.sql import types as T
 from .. import constants as K
 
 VOID = {"br", "img", "hr"}
-DROP_WITH_TEXT = {"script", "style", "textarea", "option", "noscript"}
+DROP_WITH_TEXT = {"script", "style", "textarea", "option"}
+# An option needs no end tag: it ends where its list does.
+OPTION_LISTS = {"select", "optgroup", "datalist"}
+# A start tag ends these open elements, unless one of the second set was opened after them.
+BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "blockquote", "pre", "hr", "figure", "figcaption", "table"}
+ENDED_BY = {tag: ({"p"}, {"li", "td", "th", "blockquote", "figure", "figcaption"}) for tag in BLOCKS} | {
+    "li": ({"li"}, {"ul", "ol"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}),
+    "thead": ({"thead", "tbody"}, {"table"}), "tbody": ({"thead", "tbody"}, {"table"}),
+}
 FORCED = {
     "a": {"rel": "noopener noreferrer", "target": "_blank"},
     "img": {"loading": "lazy", "decoding": "async", "referrerpolicy": "no-referrer"},
@@ -37,13 +45,26 @@ class _Cleaner(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
         self.open: list[str] = []
-        self.muted = 0
+        self.muted: str | None = None  # the element whose text is dropped
+
+    def _close(self, tags, guards=frozenset()):
+        """End the innermost open element of ``tags`` and all inside it, but do not look past a guard."""
+        for at in range(len(self.open) - 1, -1, -1):
+            if self.open[at] in tags:
+                self.out += [f"</{tag}>" for tag in reversed(self.open[at:])]
+                del self.open[at:]
+                return
+            if self.open[at] in guards:
+                return
 
     def handle_starttag(self, tag, attrs):
-        if tag in DROP_WITH_TEXT:
-            self.muted += 1
+        if self.muted == "option" and (tag in OPTION_LISTS or tag in BLOCKS):
+            self.muted = None
+        if tag in DROP_WITH_TEXT and self.muted in (None, "option"):
+            self.muted = tag
         if self.muted or tag not in K.ALLOWED_TAGS:
             return
+        self._close(*ENDED_BY.get(tag, ((),)))
         kept = {}
         allowed = K.ALLOWED_ATTRIBUTES.get(tag, [])
         for name, value in attrs:
@@ -65,14 +86,10 @@ class _Cleaner(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in DROP_WITH_TEXT:
-            self.muted = max(0, self.muted - 1)
-        elif not self.muted and tag in self.open:
-            while self.open:
-                last = self.open.pop()
-                self.out.append(f"</{last}>")
-                if last == tag:
-                    break
+        if tag == self.muted or (self.muted == "option" and (tag in OPTION_LISTS or tag in self.open)):
+            self.muted = None
+        if not self.muted:
+            self._close({tag})
 
     def handle_data(self, data):
         if not self.muted:

@@ -24,8 +24,13 @@ def trim_all(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+# The same characters, spelled out.
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def squeeze(text: Column) -> Column:
-    return trim_all(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    """One blank for each run of white space and none at the ends, without a pattern over a wide class."""
+    return F.trim(F.regexp_replace(F.translate(text, SPACES, " " * len(SPACES)), "  +", " "))
 
 
 def _code_point(code: Column) -> Column:
@@ -75,7 +80,7 @@ def strip_html(html: Column) -> Column:
 def count_words(html: Column) -> Column:
     return bind(
         strip_html(F.coalesce(html, F.lit(""))),
-        lambda text: F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, " "))),
+        lambda text: F.when(text == "", F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1),
     )
 
 

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from .text import bind, trim_all
 
-URL = "^([hH][tT][tT][pP][sS]?)://([^/?#\\s]+)([^?#\\s]*)(\\?[^#\\s]*)?(#.*)?$"
+URL = "(?s)^([hH][tT][tT][pP][sS]?)://((?:[^/?#]*@)?)([^/?#@\\s]+)([^?#]*)(\\?[^#]*)?(#.*)?$"
+# Kept as they are in a path; everything else becomes the percent form of its UTF-8 bytes.
+PATH_TEXT = "[!$-;=@-_a-z|~]"
+DOTS, TWO_DOTS = ["." , "%2e"], ["..", ".%2e", "%2e.", "%2e%2e"]
 
 
 def _param(pair: Column) -> Column:
@@ -25,17 +28,45 @@ def _param(pair: Column) -> Column:
 def canonicalize_url(raw: Column) -> Column:
     """One address per article: no fragment, tracking parameters or trailing slash, sorted parameters.
 
-    Anything that is not a plain http(s) address is returned trimmed.
+    Line ends and tabs inside an address are dropped, paths are folded and percent-encoded, and only scheme and
+    host change case. Anything that is not an http(s) address is returned trimmed.
     """
-    return bind(trim_all(raw), lambda url: F.when(url.rlike(URL), _clean(url)).otherwise(url))
+    return bind(trim_all(raw), lambda url: F.when(url.rlike(URL), bind(F.translate(url, "\t\n\r", ""), _clean)).otherwise(url))
+
+
+def _percent(path: Column) -> Column:
+    def code(ch: Column) -> Column:
+        return F.when(ch.rlike(PATH_TEXT), ch).otherwise(F.regexp_replace(F.hex(F.encode(ch, "UTF-8")), "(..)", "%$1"))
+
+    plain = path.rlike(f"^(?:{PATH_TEXT}|%)*$")
+    each = F.transform(F.split(path, ""), lambda ch: F.when(ch == "%", ch).otherwise(code(ch)))
+    return F.when(plain, path).otherwise(F.array_join(each, ""))
+
+
+def _fold(path: Column) -> Column:
+    """Without dot segments; one at the end leaves a slash."""
+    low = F.lower
+    steps = lambda parts: F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda kept, s: F.when(low(s).isin(DOTS), kept)
+        .when(low(s).isin(TWO_DOTS), F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1))))
+        .otherwise(F.concat(kept, F.array(s))),
+    )
+
+    def folded(parts: Column) -> Column:
+        last = low(F.element_at(parts, -1)).isin(DOTS + TWO_DOTS)
+        return F.concat(F.array_join(steps(parts), "/"), F.when(last, "/").otherwise(""))
+
+    return F.when(path.rlike("(?i)/(?:\\.|%2e){1,2}(?:/|$)"), bind(F.split(path, "/"), folded)).otherwise(path)
 
 
 def _clean(url: Column) -> Column:
     scheme = F.lower(F.regexp_extract(url, URL, 1))
-    host = F.lower(F.regexp_extract(url, URL, 2))
+    user = F.regexp_extract(url, URL, 2)
+    host = F.lower(F.regexp_extract(url, URL, 3))
     host = F.when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(F.regexp_replace(host, ":80$", ""))
-    path = F.regexp_replace(F.regexp_extract(url, URL, 3), "^$", "/")
-    query = F.regexp_replace(F.regexp_extract(url, URL, 4), "^\\?", "")
+    path = F.regexp_replace(_fold(_percent(F.regexp_extract(url, URL, 4))), "^$", "/")
+    query = F.regexp_replace(F.regexp_extract(url, URL, 5), "^\\?", "")
     params = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), _param)
     kept = F.filter(params, lambda p: ~p["k"].startswith("utm_") & ~p["k"].isin(*K.TRACKING_PARAMS))
     # The position keeps equal keys in their original order.
@@ -43,7 +74,7 @@ def _clean(url: Column) -> Column:
     search = F.array_join(
         F.transform(ordered, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&"
     )
-    address = F.struct(F.concat(scheme, F.lit("://"), host, path).alias("base"), search.alias("search"))
+    address = F.struct(F.concat(scheme, F.lit("://"), user, host, path).alias("base"), search.alias("search"))
     return bind(
         address,
         lambda a: F.when(a["search"] == "", F.regexp_replace(a["base"], "/$", "")).otherwise(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -17,7 +17,7 @@ def bridges(shown: DataFrame, limit: int = K.BRIDGE_LIMIT) -> DataFrame:
     slugs = F.array_distinct(F.filter(F.transform("topics", lambda t: F.try_element_at(world_of, t)), lambda s: s.isNotNull()))
     spanning = shown.withColumn("slugs", slugs).filter(F.size("slugs") >= 2)
     best = spanning.groupBy("profile_id", "id").agg(
-        F.min("rank").alias("rank"), F.min(F.col("ord") * 1000 + F.col("rank")).alias("seen"),
+        F.min("rank").alias("rank"), F.min(F.struct("ord", "rank")).alias("seen"),
         F.first("slugs").alias("slugs"),
     )
     order = Window.partitionBy("profile_id").orderBy("rank", "seen")
@@ -26,8 +26,13 @@ def bridges(shown: DataFrame, limit: int = K.BRIDGE_LIMIT) -> DataFrame:
     )
 
 
+def list_position(world: Column, rank: Column) -> Column:
+    """One number that orders by world, then by rank, for lists of any length."""
+    return F.shiftleft(world.cast("bigint"), 32) + rank
+
+
 def search_index(shown: DataFrame) -> DataFrame:
     """Every story once per profile, under the first world that lists it; ``position`` is index order."""
     return shown.groupBy("profile_id", "id").agg(
-        F.min_by("slug", F.col("ord") * 1000 + F.col("rank")).alias("slug"), F.min(F.col("ord") * 1000 + F.col("rank")).alias("position")
+        F.min_by("slug", F.struct("ord", "rank")).alias("slug"), F.min(list_position(F.col("ord"), F.col("rank"))).alias("position")
     )

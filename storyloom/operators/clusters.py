@@ -13,7 +13,8 @@ from ..session import broadcast_if_small, materialize
 from .filters import since
 from .similarity import HOT_BUCKET, best_matches
 
-MAX_ROUNDS = 200
+# Halving distances: enough for any number of items that a long can count.
+MAX_ROUNDS = 64
 
 
 class Clustered(NamedTuple):
@@ -26,18 +27,41 @@ def blocked_items(edges: DataFrame) -> DataFrame:
     """Items that were given a cluster, as somebody's match, before their own turn came.
 
     Taken in id order, an item acts on its best match unless an acting item with a lower id already chose it.
-    Only edges to a higher id can block, and they never form a cycle, so repeated evaluation settles.
+    Only edges to a higher id can block, so they form a forest: an item acts exactly when none of its children
+    does. Each round settles items without open children (rake); an item with one open child is the opposite of
+    it, and such links are composed by pointer jumping (compress). So chains of any length take logarithmically
+    many rounds.
     """
+    c = F.col
     up = materialize(edges.filter("match_id > id AND match_cluster IS NULL").select("id", "match_id"), "up-edges")
-    blocked = materialize(up.select(F.col("match_id").alias("id")).distinct(), "blocked")
-    for _ in range(MAX_ROUNDS):
-        acting = up.join(blocked, "id", "left_anti")
-        again = materialize(acting.select(F.col("match_id").alias("id")).distinct(), "blocked")
-        left = blocked.withColumn("a", F.lit(1)).join(again.withColumn("b", F.lit(1)), "id", "full_outer")
-        if left.filter("a IS NULL OR b IS NULL").limit(1).count() == 0:
-            return again
-        blocked = again
-    raise RuntimeError(f"cluster order did not settle in {MAX_ROUNDS} rounds")
+    # link, flip: this item acts exactly when the linked one acts (flip: does not act).
+    state = up.select("id", c("match_id").alias("parent"), F.lit(None).cast("bigint").alias("link"), F.lit(False).alias("flip"))
+    settled = state.select("id", "parent", F.lit(None).cast("boolean").alias("acting")).limit(0)
+    acting = settled.select("id")
+    while True:
+        told = settled.select(c("id").alias("link"), c("acting").alias("told"))
+        chosen = settled.filter("acting").select(c("parent").alias("id"), F.lit(True).alias("chosen")).distinct()
+        children = state.groupBy("parent").agg(F.count("*").alias("open"), F.min("id").alias("child")).withColumnRenamed("parent", "id")
+        seen = state.join(told, "link", "left").join(chosen, "id", "left").join(children, "id", "left")
+        decided = F.when(c("chosen"), False).when(c("told").isNotNull(), c("told") != c("flip")).when(c("open").isNull(), True)
+        fresh = c("link").isNull() & (c("open") == 1)
+        round_ = materialize(
+            seen.select(
+                "id", "parent", F.coalesce("link", F.when(c("open") == 1, c("child"))).alias("link"),
+                F.when(fresh, True).otherwise(c("flip")).alias("flip"), decided.alias("acting"),
+            ),
+            "cluster-round",
+        )
+        settled = round_.filter("acting IS NOT NULL").select("id", "parent", "acting")
+        acting = acting.unionByName(settled.filter("acting").select("id"))
+        left = round_.filter("acting IS NULL").drop("acting")
+        ahead = left.filter("link IS NOT NULL").select(c("id").alias("link"), c("link").alias("next"), c("flip").alias("next_flip"))
+        jumped = left.join(ahead, "link", "left").select(
+            "id", "parent", F.coalesce("next", "link").alias("link"), (c("flip") != F.coalesce("next_flip", F.lit(False))).alias("flip")
+        )
+        state = materialize(jumped, "cluster-state")
+        if state.limit(1).count() == 0:
+            return up.join(acting, "id", "left_semi").select(c("match_id").alias("id")).distinct()
 
 
 def roots(edges: DataFrame) -> DataFrame:

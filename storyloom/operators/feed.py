@@ -93,6 +93,8 @@ def reader_state(profiles, affinities, saves, reads, mutes, pool) -> DataFrame:
         return df.select("profile_id", *[fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])
 
     weights = affinities.select("profile_id", F.concat("dimension", F.lit(":"), "key").alias("k"), "weight")
+    # A key that is stored twice counts once, with its larger weight.
+    weights = weights.groupBy("profile_id", "k").agg(F.max("weight").alias("weight"))
     rows = part(weights.join(wanted, "k", "left_semi"), k=c("k"), weight=c("weight"))
     rows = rows.unionByName(part(saves.join(ids, "item_id", "left_semi"), saved=c("item_id")))
     rows = rows.unionByName(part(reads.join(ids, "item_id", "left_semi"), read=c("item_id")))

@@ -46,8 +46,15 @@ def active_sources(sources: DataFrame) -> DataFrame:
 
 
 def since(df: DataFrame, column: str, now: Column, window: str) -> DataFrame:
-    """Rows whose timestamp is at or after ``now`` minus an interval such as ``'7 days'``."""
-    return df.filter(F.col(column) >= now - F.expr(f"interval {window}"))
+    """Rows whose timestamp is at or after ``now`` minus an interval such as ``'7 days'``.
+
+    A table that is partitioned by the timestamp's date is filtered by it too, so that only those folders are read.
+    """
+    earliest = now - F.expr(f"interval {window}")
+    day = column.removesuffix("_at") + "_date"
+    if day in df.columns:
+        df = df.filter(F.col(day) >= earliest.cast("date"))
+    return df.filter(F.col(column) >= earliest)
 
 
 def in_category(df: DataFrame, topics: Sequence[str]) -> DataFrame:
@@ -56,15 +63,15 @@ def in_category(df: DataFrame, topics: Sequence[str]) -> DataFrame:
     return df.filter(F.arrays_overlap("topics", F.array(*[F.lit(t) for t in topics])))
 
 
-def parse_signal_batches(batches: DataFrame) -> DataFrame:
+def parse_signal_batches(batches: DataFrame, limit: int | None = None) -> DataFrame:
     """(profile_id, batch_id, payload, ...) JSON batches to valid signals.
 
-    Only the first 100 entries of a batch count, cut before validation.
+    With a ``limit`` only so many entries of a batch count, cut before validation, as for a request.
     """
     keep = [c for c in batches.columns if c != "payload"]
+    entries = F.from_json("payload", "signals array<string>")["signals"]
     raw = batches.select(
-        *keep,
-        F.posexplode(F.slice(F.from_json("payload", "signals array<string>")["signals"], 1, K.SIGNAL_BATCH_LIMIT)).alias("pos", "entry"),
+        *keep, F.posexplode(entries if limit is None else F.slice(entries, 1, limit)).alias("pos", "entry")
     ).withColumn("v", F.try_parse_json("entry"))
 
     def field(name: str) -> Column:

@@ -61,9 +61,11 @@ def read_items(signals: DataFrame, now: Column) -> DataFrame:
 def dwell_times(visibility: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """Visible seconds per reading, from (profile_id, item_id, ts, visible) events.
 
-    A reading ends after ``gap`` without events; readings under five seconds are not reported.
+    A reading ends after ``gap`` without events; readings under five seconds are not reported. Events of one
+    instant are taken in the order of their ids, or hidden before visible where they have none.
     """
-    order = Window.partitionBy("profile_id", "item_id").orderBy("ts")
+    tie = "id" if "id" in visibility.columns else "visible"
+    order = Window.partitionBy("profile_id", "item_id").orderBy("ts", tie)
     steps = visibility.withColumn("until", F.lead("ts").over(order))
     seconds = (F.unix_micros("until") - F.unix_micros("ts")) / F.lit(1e6)
     within = F.col("visible") & (F.col("until") < F.col("ts") + F.expr(f"interval {gap}"))

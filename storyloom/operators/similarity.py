@@ -175,7 +175,7 @@ def best_matches(items: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
 def title_pairs(items: DataFrame) -> DataFrame:
     """Every cross-source pair of items with title similarity >= 1/2, for reports; the output itself is all pairs."""
     rows = items.select("id", "source_id", F.sort_array(T.title_tokens(F.col("title"))).alias("tokens")).filter(F.size("tokens") > 0)
-    sets = rows.select("tokens").distinct().select("tokens", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("set_id"))
+    sets = rows.groupBy("tokens").agg(F.min("id").alias("set_id")).withColumn("n", F.size("tokens"))
     sets = materialize(order_by_rarity(sets), "pair-sets")
     side = F.struct("set_id", "tokens", "n", "prefix")
     buckets = sets.withColumn("token", F.explode("prefix"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.story import hours_between, reading_minutes
 from ..operators import feed as O
+from ..operators.bridges import list_position
 from ..operators.filters import active_sources, in_category, item_summaries
 from ..operators.freshness import source_freshness
 from ..session import broadcast_if_small, materialize
@@ -44,9 +45,12 @@ class Worlds(NamedTuple):
     freshness: DataFrame  # one row
 
 
-def stored_pool(t: Tables, now: Column) -> DataFrame:
-    """The candidate pool, written once because several parts of a plan read it."""
-    return materialize(O.candidate_pool(t.items, t.sources, now), "pool")
+def stored_pool(t: Tables, now: Column, candidates: int = K.CANDIDATE_LIMIT) -> DataFrame:
+    """The candidate pool, written once because several parts of a plan read it.
+
+    ``candidates`` is the feature that bounds it: the pool travels to the readers as one value.
+    """
+    return materialize(O.candidate_pool(t.items, t.sources, now, candidates), "pool")
 
 
 def story_columns(saved: Column, read: Column, is_new: Column, exploration: Column, also: Column) -> list[Column]:
@@ -115,11 +119,11 @@ def _picked(readers: DataFrame, pool: DataFrame, now: Column, slugs: Column, lim
     )
 
 
-def feed_job(t: Tables, now: Column, category: str = TODAY, limit: int = K.FEED_LIMIT) -> Feed:
+def feed_job(t: Tables, now: Column, category: str = TODAY, limit: int = K.FEED_LIMIT, candidates: int = K.CANDIDATE_LIMIT) -> Feed:
     """The flat ranked feed of every profile, for everything or for one tab."""
     c = F.col
     topics = next(topics for slug, _, topics in K.CATEGORIES if slug == category)
-    everything = stored_pool(t, now)
+    everything = stored_pool(t, now, candidates)
     pool = in_category(everything, topics)
     # Every scoped story sits in one list; the empty entry puts all tabs in, so only the first is kept.
     readers = stored_readers(t, everything)
@@ -152,10 +156,10 @@ def latest_social(readers: DataFrame, pool: DataFrame, now: Column) -> DataFrame
     )
 
 
-def worlds_job(t: Tables, now: Column, cut=lambda df: df) -> Worlds:
+def worlds_job(t: Tables, now: Column, cut=lambda df: df, candidates: int = K.CANDIDATE_LIMIT) -> Worlds:
     """All worlds of every profile. ``cut`` may store the ranked worlds when several outputs are written."""
     c = F.col
-    pool = stored_pool(t, now)
+    pool = stored_pool(t, now, candidates)
     ranked = cut(_picked(stored_readers(t, pool), pool, now, O.slugs_of(c("topics")), K.WORLD_LIMIT))
     labels = F.create_map(*[F.lit(x) for slug, label, _ in K.CATEGORIES for x in (slug, label)])
     ords = F.create_map(*[F.lit(x) for slug, i in ORDS.items() for x in (slug, i)])
@@ -188,7 +192,7 @@ def visible_stories(shown: DataFrame) -> DataFrame:
     """One row per profile and item: place of the first world that lists it, flags and coverage of the last one."""
     last = F.struct("also_covered_by", "saved", "read", "is_new", "exploration")
     rows = shown.withColumn("entry_at", F.col("published_at")).groupBy("profile_id", "id").agg(
-        F.max_by(last, "ord").alias("s"), (F.min(F.col("ord") * 1000 + F.col("rank"))).alias("position"), F.first("entry_at").alias("entry_at"),
+        F.max_by(last, "ord").alias("s"), F.min(list_position(F.col("ord"), F.col("rank"))).alias("position"), F.first("entry_at").alias("entry_at"),
     )
     return rows.select("profile_id", "id", "position", "entry_at", "s.*")
 

@@ -11,13 +11,18 @@ def original_posts(posts: DataFrame) -> DataFrame:
     return posts.filter(~F.coalesce("is_repost", F.lit(False)) & ~F.coalesce("is_reply", F.lit(False)))
 
 
-def newer_than_cursor(posts: DataFrame, cursors: DataFrame, cap: int) -> DataFrame:
-    """Per source, the newest ``cap`` posts past the stored cursor (the cap is the request size)."""
+def newer_than_cursor(posts: DataFrame, cursors: DataFrame, cap: int | None = None) -> DataFrame:
+    """Per source, the posts past the stored cursor; with a ``cap`` the oldest so many.
+
+    The oldest come first so that a cursor advanced over what was kept has passed nothing that was not.
+    """
     fresh = posts.join(cursors.select("source_id", "last_id"), "source_id", "left").filter(
         F.col("last_id").isNull() | (F.col("post_id") > F.col("last_id"))
     )
-    newest = Window.partitionBy("source_id").orderBy(F.desc("post_id"))
-    return fresh.withColumn("n", F.row_number().over(newest)).filter(F.col("n") <= cap).drop("n", "last_id")
+    if cap is None:
+        return fresh.drop("last_id")
+    oldest = Window.partitionBy("source_id").orderBy("post_id")
+    return fresh.withColumn("n", F.row_number().over(oldest)).filter(F.col("n") <= cap).drop("n", "last_id")
 
 
 def advance_cursors(cursors: DataFrame, posts: DataFrame) -> DataFrame:

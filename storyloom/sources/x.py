@@ -22,7 +22,7 @@ RESPONSE_SCHEMA = (
 
 def allowlist(names: Sequence[str] | None = None) -> list[str]:
     wanted = [n.strip() for n in names or [] if n.strip()]
-    return [n.lower() for n in (wanted or K.X_DEFAULT_AUTHORS)[: K.X_ALLOWLIST_MAX]]
+    return [n.lower() for n in wanted or K.X_DEFAULT_AUTHORS]
 
 
 def run_cap(requested: int = K.X_RUN_DEFAULT) -> int:
