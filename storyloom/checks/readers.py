@@ -9,6 +9,7 @@ from .. import demo
 from ..functions import story as S
 from ..operators import affinity, bridges, clusters, feed, filters, freshness, logs, similarity
 from ..plans import feeds
+from ..plans import signals as signals_plan
 from ..session import materialize
 from .base import NOW, TABLES, check, quote, sql_list
 from .texts import TOKENS
@@ -114,6 +115,56 @@ def affinities_continued(spark, d):
     return affinity.upsert_affinities(first, touched).select("profile_id", "dimension", "key", F.round("weight", 6).alias("weight"))
 
 
+TABLES["batched_signals"] = ("signals", "SELECT * REPLACE (date_trunc('hour', created_at) AS created_at, greatest(0, least(3600, value)) AS value) FROM signals")
+for _name, _of in (("deltas", "signals"), ("affinities", "deltas"), ("saves", "signals")):
+    _needs, _sql = TABLES[_name]
+    TABLES[f"batched_{_name}"] = (" ".join(f"batched_{n}" if n == _of else n for n in _needs.split()), _sql.replace(f"FROM {_of}", f"FROM batched_{_of}"))
+HALF = "2024-01-15"
+
+
+def batched_run(spark, d) -> signals_plan.SignalRun:
+    """The second half of the log as landed batches, one for each reader and hour, on the state after the first half."""
+    c, half = F.col, F.lit(HALF).cast("timestamp")
+    rows = demo.signals(spark, d).withColumn("created_at", F.date_trunc("hour", "created_at"))
+    items = demo.items(spark, d)
+    before = rows.filter(c("created_at") < half).withColumn("value", F.greatest(F.lit(0.0), F.least("value", F.lit(K.SIGNAL_VALUE_MAX))))
+    hidden = before.filter("type = 'hide_source'").join(items.select(c("id").alias("item_id"), "source_id"), "item_id")
+    stored = signals_plan.ReaderState(
+        materialize(affinity.fold_affinities(before, items), "half-affinities"), logs.save_set(before),
+        hidden.groupBy("profile_id", "source_id").agg(F.min("created_at").alias("created_at")),
+    )
+    entry = F.to_json(F.struct(c("item_id").alias("itemId"), "type", "value"))
+    batches = rows.filter(c("created_at") >= half).groupBy("profile_id", c("created_at").alias("received_at")).agg(
+        F.min("id").alias("batch_id"), F.array_sort(F.collect_list(F.struct("id", entry.alias("entry")))).alias("entries"))
+    payload = F.concat(F.lit('{"signals": ['), F.array_join(F.transform("entries", lambda e: e["entry"]), ","), F.lit("]}"))
+    return signals_plan.signals_job(batches.select("profile_id", "batch_id", "received_at", payload.alias("payload")), items, stored)
+
+
+@check("signal_job_affinities", "SELECT profile_id, dimension, key, round(weight, 6) AS weight, updated_at FROM batched_affinities", "batched_affinities")
+def signal_job_affinities(spark, d):
+    return batched_run(spark, d).state.affinities.withColumn("weight", F.round("weight", 6))
+
+
+@check("signal_job_saves", "SELECT * FROM batched_saves", "batched_saves")
+def signal_job_saves(spark, d):
+    return batched_run(spark, d).state.saves
+
+
+@check("signal_job_mutes", "SELECT profile_id, i.source_id, min(created_at) AS created_at FROM batched_signals g JOIN docs i ON i.id = g.item_id WHERE type = 'hide_source' GROUP BY ALL", "batched_signals docs")
+def signal_job_mutes(spark, d):
+    return batched_run(spark, d).state.mutes
+
+
+@check("signal_job_log", f"SELECT profile_id, item_id, type, value, created_at FROM batched_signals WHERE created_at >= TIMESTAMP '{HALF}' AND item_id IN (SELECT doc_id FROM documents)", "batched_signals")
+def signal_job_log(spark, d):
+    return batched_run(spark, d).log.select("profile_id", "item_id", "type", "value", "created_at")
+
+
+@check("signal_job_seen", f"SELECT profile_id, max(created_at) AS last_seen_at FROM batched_signals WHERE created_at >= TIMESTAMP '{HALF}' GROUP BY 1", "batched_signals")
+def signal_job_seen(spark, d):
+    return batched_run(spark, d).seen
+
+
 @check("decayed_affinities", f"SELECT profile_id, dimension, key, round(weight * pow(2.0, -date_diff('microsecond', updated_at, {NOW}) / 1209600000000.0), 6) AS weight FROM affinities", "affinities")
 def decayed_affinities(spark, d):
     return affinity.decayed(stored_affinities(spark, d), demo.now()).select("profile_id", "dimension", "key", F.round("weight", 6).alias("weight"))
@@ -369,7 +420,29 @@ def best_matches_crowded(spark, d):
     return similarity.best_matches(demo.items(spark, d), hot_bucket=12).select("id", "match_id", F.round("similarity", 6).alias("similarity"))
 
 
-@check("story_clusters")
+def clusters_sql(items: str, own: str) -> str:
+    """CTEs ending in ``grouped`` (id, group_key), by the sequential rule over ``items`` rows with cluster ids ``own``.
+
+    Items act in id order unless an earlier one chose them; then each acting item's tree is climbed to its root.
+    """
+    return f"""g_items AS (SELECT id, {own} AS cluster FROM {items}),
+      g_best AS (SELECT id, match_id FROM (SELECT id, match_id, row_number() OVER (PARTITION BY id ORDER BY sim DESC, match_id DESC) AS n FROM (
+        SELECT a AS id, b AS match_id, shared::double / (n + m - shared) AS sim FROM title_pairs UNION ALL SELECT b, a, shared::double / (n + m - shared) FROM title_pairs
+        UNION ALL SELECT x.id, y.id, 1.0 FROM tokens x JOIN tokens y ON x.canonical_url = y.canonical_url AND x.source_id <> y.source_id)
+        WHERE id IN (SELECT id FROM g_items) AND match_id IN (SELECT id FROM g_items)) WHERE n = 1),
+      g_match AS (SELECT b.id, b.match_id, m.cluster AS match_cluster FROM g_best b JOIN g_items i ON i.id = b.id JOIN g_items m ON m.id = b.match_id WHERE i.cluster IS NULL),
+      g_blocked AS (SELECT unnest(list_reduce(list_prepend([]::bigint[], (SELECT list([id, match_id] ORDER BY id) FROM g_match WHERE match_cluster IS NULL AND match_id > id)),
+        lambda acc, e: CASE WHEN list_contains(acc, e[1]) THEN acc ELSE list_append(acc, e[2]) END)) AS id),
+      g_act AS (SELECT * FROM g_match WHERE id NOT IN (SELECT id FROM g_blocked)),
+      g_walk AS (SELECT id, match_id AS root, match_cluster AS cluster FROM g_act
+        UNION ALL SELECT w.id, a.match_id, a.match_cluster FROM g_walk w JOIN g_act a ON a.id = w.root WHERE w.cluster IS NULL),
+      g_ends AS (SELECT * FROM g_walk w WHERE cluster IS NOT NULL OR root NOT IN (SELECT id FROM g_act)),
+      g_new AS (SELECT id, root FROM g_ends WHERE cluster IS NULL UNION SELECT root, root FROM g_ends WHERE cluster IS NULL),
+      grouped AS (SELECT id, 'new-' || min(id) OVER (PARTITION BY root) AS group_key FROM g_new UNION ALL SELECT id, 'old-' || cluster FROM g_ends WHERE cluster IS NOT NULL
+        UNION ALL SELECT id, 'old-' || cluster FROM g_items WHERE cluster IS NOT NULL)"""
+
+
+@check("story_clusters", "WITH RECURSIVE " + clusters_sql("items", "CASE WHEN id % 16 = 0 THEN cluster_id END") + " SELECT id, group_key FROM grouped", "items title_pairs")
 def story_clusters(spark, d):
     return clusters.cluster_groups(demo.items(spark, d).withColumn("cluster_id", F.when(F.col("id") % 16 == 0, F.col("cluster_id"))))
 
@@ -382,8 +455,15 @@ def verification(spark, d):
     return clusters.verification(demo.items(spark, d), demo.sources(spark, d))
 
 
-@check("cluster_report")
+@check("cluster_report", "WITH RECURSIVE " + clusters_sql(f"(SELECT * FROM items WHERE published_at >= {NOW} - INTERVAL 72 HOUR)", "NULL::bigint") + """,
+      r AS (SELECT i.id, g.group_key, s.source_family AS fam, s.credibility_tier AS tier FROM g_items JOIN items i USING (id) JOIN sources s ON s.id = i.source_id LEFT JOIN grouped g ON g.id = i.id)
+      SELECT id, replace(group_key, 'new-', '')::bigint AS first_member, CASE WHEN group_key IS NOT NULL AND (SELECT count(DISTINCT g.fam) FROM r g WHERE g.group_key = r.group_key) >= 2
+        AND (r.tier <> 'social' OR EXISTS (SELECT 1 FROM r g WHERE g.group_key = r.group_key AND g.fam <> r.fam AND g.tier <> 'social')) THEN 'corroborated'
+        WHEN r.tier = 'social' THEN 'unconfirmed' ELSE 'reported' END AS verification_status FROM r""", "items title_pairs sources")
 def cluster_report(spark, d):
+    """Every item of the window with its status and, if it is in a cluster, the cluster's first member."""
     none = spark.createDataFrame([], "id bigint")
     job = clusters.cluster_and_verify(demo.items(spark, d).withColumn("cluster_id", F.lit(None).cast("bigint")), demo.sources(spark, d), none, demo.now())
-    return job.members.join(job.verified, "id").groupBy("verification_status").agg(F.count("*").alias("items"), F.countDistinct("cluster_id").alias("clusters"))
+    first = job.members.groupBy("cluster_id").agg(F.min("id").alias("first_member"))
+    members = job.members.join(first, "cluster_id").select("id", "first_member")
+    return job.verified.join(members, "id", "left").select("id", "first_member", "verification_status")

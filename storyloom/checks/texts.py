@@ -106,9 +106,25 @@ def compact_fingerprints(spark, d):
     return demo.pages(spark, d).select("page_id", T.fingerprint32(F.trim("url")).alias("fingerprint"))
 
 
-@check("safe_markup")
+# A dirty body from known parts, and what must be left of it.
+DIRTY_TAILS = [
+    ("<select><option>one<option>two</select>", ""),
+    ('<noscript><img src="https://img.example.com/a.jpg" onload="x()"></noscript>',
+     '<img src="https://img.example.com/a.jpg" loading="lazy" decoding="async" referrerpolicy="no-referrer" />'),
+    ("<ul><li>one<li>two</ul>", "<ul><li>one</li><li>two</li></ul>"),
+    ('<a href="javascript:x()" title="t">go</a><form>kept<input></form>', '<a title="t" rel="noopener noreferrer" target="_blank">go</a>kept'),
+    ("<table><tr><td>a<td>b<tr><th>c</table><textarea>gone</textarea>", "<table><tr><td>a</td><td>b</td></tr><tr><th>c</th></tr></table>"),
+]
+_ESCAPED = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@check("safe_markup", f"""SELECT doc_id, '<p>' || {_ESCAPED} || '</p>' || CASE doc_id % {len(DIRTY_TAILS)}
+      {" ".join(f"WHEN {i} THEN {quote(clean)}" for i, (_, clean) in enumerate(DIRTY_TAILS))} END || '<p>' || lang || '</p>' AS content_html FROM documents""")
 def safe_markup(spark, d):
-    return demo.pages(spark, d).select("page_id", sanitize_html(F.col("html")).alias("content_html"))
+    tail = F.element_at(F.array(*[F.lit(dirty) for dirty, _ in DIRTY_TAILS]), (F.col("doc_id") % len(DIRTY_TAILS) + 1).cast("int"))
+    script = F.concat(F.lit("<script>track("), "doc_id", F.lit(")</script><style>p{}</style></p>"))
+    body = F.concat(F.lit('<div class="x"><P onclick="x()" style="a">'), T.escape_html(F.col("text")), script, tail, F.lit("</div><p>"), "lang")
+    return demo.table(spark, d, "documents").select("doc_id", sanitize_html(body).alias("content_html"))
 
 
 @check("first_images", "SELECT page_id, CASE WHEN starts_with(regexp_extract(html, '(?is)<img[^>]+src=[\"'']([^\"'']+)[\"'']', 1), 'http') "
