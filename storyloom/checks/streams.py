@@ -13,12 +13,12 @@ from .stores import raw_entries
 
 
 def stories(spark, d):
-    """Items as a stream of stories, written once so that a file stream can pick them up."""
+    """Items as a stream of stories: several unsorted files, one for each micro-batch, so that many come late."""
     rows = demo.items(spark, d).join(demo.sources(spark, d).select(F.col("id").alias("source_id"), "source_class"), "source_id")
     rows = rows.select("id", "source_id", "guid", "topics", "source_class", "published_at", F.col("content_fingerprint").alias("fingerprint"))
     path = scratch_path(spark, "stories")
-    rows.repartition(1).sortWithinPartitions("published_at").write.parquet(path)
-    return jobs.file_stream(spark, path, rows.schema)
+    rows.repartition(3, "id").write.parquet(path)
+    return jobs.file_stream(spark, path, rows.schema, files_per_batch=1)
 
 
 TABLES["story_worlds"] = (
@@ -27,22 +27,21 @@ TABLES["story_worlds"] = (
 )
 
 
-@check("stream_hourly_activity", """SELECT slug, date_trunc('hour', published_at) AS hour, count(*) AS stories FROM story_worlds GROUP BY slug, date_trunc('hour', published_at)
-      HAVING date_trunc('hour', published_at) + INTERVAL 1 HOUR <= (SELECT max(published_at) FROM items) - INTERVAL 10 MINUTE""", "story_worlds")
+@check("stream_hourly_activity", """SELECT slug, date_trunc('hour', published_at) AS hour, count(*) AS stories,
+      round(sum(pow(2.0, -(3600 - epoch(published_at) % 3600) / 86400.0)), 6) AS mass FROM story_worlds GROUP BY slug, date_trunc('hour', published_at)""", "story_worlds")
 def stream_hourly_activity(spark, d):
-    return jobs.drain(jobs.hourly_activity(stories(spark, d)), "hourly")
+    return jobs.drain_updates(jobs.hourly_activity(stories(spark, d)), ["slug", "hour"], "hourly").withColumn("mass", F.round("mass", 6))
 
 
 @check("stream_bursts", """SELECT slug, w AS starts_at, w + INTERVAL 45 MINUTE AS ends_at, count(*) AS stories FROM (
         SELECT slug, published_at, unnest(generate_series(time_bucket(INTERVAL 5 MINUTE, published_at) - INTERVAL 40 MINUTE, time_bucket(INTERVAL 5 MINUTE, published_at), INTERVAL 5 MINUTE)) AS w
-        FROM story_worlds WHERE source_class IN ('news', 'social')) GROUP BY ALL HAVING count(*) >= 3
-        AND w + INTERVAL 45 MINUTE <= (SELECT max(published_at) FROM story_worlds WHERE source_class IN ('news', 'social')) - INTERVAL 10 MINUTE""", "story_worlds")
+        FROM story_worlds WHERE source_class IN ('news', 'social')) GROUP BY ALL HAVING count(*) >= 3""", "story_worlds")
 def stream_bursts(spark, d):
-    return jobs.drain(jobs.bursts(stories(spark, d)), "bursts")
+    return jobs.drain_updates(jobs.bursts(stories(spark, d)), ["slug", "starts_at"], "bursts")
 
 
-@check("hourly_activity_read", """SELECT slug, round(tanh(sum(n * pow(2.0, -greatest(0, date_diff('second', hour, TIMESTAMP '2024-01-31') / 3600.0 - 0.5) / 24)) / 40), 6) AS activity
-      FROM (SELECT slug, date_trunc('hour', published_at) AS hour, count(*) AS n FROM story_worlds GROUP BY ALL) GROUP BY slug""", "story_worlds")
+@check("hourly_activity_read", """SELECT slug, round(tanh(sum(pow(2.0, -date_diff('second', published_at, TIMESTAMP '2024-01-31') / 86400.0)) / 40), 6) AS activity
+      FROM story_worlds GROUP BY slug""", "story_worlds")
 def hourly_activity_read(spark, d):
     rows = demo.items(spark, d).select("topics", "published_at")
     return jobs.activity_at(jobs.hourly_activity(rows), demo.now()).withColumn("activity", F.round("activity", 6))
@@ -51,7 +50,7 @@ def hourly_activity_read(spark, d):
 @check("stream_unique_entries", "SELECT DISTINCT source_id, guid, content_fingerprint AS fingerprint FROM items", "items")
 def stream_unique_entries(spark, d):
     s = stories(spark, d)
-    return jobs.drain(jobs.unique_entries(s.unionByName(s), "30 days"), "unique").select("source_id", "guid", "fingerprint")
+    return jobs.drain(jobs.unique_entries(s.unionByName(s)), "unique").select("source_id", "guid", "fingerprint")
 
 
 @check("stream_dwell_sessions", """WITH v AS (SELECT 'p' || user_id AS profile_id, event_id // 200 % 5 AS item_id, ts, event_id % 4 > 0 AS visible FROM events),
@@ -74,20 +73,21 @@ def stream_affinities(spark, d):
     path, out = scratch_path(spark, "signals"), scratch_path(spark, "affinities")
     for n, (low, high) in enumerate([("2000-01-01", "2024-01-10"), ("2024-01-10", "2024-01-20"), ("2024-01-20", "2100-01-01")]):
         part = signals.filter((F.col("created_at") >= F.lit(low).cast("timestamp")) & (F.col("created_at") < F.lit(high).cast("timestamp")))
-        part.coalesce(1).write.mode("append").parquet(path)
-    stream = jobs.file_stream(spark, path, signals.schema, files_per_batch=1)
+        # A slice is one micro-batch: its files are dealt by reader, and as many are taken at a time.
+        part.repartition(2, "profile_id").write.mode("append").parquet(path)
+    stream = jobs.file_stream(spark, path, signals.schema, files_per_batch=2)
     items = materialize(demo.items(spark, d).select("id", "source_id", "author", "topics"), "facts")
     jobs.affinity_stream(stream, items, out, scratch_path(spark, "cp"))
     return jobs.stream_affinities(spark, out).withColumn("weight", F.round("weight", 6))
 
 
-@check("stream_ingest", "SELECT source_id, count(*) AS items FROM (SELECT source_id, guid FROM stored UNION SELECT source_id, guid FROM clean_rows) GROUP BY source_id", "stored clean_rows")
+@check("stream_ingest", "SELECT source_id, guid FROM stored UNION SELECT source_id, guid FROM clean_rows", "stored clean_rows")
 def stream_ingest(spark, d):
     raw = raw_entries(spark, d)
     path, out = scratch_path(spark, "raw"), scratch_path(spark, "ingest")
     for half in (0, 1):
-        raw.filter(F.col("ord") % 2 == half).coalesce(1).write.mode("append").parquet(path)
+        raw.filter(F.col("ord") % 2 == half).write.mode("append").parquet(path)
     stored = materialize(demo.items(spark, d).filter("id % 3 <> 0"), "stored")
     stream = jobs.file_stream(spark, path, raw.schema, files_per_batch=1)
     jobs.ingest_stream(stream, demo.sources(spark, d), stored, out, scratch_path(spark, "cp"), demo.now(), demo.TEST_TAXONOMY)
-    return jobs.stream_items(spark, stored, out).groupBy("source_id").agg(F.count("*").alias("items"))
+    return jobs.stream_items(spark, stored, out).select("source_id", "guid")

@@ -1,11 +1,15 @@
 """Continuous forms of the jobs on Structured Streaming.
 
 Micro-batch outputs go to ``<path>/batch_id=N``, each written by overwrite, so a replayed batch replaces its
-own earlier try and nothing else. The current state of a key is its row in the latest batch.
+own earlier try and nothing else. The current state of a key is its row in the latest batch. Every
+``COMPACT_EVERY`` batches the state is written to ``<path>_base`` as a whole, and a batch reads the last such
+base and the few batches after it, not the whole history.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +21,11 @@ from ..plans.ingest import clean_entries
 from ..session import materialize, scratch_path
 
 
+COMPACT_EVERY = 20
+#: Stories may be as old as the age policy admits and dated as far ahead as it tolerates.
+STORY_DELAY = f"{max(K.MAX_AGE_HOURS.values()) + K.FUTURE_TOLERANCE_HOURS} hours"
+
+
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     if glob:
@@ -38,45 +47,89 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, each, checkpoint: str) -> None:
-    """Apply ``each(batch_df, batch_id)`` to everything available."""
-    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def run_batches(stream: DataFrame, each, checkpoint: str, mode: str = "append", every: str | None = None):
+    """Apply ``each(batch_df, batch_id)`` to everything available and return; with ``every`` (such as
+    ``"1 minute"``) keep running and return the query. A run with the same checkpoint goes on where one ended."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    query = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    if not every:
+        query.awaitTermination()
+    return query
+
+
+def start_log(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """Empty first entries make a log and its base readable before anything arrives; a log that exists stays."""
+    for folder in (path, f"{path}_base"):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/batch_id=-1")
 
 
 def latest(spark: SparkSession, path: str, schema: T.StructType, keys: list[str], before: int | None = None) -> DataFrame:
     """The newest row per key of a batch log, optionally as it stood before a batch."""
     full = T.StructType(schema.fields + [T.StructField("batch_id", T.LongType())])
-    log = spark.read.schema(full).option("basePath", path).parquet(path)
+    log, bases = (spark.read.schema(full).option("basePath", p).parquet(p) for p in (path, f"{path}_base"))
     if before is not None:
         log = log.filter(F.col("batch_id") < before)
+    written = [int(f.split("/batch_id=")[1].split("/")[0]) for f in bases.inputFiles()]
+    base = max((b for b in written if before is None or b < before), default=-1)
+    log = log.filter(F.col("batch_id") > base).unionByName(bases.filter(F.col("batch_id") == base))
     values = [f.name for f in schema.fields if f.name not in keys]
     newest = log.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("row"))
     return newest.select(*keys, "row.*").select(*[f.name for f in schema.fields])
 
 
-def unique_entries(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Each (source, guid, fingerprint) once, with bounded state."""
+def compact(spark: SparkSession, path: str, schema: T.StructType, keys: list[str], batch_id: int) -> None:
+    """Write the state after every ``COMPACT_EVERY``-th batch as a base."""
+    if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+        latest(spark, path, schema, keys, before=batch_id + 1).write.mode("overwrite").parquet(f"{path}_base/batch_id={batch_id}")
+
+
+def drain_updates(stream: DataFrame, keys: list[str], name: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run an aggregation in update mode over everything available: the current row of every key, open windows included."""
+    spark, schema = stream.sparkSession, stream.schema
+    out, checkpoint = out or scratch_path(spark, name), checkpoint or scratch_path(spark, f"{name}-cp")
+    start_log(spark, out, schema)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        compact(spark, out, schema, keys, batch_id)
+
+    run_batches(stream, each, checkpoint, "update")
+    return latest(spark, out, schema, keys)
+
+
+def unique_entries(stream: DataFrame, delay: str = STORY_DELAY) -> DataFrame:
+    """Each (source, guid, fingerprint) once, with state bounded by the age policy."""
     return stream.withWatermark("published_at", delay).dropDuplicatesWithinWatermark([*KEY, "fingerprint"])
 
 
-def ingest_stream(raw: DataFrame, sources: DataFrame, items: DataFrame, out: str, checkpoint: str, now: Column, taxonomy=None) -> None:
-    """Continuous upsert: ``items`` is the table the stream starts from, ``out`` holds ``rows`` and ``versions`` logs."""
+def ingest_stream(
+    raw: DataFrame, sources: DataFrame, items: DataFrame, out: str, checkpoint: str, now: Column | Callable[[], Column], taxonomy=None,
+    once_within: str | None = None, every: str | None = None,
+):
+    """Continuous upsert: ``items`` is the table the stream starts from, ``out`` holds ``rows`` and ``versions`` logs.
+
+    ``now`` may be a function, called for every batch. With ``once_within`` (a delay such as ``STORY_DELAY``) an
+    entry that lands again unchanged within it is dropped on the way; it then is not seen again either.
+    """
     spark = raw.sparkSession
     schema = T.StructType([items.schema[c] for c in ITEM_COLUMNS])
-    # An empty first batch makes the log readable before anything arrives.
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/rows/batch_id=-1")
+    start_log(spark, f"{out}/rows", schema)
+    if once_within:
+        content = F.sha2(F.to_json(F.struct(*[c for c in raw.columns if c != "ord"])), 256)
+        raw = unique_entries(raw.withColumn("fingerprint", content), once_within).drop("fingerprint")
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        at = now() if callable(now) and not isinstance(now, Column) else now
         changed = latest(spark, f"{out}/rows", schema, KEY, before=batch_id)
         current = items.select(*ITEM_COLUMNS).join(changed, KEY, "left_anti").unionByName(changed)
-        cleaned = clean_entries(batch, sources, now, taxonomy)
-        plan = plan_upsert(current, cleaned, now, cut=lambda df: materialize(df, "stream-upsert"))
+        cleaned = clean_entries(batch, sources, at, taxonomy)
+        plan = plan_upsert(current, cleaned, at, cut=lambda df: materialize(df, "stream-upsert"))
         rows = assign_ids(plan.rows, current).select(*ITEM_COLUMNS)
         rows.write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
         plan.versions.write.mode("overwrite").parquet(f"{out}/versions/batch_id={batch_id}")
+        compact(spark, f"{out}/rows", schema, KEY, batch_id)
 
-    run_batches(raw, each, checkpoint)
+    return run_batches(raw, each, checkpoint, every=every)
 
 
 def stream_items(spark: SparkSession, items: DataFrame, out: str) -> DataFrame:
@@ -91,25 +144,26 @@ AFFINITY_SCHEMA = T.StructType([
 ])
 
 
-def affinity_stream(signals: DataFrame, items: DataFrame, out: str, checkpoint: str) -> None:
+def affinity_stream(signals: DataFrame, items: DataFrame, out: str, checkpoint: str, every: str | None = None):
     """Continuous affinity fold: every batch continues from the weights stored so far and logs the keys it touched."""
     spark = signals.sparkSession
-    spark.createDataFrame([], AFFINITY_SCHEMA).write.mode("overwrite").parquet(f"{out}/batch_id=-1")
+    start_log(spark, out, AFFINITY_SCHEMA)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         stored = latest(spark, out, AFFINITY_SCHEMA, affinity.KEY, before=batch_id)
         touched = affinity.fold_affinities(batch, items, stored=stored)
         touched.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        compact(spark, out, AFFINITY_SCHEMA, affinity.KEY, batch_id)
 
-    run_batches(signals, each, checkpoint)
+    return run_batches(signals, each, checkpoint, every=every)
 
 
 def stream_affinities(spark: SparkSession, out: str) -> DataFrame:
     return latest(spark, out, AFFINITY_SCHEMA, affinity.KEY)
 
 
-def bursts(stories: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Worlds with three or more news or social stories inside a sliding 45 minutes."""
+def bursts(stories: DataFrame, delay: str = STORY_DELAY) -> DataFrame:
+    """Worlds with three or more news or social stories inside a sliding 45 minutes; to be run in update mode."""
     fast = stories.filter(F.col("source_class").isin("news", "social")).withWatermark("published_at", delay)
     w = F.window("published_at", f"{K.BREAKING_BURST_MINUTES} minutes", "5 minutes")
     rows = fast.select("published_at", F.explode(feed.slugs_of(F.col("topics"))).alias("slug"))
@@ -118,19 +172,23 @@ def bursts(stories: DataFrame, delay: str = "10 minutes") -> DataFrame:
     ).select("slug", F.col("w.start").alias("starts_at"), F.col("w.end").alias("ends_at"), "stories")
 
 
-def hourly_activity(stories: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Stories per world and hour; decay is applied when the counts are read."""
+def _halved(micros: Column) -> Column:
+    return F.pow(F.lit(2.0), -micros / F.lit(3.6e9 * K.ACTIVITY_HALF_LIFE_HOURS))
+
+
+def hourly_activity(stories: DataFrame, delay: str = STORY_DELAY) -> DataFrame:
+    """Stories per world and hour, and their mass decayed to the hour's end; to be run in update mode."""
     rows = stories.withWatermark("published_at", delay).select("published_at", F.explode(feed.slugs_of(F.col("topics"))).alias("slug"))
-    return rows.groupBy(F.window("published_at", "1 hour").alias("w"), "slug").agg(F.count("*").alias("stories")).select(
-        "slug", F.col("w.start").alias("hour"), "stories"
-    )
+    into = F.unix_micros("published_at") % F.lit(3_600_000_000)
+    return rows.groupBy(F.window("published_at", "1 hour").alias("w"), "slug").agg(
+        F.count("*").alias("stories"), F.sum(_halved(F.lit(3_600_000_000) - into)).alias("mass")
+    ).select("slug", F.col("w.start").alias("hour"), "stories", "mass")
 
 
 def activity_at(hours: DataFrame, now: Column) -> DataFrame:
-    """Approximate activity per world from hourly counts, every story dated to the middle of its hour."""
-    age = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros("hour")) / F.lit(3.6e9) - 0.5)
-    mass = F.sum(F.col("stories") * F.pow(F.lit(2.0), -age / K.ACTIVITY_HALF_LIFE_HOURS))
-    return hours.groupBy("slug").agg(F.tanh(mass / K.ACTIVITY_SCALE).alias("activity"))
+    """Activity per world from hourly masses; exact where no story is dated after ``now``, as after ingest."""
+    left = F.unix_micros(now) - F.unix_micros("hour") - F.lit(3_600_000_000)
+    return hours.groupBy("slug").agg(F.tanh(F.sum(F.col("mass") * _halved(left)) / K.ACTIVITY_SCALE).alias("activity"))
 
 
 def dwell_sessions(visibility: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
