@@ -107,8 +107,9 @@ def cluster_groups(items: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     return fresh.unionByName(joined).unionByName(before)
 
 
-def number_clusters(found: DataFrame, items: DataFrame, clusters: DataFrame, now: Column, partitions: int = 16):
+def number_clusters(found: DataFrame, items: DataFrame, clusters: DataFrame, now: Column, partitions: int | None = None):
     """Ids above every stored cluster for the new ones; returns (members, new clusters)."""
+    partitions = partitions or int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     top = clusters.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
     new = (
         found.filter("cluster IS NULL").select("root").distinct().repartitionByRange(partitions, "root")
@@ -139,7 +140,10 @@ def verification(items: DataFrame, sources: DataFrame) -> DataFrame:
     social = c("credibility_tier") == "social"
     independent = (c("outlet_lo") != c("source_family")) | (c("outlet_hi") != c("source_family"))
     confirmed = (c("lo") != c("hi")) & (~social | F.coalesce(independent, F.lit(False)))
-    return rows.join(groups, "cluster_id", "left").select(
+    # Items without a cluster have nothing to look up, so they stay out of the join.
+    alone = rows.filter("cluster_id IS NULL").withColumns({n: F.lit(None).cast("string") for n in ("lo", "hi", "outlet_lo", "outlet_hi")})
+    joined = rows.filter("cluster_id IS NOT NULL").join(groups, "cluster_id")
+    return joined.unionByName(alone.select(*joined.columns)).select(
         "id",
         F.when(F.coalesce(confirmed, F.lit(False)), "corroborated").when(social, "unconfirmed").otherwise("reported").alias("verification_status"),
     )

@@ -150,15 +150,19 @@ def best_matches(items: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     Highest similarity wins, then the highest id. Equal canonical URLs count as similarity 1.
     """
     items = items.select("id", "source_id", "title", "canonical_url", "cluster_id")
-    sets = materialize(order_by_rarity(story_sets(items)), "story-sets")
+    sets = materialize(order_by_rarity(materialize(story_sets(items), "folded-sets")), "story-sets")
     near = similar_sets(sets, hot_bucket).withColumnsRenamed({"e1": "n1", "e2": "n2"})
     known = sets.select("set_id", "tokens", "e1", "e2").join(near, "set_id", "left").drop("set_id")
     urls = _two_best(
         items.filter(F.col("canonical_url") != "").select("canonical_url", F.lit(1.0).alias("sim"), "id", "source_id", "cluster_id"),
         "canonical_url",
     ).filter(F.col("e2").isNotNull()).withColumnsRenamed({"e1": "u1", "e2": "u2"})
+    # Titles without tokens and empty addresses match nothing, so they get no key that would gather them.
+    lone = F.concat(F.lit("-"), F.col("id").cast("string"))
+    tokens = F.sort_array(T.title_tokens(F.col("title")))
     rows = (
-        items.withColumn("tokens", F.sort_array(T.title_tokens(F.col("title"))))
+        items.withColumn("tokens", tokens).withColumn("tokens", F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(lone)))
+        .withColumn("canonical_url", F.when(F.col("canonical_url") != "", F.col("canonical_url")).otherwise(lone))
         .join(known, "tokens", "left").join(urls, "canonical_url", "left")
     )
     s = F.col("source_id")

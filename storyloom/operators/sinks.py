@@ -6,19 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.feeds import Worlds
-from ..session import materialize
-from .upsert import ITEM_COLUMNS, KEY
-
-DATE = "published_date"
+from ..session import broadcast_if_small, materialize
+from .upsert import DATE, ITEM_COLUMNS, KEY
 
 
 def _dated(items: DataFrame) -> DataFrame:
     return items.select(*ITEM_COLUMNS).withColumn(DATE, F.to_date("published_at"))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """By date, where AQE splits a large date over many tasks and puts small ones together, by size."""
+    return rows.hint("rebalance", DATE)
+
+
 def write_items(items: DataFrame, path: str) -> None:
     """A fresh item table, one directory per publication date."""
-    _dated(items).repartition(DATE, F.pmod(F.xxhash64(*KEY), F.lit(16))).write.partitionBy(DATE).mode("overwrite").parquet(path)
+    _spread(_dated(items)).write.partitionBy(DATE).mode("overwrite").parquet(path)
 
 
 def read_items_table(spark, path: str, schema) -> DataFrame:
@@ -37,9 +40,9 @@ def rewrite_touched(path: str, rows: DataFrame) -> None:
     fresh = _dated(rows)
     old_dates = stored.select(*KEY, DATE).join(fresh.select(*KEY), KEY, "left_semi").select(DATE)
     dates = materialize(old_dates.unionByName(fresh.select(DATE)).distinct(), "touched-dates")
-    kept = stored.join(F.broadcast(dates), DATE, "left_semi").join(fresh.select(*KEY), KEY, "left_anti")
+    kept = stored.join(broadcast_if_small(dates), DATE, "left_semi").join(fresh.select(*KEY), KEY, "left_anti")
     staged = materialize(kept.select(*fresh.columns).unionByName(fresh), "touched-items")
-    staged.repartition(DATE, F.pmod(F.xxhash64(*KEY), F.lit(16))).write.option("partitionOverwriteMode", "dynamic").partitionBy(DATE).mode("overwrite").parquet(path)
+    _spread(staged).write.option("partitionOverwriteMode", "dynamic").partitionBy(DATE).mode("overwrite").parquet(path)
 
 
 def append_versions(versions: DataFrame, path: str) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import broadcast_if_small
 
 KEY = ["source_id", "guid"]
 CONTENT = [
@@ -25,6 +26,23 @@ class Upsert(NamedTuple):
     versions: DataFrame  # what changed items looked like before
 
 
+#: The partition column of a stored item table.
+DATE = "published_date"
+
+
+def touched_items(existing: DataFrame, keys: DataFrame, cut=lambda df: df) -> DataFrame:
+    """The stored rows of the keys, in all item columns.
+
+    In a table with a date partition the keys are looked up in a scan of key columns only; whole rows are then
+    read from the dates that hold one, and no body of another date is touched.
+    """
+    if DATE in existing.columns:
+        found = cut(existing.select(*KEY, DATE).join(keys, KEY, "left_semi"))
+        dates = found.select(DATE).distinct()
+        existing = existing.join(broadcast_if_small(dates), DATE, "left_semi")
+    return existing.select(*ITEM_COLUMNS).join(keys, KEY, "left_semi")
+
+
 def plan_upsert(existing: DataFrame, batch: DataFrame, now: Column, cut=lambda df: df) -> Upsert:
     """Fold a batch (with its order in ``ord``) into the items it touches.
 
@@ -39,8 +57,7 @@ def plan_upsert(existing: DataFrame, batch: DataFrame, now: Column, cut=lambda d
         F.max_by(row, "ord").alias("last"), F.max("ord").alias("last_ord"), F.count("*").alias("n"),
     ).withColumnRenamed("content_fingerprint", "fp")
     keys = copies.select(*KEY).distinct()
-    old = existing.select(*KEY, F.struct(*[c for c in ITEM_COLUMNS if c not in KEY]).alias("old"))
-    old = old.join(keys, KEY, "left_semi")
+    old = touched_items(existing, keys, cut).select(*KEY, F.struct(*[c for c in ITEM_COLUMNS if c not in KEY]).alias("old"))
     differs = F.col("old").isNotNull() & (F.col("fp") != F.col("old.content_fingerprint"))
     merged = (
         copies.join(old, KEY, "left").groupBy(*KEY)
@@ -85,13 +102,19 @@ def plan_upsert(existing: DataFrame, batch: DataFrame, now: Column, cut=lambda d
     return Upsert(rows, versions)
 
 
-def assign_ids(rows: DataFrame, existing: DataFrame, partitions: int = 64) -> DataFrame:
-    """Give inserted rows ids above every stored one, in batch order. Ids have gaps; equal inputs give equal ids."""
+def assign_ids(rows: DataFrame, existing: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Give inserted rows ids above every stored one, in batch order. Ids have gaps; equal inputs give equal ids.
+
+    Only keys are sorted and numbered; the rows get their number by a join.
+    """
+    partitions = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
-    fresh = (
-        rows.filter("action = 'insert'").repartitionByRange(partitions, "ord", *KEY).sortWithinPartitions("ord", *KEY)
-        .withColumn("id", top + 1 + F.monotonically_increasing_id())
+    inserted = rows.filter("action = 'insert'")
+    numbered = (
+        inserted.select("ord", *KEY).repartitionByRange(partitions, "ord", *KEY).sortWithinPartitions("ord", *KEY)
+        .select(*KEY, (top + 1 + F.monotonically_increasing_id()).alias("new_id"))
     )
+    fresh = inserted.join(numbered, KEY).withColumn("id", F.col("new_id")).drop("new_id").select(*rows.columns)
     return fresh.unionByName(rows.filter("action <> 'insert'"))
 
 

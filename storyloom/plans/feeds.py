@@ -156,8 +156,8 @@ def latest_social(readers: DataFrame, pool: DataFrame, now: Column) -> DataFrame
     )
 
 
-def worlds_job(t: Tables, now: Column, cut=lambda df: df, candidates: int = K.CANDIDATE_LIMIT) -> Worlds:
-    """All worlds of every profile. ``cut`` may store the ranked worlds when several outputs are written."""
+def worlds_job(t: Tables, now: Column, cut=lambda df: materialize(df, "ranked-worlds"), candidates: int = K.CANDIDATE_LIMIT) -> Worlds:
+    """All worlds of every profile. ``cut`` stores the ranked worlds, which several outputs read."""
     c = F.col
     pool = stored_pool(t, now, candidates)
     ranked = cut(_picked(stored_readers(t, pool), pool, now, O.slugs_of(c("topics")), K.WORLD_LIMIT))
