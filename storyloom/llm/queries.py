@@ -54,7 +54,8 @@ def op8_license_scan(spark, sf_dir) -> DataFrame:
 
 
 def op9_decontamination(spark, sf_dir) -> DataFrame:
-    return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items", F.array_join("items", ","))
 
 
 def op10_nearest_vectors(spark, sf_dir) -> DataFrame:
@@ -68,4 +69,20 @@ QUERIES = {
         op6_simhash, op7_ppm_scores, op8_license_scan, op9_decontamination, op10_nearest_vectors,
     )
 }
-ORACLES: dict[str, str] = {}
+
+def _shingles_sql(name: str, key: str) -> str:
+    """CTE of the distinct five-word shingles of each text of a table."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""{name} AS (SELECT {key}, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM (SELECT {key}, {words} AS w FROM {'documents' if key == 'doc_id' else 'benchmark'}))"""
+
+
+ORACLES = {
+    "op9_decontamination": f"""WITH {_shingles_sql('d', 'doc_id')}, {_shingles_sql('i', 'item_id')},
+      sizes AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
+      found AS (SELECT doc_id, item_id, count(*) / any_value(n)::double AS c FROM d JOIN i USING (shingle) JOIN sizes USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n)),
+      listed AS (SELECT doc_id, string_agg(item_id::varchar, ',' ORDER BY item_id) AS items, count(*) AS n_items, max(c) AS containment FROM found GROUP BY doc_id)
+      SELECT doc_id, coalesce(items, '') AS items, coalesce(n_items, 0) AS n_items, coalesce(containment, 0.0) AS containment, n_items IS NOT NULL AS contaminated
+      FROM documents LEFT JOIN listed USING (doc_id)""",
+}
