@@ -82,10 +82,11 @@ def stored_affinities(spark, d):
 
 
 def tables(spark, d) -> feeds.Tables:
-    signals = demo.signals(spark, d)
+    """The stored tables of the reader jobs. The item table is derived once, as a job finds it stored."""
+    signals, items = demo.signals(spark, d), materialize(demo.items(spark, d).drop("content_html"), "items")
     return feeds.Tables(
-        demo.profiles(spark, d), stored_affinities(spark, d), logs.save_set(signals), logs.read_items(signals, demo.now()),
-        demo.mutes(spark, d), demo.items(spark, d), demo.sources(spark, d),
+        demo.profiles(spark, d), affinity.fold_affinities(signals, items), logs.save_set(signals), logs.read_items(signals, demo.now()),
+        demo.mutes(spark, d), items, demo.sources(spark, d),
     )
 
 

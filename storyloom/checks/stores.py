@@ -78,6 +78,59 @@ def ingest_counts(spark, d):
     return ingest.ingest_entries(raw_entries(spark, d), demo.sources(spark, d), stored, demo.now(), demo.TEST_TAXONOMY).stats
 
 
+NEW_FEED = "https://new.example.com/feed"
+
+
+def whole_run(spark, d) -> ingest.IngestRun:
+    """A run over all sources: some are not due, some fail, some are unmodified, and the registry brings one more."""
+    c = F.col
+    stored_sources = demo.sources(spark, d)
+    policy = [n for n in stored_sources.columns if n not in ("id", "active", "last_successful_fetch_at", "next_fetch_at", "last_status")]
+    registry = stored_sources.filter("id % 3 = 0").select(*policy)
+    registry = registry.unionByName(registry.orderBy("feed_url").limit(1).withColumns({"feed_url": F.lit(NEW_FEED), "name": F.lit("New")}))
+    tries = stored_sources.select(
+        c("id").alias("source_id"), demo.now().alias("at"), F.when(c("id") % 6 == 1, "HTTP 500").alias("error"), (c("id") % 6 == 2).alias("not_modified"))
+    landed = raw_entries(spark, d).filter("NOT source_id % 6 IN (1, 2)")
+    stored = demo.items(spark, d).filter(c("id") % 3 != 0)
+    none = spark.createDataFrame([], "id bigint")
+    return ingest.ingest_run(registry, stored_sources, landed, tries, stored, none, demo.now(), demo.TEST_TAXONOMY)
+
+
+TABLES["run_sources"] = ("sources", f"SELECT *, active AND (next_fetch_at IS NULL OR next_fetch_at <= {NOW}) AS due FROM sources")
+TABLES["run_rows"] = ("clean_rows run_sources", "SELECT c.source_id, c.guid, CASE WHEN c.doc_id % 3 = 0 THEN 'insert' ELSE 'update' END AS action FROM clean_rows c JOIN run_sources s ON s.id = c.source_id WHERE s.due AND NOT s.id % 6 IN (1, 2)")
+TABLES["run_counts"] = (
+    "raw_entries run_rows",
+    """SELECT s.id, s.name, CASE WHEN id % 6 = 1 THEN 'HTTP 500' END AS error, coalesce(f.n, 0) AS fetched, coalesce(k.i, 0) AS inserted, coalesce(k.u, 0) AS updated FROM run_sources s
+      LEFT JOIN (SELECT source_id, count(*) AS n FROM raw_entries WHERE NOT source_id % 6 IN (1, 2) GROUP BY 1) f ON f.source_id = s.id
+      LEFT JOIN (SELECT source_id, count(*) FILTER (WHERE action = 'insert') AS i, count(*) FILTER (WHERE action = 'update') AS u FROM run_rows GROUP BY 1) k ON k.source_id = s.id WHERE due""",
+)
+
+
+@check("ingest_run_items", "SELECT * FROM run_rows", "run_rows")
+def ingest_run_items(spark, d):
+    run = whole_run(spark, d)
+    if run.clustered is None:
+        raise ValueError("items changed, so they must have been clustered")
+    return run.rows.select("source_id", "guid", "action")
+
+
+@check("ingest_run_ledger", f"""SELECT s.id, s.feed_url, CASE WHEN c.id IS NULL THEN next_fetch_at ELSE {NOW} + to_minutes(CASE WHEN error IS NULL THEN poll_interval_minutes ELSE least(5, poll_interval_minutes) END) END AS next_fetch_at,
+      CASE WHEN c.id IS NOT NULL THEN CASE WHEN error IS NOT NULL THEN 'error: HTTP 500' WHEN s.id % 6 = 2 THEN 'not-modified' ELSE 'ok:' || inserted || '+' || updated || 'u' END END AS last_status
+      FROM run_sources s LEFT JOIN run_counts c ON c.id = s.id UNION ALL SELECT max(id) + 1, '{NEW_FEED}', NULL, NULL FROM sources""", "run_counts")
+def ingest_run_ledger(spark, d):
+    return whole_run(spark, d).sources.select("id", "feed_url", "next_fetch_at", "last_status")
+
+
+@check("ingest_run_stats", "SELECT name AS source, sum(fetched)::bigint AS fetched, sum(inserted)::bigint AS inserted, sum(updated)::bigint AS updated, count(error) AS errors FROM run_counts GROUP BY ROLLUP (name)", "run_counts")
+def ingest_run_stats(spark, d):
+    return whole_run(spark, d).stats
+
+
+@check("ingest_run_errors", "SELECT name AS source, name || ': error: ' || error AS message FROM run_counts WHERE error IS NOT NULL", "run_counts")
+def ingest_run_errors(spark, d):
+    return whole_run(spark, d).errors
+
+
 def upsert_inputs(spark, d):
     """Stored: two thirds of the items. Batch: half of the items, some twice, some unchanged."""
     items = demo.items(spark, d)
@@ -128,15 +181,14 @@ def item_versions(spark, d):
     return upsert.plan_upsert(*upsert_inputs(spark, d), demo.now()).versions
 
 
-@check("items_after_upsert", "SELECT status, count(*) AS n, count(DISTINCT guid) AS guids FROM ("
-       "SELECT guid, status FROM stored WHERE guid NOT IN (SELECT guid FROM batch) UNION ALL "
-       "SELECT guid, CASE WHEN guid IN (SELECT guid FROM changes) THEN coalesce((SELECT max_by(CASE WHEN c.old_fp <> '' AND c.status = 'active' THEN 'updated' ELSE c.status END, c.ord) FROM changes c WHERE c.guid = b.guid), status) ELSE status END "
-       "FROM (SELECT DISTINCT guid, status FROM batch) b) GROUP BY status", "changes")
+@check("items_after_upsert", "SELECT guid, status, title FROM stored WHERE guid NOT IN (SELECT guid FROM batch) UNION ALL "
+       "SELECT b.guid, CASE WHEN l.guid IS NULL THEN b.status WHEN l.old_fp <> '' AND l.status = 'active' THEN 'updated' ELSE l.status END, CASE WHEN l.guid IS NOT NULL THEN l.title ELSE coalesce(s.title, b.title) END "
+       "FROM (SELECT * FROM batch QUALIFY row_number() OVER (PARTITION BY guid ORDER BY ord) = 1) b LEFT JOIN stored s USING (guid) "
+       "LEFT JOIN (SELECT * FROM changes QUALIFY row_number() OVER (PARTITION BY guid ORDER BY ord DESC) = 1) l ON l.guid = b.guid", "changes")
 def items_after_upsert(spark, d):
     stored, batch = upsert_inputs(spark, d)
     plan = upsert.plan_upsert(stored, batch, demo.now(), cut=lambda df: materialize(df, "upsert"))
-    rows = upsert.assign_ids(plan.rows, stored)
-    return upsert.apply_upsert(stored, rows).groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("guid").alias("guids"))
+    return upsert.apply_upsert(stored, upsert.assign_ids(plan.rows, stored)).select("guid", "status", "title")
 
 
 @check("new_and_known_keys", "SELECT guid IN (SELECT guid FROM stored) AS known, count(DISTINCT guid) AS n FROM batch GROUP BY known", "changes")

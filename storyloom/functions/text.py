@@ -73,7 +73,7 @@ def decode_entities(text: Column) -> Column:
 def strip_html(html: Column) -> Column:
     text = F.regexp_replace(html, "(?is)<style.*?</style>", "")
     text = F.regexp_replace(text, "(?is)<script.*?</script>", "")
-    text = F.regexp_replace(text, "<[^>]+>", " ")
+    text = F.when(html.contains("<"), F.regexp_replace(text, "<[^>]+>", " ")).otherwise(html)
     return squeeze(decode_entities(text))
 
 

@@ -93,8 +93,6 @@ def reader_state(profiles, affinities, saves, reads, mutes, pool) -> DataFrame:
         return df.select("profile_id", *[fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])
 
     weights = affinities.select("profile_id", F.concat("dimension", F.lit(":"), "key").alias("k"), "weight")
-    # A key that is stored twice counts once, with its larger weight.
-    weights = weights.groupBy("profile_id", "k").agg(F.max("weight").alias("weight"))
     rows = part(weights.join(wanted, "k", "left_semi"), k=c("k"), weight=c("weight"))
     rows = rows.unionByName(part(saves.join(ids, "item_id", "left_semi"), saved=c("item_id")))
     rows = rows.unionByName(part(reads.join(ids, "item_id", "left_semi"), read=c("item_id")))
@@ -102,7 +100,7 @@ def reader_state(profiles, affinities, saves, reads, mutes, pool) -> DataFrame:
     rows = rows.unionByName(part(profiles, profile=F.struct(interests_or_default(c("interests")), "last_feed_opened_at")))
     return (
         rows.groupBy("profile_id").agg(
-            F.map_from_entries(F.collect_list(F.when(c("k").isNotNull(), F.struct("k", "weight")))).alias("aff"),
+            bind(F.sort_array(F.collect_list(F.when(c("k").isNotNull(), F.struct("k", "weight")))), _weight_map).alias("aff"),
             F.collect_set("saved").alias("saved"), F.collect_set("read").alias("read"), F.collect_set("muted").alias("muted"),
             F.first("profile", ignorenulls=True).alias("p"),
         )
@@ -110,6 +108,11 @@ def reader_state(profiles, affinities, saves, reads, mutes, pool) -> DataFrame:
     )
 
 
+def _weight_map(entries: Column) -> Column:
+    """Sorted (key, weight) entries as a map; a key that is stored twice counts once, with its larger weight."""
+    return F.map_from_entries(F.filter(entries, lambda e, i: F.coalesce(F.get(entries, i + 1)["k"] != e["k"], F.lit(True))))
+
+
 def stored_readers(readers: DataFrame) -> DataFrame:
     """Reader state written once, then spread over the ranking tasks."""
     rows = materialize(readers, "readers")

@@ -11,6 +11,8 @@ from ..functions import text as T
 from ..functions.markup import sanitize_html
 from ..functions.urls import canonicalize_url
 from ..operators import filters as L
+from ..operators import upsert as U
+from ..operators.clusters import Clustered, cluster_and_verify
 from ..operators.upsert import Upsert, assign_ids, plan_upsert
 from ..session import broadcast_if_small, materialize
 
@@ -65,3 +67,43 @@ def ingest_entries(raw: DataFrame, sources: DataFrame, items: DataFrame, now: Co
     fetched = raw.groupBy("source_id").agg(F.count("*").alias("fetched"))
     stats = fetched.join(counts, "source_id", "left").na.fill(0, ["inserted", "updated"])
     return Ingest(assign_ids(plan.rows, items), plan.versions, stats)
+
+
+class IngestRun(NamedTuple):
+    sources: DataFrame  # registry after sync, with the fetch state after this run
+    rows: DataFrame  # touched items in their new form, with ``action``
+    versions: DataFrame  # what changed items looked like before
+    stats: DataFrame  # per source and in total: fetched, inserted, updated, errors
+    errors: DataFrame  # source, message of failed fetches
+    clustered: Clustered | None  # None if nothing was inserted or changed
+
+
+def synced_sources(stored: DataFrame, registry: DataFrame) -> DataFrame:
+    """The registry's policy on the stored sources; sources that are new get ids above the stored ones."""
+    merged = materialize(U.sync_registry(stored, registry), "sources")
+    partitions = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
+    fresh = merged.filter("id IS NULL").repartitionByRange(partitions, "feed_url").sortWithinPartitions("feed_url")
+    return merged.filter("id IS NOT NULL").unionByName(fresh.withColumn("id", top + 1 + F.monotonically_increasing_id()))
+
+
+def ingest_run(
+    registry: DataFrame, sources: DataFrame, raw: DataFrame, attempts: DataFrame, items: DataFrame, clusters: DataFrame, now: Column, taxonomy=None
+) -> IngestRun:
+    """One whole run: sync the registry, take what due sources landed, upsert it, keep the ledger, cluster on change.
+
+    ``attempts``: source_id, at, error, not_modified of the fetches. Entries and attempts of sources that are not
+    active or not due are left out.
+    """
+    c = F.col
+    known = materialize(synced_sources(sources, registry), "sources")
+    due = L.due_sources(L.active_sources(known), now).select(c("id").alias("source_id"))
+    done = ingest_entries(raw.join(broadcast_if_small(due), "source_id", "left_semi"), known, items, now, taxonomy)
+    rows, stats = materialize(done.rows, "rows"), materialize(done.stats, "stats")
+    names = known.select(c("id").alias("source_id"), c("name").alias("source"))
+    tried = attempts.join(broadcast_if_small(due), "source_id", "left_semi").join(stats, "source_id", "left").join(names, "source_id", "left")
+    tried = materialize(tried.na.fill(0, ["fetched", "inserted", "updated"]), "attempts")
+    clustered = None
+    if rows.filter("action <> 'seen'").limit(1).count():
+        clustered = cluster_and_verify(U.apply_upsert(items, rows), known, clusters, now)
+    return IngestRun(U.fetch_ledger(known, tried), rows, done.versions, U.ingest_stats(tried), U.ingest_errors(tried), clustered)
