@@ -96,7 +96,7 @@ class _Table:
     """Open-addressed columns by long key; a missing key has position -1."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(len(keys) * 2).bit_length())
+        self.bits = max(4, int(len(keys) * 4 // 3).bit_length())  # at most three quarters full
         self.slots = np.full(1 << self.bits, -1, np.int64)
         self.where = np.full(1 << self.bits, -1, np.int32)
         left, at = np.arange(len(keys)), self._slot(keys)
