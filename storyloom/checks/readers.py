@@ -357,11 +357,17 @@ def saved_stories(spark, d):
     return rows.select("profile_id", "place", "id", "saved_at", "title", "source_name", "saved")
 
 
-@check("source_directory", """SELECT p.profile_id, (dense_rank() OVER (ORDER BY s.name, s.id))::int AS place, s.id, s.name, s.poll_interval_minutes, s.last_successful_fetch_at, m.source_id IS NOT NULL AS muted
-      FROM profiles p CROSS JOIN (SELECT * FROM sources WHERE active) s LEFT JOIN mutes m ON m.profile_id = p.profile_id AND m.source_id = s.id""", "profiles sources mutes")
+@check("source_directory", "SELECT id, name, poll_interval_minutes, last_successful_fetch_at FROM sources WHERE active", "sources")
 def source_directory(spark, d):
-    rows = feeds.sources_job(demo.profiles(spark, d), demo.sources(spark, d), demo.mutes(spark, d))
-    return rows.select("profile_id", "place", "id", "name", "poll_interval_minutes", "last_successful_fetch_at", "muted")
+    listed = feeds.sources_job(demo.profiles(spark, d), demo.sources(spark, d), demo.mutes(spark, d)).sources
+    return listed.select("id", "name", "poll_interval_minutes", "last_successful_fetch_at")
+
+
+@check("reader_mutes", """SELECT p.profile_id, coalesce(string_agg(m.source_id::varchar, ',' ORDER BY m.source_id), '') AS muted
+      FROM profiles p LEFT JOIN (SELECT * FROM mutes WHERE source_id IN (SELECT id FROM sources WHERE active)) m USING (profile_id) GROUP BY p.profile_id""", "profiles sources mutes")
+def reader_mutes(spark, d):
+    muted = feeds.sources_job(demo.profiles(spark, d), demo.sources(spark, d), demo.mutes(spark, d)).muted
+    return muted.select("profile_id", F.array_join("muted_ids", ",").alias("muted"))
 
 
 @check("article_lookup", """SELECT g.id AS signal_id, g.item_id, i.title, length(i.content_html) AS body_length, s.name AS source_name, v.item_id IS NOT NULL AS saved
@@ -392,16 +398,23 @@ TABLES["title_pairs"] = (
 )
 
 
-@check("similar_titles", "SELECT a, b, round(shared::double / (n + m - shared), 6) AS similarity FROM title_pairs", "title_pairs")
+@check("similar_titles", """WITH t AS (SELECT list_sort(a) AS a, min(id) AS rep, min(source_id) AS lo, max(source_id) AS hi FROM tokens WHERE len(a) > 0 GROUP BY 1),
+      p AS (SELECT x.rep AS a, y.rep AS b, len(list_intersect(x.a, y.a)) AS shared, len(x.a) AS n, len(y.a) AS m FROM t x JOIN t y ON x.rep < y.rep AND (x.lo <> y.hi OR x.hi <> y.lo)
+        AND 2 * least(len(x.a), len(y.a)) >= greatest(len(x.a), len(y.a)))
+      SELECT a, b, round(shared::double / (n + m - shared), 6) AS similarity FROM p WHERE 3 * shared >= n + m""", "tokens")
 def similar_titles(spark, d):
     return similarity.title_pairs(demo.items(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
-@check("shared_addresses", "SELECT x.id AS a, y.id AS b FROM items x JOIN items y ON x.canonical_url = y.canonical_url AND x.source_id <> y.source_id AND x.id < y.id", "items")
+@check("title_sets", "SELECT id, source_id, min(id) OVER (PARTITION BY list_sort(a)) AS set_id FROM tokens WHERE len(a) > 0", "tokens")
+def title_sets(spark, d):
+    return similarity.title_sets(demo.items(spark, d)).drop("tokens")
+
+
+@check("shared_addresses", """SELECT id, canonical_url, first_id, n AS items FROM (SELECT id, canonical_url, min(id) OVER w AS first_id, count(*) OVER w AS n, min(source_id) OVER w AS lo, max(source_id) OVER w AS hi
+      FROM items WHERE canonical_url <> '' WINDOW w AS (PARTITION BY canonical_url)) WHERE lo <> hi""", "items")
 def shared_addresses(spark, d):
-    i = demo.items(spark, d).select("id", "source_id", "canonical_url").filter("canonical_url <> ''")
-    a, b = i.withColumnsRenamed({"id": "a", "source_id": "sa"}), i.withColumnsRenamed({"id": "b", "source_id": "sb"})
-    return a.join(b, "canonical_url").filter("a < b AND sa <> sb").select("a", "b")
+    return similarity.shared_addresses(demo.items(spark, d))
 
 
 BEST_SQL = """SELECT id, match_id, round(sim, 6) AS similarity FROM (

@@ -177,20 +177,37 @@ def best_matches(items: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
 
 
 def title_pairs(items: DataFrame) -> DataFrame:
-    """Every cross-source pair of items with title similarity >= 1/2, for reports; the output itself is all pairs."""
-    rows = items.select("id", "source_id", F.sort_array(T.title_tokens(F.col("title"))).alias("tokens")).filter(F.size("tokens") > 0)
-    sets = rows.groupBy("tokens").agg(F.min("id").alias("set_id")).withColumn("n", F.size("tokens"))
+    """(a, b, similarity) of every two different titles with similarity >= 1/2 that do not all come from one source.
+
+    ``a`` and ``b`` are the lowest ids of the items with each set of title tokens (``title_sets`` has the members), so
+    copies of a title are one row and never pairs.
+    """
+    sets = title_sets(items).groupBy("set_id", "tokens").agg(F.min("source_id").alias("lo"), F.max("source_id").alias("hi"))
+    sets = materialize(sets.withColumn("n", F.size("tokens")), "title-sets")
     sets = materialize(order_by_rarity(sets), "pair-sets")
-    side = F.struct("set_id", "tokens", "n", "prefix")
+    side = F.struct("set_id", "tokens", "n", "prefix", "lo", "hi")
     buckets = sets.withColumn("token", F.explode("prefix"))
     a, b = buckets.select("token", side.alias("a")), buckets.select("token", side.alias("b"))
     shared = F.size(F.array_intersect("a.tokens", "b.tokens"))
-    pairs = (
-        a.join(b, "token").filter(2 * F.least("a.n", "b.n") >= F.greatest("a.n", "b.n"))
+    return (
+        a.join(b, "token").filter("a.set_id < b.set_id AND (a.lo <> b.hi OR a.hi <> b.lo)")
+        .filter(2 * F.least("a.n", "b.n") >= F.greatest("a.n", "b.n"))
         .filter(F.array_intersect("a.prefix", "b.prefix")[0] == F.col("token"))
         .withColumn("shared", shared).filter(3 * F.col("shared") >= F.col("a.n") + F.col("b.n"))
-        .select(F.col("a.tokens").alias("ta"), F.col("b.tokens").alias("tb"), _sim(F.col("shared"), F.col("a.n"), F.col("b.n")).alias("similarity"))
+        .select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"), _sim(F.col("shared"), F.col("a.n"), F.col("b.n")).alias("similarity"))
+    )
+
+
+def title_sets(items: DataFrame) -> DataFrame:
+    """(id, source_id, tokens, set_id): every item with title tokens and the lowest id that has the same ones."""
+    rows = items.select("id", "source_id", F.sort_array(T.title_tokens(F.col("title"))).alias("tokens")).filter(F.size("tokens") > 0)
+    return rows.join(rows.groupBy("tokens").agg(F.min("id").alias("set_id")), "tokens").select("id", "source_id", "tokens", "set_id")
+
+
+def shared_addresses(items: DataFrame) -> DataFrame:
+    """(id, canonical_url, first_id, items) of the items whose address more than one source has; a group is never paired."""
+    rows = items.select("id", "source_id", "canonical_url").filter("canonical_url <> ''")
+    groups = rows.groupBy("canonical_url").agg(
+        F.min("id").alias("first_id"), F.count("*").alias("items"), F.min("source_id").alias("lo"), F.max("source_id").alias("hi")
     )
-    left = rows.select(F.col("tokens").alias("ta"), F.col("id").alias("a"), F.col("source_id").alias("sa"))
-    right = rows.select(F.col("tokens").alias("tb"), F.col("id").alias("b"), F.col("source_id").alias("sb"))
-    return pairs.join(left, "ta").join(right, "tb").filter("a < b AND sa <> sb").select("a", "b", "similarity")
+    return rows.join(groups.filter("lo <> hi").drop("lo", "hi"), "canonical_url").select("id", "canonical_url", "first_id", "items")

@@ -230,29 +230,20 @@ def saved_job(profiles: DataFrame, saves: DataFrame, items: DataFrame, sources:
     return rows.withColumn("place", F.row_number().over(newest)).select("profile_id", "place", "saved_at", *columns)
 
 
-DIRECTORY_ROWS = 5_000
+class Directory(NamedTuple):
+    sources: DataFrame  # active sources, by name
+    muted: DataFrame  # profile_id, muted_ids: the active sources that each profile has muted
 
 
-def sources_job(profiles: DataFrame, sources: DataFrame, mutes: DataFrame, directory_rows: int = DIRECTORY_ROWS) -> DataFrame:
-    """Active sources by name for every profile, with its mute flag.
-
-    The list travels to the profiles as one value while it is short; a longer one is cut into buckets of that
-    size and joined on the bucket number.
-    """
-    c = F.col
+def sources_job(profiles: DataFrame, sources: DataFrame, mutes: DataFrame) -> Directory:
+    """The list of active sources, which is the same for everybody, and what each profile has muted of it."""
     columns = ["id", "name", "homepage_url", "source_class", "kind", "topic_hints", "credibility_tier", "poll_interval_minutes", "last_successful_fetch_at", "last_status"]
-    listed = active_sources(sources).select(F.row_number().over(Window.orderBy("name", "id")).alias("place"), *columns)
-    muted = mutes.groupBy("profile_id").agg(F.collect_set("source_id").alias("muted_ids"))
-    readers = profiles.select("profile_id").join(muted, "profile_id", "left")
-    n = active_sources(sources).count()
-    if n <= directory_rows:
-        directory = listed.agg(F.collect_list(F.struct("place", *columns))).scalar()
-        rows = readers.select("profile_id", "muted_ids", F.inline(directory))
-    else:
-        buckets = n // directory_rows + 1
-        spread = readers.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-        rows = spread.join(listed.withColumn("bucket", F.col("place") % buckets), "bucket").drop("bucket")
-    return rows.withColumn("muted", F.coalesce(F.array_contains("muted_ids", c("id")), F.lit(False))).drop("muted_ids")
+    listed = active_sources(sources).select(*columns)
+    known = mutes.join(broadcast_if_small(listed.select(F.col("id").alias("source_id"))), "source_id", "left_semi")
+    ids = known.groupBy("profile_id").agg(F.array_sort(F.collect_set("source_id")).alias("muted_ids"))
+    muted = profiles.select("profile_id").join(ids, "profile_id", "left")
+    empty = F.array().cast(ids.schema["muted_ids"].dataType)
+    return Directory(listed.orderBy("name", "id"), muted.withColumn("muted_ids", F.coalesce("muted_ids", empty)))
 
 
 def reader_items(wanted: DataFrame, items: DataFrame, sources: DataFrame, saves: DataFrame) -> DataFrame:

@@ -51,9 +51,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` wrote, once no result that reads them is wanted; returns their number."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _WRITTEN:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    n = len(_WRITTEN)
+    _WRITTEN.clear()
+    return n
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by writing a table to the shared folder and reading it back."""
+    """Cut lineage by writing a table to the shared folder and reading it back; see ``release_scratch``."""
     path = scratch_path(df.sparkSession, name)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

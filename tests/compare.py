@@ -59,7 +59,7 @@ def compare(spark, con, name, query, sql, sf_dir):
 def main():
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as E
-    from storyloom.session import build_session
+    from storyloom.session import build_session, release_scratch
 
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = build_session(master="local[8]", shuffle_partitions=8)
@@ -74,6 +74,7 @@ def main():
             result, a, b = compare(spark, con, name, query, oracles.get(name), sf_dir)
         except Exception as error:  # show and go on
             result, a, b = f"ERROR {str(error)[:900]}", 0, 0
+        release_scratch(spark)
         bad += not result.startswith(("ok", "rows-only"))
         print(f"{name:34s} {a:6.2f}s {b:6.2f}s {result}", flush=True)
     print("bad:", bad)
