@@ -12,13 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .common import map_texts
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-#: Training texts of each language: those with the smallest hash of their id. A documented bound of the fit.
+#: Training texts of each language, on average: those with the smallest hash of their id. A documented bound of the fit.
 TRAIN_TEXTS = 4_000
 #: Languages that a model may have; more labels than that are an error, as the matrix is broadcast.
 MAX_LANGUAGES = 256
@@ -101,20 +100,19 @@ def _count(batches):
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = TRAIN_TEXTS):
     """(languages, matrix): log-probabilities by bucket, the last two rows being zero (no n-gram) and the log priors.
 
-    Learns from rows with a text and a language, of each language the ``per_language`` with the smallest hash
-    of (id, language). Without such rows there are no languages.
+    Learns from rows with a text and a language: of each language about ``per_language``, those with the smallest
+    hashes of their ids, or all if it has fewer. Without such rows there are no languages.
     """
     labelled = docs.select(F.col(doc_id).alias("k"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
-    chosen = labelled.select("lang", "k").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
-    bounds = chosen.groupBy("lang").agg(F.max(F.struct(F.xxhash64("k").alias("h"), "k")).alias("top")).limit(MAX_LANGUAGES + 1).collect()
-    if len(bounds) > MAX_LANGUAGES:
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(r.lang for r in bounds)
+    languages = sorted(r.lang for r in sizes)
     if not languages:
         return [], np.zeros((BUCKETS + 2, 0))
-    # The last hash of each language selects its sample in a plain scan, without moving a text.
-    limit = F.create_map(*[F.lit(x) for r in bounds for x in (r.lang, r.top.h)])
+    # Hashes are even, so a share of their range is that share of the texts, found in a plain scan.
+    limits = [(r.lang, min((1 << 63) - 1, int(per_language / r.n * (1 << 64)) - (1 << 63))) for r in sizes]
+    limit = F.create_map(*[F.lit(x) for r in limits for x in r])
     sample = labelled.where(F.xxhash64("k") <= limit[F.col("lang")]).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     where = {x: i for i, x in enumerate(languages)}
