@@ -308,6 +308,15 @@ def search_index(spark, d):
     return bridges.search_index(shown_with_topics(spark, d))
 
 
+@check("reader_search", SHOWN_SQL + """, x AS (SELECT profile_id, id, min_by(slug, ord::bigint * 4294967296 + rank) AS slug, min(ord::bigint * 4294967296 + rank) AS position FROM shown GROUP BY ALL),
+      f AS (SELECT profile_id, x.id, slug, i.title, row_number() OVER (PARTITION BY profile_id ORDER BY position) AS place FROM x JOIN items i ON i.id = x.id WHERE contains(lower(i.title), 'the'))
+      SELECT profile_id, place::int AS place, id, slug, title FROM f WHERE place <= 8""", "collapsed items")
+def reader_search(spark, d):
+    """Each reader's search over the stories that the reader is shown."""
+    index = bridges.search_index(shown_with_topics(spark, d), ("title",))
+    return filters.search_stories(index, " The ").select("profile_id", "place", "id", "slug", "title")
+
+
 @check("title_search", """SELECT id, title FROM items WHERE contains(lower(title), 'the') ORDER BY id LIMIT 8""", "items")
 def title_search(spark, d):
     index = demo.items(spark, d).select("id", "title", F.col("id").alias("position"))

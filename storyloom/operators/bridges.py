@@ -31,8 +31,11 @@ def list_position(world: Column, rank: Column) -> Column:
     return F.shiftleft(world.cast("bigint"), 32) + rank
 
 
-def search_index(shown: DataFrame) -> DataFrame:
-    """Every story once per profile, under the first world that lists it; ``position`` is index order."""
+def search_index(shown: DataFrame, about: tuple[str, ...] = ()) -> DataFrame:
+    """Every story once per profile, under the first world that lists it; ``position`` is index order.
+
+    ``about`` columns of ``shown``, such as the title and the source's name, come along for searching.
+    """
     return shown.groupBy("profile_id", "id").agg(
-        F.min_by("slug", F.struct("ord", "rank")).alias("slug"), F.min(list_position(F.col("ord"), F.col("rank"))).alias("position")
+        *[F.first(a).alias(a) for a in about], F.min_by("slug", F.struct("ord", "rank")).alias("slug"), F.min(list_position(F.col("ord"), F.col("rank"))).alias("position")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -117,12 +117,17 @@ def item_summaries(items: DataFrame) -> DataFrame:
     return items.select(*SUMMARY_COLUMNS)
 
 
-def search_stories(index: DataFrame, needle: str) -> DataFrame:
-    """The first stories, in index order, whose title holds the needle."""
+def search_stories(index: DataFrame, needle: str, limit: int = K.SEARCH_STORY_LIMIT) -> DataFrame:
+    """The first stories of each reader, in index order, whose title holds the needle; an index without
+    ``profile_id`` is one reader's."""
     needle = needle.strip().lower()
     if not needle:
         return index.limit(0)
-    return index.filter(F.lower("title").contains(needle)).orderBy("position").limit(K.SEARCH_STORY_LIMIT)
+    hits = index.filter(F.lower("title").contains(needle))
+    if "profile_id" not in index.columns:
+        return hits.orderBy("position").limit(limit)
+    place = F.row_number().over(Window.partitionBy("profile_id").orderBy("position"))
+    return hits.withColumn("place", place).filter(F.col("place") <= limit)
 
 
 def search_worlds(categories: DataFrame, needle: str) -> DataFrame:

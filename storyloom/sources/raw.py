@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
+
 RAW_COLUMNS = {
     "source_id": "bigint",
     "guid": "string",
@@ -37,16 +39,27 @@ def raw_items(df: DataFrame, **columns: Column) -> DataFrame:
     )
 
 
+RFC_FORMATS = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm:ss", "d MMM yyyy", "d MMMM yyyy")
+WRITTEN_FORMATS = ("MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d, yyyy HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd")
+
+
 def parse_date(text: Column) -> Column:
-    """RFC 822 or ISO 8601; null when it is neither."""
-    bare = F.regexp_replace(F.trim(text), "^[A-Za-z]{3,9},?\\s+(?=\\d)", "")
-    zone = F.regexp_extract(bare, "\\s([A-Z]{1,3})$", 1)
+    """RFC 822 (years of two digits too), ISO 8601, or a date with a written month; null when it is none of them."""
     offsets = F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv])
-    numeric = F.when(zone == "", bare).otherwise(
-        F.concat(F.regexp_replace(bare, "\\s[A-Z]{1,3}$", " "), F.coalesce(F.try_element_at(offsets, zone), zone))
-    )
-    return F.coalesce(
-        F.try_to_timestamp(numeric, F.lit("d MMM yyyy HH:mm:ss Z")),
-        F.try_to_timestamp(numeric, F.lit("d MMM yyyy HH:mm Z")),
-        F.when(text.rlike("^\\s*\\d{4}-\\d{2}-\\d{2}"), F.trim(text).try_cast("timestamp")),
-    )
+
+    def numeric_zone(t: Column) -> Column:
+        zone = F.regexp_extract(t, "\\s([A-Z]{1,3})$", 1)
+        offset = F.coalesce(F.try_element_at(offsets, zone), zone)
+        return F.when(zone == "", t).otherwise(F.concat(F.regexp_replace(t, "\\s[A-Z]{1,3}$", " "), offset))
+
+    def whole_year(t: Column) -> Column:
+        """A year of two digits belongs to 1969-2068."""
+        late = F.regexp_replace(t, "^(\\d{1,2} [A-Za-z]{3} )(?=(?:69|[7-9]\\d) )", "$119")
+        return F.regexp_replace(late, "^(\\d{1,2} [A-Za-z]{3} )(?=\\d{2} )", "$120")
+
+    def parsed(t: Column) -> Column:
+        iso = F.when(t.rlike("^\\d{4}-\\d{2}-\\d{2}"), t.try_cast("timestamp"))
+        return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in RFC_FORMATS], iso, *[F.try_to_timestamp(t, F.lit(f)) for f in WRITTEN_FORMATS])
+
+    plain = F.regexp_replace(F.regexp_replace(F.trim(text), "\\s+", " "), "^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? ", "")
+    return bind(plain, lambda t: bind(numeric_zone(t), lambda u: bind(whole_year(u), parsed)))

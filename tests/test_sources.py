@@ -92,3 +92,18 @@ def test_registry(spark):
     for r in rows:
         assert (r.poll_interval_minutes == 30) == (r.source_class == "longform")
         assert 0 < r.quality_prior <= 1 and r.source_family
+
+
+def test_written_dates(spark):
+    from storyloom.sources.raw import parse_date
+
+    same = [
+        "Tue, 05 May 2026 06:07:08 GMT", "05 May 26 06:07:08 +0000", "5 May 2026 08:07:08 +0200", "2026-05-05T06:07:08Z", "2026/05/05 06:07:08", "Tuesday,  5  May  26 01:07:08 EST",
+    ]
+    days = ["May 5, 2026", "5 May 2026", "Tuesday, May 5, 2026", "2026/05/05"]
+    rest = ["06 Nov 94 08:49:00 GMT", "the fifth of May", "", "31 Feb 2026 00:00:00 GMT", "5"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(same + days + rest)], "i int, t string")
+    got = [r.x for r in rows.select("i", parse_date(F.col("t")).cast("string").alias("x")).orderBy("i").collect()]
+    assert got[: len(same)] == ["2026-05-05 06:07:08"] * len(same)
+    assert got[len(same) : len(same) + len(days)] == ["2026-05-05 00:00:00"] * len(days)
+    assert got[-len(rest) :] == ["1994-11-06 08:49:00", None, None, None, None]
