@@ -87,8 +87,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` (the smallest id reachable) of every row.
 
     Equal fingerprints are one point; only different ones are paired. Null and wordless texts share the
-    fingerprint zero and link like any other. Repeated rows are returned as often as they come. A row with a
-    null id has a fingerprint but takes part in no link, and its component is null. No rows give no rows.
+    fingerprint zero and link like any other. Repeated rows are returned as often as they come; an id that
+    comes with several texts links them. A row with a null id has a fingerprint but takes part in no link, and its component is null. No rows give no rows.
     """
     prints = materialize(fingerprints(docs, doc_id, text), "fingerprints")
     points = prints.where(F.col(doc_id).isNotNull()).groupBy("bits").agg(F.min(doc_id).alias("rep"))
@@ -101,7 +101,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` (all columns) that stay: the smallest id of each group, once.
+    """The rows of ``docs`` (all columns) that stay: the smallest id of each group, once, however often its rows repeat.
 
     Rows with a null id are no member of a group and all stay.
     """
