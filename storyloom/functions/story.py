@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from .text import squeeze
 
-HN_EXCERPT = "^(\\d+) points · (\\d+) comments on Hacker News$"
-
 
 def minutes(n) -> Column:
     return F.make_dt_interval(mins=n if isinstance(n, Column) else F.lit(n))
@@ -20,11 +18,11 @@ def hours_between(now: Column, then: Column) -> Column:
 
 
 def hn_points(excerpt: Column) -> Column:
-    return F.regexp_extract(excerpt, HN_EXCERPT, 1).try_cast("bigint")
+    return F.regexp_extract(excerpt, K.HN_EXCERPT_PATTERN, 1).try_cast("bigint")
 
 
 def hn_comments(excerpt: Column) -> Column:
-    return F.regexp_extract(excerpt, HN_EXCERPT, 2).try_cast("bigint")
+    return F.regexp_extract(excerpt, K.HN_EXCERPT_PATTERN, 2).try_cast("bigint")
 
 
 def discussion_velocity(also_covered: Column, excerpt: Column, source_class: Column) -> Column:
@@ -54,30 +52,28 @@ def recency(published_at: Column, source_class: Column, now: Column) -> Column:
 
 
 def verification_label(status: Column, verification: Column, also_covered: Column, source_name: Column) -> Column:
-    return (
-        F.when(status == "retracted", F.lit("Retracted at source"))
-        .when(status == "corrected", F.lit("Corrected at source"))
-        .when(status == "updated", F.lit("Updated at source"))
-        .when(verification == "unconfirmed", F.lit("Unconfirmed · single-source social report"))
-        .when(
-            verification == "corroborated",
-            F.concat(F.lit("Corroborated by "), (also_covered + 1).cast("string"), F.lit(" sources")),
-        )
-        .otherwise(F.concat(F.lit("Reported by "), source_name))
+    named = F.create_map(*[F.lit(x) for kv in K.STATUS_LABELS.items() for x in kv])
+    label = F.when(verification == "unconfirmed", F.lit(K.UNCONFIRMED_LABEL)).when(
+        verification == "corroborated", _around(K.CORROBORATED_LABEL, (also_covered + 1).cast("string"))
     )
+    return F.coalesce(F.try_element_at(named, status), label, F.concat(F.lit(K.REPORTED_LABEL), source_name))
+
+
+def _around(texts: tuple[str, str], value: Column) -> Column:
+    return F.concat(F.lit(texts[0]), value, F.lit(texts[1]))
 
 
 def story_context(excerpt: Column, also_covered: Column, published_at: Column, reading: Column, world: Column, now: Column) -> Column:
     clean = squeeze(excerpt)
-    short = F.when(F.length(clean) <= 150, clean).otherwise(
-        F.concat(F.rtrim(F.substring(clean, 1, 147)), F.lit("…"))
+    short = F.when(F.length(clean) <= K.CONTEXT_MAX, clean).otherwise(
+        F.concat(F.rtrim(F.substring(clean, 1, K.CONTEXT_CUT)), F.lit("…"))
     )
     return (
         F.when(F.length(excerpt) > 0, short)
-        .when(also_covered > 0, F.concat(F.lit("Covered by "), (also_covered + 1).cast("string"), F.lit(" sources.")))
-        .when(hours_between(now, published_at) < 1, F.concat(F.lit("Breaking now in "), world, F.lit(".")))
-        .when(reading.isNotNull(), F.concat(reading.cast("string"), F.lit(" minute read.")))
-        .otherwise(F.concat(F.lit("Recommended in "), world, F.lit(".")))
+        .when(also_covered > 0, _around(K.COVERED_LABEL, (also_covered + 1).cast("string")))
+        .when(hours_between(now, published_at) < 1, _around(K.BREAKING_LABEL, world))
+        .when(reading.isNotNull(), F.concat(reading.cast("string"), F.lit(K.READING_LABEL)))
+        .otherwise(_around(K.RECOMMENDED_LABEL, world))
     )
 
 

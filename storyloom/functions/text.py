@@ -103,7 +103,7 @@ def make_excerpt(description: Column, body: Column) -> Column:
 
 
 def first_image(html: Column) -> Column:
-    src = F.regexp_extract(html, "(?is)<img[^>]+src=[\"']([^\"']+)[\"']", 1)
+    src = F.regexp_extract(html, K.IMAGE_PATTERN, 1)
     return F.when(src.startswith("http"), src)
 
 
@@ -181,9 +181,9 @@ def status_hint(title: Column, summary: Column) -> Column:
     """Retraction, correction or update announced in the title or summary; null otherwise."""
     text = F.lower(F.concat_ws(" ", title, F.coalesce(summary, F.lit(""))))
     return (
-        F.when(text.rlike("\\bretract(?:ed|ion)\\b"), F.lit("retracted"))
-        .when(text.rlike("(?:^|\\b)(?:correction|corrected)(?::|\\b)"), F.lit("corrected"))
-        .when(title.rlike("(?i)^(?:updated?|update):"), F.lit("updated"))
+        F.when(text.rlike(K.RETRACTED_PATTERN), F.lit("retracted"))
+        .when(text.rlike(K.CORRECTED_PATTERN), F.lit("corrected"))
+        .when(title.rlike(K.UPDATED_PATTERN), F.lit("updated"))
     )
 
 
