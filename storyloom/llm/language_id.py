@@ -25,7 +25,7 @@ SMOOTHING = 0.1
 UNDETERMINED = "und"
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 #: Characters of a text that are in arrays at once.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 def _letters() -> np.ndarray:
