@@ -5,12 +5,14 @@ width is a multiple of the projections' spread, fitted on a bounded sample. A qu
 bucket and those reached by moving hash values by one, in the order of their estimated success: the sum of the
 squared distances to the slot borders that are crossed. Buckets and their visitors are dealt out in blocks, a
 block pair gives each visitor its best exact distances, and the tables' candidates are merged by distance.
+A query that meets too few others this way (a vector far from the mass, a small table) is compared with all points.
 Equal vectors are one point that carries its smallest ids.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ WIDTH = 2.0
 SAMPLE = 10_000
 #: Vectors of a bucket, and visitors of it, that meet in one group on average at most.
 BLOCK = 1024
+#: Numbers of the queries that are compared with all points in one pass.
+EXACT_NUMBERS = 1 << 18
 
 
 def usable(column: str) -> Column:
@@ -105,27 +109,82 @@ def _with_buckets(points: DataFrame, hasher: Hasher, visits: bool) -> DataFrame:
 
 def _best_of_group(k: int):
     def run(indexed: pa.Table, visitors: pa.Table) -> pa.Table:
-        queries, ids, scores = [], [], []
+        queries, ids, marks, scores = [], [], [], []
         if indexed.num_rows and visitors.num_rows:
             index = {x.shape[1]: (rows, x) for rows, x in _by_dimension(indexed.column("vector").combine_chunks())}
-            point, visitor = indexed.column("id").to_numpy(), visitors.column("id").to_numpy()
+            point, mark = indexed.column("id").to_numpy(), indexed.column("mark").to_numpy()
+            visitor = visitors.column("id").to_numpy()
             for rows, q in _by_dimension(visitors.column("vector").combine_chunks()):
                 if q.shape[1] not in index:
                     continue
                 own, x = index[q.shape[1]]
-                of = point[own]
+                of, marked = point[own], mark[own]
                 for r, v in zip(rows.tolist(), q, strict=True):
                     d = np.sqrt(((x - v) ** 2).sum(1))
-                    best = np.lexsort((of, d))[:k]
+                    best = np.lexsort((marked, of, d))[:k]
                     queries.append(np.full(len(best), visitor[r]))
                     ids.append(of[best])
+                    marks.append(marked[best])
                     scores.append(d[best])
-        flat = [np.concatenate(c) if c else np.zeros(0, t) for c, t in ((queries, np.int64), (ids, np.int64), (scores, np.float64))]
-        return pa.table({"query": pa.array(flat[0], pa.int64()), "id": pa.array(flat[1], pa.int64()), "score": pa.array(flat[2], pa.float64())})
+        flat = [np.concatenate(c) if c else np.zeros(0, t) for c, t in ((queries, np.int64), (ids, np.int64), (marks, np.int64), (scores, np.float64))]
+        return pa.table({"query": pa.array(flat[0], pa.int64()), "id": pa.array(flat[1], pa.int64()), "mark": pa.array(flat[2], pa.int64()), "score": pa.array(flat[3], pa.float64())})
 
     return run
 
 
+def _best_of_all(sent, k: int):
+    """The ``k`` nearest of a task's points (id, mark, ids, vector) for each broadcast query (query, query_id, vector)."""
+
+    def run(batches):
+        block = sent.value
+        asked = [(x.shape[1], rows, x) for rows, x in _by_dimension(block.column("vector").combine_chunks())]
+        query, query_id = block.column("query").to_numpy(), block.column("query_id").to_numpy()
+        best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))] * block.num_rows
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                index = {x.shape[1]: (rows, x) for rows, x in _by_dimension(part.column("vector"))}
+                point, mark = part.column("id").to_numpy(), part.column("mark").to_numpy()
+                single = pc.list_value_length(part.column("ids")).to_numpy() == 1
+                for dim, rows, q in asked:
+                    if dim not in index:
+                        continue
+                    own, x = index[dim]
+                    of, marked, alone = point[own], mark[own], single[own]
+                    for r, v in zip(rows.tolist(), q, strict=True):
+                        # A point whose only id is the query's own answers nothing.
+                        other = ~(alone & (of == query_id[r]))
+                        d = np.append(best[r][0], np.sqrt(((x - v) ** 2).sum(1))[other])
+                        ids = np.append(best[r][1], of[other])
+                        marks = np.append(best[r][2], marked[other])
+                        near = np.lexsort((marks, ids, d))[:k]
+                        best[r] = d[near], ids[near], marks[near]
+        sizes = [len(d) for d, _, _ in best]
+        columns = [np.repeat(query, sizes), np.repeat(query_id, sizes), *(np.concatenate([b[c] for b in best]) for c in (1, 2, 0))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "query_id", "id", "mark", "score"])
+
+    return run
+
+
+def _exact(points: DataFrame, short: DataFrame, k: int) -> DataFrame | None:
+    """``query``, ``query_id``, ``id``, ``mark`` and ``score`` of the ``k`` nearest points of each of the ``short`` queries; None without any."""
+    size = short.agg(F.count("*").alias("n"), F.sum(F.size("vector")).alias("numbers")).first()
+    out = None
+    blocks = -(-(size.numbers or 0) // EXACT_NUMBERS)
+    for block in range(blocks):
+        asked = short.where(F.pmod(F.xxhash64("query_id", "query"), F.lit(blocks)) == block).select("query", "query_id", "vector").toArrow()
+        if not asked.num_rows:
+            continue
+        sent = points.sparkSession.sparkContext.broadcast(asked)
+        found = points.select("id", "mark", "ids", "vector").mapInArrow(_best_of_all(sent, k), "query bigint, query_id bigint, id bigint, mark bigint, score double")
+        order = Window.partitionBy("query", "query_id").orderBy("score", "id", "mark")
+        found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
+        found = materialize(found, "exact")  # else every block stays with the driver
+        sent.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def nearest(
     vectors: DataFrame,
     queries: Column,
@@ -137,7 +196,8 @@ def nearest(
     probes: int = PROBES,
     width: float = WIDTH,
 ) -> DataFrame:
-    """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` (Euclidean) of the ``k`` nearest found of every query.
+    """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` (Euclidean) of the ``k`` nearest found of every query,
+    of all others if there are no more than ``k``.
 
     ``queries`` is a condition on the id column. Every usable vector is indexed; rows with a null id, or with a
     vector that is null, empty, zero or holds a null or non-finite component take no part. Ties go to the
@@ -149,9 +209,11 @@ def nearest(
     # The k + 1 smallest ids of each vector are all that a query can return, its own id left out.
     place = F.dense_rank().over(Window.partitionBy("vector").orderBy("id"))
     points = rows.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    points = materialize(points.select(F.col("ids")[0].alias("id"), "ids", "vector"), "points")
+    # An id may have several vectors: a point is an id and the mark of its vector, a query the mark of its own.
+    mark = F.xxhash64("vector")
+    points = materialize(points.select(F.col("ids")[0].alias("id"), mark.alias("mark"), "ids", "vector"), "points")
     asking = materialize(rows.where("asks").select(F.col("id").alias("query_id"), "vector").distinct(), "asking")
-    distinct = asking.groupBy("vector").agg(F.min("query_id").alias("id"))
+    distinct = asking.select("vector").distinct().withColumn("id", mark)
     hasher = Hasher(_spread(points), tables, hashes, probes, width)
     indexed = materialize(_with_buckets(points, hasher, False), "indexed")
     visiting = _with_buckets(distinct, hasher, True)
@@ -165,24 +227,42 @@ def nearest(
     left = indexed.join(sizes, "bucket").select("bucket", "id", "vector", part.alias("part"), F.explode(F.expr("sequence(0, turns - 1)")).alias("turn"))
     right = visiting.join(sizes, "bucket").select("bucket", "id", "vector", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), turn.alias("turn"))
     keys = [F.col("bucket"), F.col("part").cast("bigint").alias("part"), F.col("turn").cast("bigint").alias("turn")]
-    left, right = left.select("id", "vector", *keys), right.select("id", "vector", *keys)
-    found = left.groupBy("bucket", "part", "turn").cogroup(right.groupBy("bucket", "part", "turn")).applyInArrow(_best_of_group(k + 1), "query bigint, id bigint, score double")
+    left, right = left.select("id", mark.alias("mark"), "vector", *keys), right.select("id", "vector", *keys)
+    found = left.groupBy("bucket", "part", "turn").cogroup(right.groupBy("bucket", "part", "turn")).applyInArrow(_best_of_group(k + 1), "query bigint, id bigint, mark bigint, score double")
 
-    merged = found.groupBy("query", "id").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("query").orderBy("score", "id")
+    merged = found.groupBy("query", "id", "mark").agg(F.min("score").alias("score"))
+    order = Window.partitionBy("query").orderBy("score", "id", "mark")
     merged = merged.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).drop("place")
-    answers = merged.join(points.select("id", "ids"), "id").select("query", "score", F.explode("ids").alias("vec_id"))
-    asked = asking.join(distinct.withColumnRenamed("id", "query"), "vector").select("query", "query_id")
-    answers = answers.join(asked, "query").where("vec_id <> query_id")
-    # A repeated id with two vectors is two queries.
+    answers = merged.join(points.select("id", "mark", "ids"), ["id", "mark"]).select("query", "score", F.explode("ids").alias("vec_id"))
+    asked = asking.select(mark.alias("query"), "query_id", "vector")
+    answers = answers.join(asked.drop("vector"), "query").where("vec_id <> query_id")
     order = Window.partitionBy("query_id", "query").orderBy("score", "vec_id")
     answers = answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    answers = materialize(answers.select("query", "query_id", "rank", "vec_id", "score"), "answers")
+
+    # Queries with fewer answers than there are others, k at most, are answered anew from all points.
+    there = points.groupBy(F.size("vector").alias("dim")).agg(F.sum(F.size("ids")).alias("n"))
+    had = answers.groupBy("query", "query_id").agg(F.count("*").alias("had"))
+    short = asked.withColumn("dim", F.size("vector")).join(there, "dim").join(had, ["query", "query_id"], "left")
+    short = materialize(short.where(F.coalesce("had", F.lit(0)) < F.least(F.lit(k), F.col("n") - 1)).select("query", "query_id", "vector"), "short")
+    exact = _exact(points, short, k)
+    if exact is not None:
+        exact = exact.join(points.select("id", "mark", "ids"), ["id", "mark"]).select("query", "query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+        exact = exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        kept = answers.join(short.select("query", "query_id"), ["query", "query_id"], "left_anti")
+        answers = kept.unionByName(exact)
     return answers.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _spread(points: DataFrame) -> dict[int, float]:
-    """Standard deviation of a normal projection, by vector length, on the sample."""
+    """Standard deviation of a normal projection, by vector length: on the sample, for lengths that are rare in it on all rows."""
     sample = points.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
     if not sample.num_rows:
         return {}
-    return {x.shape[1]: float(np.sqrt(x.var(0).sum())) or 1.0 for _, x in _by_dimension(sample.column("vector").combine_chunks())}
+    parts = list(_by_dimension(sample.column("vector").combine_chunks()))
+    if sample.num_rows < SAMPLE:
+        return {x.shape[1]: float(np.sqrt(x.var(0).sum())) or 1.0 for _, x in parts}
+    spread = {x.shape[1]: float(np.sqrt(x.var(0).sum())) or 1.0 for _, x in parts if len(x) >= SAMPLE // 10}
+    rest = points.select(F.size("vector").alias("dim"), "vector").where(~F.col("dim").isin(list(spread)))
+    rest = rest.select("dim", F.posexplode("vector").alias("i", "x")).groupBy("dim", "i").agg(F.var_pop("x").alias("v"))
+    return spread | {r.dim: math.sqrt(r.v) or 1.0 for r in rest.groupBy("dim").agg(F.sum("v").alias("v")).collect()}

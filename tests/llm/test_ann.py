@@ -57,6 +57,36 @@ def test_all_probes_equal_brute_force(spark, monkeypatch):
         assert np.allclose([s for s, _ in got[q]], [s for s, _ in want[q]])
 
 
+def test_outliers_and_small_tables_with_default_parameters(spark, monkeypatch):
+    """Vectors far from the mass, and lengths with few vectors, get all that there is; several blocks of exact queries."""
+    monkeypatch.setattr(ann, "EXACT_NUMBERS", 2000)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1004, 64))
+    x /= np.sqrt((x**2).sum(1, keepdims=True))
+    x[1000:] *= 10
+    rows = [(i + 1 if i < 1000 else 100 * i, v.tolist()) for i, v in enumerate(x) if (i + 1) % 100]
+    rows += [(100 * (1000 * dim + i), rng.normal(size=dim).tolist()) for dim, n in ((60, 2), (61, 3), (62, 5), (63, 11), (65, 20)) for i in range(n)]
+    rows += [(6000000, rng.normal(size=60).tolist()), (7000000, rng.normal(size=59).tolist())]  # an id with two vectors, a length with one
+    got = answers(ann.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 100 == 0))
+    want = plain([(i, np.float32(v).astype(float).tolist()) for i, v in rows])
+    # Each of the two vectors of the repeated id has the same two others; the length with one vector has none.
+    twice = got.pop(6000000)
+    assert [i for _, i in twice] == [6000100, 6000100]
+    del want[6000000], want[7000000]
+    assert {q: len(near) for q, near in got.items()} == {q: len(near) for q, near in want.items()}
+    for q, near in want.items():
+        if 100000 <= q < 6500000:
+            assert [i for _, i in got[q]] == [i for _, i in near]
+            assert np.allclose([s for s, _ in got[q]], [s for s, _ in near])
+
+
+def test_spread_of_rare_lengths_is_measured(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 50)
+    rows = [(i, [float(i), 1.0]) for i in range(400)] + [(1000, [0.0, 0.0, 100.0]), (1001, [0.0, 300.0, 100.0])]
+    spread = ann._spread(spark.createDataFrame(rows, "id long, vector array<double>"))
+    assert abs(spread[3] - 150) < 1e-9 and spread[2] > 50
+
+
 def test_visits_come_in_order_of_estimated_success():
     hasher = ann.Hasher({4: 1.0}, 2, 3, 27, 2.0)
     x = np.random.default_rng(1).normal(size=(5, 4))
