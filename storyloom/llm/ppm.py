@@ -5,10 +5,12 @@ of six-byte windows. A symbol's probability is taken at the longest context that
 shorter one costs an escape (method D: half the distinct symbols over the occurrences, and half an occurrence
 less for each symbol), and symbols seen in the longer context are excluded there, in counts and escape.
 
-The trie has a fixed size, so it may be broadcast: contexts of up to two bytes are all kept (at most 256 ** 3
-counts), longer ones from a number of occurrences on that leaves at most ``TRIE_ENTRIES`` counts of whole
-contexts. A kept context's suffix occurs at least as often and is kept too, so a text's code length is a sum of
-look-ups: the exclusions below a context depend on that context alone and are worked out once.
+A text's code length is a sum of look-ups by window: the exclusions below a context depend on that context alone
+and are worked out once. The broadcast trie has a fixed size: contexts of up to two bytes are all in it (at most
+256 ** 3 counts), longer ones from a number of occurrences on that leaves at most ``TRIE_ENTRIES`` counts of whole
+contexts. A kept context's suffix occurs at least as often and is kept too, so a window whose five-byte context is
+kept is answered from it alone. The other windows of a text (each once, with its number) meet all counts in a
+join; those that share the last three bytes of context meet in one group, which fills a trie of its own.
 
 Words are counted for the base score. Those that occur often travel in a broadcast of bounded size, the others
 meet their counts in a join.
@@ -33,8 +35,10 @@ from .common import crc_remainder, map_texts, text_slices, utf8
 START, END = 0xFE, 0xFF
 #: Most frequent words that are broadcast.
 BROADCAST_WORDS = 200_000
-#: Counts of contexts of three bytes and more in the broadcast trie.
+#: Counts of contexts of three bytes and more in the broadcast trie; what is not in it is looked up in a join.
 TRIE_ENTRIES = 1 << 21
+#: Windows that meet in one group of that join on average at most.
+GROUP_WINDOWS = 1 << 14
 ORDER = 5
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -131,6 +135,7 @@ class Trie:
     """``low``: (code, count) of three-byte windows; ``high``: by order from three on, the same of kept contexts."""
 
     def __init__(self, low: tuple[np.ndarray, np.ndarray], high: dict[int, tuple[np.ndarray, np.ndarray]]):
+        self.low = low
         codes, counts = low[0], low[1].astype(np.float64)
         one, zero = np.zeros((256, 256)), np.zeros(256)
         np.add.at(one, ((codes >> 8) & 255, codes & 255), counts)
@@ -209,6 +214,26 @@ class Trie:
             out[a:b] = np.add.reduceat(self._values(codes), np.cumsum(lens) - lens)
         return out
 
+    def score_kept(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """As ``score`` of the windows whose whole context is kept; and for each text the others with their numbers."""
+        out, stops, found, times = np.zeros(len(texts)), [np.zeros(1, np.int64)], [], []
+        for a, b in text_slices(texts, 1_000_000):
+            codes, lens = _windows(*_symbols(texts.slice(a, b - a)))
+            kept = self.node.find((codes >> 8) | (ORDER << 48)) >= 0
+            value = np.zeros(len(codes))
+            value[kept] = self._values(codes[kept])
+            out[a:b] = np.add.reduceat(value, np.cumsum(lens) - lens)
+            other, of = codes[~kept], np.repeat(np.arange(b - a), lens)[~kept]
+            order = np.lexsort((other, of))
+            other, of = other[order], of[order]
+            first = np.nonzero(np.append(True, (np.diff(other) != 0) | (np.diff(of) != 0))[: len(other)])[0]
+            found.append(other[first])
+            times.append(np.diff(np.append(first, len(other))))
+            stops.append(stops[-1][-1] + np.cumsum(np.bincount(of[first], minlength=b - a)))
+        flat = lambda parts: pa.array(np.concatenate([np.zeros(0, np.int64), *parts]), pa.int64())
+        pairs = pa.StructArray.from_arrays([flat(found), flat(times)], names=["code", "times"])
+        return out, pa.ListArray.from_arrays(pa.array(np.concatenate(stops), pa.int32()), pairs)
+
     def _values(self, codes: np.ndarray) -> np.ndarray:
         value = np.zeros(len(codes))
         open_, norm, chain = np.arange(len(codes)), np.zeros(len(codes), np.float32), np.zeros(len(codes), np.float32)
@@ -239,7 +264,12 @@ def _mixed(counts: np.ndarray, excluded: np.ndarray, shorter: np.ndarray) -> np.
 
 
 def train(texts: DataFrame, text: str = "text", entries: int = TRIE_ENTRIES) -> Trie:
-    """The trie of all rows of ``texts``; without rows every symbol has the same probability."""
+    """The trie of all rows of ``texts`` with the most frequent contexts; without rows every symbol has the same probability."""
+    return _train(texts, text, entries)[0]
+
+
+def _train(texts: DataFrame, text: str, entries: int) -> tuple[Trie, DataFrame, bool]:
+    """The trie, all windows (``code``, ``n``), and whether the trie has every context of them."""
     counts = texts.select(text).mapInArrow(_count_windows, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "windows")
     low = counts.groupBy(F.expr("code & 16777215L").alias("code")).agg(F.sum("n").alias("n")).toArrow()
@@ -258,7 +288,35 @@ def train(texts: DataFrame, text: str = "text", entries: int = TRIE_ENTRIES) ->
         kept = contexts.where((F.col("k") == k) & (F.col("size") >= least)).select("context")
         found = w.withColumn("context", F.expr("shiftright(code, 8)")).join(kept, "context", "left_semi").select("code", "n").toArrow()
         high[k] = (found.column("code").to_numpy(), found.column("n").to_numpy())
-    return Trie((low.column("code").to_numpy(), low.column("n").to_numpy()), high)
+    return Trie((low.column("code").to_numpy(), low.column("n").to_numpy()), high), counts, least == 0
+
+
+def _values_of_group(sent):
+    """``code``, ``value`` of the windows ``asked`` by a trie of the ``counts`` that share their three last bytes of context."""
+
+    def run(counts: pa.Table, asked: pa.Table) -> pa.Table:
+        codes = asked.column("code").to_numpy()
+        if not len(codes):
+            return pa.table({"code": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
+        windows, n = counts.column("code").to_numpy(), counts.column("n").to_numpy()
+        high = {}
+        for k in range(3, ORDER + 1):
+            names, back = np.unique(windows & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            high[k] = names, np.bincount(back, n, len(names))
+        trie = Trie.of(sent.value[0])
+        trie._longer(trie.low, high)
+        return pa.table({"code": pa.array(codes), "value": pa.array(trie.ready()._values(codes), pa.float64())})
+
+    return run
+
+
+def _values_in_join(asked: DataFrame, counts: DataFrame, sent) -> DataFrame:
+    """``code`` and ``value`` of every code of ``asked``, by all ``counts``."""
+    asked = materialize(asked.select("code").distinct(), "asked")
+    groups = 1 + (asked.count() + counts.count()) // GROUP_WINDOWS
+    group = F.pmod(F.xxhash64(F.expr("shiftright(code, 8) & 16777215L")), F.lit(groups)).alias("group")
+    left, right = counts.select("code", "n", group).groupBy("group"), asked.select("code", group).groupBy("group")
+    return left.cogroup(right).applyInArrow(_values_of_group(sent), "code bigint, value double")
 
 
 def _least_size(sizes: dict[int, int], most: int) -> int:
@@ -296,17 +354,17 @@ def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.select(text).mapInArrow(_count_words, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out=None, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out=None, broadcast_words: int = BROADCAST_WORDS, entries: int = TRIE_ENTRIES) -> DataFrame:
     """Scores of every row, learnt from the rows that are not ``held_out`` (a boolean column expression).
 
     Returns ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (smoothed word
-    frequencies) and ``score`` (the trie). A null text counts as empty: it is one end. With no training row all
+    frequencies) and ``score`` (by all contexts, ``entries`` counts of which are broadcast). A null text counts as empty: it is one end. With no training row all
     counts are zero. Repeated rows count as often as they come and are returned as often.
     """
     held_out = crc_remainder(doc_id, 5) == 1 if held_out is None else held_out
     docs = docs.select(F.col(doc_id), F.col(text).alias("__t"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     training = docs.where(~F.col("held_out"))
-    trie = train(training, "__t")
+    trie, windows, complete = _train(training, "__t", entries)
     counts = materialize(word_counts(training, "__t"), "words")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_texts = training.count()
@@ -314,6 +372,8 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hel
     frequent = _frequent(counts, broadcast_words)
     sent = docs.sparkSession.sparkContext.broadcast((vars(trie), {w.encode(): math.log10(c + 0.5) for w, c in frequent}, math.log10(n_texts + 0.5)))
 
+    windows_type = pa.list_(pa.struct([("code", pa.int64()), ("times", pa.int64())]))
+
     def worker():
         columns, known, end = sent.value
         trie = Trie.of(columns).ready()
@@ -337,17 +397,25 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hel
                 stops.append(len(words))
             rare = pa.StructArray.from_arrays([pa.array([w.decode("utf-8", "replace") for w in words], pa.string()), pa.array(times, pa.int64())], names=["word", "tf"])
             lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), rare)
-            return [pa.array(trie.score(texts)), pa.array(sums, pa.float64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), lists]
+            # A complete trie knows of every context it lacks that it never occurred.
+            score, others = (trie.score(texts), pa.nulls(len(texts), windows_type)) if complete else trie.score_kept(texts)
+            return [pa.array(score), others, pa.array(sums, pa.float64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), lists]
 
         return run
 
     pair = T.StructType([T.StructField("word", T.StringType()), T.StructField("tf", T.LongType())])
-    outputs = [("score", T.DoubleType()), ("sum", T.DoubleType()), ("n_tokens", T.LongType()), ("known", T.LongType()), ("rare", T.ArrayType(pair))]
+    window = T.StructType([T.StructField("code", T.LongType()), T.StructField("times", T.LongType())])
+    outputs = [("score", T.DoubleType()), ("others", T.ArrayType(window)), ("sum", T.DoubleType()), ("n_tokens", T.LongType()), ("known", T.LongType()), ("rare", T.ArrayType(pair))]
     scored = map_texts(docs, [doc_id, "held_out"], "__t", outputs, worker)
     scored = materialize(scored.withColumn("__row", F.monotonically_increasing_id()), "scored")
     rest = scored.select("__row", F.inline("rare")).join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rest = rest.groupBy("__row").agg(F.sum(F.expr("tf * log10(c + 0.5D)")).alias("more"), F.sum(F.expr("if(c > 0, tf, 0L)")).alias("more_known"))
-    out = scored.drop("rare").join(rest, "__row", "left")
+    out = scored.drop("rare", "others").join(rest, "__row", "left")
+    if not complete:
+        others = scored.select("__row", F.inline("others"))
+        values = _values_in_join(others, windows, sent)
+        others = others.join(values, "code").groupBy("__row").agg(F.sum(F.expr("times * value")).alias("more_score"))
+        out = out.join(others, "__row", "left").withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     norm = math.log10(tokens + 0.5 * (distinct + 1))
     n_known = F.col("known") + F.lit(int(n_texts > 0)) + F.coalesce("more_known", F.lit(0))
     base = F.col("sum") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)

@@ -68,6 +68,19 @@ def test_trie_equals_brute_force(spark, entries):
     assert np.allclose(trie.score(pa.array(texts)), brute(training, texts, least), atol=1e-4)
 
 
+@pytest.mark.parametrize("entries", [1 << 21, 400, 0])
+def test_scores_count_every_context(spark, monkeypatch, entries):
+    """Whatever fits the broadcast trie, a score is that of all contexts."""
+    monkeypatch.setattr(ppm, "GROUP_WINDOWS", 200)
+    rng = random.Random(4)
+    training, texts = random_texts(rng, 150), [*random_texts(rng, 40), "", "Zß", "the the the the"]
+    rows = [(i, t, False) for i, t in enumerate(training)] + [(1000 + i, t, True) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    got = {r.doc_id: r.score for r in ppm.score_texts(docs, held_out=docs.held, entries=entries).collect()}
+    want = brute(training, [t for _, t, _ in rows], 0)
+    assert len(got) == len(rows) and np.allclose([got[i] for i, _, _ in rows], want, atol=1e-4)
+
+
 def test_each_context_is_a_distribution():
     counts = (np.array([0xFEFE61, 0x616162, 0x616163], np.int64), np.array([3, 2, 5]))
     trie = ppm.Trie(counts, {})
