@@ -28,12 +28,29 @@ FORMS = {
     "card": r"[0-9]{4}(?:[ -]?[0-9]{4}){2,3}(?:[ -]?[0-9]{1,3})?|[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}",
 }
 
+#: Countries by the length of their IBAN; other countries take the longest run of groups.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """An IBAN of its country's length first, so that groups which follow it are left to the text."""
+    ends = lambda n: rf"(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])"
+    fixed = "|".join(f"(?:{names.replace(' ', '|')})[0-9]{{2}}{ends(n)}" for n, names in IBAN_LENGTHS.items())
+    return f"(?:{fixed}|{FORMS['iban']})"
+
 
 def _pattern() -> str:
     groups = FORMS["date"].replace(r"\1", r"\k<s>").replace(r"\2", r"\k<t>").replace("([-/.])", "(?<s>[-/.])", 1).replace("([-/.])", "(?<t>[-/.])", 1)
     mail = rf"(?<![\p{{L}}\p{{N}}._%+-]){FORMS['email']}"
-    iban = rf"(?<![A-Za-z0-9]){FORMS['iban']}(?![A-Za-z0-9])"
-    numbers = "|".join([FORMS["phone"], FORMS["ip"], FORMS["ssn"], groups, FORMS["card"]])
+    iban = rf"(?<![A-Za-z0-9]){_iban_pattern()}(?![A-Za-z0-9])"
+    # The last digits of a card are not taken from a date or a mail address that follows it.
+    card = FORMS["card"].replace("(?:[ -]?[0-9]{1,3})?", r"(?:[0-9]{1,3}|[ -][0-9]{1,3}(?!/[0-9]|[\p{L}\p{N}._%+-]*@))?")
+    numbers = "|".join([FORMS["phone"], FORMS["ip"], FORMS["ssn"], groups, card])
     return rf"{mail}|{iban}|(?<![\p{{L}}0-9_+.-])(?:{numbers})(?![\p{{L}}0-9_]|[.-][0-9])"
 
 
@@ -131,6 +148,12 @@ def _ip(x: str, key: str) -> str:
 
 
 def _card(x: str, key: str) -> str:
+    """Where the whole is no valid card, its first 16 digits may be one that a number follows."""
+    head = f"regexp_extract({x}, '^([0-9]{{4}}(?:[ -]?[0-9]{{4}}){{3}})[ -][0-9]{{1,3}}$', 1)"
+    return f"coalesce({_whole_card(x, key)}, {_let('e', head, f'concat({_whole_card("e", key)}, substr({x}, length(e) + 1))')})"
+
+
+def _whole_card(x: str, key: str) -> str:
     new = _let("u", _permuted_text("substr(d, 1, length(d) - 1)", key, "card"), f"concat(u, (10 - {_luhn('u', 1)} % 10) % 10)")
     body = f"if(length(d) between 13 and 19 and {_luhn('d', 0)} % 10 = 0 and d rlike '[1-9]', {_filled(x, new)}, null)"
     return _let("d", f"regexp_replace({x}, '[^0-9]', '')", body)

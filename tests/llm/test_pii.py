@@ -65,6 +65,21 @@ def test_formats_and_check_digits(pseudonym):
     assert len({re.sub("[ -]", "", x) for x in new[: len(cards)]}) == len({re.sub("[ -]", "", x) for x in cards})
 
 
+def test_values_followed_by_numbers_and_capitals(pseudonym):
+    """What follows a card or an IBAN does not hide it, stays as it is and is searched itself."""
+    grouped = "AT61 1904 3002 3457 3201"
+    cards = [f"{c}{t}" for c in ("4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111") for t in (" 12/27", " 25 items", " 123", " 7", " 12345")]
+    ibans = [f"{grouped} {t}" for t in ("EUR", "USD 100", "BIC", "ABCD", "2024 EUR")]
+    new, rows = pseudonym(cards + ibans)
+    for before, after, row in zip(cards + ibans, new, rows, strict=True):
+        n = len(grouped) if before.startswith("AT") else 19 if before[4] in " -" else 16
+        assert before[:n] != after[:n] and before[n:] == after[n:] and row.n_pii == 1, (before, after)
+        value = re.sub("[ -]", "", after[:n])
+        assert mod97(value) == 1 if before.startswith("AT") else luhn(value)
+    two, rows = pseudonym([f"{grouped} 4111 1111 1111 1111 12", "4111 1111 1111 1111 12/05/2027", "4111 1111 1111 1111 12@example.com"])
+    assert [r.n_pii for r in rows] == [2, 2, 2] and two[0].endswith(" 12")
+
+
 def test_ranges_are_permuted(pseudonym):
     """Every fourth address of a block, all dates of some years and social security numbers: distinct, valid, in range."""
     ips = [f"10.{a}.{b}.7" for a in range(0, 256, 4) for b in range(0, 256, 32)]
