@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 #: Names that operators use for their own columns.
-CLASHING = ["ids", "score", "word", "bits", "rep", "items", "containment", "labels", "component_id", "n_tokens", "lang_pred", "__text", "__doc", "__row", "rank", "kind"]
+CLASHING = ["ids", "score", "word", "bits", "rep", "items", "containment", "labels", "component_id", "n_tokens", "lang_pred", "__text", "__doc", "__row", "rank", "kind", "n", "form", "output", "prefix_chars", "stats", "label", "weight", "held_out", "predicted", "__id", "__held", "__draws", "__source"]
 
 
 @pytest.fixture(scope="session")
