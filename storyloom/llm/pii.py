@@ -4,7 +4,7 @@ Mail addresses, phone numbers, payment cards, IBANs, IPv4 addresses, social secu
 by one pattern and validated (Luhn, mod 97, ranges, calendar). A valid value is permuted within its format by a
 keyed ten-round Feistel network, so equal values have equal pseudonyms in all documents and different values of
 a format different ones; check digits are made anew. Strings are permuted character by character (a digit stays
-a digit, a letter a letter of its case), numbers of a known range as pairs (a, b) with a in [0, A), b in [0, B)
+a digit, a letter a letter of its alphabet and case), numbers of a known range as pairs (a, b) with a in [0, A), b in [0, B)
 where A * B is exactly the size of the range.
 """
 
@@ -16,19 +16,30 @@ from pyspark.sql import functions as F
 KINDS = ("email", "iban", "phone", "card", "ssn", "ip", "date")
 ROUNDS = 10
 
+#: Runs of letters or digits that are permuted among themselves: first code point, how many, and their distance.
+#: Latin Extended-A has capitals and small letters in turn. What is in no run stays as it is.
+ALPHABETS = [
+    (0x30, 10, 1), (0x61, 26, 1), (0x41, 26, 1), (0xDF, 24, 1), (0xF8, 8, 1), (0xC0, 23, 1), (0xD8, 7, 1),
+    (0x101, 28, 2), (0x100, 28, 2), (0x13A, 8, 2), (0x139, 8, 2), (0x14B, 23, 2), (0x14A, 23, 2), (0x17A, 3, 2), (0x179, 3, 2),
+    (0x3B1, 25, 1), (0x391, 17, 1), (0x3A3, 7, 1), (0x3AC, 4, 1), (0x3CC, 3, 1), (0x430, 48, 1), (0x400, 48, 1),
+    (0x5D0, 27, 1), (0x620, 43, 1), (0x904, 54, 1), (0xE01, 48, 1), (0x3041, 86, 1), (0x30A1, 90, 1), (0x4E00, 20992, 1), (0xAC00, 11172, 1),
+]
+#: Calling codes of one and two digits; all others have three.
+CALLING_CODE = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: The whole match decides the kind; ``PATTERN`` finds candidates, first alternative first.
 FORMS = {
     "email": r"[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}[0-9]{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
     "ip": rf"(?:{_OCTET}\.){{3}}{_OCTET}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "date": r"[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4}",
-    "card": r"[0-9]{4}(?:[ -]?[0-9]{4}){2,3}(?:[ -]?[0-9]{1,3})?|[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}",
+    "card": r"[0-9]{4}(?:[ -]?[0-9]{4}){2,3}(?:[ -]?[0-9]{1,3})?|[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{4,5}",
 }
 
-#: Countries by the length of their IBAN; other countries take the longest run of groups.
+#: Countries by the length of their IBAN; other countries take the longest run of groups, in capitals only.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
     22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
@@ -39,9 +50,10 @@ IBAN_LENGTHS = {
 
 def _iban_pattern() -> str:
     """An IBAN of its country's length first, so that groups which follow it are left to the text."""
-    ends = lambda n: rf"(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])"
-    fixed = "|".join(f"(?:{names.replace(' ', '|')})[0-9]{{2}}{ends(n)}" for n, names in IBAN_LENGTHS.items())
-    return f"(?:{fixed}|{FORMS['iban']})"
+    ends = lambda n, case: rf"(?: ?[{case}0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[{case}0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])"
+    fixed = "|".join(f"(?:{names.replace(' ', '|')})[0-9]{{2}}{ends(n, 'A-Z')}" for n, names in IBAN_LENGTHS.items())
+    small = "|".join(f"(?:{names.lower().replace(' ', '|')})[0-9]{{2}}{ends(n, 'a-z')}" for n, names in IBAN_LENGTHS.items())
+    return f"(?:{fixed}|(?=[a-z]{{2}}[0-9]{{2}})(?:{small})|{FORMS['iban'].split('|')[0]})"
 
 
 def _pattern() -> str:
@@ -69,19 +81,25 @@ def _let(name: str, value: str, body: str) -> str:
 def _permuted_text(text: str, key: str, tweak: str) -> str:
     """A character-wise Feistel network over the string ``text``."""
     stream = f"sha2(concat({key}, '|{tweak}|', r, '|', size(acc.a), '|', size(acc.b), '|', array_join({{}}, ',')), 512)"
-    shift = (
-        "transform({}, (c, i) -> case when c between 48 and 57 then 48 + (c - 48 + {k}) % 10 "
-        "when c between 97 and 122 then 97 + (c - 97 + {k}) % 26 when c between 65 and 90 then 65 + (c - 65 + {k}) % 26 else c end)"
-    )
+    moved = " ".join(
+        f"when c between {low} and {low + (size - 1) * step}" + (f" and (c - {low}) % {step} = 0" if step > 1 else "")
+        + f" then {low} + ((c - {low}) div {step} + {{k}}) % {size} * {step}" for low, size, step in ALPHABETS
+    )
+    shift = "transform({}, (c, i) -> cast(case " + moved + " else c end as int))"
     number = "cast(conv(substr(h, (i % 32) * 4 + 1, 4), 16, 10) as int)"
     half = lambda mine, other: _let("h", stream.format(other), shift.format(mine, k=number))
     codes = f"transform(split({text}, ''), c -> ascii(c))"
     start = "named_struct('a', slice(w, 1, size(w) div 2), 'b', slice(w, size(w) div 2 + 1, size(w)))"
     step = f"if(r % 2 = 0, named_struct('a', {half('acc.a', 'acc.b')}, 'b', acc.b), named_struct('a', acc.a, 'b', {half('acc.b', 'acc.a')}))"
-    run = f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (acc, r) -> {step}, acc -> array_join(transform(concat(acc.a, acc.b), c -> char(c)), ''))"
+    run = f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (acc, r) -> {step}, acc -> {_characters('concat(acc.a, acc.b)')})"
     return _let("w", codes, run)
 
 
+def _characters(codes: str) -> str:
+    """The string of an array of code points."""
+    return f"decode(unhex(array_join(transform({codes}, c -> lpad(hex(c), 8, '0')), '')), 'UTF-32')"
+
+
 def _permuted_pair(a: str, b: str, size_a: int, size_b: int, key: str, tweak: str) -> str:
     """A numeric Feistel network over [0, size_a) x [0, size_b): a struct of ``a`` and ``b``."""
     value = lambda x: f"cast(conv(substr(sha2(concat({key}, '|{tweak}|', r, '|', {x}), 256), 1, 12), 16, 10) as bigint)"
@@ -160,8 +178,8 @@ def _whole_card(x: str, key: str) -> str:
 
 
 def _phone(x: str, key: str) -> str:
-    """The digits after the country code; it is the first run of digits after a plus sign, if a separator ends it."""
-    code = f"regexp_extract({x}, '^[+]([0-9]{{1,3}})[^0-9]', 1)"
+    """The digits after the calling code, which a number with a plus sign begins with, however it is separated."""
+    code = f"if({x} like '+%', regexp_extract(d, '^({CALLING_CODE})', 1), '')"
     new = f"concat({code}, {_permuted_text(f'substr(d, length({code}) + 1)', key, 'phone')})"
     return _let("d", f"regexp_replace({x}, '[^0-9]', '')", f"if(length(d) between 8 and 15, {_filled(x, new)}, null)")
 
@@ -170,7 +188,9 @@ def _iban(x: str, key: str) -> str:
     body = _permuted_text("substr(d, 5)", key, "iban")
     check = _mod97("concat(substr(d, 1, 2), '00', u)")
     new = _let("u", body, f"concat(substr(d, 1, 2), lpad(98 - {check}, 2, '0'), u)")
-    return _let("d", f"replace({x}, ' ', '')", f"if(length(d) between 15 and 34 and {_mod97('d')} = 1, {_filled(x, new)}, null)")
+    # Small and capital letters are one number; the pseudonym keeps the case.
+    cased = _let("m", new, f"if({x} = lower({x}), lower(m), m)")
+    return _let("d", f"upper(replace({x}, ' ', ''))", f"if(length(d) between 15 and 34 and {_mod97('d')} = 1, {_filled(x, cased)}, null)")
 
 
 def _email(x: str, key: str) -> str:

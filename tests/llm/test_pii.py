@@ -135,3 +135,87 @@ def test_keys_and_odd_documents(spark, odd_docs, no_docs):
     assert got[2].text is None and got[2].n_pii == 0 and got[3].text == "" and got[5].n_pii == 0
     assert pii.pseudonymize(odd_docs, "key").count() == odd_docs.count()
     assert pii.pseudonymize(no_docs, "key").collect() == []
+
+
+def test_letters_of_all_alphabets(pseudonym):
+    """Mail addresses keep the alphabet and the case of each letter; none is lost, left as it was throughout or broken."""
+    import unicodedata
+
+    names = ["łukasz", "müller", "ƅukasz", "ŀuis", "οδυσσεύς", "дмитрий", "北京市民", "김철수", "أحمد", "éric.çelik", "straße", "ÿves", "ñandú"]
+    mails = [f"{n}@firma.pl" for n in names]
+    new, rows = pseudonym(mails + [m.upper().replace("@FIRMA.PL", "@firma.pl") for m in mails[:2]])
+    assert all(r.n_email == 1 for r in rows)
+    for before, after in zip(mails, new, strict=False):
+        assert before != after and len(before) == len(after) and re.fullmatch(pii.FORMS["email"].replace("++", "+").replace(r"\p{L}", r"\w").replace(r"\p{N}", ""), after), after
+        for a, b in zip(before, after, strict=True):
+            assert unicodedata.category(a) == unicodedata.category(b) and (a.isascii() == b.isascii())
+    assert len(set(new[: len(mails)])) == len(mails)
+    # Addresses are one whatever their case; letters of no known alphabet stay in their place.
+    assert new[-2:] == new[:2]
+    assert pseudonym(["ꙁa@b.org"])[0][0][0] == "ꙁ" and pseudonym(["𐐨a@b.org"])[0][0][0] == "𐐨"
+
+
+def test_equal_numbers_in_other_forms_are_linked(pseudonym):
+    forms = ["+4915112345678", "+49 151 12345678", "+49-151-1234-5678", "+49 1511 234 5678"]
+    new, rows = pseudonym(forms + ["+420123456789", "+420 123 456 789", "+12125550199", "+1 (212) 555-0199", "+7 495 123 4567", "+351912345678"])
+    digits = [re.sub("[^0-9]", "", x) for x in new]
+    assert all(r.n_phone == 1 for r in rows)
+    assert len(set(digits[:4])) == 1 and digits[0].startswith("49") and digits[0] != "4915112345678"
+    assert digits[4] == digits[5] and digits[4].startswith("420") and digits[6] == digits[7] and digits[6][0] == "1"
+    assert digits[8][0] == "7" and digits[9].startswith("351")
+    cards, rows = pseudonym(["3056 930902 5904", "30569309025904", "3056-930902-5904"])
+    assert all(r.n_card == 1 for r in rows) and cards[0] != "3056 930902 5904" and cards[0][4] == cards[0][11] == " "
+    assert len({re.sub("[ -]", "", c) for c in cards}) == 1 and luhn(cards[1])
+    ibans, rows = pseudonym(["DE89370400440532013000", "de89370400440532013000", "de89 3704 0044 0532 0130 00", "de12 3456 words that follow"])
+    assert [r.n_iban for r in rows] == [1, 1, 1, 0] and ibans[1] == ibans[0].lower() and ibans[2].replace(" ", "") == ibans[1]
+
+
+def plain_feistel(text, key, tweak):
+    """The network over characters, by the definition."""
+    import hashlib
+
+    def shift(mine, other, r):
+        seed = f"{key}|{tweak}|{r}|{len(a)}|{len(b)}|{','.join(map(str, other))}"
+        h, out = hashlib.sha512(seed.encode()).hexdigest(), []
+        for i, c in enumerate(mine):
+            k = int(h[i % 32 * 4 : i % 32 * 4 + 4], 16)
+            for low, size, step in pii.ALPHABETS:
+                if low <= c <= low + (size - 1) * step and (c - low) % step == 0:
+                    c = low + ((c - low) // step + k) % size * step
+                    break
+            out.append(c)
+        return out
+
+    codes = [ord(c) for c in text]
+    a, b = codes[: len(codes) // 2], codes[len(codes) // 2 :]
+    for r in range(pii.ROUNDS):
+        a, b = (shift(a, b, r), b) if r % 2 == 0 else (a, shift(b, a, r))
+    return "".join(map(chr, a + b))
+
+
+def plain_pair(a, b, sizes, key, tweak):
+    import hashlib
+
+    for r in range(pii.ROUNDS):
+        value = int(hashlib.sha256(f"{key}|{tweak}|{r}|{b if r % 2 == 0 else a}".encode()).hexdigest()[:12], 16)
+        a, b = ((a + value) % sizes[0], b) if r % 2 == 0 else (a, (b + value) % sizes[1])
+    return a, b
+
+
+def test_equals_a_plain_network(pseudonym):
+    rng = random.Random(2)
+    cards = [card(rng) for _ in range(10)]
+    mails = [f"{''.join(rng.choice('abcxyzéж0') for _ in range(rng.randint(1, 40)))}@d{i}.example.org" for i in range(20)]
+    phones = [f"+44{rng.randint(10**9, 10**10 - 1)}" for _ in range(5)]
+    ips = [".".join(str(rng.randint(0, 255)) for _ in range(4)) for _ in range(10)]
+    want = []
+    for c in cards:
+        head = plain_feistel(c[:-1], "key", "card")
+        want.append(next(head + d for d in "0123456789" if luhn(head + d)))
+    want += [plain_feistel(m[:-4], "key", "email") + ".org" for m in mails]
+    want += ["+44" + plain_feistel(p[3:], "key", "phone") for p in phones]
+    for ip in ips:
+        o = list(map(int, ip.split(".")))
+        a, b = plain_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], (65536, 65536), "key", "ip")
+        want.append(f"{a // 256}.{a % 256}.{b // 256}.{b % 256}")
+    assert pseudonym(cards + mails + phones + ips)[0] == want
