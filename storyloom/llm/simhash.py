@@ -41,8 +41,8 @@ def fingerprint(text: str, size: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and ``bits`` (the fingerprint as a signed long) of every row; null and wordless texts have 0."""
+def fingerprints(docs: DataFrame, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """The ``keep`` columns (``doc_id``) and ``bits`` (the fingerprint as a signed long) of every row; null and wordless texts have 0."""
 
     def worker():
         def run(texts, _):
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
         return run
 
-    return map_texts(docs, [doc_id], text, [("bits", T.LongType())], worker)
+    return map_texts(docs, keep or ["doc_id"], text, [("bits", T.LongType())], worker)
 
 
 def _embedding(bits):
@@ -60,52 +60,65 @@ def _embedding(bits):
 
 
 def linked_fingerprints(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs of rows ``(rep, bits)`` whose different ``bits`` differ in at most ``max_bits`` (three at most).
+    """Pairs of the different ``bits`` that differ in at most ``max_bits`` (three at most), as ``a`` and ``b``.
 
-    Returns ``a`` and ``b``, the ``rep`` of both. A pair can come twice, once for each half.
+    A pair can come twice, once for each half.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("the two grids with one step hold links of at most three bits")
     half = F.explode(F.array(F.lit(0), F.lit(1)))
     cell = F.expr("cast(if(half = 0, counts, shiftrightunsigned(counts, 32)) & 4294967295L as bigint)")
-    points = distinct.select("rep", "bits", _embedding(F.col("bits")).alias("counts")).withColumn("half", half).withColumn("cell", cell)
+    points = distinct.select("bits", _embedding(F.col("bits")).alias("counts")).withColumn("half", half).withColumn("cell", cell)
     # One step up in dimension s: the low bit of its two if that is free, else the high one, else no such cell.
     steps = F.expr(
         """concat(array(cell), filter(transform(sequence(0, 15), s -> case
              when (cell & shiftleft(1L, 2 * s)) = 0 then cell | shiftleft(1L, 2 * s)
              when (cell & shiftleft(1L, 2 * s + 1)) = 0 then cell | shiftleft(1L, 2 * s + 1) end), c -> c is not null))"""
     )
-    probes = points.select(F.col("half").alias("half2"), F.col("rep").alias("rep2"), F.col("bits").alias("bits2"), F.col("counts").alias("counts2"), F.col("cell").alias("own"), F.explode(steps).alias("cell2"))
+    probes = points.select(F.col("half").alias("half2"), F.col("bits").alias("bits2"), F.col("counts").alias("counts2"), F.col("cell").alias("own"), F.explode(steps).alias("cell2"))
     near = F.expr(
         f"""half = half2 and cell = cell2 and (own <> cell2 or bits2 < bits)
             and bit_count(counts ^ counts2) <= {max_bits} and bit_count(bits ^ bits2) <= {max_bits}"""
     )
-    return points.join(probes, near).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    return points.join(probes, near).select(F.col("bits").alias("a"), F.col("bits2").alias("b"))
+
+
+def _components(prints: DataFrame) -> DataFrame:
+    """``bits`` and ``component`` (a number of its group) of the fingerprints of rows ``(__id, bits)`` with an id."""
+    points = materialize(prints.where("__id is not null").select("bits").distinct(), "points")
+    roots = connected_components(linked_fingerprints(points))
+    return points.join(roots, points.bits == roots.node, "left").select("bits", F.coalesce("root", "bits").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` (the smallest id reachable) of every row.
 
     Equal fingerprints are one point; only different ones are paired. Null and wordless texts share the
-    fingerprint zero and link like any other. Repeated rows are returned as often as they come; an id that
-    comes with several texts links them. A row with a null id has a fingerprint but takes part in no link, and its component is null. No rows give no rows.
+    fingerprint zero and link like any other. Repeated rows are returned as often as they come. Groups are groups of
+    fingerprints: an id with several texts is in the group of each and links none of them. A row with a null id has a
+    fingerprint but takes part in no link, and its component is null. No rows give no rows.
     """
-    prints = materialize(fingerprints(docs, doc_id, text), "fingerprints")
-    points = prints.where(F.col(doc_id).isNotNull()).groupBy("bits").agg(F.min(doc_id).alias("rep"))
-    points = materialize(points, "points")
-    roots = connected_components(linked_fingerprints(points))
-    of_bits = points.join(roots, points.rep == roots.node, "left").select("bits", F.coalesce("root", "rep").alias("component_id"))
-    joined = prints.join(of_bits, "bits", "left")
-    component = F.when(F.col(doc_id).isNotNull(), F.col("component_id"))
-    return joined.select(doc_id, F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
+    prints = fingerprints(docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__whole")), ["__id"], "__whole")
+    prints = materialize(prints, "fingerprints")
+    groups = materialize(_components(prints), "groups")
+    least = prints.where("__id is not null").groupBy("bits").agg(F.min("__id").alias("least")).join(groups, "bits")
+    least = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    joined = prints.join(groups.join(least, "component").select("bits", "component_id"), "bits", "left")
+    component = F.when(F.col("__id").isNotNull(), F.col("component_id"))
+    return joined.select(F.col("__id").alias(doc_id), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` (all columns) that stay: the smallest id of each group, once, however often its rows repeat.
+    """The rows of ``docs`` (all columns) that stay: of each group of near duplicates the row with the smallest id.
 
-    Rows with a null id are no member of a group and all stay.
+    If that id has several texts in the group, the one with the smallest fingerprint (as a signed number), then text
+    hash, stays; of rows with that id and text one stays. So each group keeps exactly one row, and an id keeps a row in
+    each group that it is the first of. Rows with a null id are no member of a group and all stay.
     """
-    found = near_duplicates(docs, doc_id, text)
-    first = found.where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("__first")).distinct()
-    kept = docs.join(first, docs[doc_id] == first["__first"], "inner").drop("__first").dropDuplicates([doc_id])
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+    # The rows travel as one struct, so that their columns cannot clash with the results.
+    rows = docs.select(F.struct("*").alias("__row"), F.col(doc_id).alias("__id"), F.xxhash64(F.col(text)).alias("__hash"), F.col(text).alias("__whole"))
+    prints = materialize(fingerprints(rows, ["__id", "__hash"], "__whole"), "fingerprints")
+    firsts = prints.where("__id is not null").groupBy("bits").agg(F.min(F.struct("__id", "bits", "__hash")).alias("first")).join(_components(prints), "bits")
+    firsts = firsts.groupBy("component").agg(F.min("first").alias("first")).select("first.__id", "first.__hash").distinct()
+    kept = rows.drop("__whole").join(firsts, ["__id", "__hash"]).dropDuplicates(["__id", "__hash"])
+    return kept.select("__row.*").unionByName(docs.where(F.col(doc_id).isNull()))

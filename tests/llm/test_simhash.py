@@ -68,9 +68,10 @@ def test_grid_loses_no_link(spark, seed):
                 f ^= 1 << b
             prints.add(f)
     prints = sorted(prints)
-    rows = [(i, int(np.array(f, np.uint64).view(np.int64))) for i, f in enumerate(prints)]
-    found = simhash.linked_fingerprints(spark.createDataFrame(rows, "rep long, bits long")).collect()
-    got = {(min(r), max(r)) for r in map(tuple, found)}
+    rows = [(int(np.array(f, np.uint64).view(np.int64)),) for f in prints]
+    found = simhash.linked_fingerprints(spark.createDataFrame(rows, "bits long")).collect()
+    number = {r[0]: i for i, r in enumerate(rows)}
+    got = {tuple(sorted((number[r.a], number[r.b]))) for r in found}
     assert got == {(i, j) for j in range(len(prints)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 3}
 
 
@@ -91,3 +92,27 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 5, 6, 7, None], key=str)
     assert simhash.near_duplicates(no_docs).collect() == [] and simhash.keep_first(no_docs).collect() == []
+
+
+A, B = "one two three four five six", "quite another text with other words in it"
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0), (1, 0, 2)])
+def test_ids_with_several_texts(spark, order):
+    """An id keeps a row in each group that it is the first of; a clean text under the id of a copy stays."""
+    rows = [(5, B, 1), (3, A, 2), (5, A, 3)]
+    docs = spark.createDataFrame([rows[i] for i in order], "doc_id long, text string, __first int").coalesce(1)
+    assert sorted(tuple(r) for r in simhash.keep_first(docs).collect()) == [(3, A, 2), (5, B, 1)]
+    found = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(docs).collect()}
+    a, b = (f"{simhash.fingerprint(t):016x}" for t in (A, B))
+    assert found == {(3, a): 3, (5, a): 3, (5, b): 5}
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, equal ids with near texts, and columns that Spark cannot order."""
+    rows = [(1, A), (1, A), (1, B), (2, B), (None, A), (7, None), (8, ""), (7, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "map(1, doc_id) AS __row", "1 AS __hash", "2 AS component")
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == 4 and {(1, A), (1, B), (None, A)} <= set(got) and sum(r[0] == 7 for r in got) == 1
