@@ -17,7 +17,7 @@ from .common import map_texts
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-#: Training texts of each language, on average: those with the smallest hash of their id. A documented bound of the fit.
+#: Training texts of each language, on average: those with the smallest hash of id and text. A documented bound of the fit.
 TRAIN_TEXTS = 4_000
 #: Languages that a model may have; more labels than that are an error, as the matrix is broadcast.
 MAX_LANGUAGES = 256
@@ -101,7 +101,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """(languages, matrix): log-probabilities by bucket, the last two rows being zero (no n-gram) and the log priors.
 
     Learns from rows with a text and a language: of each language about ``per_language``, those with the smallest
-    hashes of their ids, or all if it has fewer. Without such rows there are no languages.
+    hashes of id and text, or all if it has fewer. Without such rows there are no languages.
     """
     labelled = docs.select(F.col(doc_id).alias("k"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
@@ -113,7 +113,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     # Hashes are even, so a share of their range is that share of the texts, found in a plain scan.
     limits = [(r.lang, min((1 << 63) - 1, int(per_language / r.n * (1 << 64)) - (1 << 63))) for r in sizes]
     limit = F.create_map(*[F.lit(x) for r in limits for x in r])
-    sample = labelled.where(F.xxhash64("k") <= limit[F.col("lang")]).select("lang", "text")
+    sample = labelled.where(F.xxhash64("k", "text") <= limit[F.col("lang")]).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     where = {x: i for i, x in enumerate(languages)}
     matrix = np.full((BUCKETS, len(languages)), SMOOTHING)
@@ -160,8 +160,14 @@ def predict(docs: DataFrame, model, keep: list[str] | None = None, text: str = "
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """The rows of a documents table whose language is determined with at least ``least_score``; the others go."""
+    """The rows of a documents table whose language is determined with at least ``least_score``; the others go.
+
+    If no row has a language label there is no model, and every text with a letter stays.
+    """
     # The rows travel as one struct, so that their columns cannot clash with the results.
     rows = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__whole"))
-    found = predict(rows, train(docs), ["__row"], "__whole")
+    model = train(docs)
+    if not model[0]:
+        return rows.where(F.col("__whole").rlike(r"\p{L}")).select("__row.*")
+    found = predict(rows, model, ["__row"], "__whole")
     return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select("__row.*")

@@ -49,3 +49,11 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert {r.doc_id for r in kept.collect()} == {1, 5, 7, 8, None}
     assert kept.where("doc_id = 1 and score = 'clash'").count() == 2
+
+
+def test_without_labels_every_lettered_text_stays(spark, odd_docs):
+    from pyspark.sql import functions as F
+
+    kept = language_id.keep_identified(odd_docs.withColumn("lang", F.lit(None).cast("string")))
+    assert kept.columns == odd_docs.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 1, 5, 7, None, 8], key=str)
