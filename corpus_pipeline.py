@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from storyloom.llm import containment, language_id, pii, pieces, simhash
 from storyloom.llm.common import table
 from storyloom.llm.queries import PSEUDONYM_KEY, model_path
-from storyloom.session import scratch_path
+from storyloom.session import materialize
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id stays."""
+    """Of each SimHash group the document with the smallest id stays."""
     return simhash.keep_first(docs)
 
 
@@ -56,10 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is stored in the shared folder and read back as the next one's input."""
+    """All stages over ``documents``; each result is stored in the shared folder and read back as the next one's input.
+
+    ``release_scratch`` drops the stored results, once the last one has been read.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = scratch_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
