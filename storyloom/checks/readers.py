@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from .. import demo
 from ..functions import story as S
-from ..operators import affinity, bridges, clusters, feed, filters, freshness, logs, similarity
+from ..operators import affinity, bridges, clusters, feed, filters, freshness, increments, logs, similarity
+from ..operators.item_store import ItemStore
 from ..plans import feeds
 from ..plans import signals as signals_plan
-from ..session import materialize
+from ..session import materialize, scratch_path
 from .base import NOW, TABLES, check, quote, sql_list
 from .texts import TOKENS
 
@@ -443,15 +446,16 @@ def best_matches_crowded(spark, d):
     return similarity.best_matches(demo.items(spark, d), hot_bucket=12).select("id", "match_id", F.round("similarity", 6).alias("similarity"))
 
 
-def clusters_sql(items: str, own: str) -> str:
+def clusters_sql(items: str, own: str, tokens: str = "tokens", pairs: str = "title_pairs", prefix: str = "") -> str:
     """CTEs ending in ``grouped`` (id, group_key), by the sequential rule over ``items`` rows with cluster ids ``own``.
+    A ``prefix`` of the CTEs' names lets two runs follow each other.
 
     Items act in id order unless an earlier one chose them; then each acting item's tree is climbed to its root.
     """
-    return f"""g_items AS (SELECT id, {own} AS cluster FROM {items}),
+    ctes = f"""g_items AS (SELECT id, {own} AS cluster FROM {items}),
       g_best AS (SELECT id, match_id FROM (SELECT id, match_id, row_number() OVER (PARTITION BY id ORDER BY sim DESC, match_id DESC) AS n FROM (
-        SELECT a AS id, b AS match_id, shared::double / (n + m - shared) AS sim FROM title_pairs UNION ALL SELECT b, a, shared::double / (n + m - shared) FROM title_pairs
-        UNION ALL SELECT x.id, y.id, 1.0 FROM tokens x JOIN tokens y ON x.canonical_url = y.canonical_url AND x.source_id <> y.source_id)
+        SELECT a AS id, b AS match_id, shared::double / (n + m - shared) AS sim FROM {pairs} UNION ALL SELECT b, a, shared::double / (n + m - shared) FROM {pairs}
+        UNION ALL SELECT x.id, y.id, 1.0 FROM {tokens} x JOIN {tokens} y ON x.canonical_url = y.canonical_url AND x.source_id <> y.source_id)
         WHERE id IN (SELECT id FROM g_items) AND match_id IN (SELECT id FROM g_items)) WHERE n = 1),
       g_match AS (SELECT b.id, b.match_id, m.cluster AS match_cluster FROM g_best b JOIN g_items i ON i.id = b.id JOIN g_items m ON m.id = b.match_id WHERE i.cluster IS NULL),
       g_blocked AS (SELECT unnest(list_reduce(list_prepend([]::bigint[], (SELECT list([id, match_id] ORDER BY id) FROM g_match WHERE match_cluster IS NULL AND match_id > id)),
@@ -463,6 +467,7 @@ def clusters_sql(items: str, own: str) -> str:
       g_new AS (SELECT id, root FROM g_ends WHERE cluster IS NULL UNION SELECT root, root FROM g_ends WHERE cluster IS NULL),
       grouped AS (SELECT id, 'new-' || min(id) OVER (PARTITION BY root) AS group_key FROM g_new UNION ALL SELECT id, 'old-' || cluster FROM g_ends WHERE cluster IS NOT NULL
         UNION ALL SELECT id, 'old-' || cluster FROM g_items WHERE cluster IS NOT NULL)"""
+    return re.sub(r"\b(g_[a-z]+|grouped)\b", rf"{prefix}\1", ctes) if prefix else ctes
 
 
 @check("story_clusters", "WITH RECURSIVE " + clusters_sql("items", "CASE WHEN id % 16 = 0 THEN cluster_id END") + " SELECT id, group_key FROM grouped", "items title_pairs")
@@ -490,3 +495,32 @@ def cluster_report(spark, d):
     first = job.members.groupBy("cluster_id").agg(F.min("id").alias("first_member"))
     members = job.members.join(first, "cluster_id").select("id", "first_member")
     return job.verified.join(members, "id", "left").select("id", "first_member", "verification_status")
+
+
+# The odd items are stored first; the even ones land later and get ids above them, in their order.
+TABLES["landed_items"] = (
+    "items sources",
+    f"""SELECT CASE WHEN i.id % 2 = 1 THEN i.id ELSE (SELECT max(id) FROM items WHERE id % 2 = 1) + row_number() OVER (PARTITION BY i.id % 2 ORDER BY i.id) END AS id, i.id % 2 = 0 AS late,
+      i.source_id, title, canonical_url, source_family AS fam, credibility_tier AS tier FROM items i JOIN sources s ON s.id = i.source_id WHERE true QUALIFY i.published_at >= {NOW} - INTERVAL 72 HOUR""",
+)
+TABLES["landed_tokens"] = ("landed_items", f"SELECT id, source_id, canonical_url, {TOKENS} AS a FROM landed_items")
+TABLES["landed_pairs"] = ("landed_tokens", TABLES["title_pairs"][1].replace("FROM tokens x JOIN tokens y", "FROM landed_tokens x JOIN landed_tokens y"))
+
+
+@check("cluster_changes", "WITH RECURSIVE " + clusters_sql("(SELECT * FROM landed_items WHERE NOT late)", "NULL::bigint", "landed_tokens", "landed_pairs", "first_") + ", "
+       + clusters_sql("(SELECT i.id, substr(f.group_key, 5)::bigint AS cluster_id FROM landed_items i LEFT JOIN first_grouped f ON f.id = i.id)", "cluster_id", "landed_tokens", "landed_pairs") + """,
+      r AS (SELECT i.id, substr(g.group_key, 5)::bigint AS first_member, fam, tier FROM landed_items i LEFT JOIN grouped g ON g.id = i.id)
+      SELECT id, first_member, CASE WHEN first_member IS NOT NULL AND (SELECT count(DISTINCT g.fam) FROM r g WHERE g.first_member = r.first_member) >= 2
+        AND (r.tier <> 'social' OR EXISTS (SELECT 1 FROM r g WHERE g.first_member = r.first_member AND g.fam <> r.fam AND g.tier <> 'social')) THEN 'corroborated'
+        WHEN r.tier = 'social' THEN 'unconfirmed' ELSE 'reported' END AS verification_status FROM r""", "landed_pairs")
+def cluster_changes(spark, d):
+    """Half of the items are stored and clustered, the others land, and what changed is clustered."""
+    items = materialize(demo.items(spark, d).withColumn("cluster_id", F.lit(None).cast("bigint")), "items")
+    sources = materialize(demo.sources(spark, d), "sources")
+    store = ItemStore.create(scratch_path(spark, "store"), items.where("id % 2 = 1"), buckets=8)
+    increments.cluster_changes(store, sources, demo.now())
+    store.upsert(items.where("id % 2 = 0").withColumn("ord", F.col("id")), demo.now())
+    increments.cluster_changes(store, sources, demo.now())
+    window = materialize(store.items(since=demo.now() - F.expr("interval 72 hours")).select("id", "cluster_id", "verification_status"), "window")
+    first = window.where("cluster_id IS NOT NULL").groupBy("cluster_id").agg(F.min("id").alias("first_member"))
+    return window.join(first, "cluster_id", "left").select("id", "first_member", "verification_status")

@@ -11,8 +11,9 @@ from ..functions import text as T
 from ..functions.story import minutes
 from ..operators import filters as L
 from ..operators import logs, repair, upsert
+from ..operators.item_store import ItemStore
 from ..plans import ingest
-from ..session import materialize
+from ..session import materialize, scratch_path
 from .base import NOW, TABLES, check, classify_sql, quote, sql_list
 from .landed import _escape_sql
 from .texts import excerpt_sql, squeeze_sql
@@ -56,15 +57,19 @@ TABLES["clean_rows"] = (
 TITLE_TEXT = squeeze_sql("regexp_replace(regexp_replace(raw_title, '<[^>]+>', ' ', 'g'), '&[a-zA-Z]+;', ' ', 'g')")
 
 
-@check("clean_entries", f"""WITH t AS (SELECT *, {squeeze_sql('plain')} AS s, {TITLE_TEXT} AS title FROM clean_rows),
-      e AS (SELECT *, {excerpt_sql('s')} AS excerpt FROM t)
-      SELECT source_id, guid, author, title, coalesce(wire, clean_url_fixed) AS canonical_url, excerpt, shown_at AS published_at, status,
+TABLES["cleaned"] = (
+    "clean_rows",
+    f"""WITH t AS (SELECT *, {squeeze_sql('plain')} AS s, {TITLE_TEXT} AS title FROM clean_rows),
+      e AS (SELECT *, {excerpt_sql('s')} AS excerpt, '<p>' || replace(plain, '>', '&gt;') || '</p>' AS body FROM t)
+      SELECT source_id, guid, author, title, 'https://Src' || source_id || '.example.com/story/' || doc_id || '/?utm_source=a&id=' || doc_id AS url, coalesce(wire, clean_url) AS canonical_url, excerpt, shown_at AS published_at, updated_at, status, body,
       CASE WHEN s = '' THEN 0 ELSE len(str_split(s, ' ')) END AS word_count,
       CASE WHEN tier = 'social' THEN 'unconfirmed' ELSE 'reported' END AS verification_status,
       array_to_string({classify_sql("raw_title", "coalesce(excerpt, '')", f"[{sql_list(K.KNOWN_TOPICS)}[source_id % 10 + 1]]", demo.TEST_TAXONOMY)}, ',') AS topics,
-      sha256(array_to_string(list_filter([title, excerpt, '<p>' || replace(plain, '>', '&gt;') || '</p>', coalesce(wire, clean_url_fixed), status,
-        CASE WHEN updated_at IS NOT NULL THEN '2024-01-31T00:00:00.000Z' END], lambda p: p IS NOT NULL), '␟')) AS content_fingerprint
-      FROM (SELECT *, clean_url AS clean_url_fixed FROM e)""", "clean_rows")
+      sha256(array_to_string(list_filter([title, excerpt, body, coalesce(wire, clean_url), status, CASE WHEN updated_at IS NOT NULL THEN '2024-01-31T00:00:00.000Z' END], lambda p: p IS NOT NULL), '␟')) AS content_fingerprint FROM e""",
+)
+
+
+@check("clean_entries", "SELECT source_id, guid, author, title, canonical_url, excerpt, published_at, status, word_count, verification_status, topics, content_fingerprint FROM cleaned", "cleaned")
 def clean_entries(spark, d):
     rows = ingest.clean_entries(raw_entries(spark, d), demo.sources(spark, d), demo.now(), demo.TEST_TAXONOMY)
     return rows.select("source_id", "guid", "author", "title", "canonical_url", "excerpt", "published_at", "status", "word_count",
@@ -81,8 +86,8 @@ def ingest_counts(spark, d):
 NEW_FEED = "https://new.example.com/feed"
 
 
-def whole_run(spark, d) -> ingest.IngestRun:
-    """A run over all sources: some are not due, some fail, some are unmodified, and the registry brings one more."""
+def run_inputs(spark, d):
+    """Registry, sources, entries and fetches: some are not due, some fail, some are unmodified, and the registry brings one more."""
     c = F.col
     stored_sources = demo.sources(spark, d)
     policy = [n for n in stored_sources.columns if n not in ("id", "active", "last_successful_fetch_at", "next_fetch_at", "last_status")]
@@ -90,9 +95,13 @@ def whole_run(spark, d) -> ingest.IngestRun:
     registry = registry.unionByName(registry.orderBy("feed_url").limit(1).withColumns({"feed_url": F.lit(NEW_FEED), "name": F.lit("New")}))
     tries = stored_sources.select(
         c("id").alias("source_id"), demo.now().alias("at"), F.when(c("id") % 6 == 1, "HTTP 500").alias("error"), (c("id") % 6 == 2).alias("not_modified"))
-    landed = raw_entries(spark, d).filter("NOT source_id % 6 IN (1, 2)")
-    stored = demo.items(spark, d).filter(c("id") % 3 != 0)
+    return registry, stored_sources, raw_entries(spark, d).filter("NOT source_id % 6 IN (1, 2)"), tries
+
+
+def whole_run(spark, d) -> ingest.IngestRun:
+    stored = demo.items(spark, d).filter(F.col("id") % 3 != 0)
     none = spark.createDataFrame([], "id bigint")
+    registry, stored_sources, landed, tries = run_inputs(spark, d)
     return ingest.ingest_run(registry, stored_sources, landed, tries, stored, none, demo.now(), demo.TEST_TAXONOMY)
 
 
@@ -114,6 +123,20 @@ def ingest_run_items(spark, d):
     return run.rows.select("source_id", "guid", "action")
 
 
+@check("store_run_items", f"""SELECT c.source_id, c.guid, c.title, c.content_fingerprint, c.topics, md5(c.body) AS body, CASE WHEN r.action = 'update' AND c.status = 'active' THEN 'updated' ELSE c.status END AS status, r.action
+      FROM run_rows r JOIN cleaned c ON c.source_id = r.source_id AND c.guid = r.guid
+      UNION ALL SELECT source_id, guid, title, content_fingerprint, array_to_string(topics, ','), md5(content_html), status, NULL FROM items WHERE id % 3 <> 0 AND guid NOT IN (SELECT guid FROM run_rows)""", "run_rows cleaned items")
+def store_run_items(spark, d):
+    """The run into a store: its whole content, and what the run did to each item."""
+    stored = materialize(demo.items(spark, d).filter("id % 3 <> 0"), "stored")
+    store = ItemStore.create(scratch_path(spark, "store"), stored, buckets=8)
+    registry, stored_sources, landed, tries = run_inputs(spark, d)
+    run = ingest.ingest_run_into(store, registry, stored_sources, landed, tries, demo.now(), demo.TEST_TAXONOMY, number=0)
+    actions = run.rows.select("source_id", "guid", "action")
+    rows = store.items().select("source_id", "guid", "title", "content_fingerprint", F.array_join("topics", ",").alias("topics"), F.md5("content_html").alias("body"), "status")
+    return rows.join(actions, upsert.KEY, "left")
+
+
 @check("ingest_run_ledger", f"""SELECT s.id, s.feed_url, CASE WHEN c.id IS NULL THEN next_fetch_at ELSE {NOW} + to_minutes(CASE WHEN error IS NULL THEN poll_interval_minutes ELSE least(5, poll_interval_minutes) END) END AS next_fetch_at,
       CASE WHEN c.id IS NOT NULL THEN CASE WHEN error IS NOT NULL THEN 'error: HTTP 500' WHEN s.id % 6 = 2 THEN 'not-modified' ELSE 'ok:' || inserted || '+' || updated || 'u' END END AS last_status
       FROM run_sources s LEFT JOIN run_counts c ON c.id = s.id UNION ALL SELECT max(id) + 1, '{NEW_FEED}', NULL, NULL FROM sources""", "run_counts")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import demo
+from ..operators.item_store import ItemStore
+from ..operators.upsert import ITEM_COLUMNS
 from ..session import materialize, scratch_path
 from ..streaming import jobs
 from .base import NOW, check
@@ -57,13 +59,12 @@ def stream_unique_entries(spark, d):
       s AS (SELECT *, lead(ts) OVER w AS until, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 12 HOUR THEN 1 ELSE 0 END AS starts FROM v WINDOW w AS (PARTITION BY profile_id, item_id ORDER BY ts)),
       g AS (SELECT *, sum(starts) OVER (PARTITION BY profile_id, item_id ORDER BY ts) AS reading FROM s)
       SELECT profile_id, item_id, min(ts) AS started_at, floor(sum(CASE WHEN visible AND until < ts + INTERVAL 12 HOUR THEN (epoch_us(until) - epoch_us(ts)) / 1e6 ELSE 0 END) + 0.5)::bigint AS seconds
-      FROM g GROUP BY profile_id, item_id, reading HAVING floor(sum(CASE WHEN visible AND until < ts + INTERVAL 12 HOUR THEN (epoch_us(until) - epoch_us(ts)) / 1e6 ELSE 0 END) + 0.5) >= 5
-      AND max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+      FROM g GROUP BY profile_id, item_id, reading HAVING floor(sum(CASE WHEN visible AND until < ts + INTERVAL 12 HOUR THEN (epoch_us(until) - epoch_us(ts)) / 1e6 ELSE 0 END) + 0.5) >= 5""")
 def stream_dwell_sessions(spark, d):
     events = jobs.file_stream(spark, d, demo.table(spark, d, "events").schema, glob="events.parquet")
     e = F.col("event_id")
     v = events.select(F.concat(F.lit("p"), "user_id").alias("profile_id"), (F.floor(e / 200) % 5).alias("item_id"), F.col("ts").cast("timestamp").alias("ts"), (e % 4 > 0).alias("visible"))
-    return jobs.drain(jobs.dwell_sessions(v, "12 hours"), "dwell")
+    return jobs.read_times(jobs.drain_updates(jobs.dwell_sessions(v, "12 hours"), jobs.DWELL_KEY, "dwell"))
 
 
 @check("stream_affinities", "SELECT profile_id, dimension, key, round(weight, 6) AS weight, updated_at FROM affinities", "affinities")
@@ -81,13 +82,30 @@ def stream_affinities(spark, d):
     return jobs.stream_affinities(spark, out).withColumn("weight", F.round("weight", 6))
 
 
-@check("stream_ingest", "SELECT source_id, guid FROM stored UNION SELECT source_id, guid FROM clean_rows", "stored clean_rows")
+STREAMED = [c for c in ITEM_COLUMNS if c not in ("id", "content_html", "topics")]
+
+
+@check("stream_ingest", f"""WITH sides AS (SELECT s.id, coalesce(c.source_id, s.source_id) AS source_id, coalesce(c.guid, s.guid) AS guid, c.guid IS NOT NULL AS landed, s.guid IS NOT NULL AS known,
+        c, s FROM (SELECT * FROM items WHERE id % 3 <> 0) s FULL JOIN cleaned c ON c.source_id = s.source_id AND c.guid = s.guid)
+      SELECT id, source_id, guid, CASE WHEN landed THEN c.author ELSE s.author END AS author, CASE WHEN landed THEN c.title ELSE s.title END AS title, CASE WHEN landed THEN c.url ELSE s.url END AS url,
+        CASE WHEN landed THEN c.canonical_url ELSE s.canonical_url END AS canonical_url, CASE WHEN landed THEN c.excerpt ELSE s.excerpt END AS excerpt, NULL::varchar AS image_url,
+        CASE WHEN landed THEN c.published_at ELSE s.published_at END AS published_at, CASE WHEN landed THEN c.updated_at END AS source_updated_at,
+        CASE WHEN landed THEN c.content_fingerprint ELSE s.content_fingerprint END AS content_fingerprint, CASE WHEN landed THEN c.word_count ELSE s.word_count END AS word_count,
+        CASE WHEN NOT landed THEN s.status WHEN known AND c.status = 'active' THEN 'updated' ELSE c.status END AS status, NULL::varchar AS correction_note,
+        CASE WHEN known THEN s.fetched_at ELSE {NOW} END AS fetched_at, CASE WHEN landed THEN {NOW} ELSE s.updated_at END AS updated_at,
+        CASE WHEN known THEN s.published_at ELSE {NOW} END AS first_seen_at, CASE WHEN landed THEN {NOW} ELSE s.published_at END AS last_seen_at,
+        CASE WHEN known THEN s.verification_status ELSE c.verification_status END AS verification_status, CASE WHEN NOT landed THEN s.cluster_id END AS cluster_id,
+        md5(CASE WHEN landed THEN c.body ELSE s.content_html END) AS body, CASE WHEN landed THEN c.topics ELSE array_to_string(s.topics, ',') END AS topics FROM sides""", "items cleaned")
 def stream_ingest(spark, d):
+    """Two halves of the entries land as files, each file a micro-batch; ids are those of known items."""
     raw = raw_entries(spark, d)
-    path, out = scratch_path(spark, "raw"), scratch_path(spark, "ingest")
+    path = scratch_path(spark, "raw")
     for half in (0, 1):
         raw.filter(F.col("ord") % 2 == half).write.mode("append").parquet(path)
     stored = materialize(demo.items(spark, d).filter("id % 3 <> 0"), "stored")
-    stream = jobs.file_stream(spark, path, raw.schema, files_per_batch=1)
-    jobs.ingest_stream(stream, demo.sources(spark, d), stored, out, scratch_path(spark, "cp"), demo.now(), demo.TEST_TAXONOMY)
-    return jobs.stream_items(spark, stored, out).select("source_id", "guid")
+    store = ItemStore.create(scratch_path(spark, "store"), stored, buckets=8)
+    top = store.facts["top_id"]
+    stream = jobs.file_stream(spark, path, raw.schema, files_per_batch=4)
+    jobs.ingest_stream(stream, materialize(demo.sources(spark, d), "sources"), store, scratch_path(spark, "cp"), demo.now(), demo.TEST_TAXONOMY)
+    known = F.when(F.col("id") <= top, F.col("id")).alias("id")
+    return store.items().select(known, *STREAMED, F.md5("content_html").alias("body"), F.array_join("topics", ",").alias("topics"))

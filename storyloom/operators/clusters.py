@@ -89,7 +89,12 @@ def roots(edges: DataFrame) -> DataFrame:
 
 def assign_clusters(items: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(id, root, cluster): newly clustered items with the root item of their tree and, if any, its existing cluster."""
-    matches = materialize(best_matches(items, hot_bucket).filter("cluster_id IS NULL"), "matches")
+    return assign_matched(best_matches(items, hot_bucket))
+
+
+def assign_matched(matches: DataFrame) -> DataFrame:
+    """As ``assign_clusters``, from the best matches of the items."""
+    matches = materialize(matches.filter("cluster_id IS NULL"), "matches")
     blocked = blocked_items(matches)
     acting = matches.join(blocked, "id", "left_anti").select("id", F.col("match_id").alias("parent"), F.col("match_cluster").alias("cluster"))
     walked = roots(acting)

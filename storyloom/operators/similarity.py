@@ -91,9 +91,15 @@ def _candidates(rows: DataFrame) -> DataFrame:
 
 
 def _bucket_pairs(buckets: DataFrame) -> DataFrame:
-    a = buckets.select("token", F.struct("set_id", "tokens", "n", "prefix", "e1", "e2").alias("a"))
-    b = buckets.select("token", F.struct("set_id", "tokens", "n", "prefix", "e1", "e2").alias("b"))
-    return _verified(a.join(b, "token").filter(F.col("a.set_id") < F.col("b.set_id")))
+    """Pairs of a bucket; where the sets say whether they are ``fresh``, only those with a fresh side."""
+    a = buckets.select("token", F.struct("set_id", "tokens", "n", "prefix", "e1", "e2", *_mark(buckets)).alias("a"))
+    b = buckets.select("token", F.struct("set_id", "tokens", "n", "prefix", "e1", "e2", *_mark(buckets)).alias("b"))
+    pairs = a.join(b, "token").filter(F.col("a.set_id") < F.col("b.set_id"))
+    return _verified(pairs.filter(F.col("a.fresh") | F.col("b.fresh")) if _mark(buckets) else pairs)
+
+
+def _mark(sets: DataFrame) -> list[str]:
+    return ["fresh"] if "fresh" in sets.columns else []
 
 
 def _subset_candidates(sets: DataFrame) -> DataFrame:
@@ -149,8 +155,14 @@ def best_matches(items: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
 
     Highest similarity wins, then the highest id. Equal canonical URLs count as similarity 1.
     """
-    items = items.select("id", "source_id", "title", "canonical_url", "cluster_id")
+    tokens = F.sort_array(T.title_tokens(F.col("title")))
+    items = items.select("id", "source_id", "canonical_url", "cluster_id", tokens.alias("tokens"), "title")
     sets = materialize(order_by_rarity(materialize(story_sets(items), "folded-sets")), "story-sets")
+    return matches_among(items.drop("title"), sets, hot_bucket)
+
+
+def matches_among(items: DataFrame, sets: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """As ``best_matches``, for items with ``tokens`` whose distinct token sets, with prefixes, are at hand."""
     near = similar_sets(sets, hot_bucket).withColumnsRenamed({"e1": "n1", "e2": "n2"})
     known = sets.select("set_id", "tokens", "e1", "e2").join(near, "set_id", "left").drop("set_id")
     urls = _two_best(
@@ -159,9 +171,8 @@ def best_matches(items: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     ).filter(F.col("e2").isNotNull()).withColumnsRenamed({"e1": "u1", "e2": "u2"})
     # Titles without tokens and empty addresses match nothing, so they get no key that would gather them.
     lone = F.concat(F.lit("-"), F.col("id").cast("string"))
-    tokens = F.sort_array(T.title_tokens(F.col("title")))
     rows = (
-        items.withColumn("tokens", tokens).withColumn("tokens", F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(lone)))
+        items.withColumn("tokens", F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(lone)))
         .withColumn("canonical_url", F.when(F.col("canonical_url") != "", F.col("canonical_url")).otherwise(lone))
         .join(known, "tokens", "left").join(urls, "canonical_url", "left")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialize
 
 KEY = ["source_id", "guid"]
 CONTENT = [
@@ -118,10 +118,30 @@ def assign_ids(rows: DataFrame, existing: DataFrame, partitions: int | None = No
     return fresh.unionByName(rows.filter("action <> 'insert'"))
 
 
+def dense_ids(rows: DataFrame, top: int, order: list[str], name: str = "new_id") -> DataFrame:
+    """The ``order`` columns of the rows and a number above ``top``, without gaps, in their order.
+
+    The rows are sorted over many tasks; how many each holds, one count a task, shifts its numbers.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.select(*order).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = materialize(placed.select(*order, F.spark_partition_id().alias("__task"), in_task.alias("__place")), "numbered")
+    starts, at = [], top + 1
+    for r in placed.groupBy("__task").agg(F.count("*").alias("n")).orderBy("__task").collect():
+        starts.append((r["__task"], at))
+        at += r.n
+    starts = F.broadcast(rows.sparkSession.createDataFrame(starts, "__task int, __start bigint"))
+    return placed.join(starts, "__task").select(*order, (F.col("__start") + F.col("__place")).alias(name))
+
+
 def apply_upsert(existing: DataFrame, rows: DataFrame) -> DataFrame:
-    """The whole table after the upsert: untouched rows plus the touched ones."""
-    untouched = existing.join(rows.select(*KEY), KEY, "left_anti").select(*ITEM_COLUMNS)
-    return untouched.unionByName(rows.select(*ITEM_COLUMNS))
+    """The whole table after the upsert: untouched rows plus the touched ones. A date partition column stays one."""
+    fresh, columns = rows.select(*ITEM_COLUMNS), ITEM_COLUMNS
+    if DATE in existing.columns:
+        fresh, columns = fresh.withColumn(DATE, F.to_date("published_at")), [*ITEM_COLUMNS, DATE]
+    untouched = existing.join(rows.select(*KEY), KEY, "left_anti").select(*columns)
+    return untouched.unionByName(fresh)
 
 
 def sync_registry(stored: DataFrame, registry: DataFrame) -> DataFrame:

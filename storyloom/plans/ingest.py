@@ -13,6 +13,8 @@ from ..functions.urls import canonicalize_url
 from ..operators import filters as L
 from ..operators import upsert as U
 from ..operators.clusters import Clustered, cluster_and_verify
+from ..operators.increments import cluster_changes
+from ..operators.item_store import ItemStore
 from ..operators.upsert import Upsert, assign_ids, plan_upsert
 from ..session import broadcast_if_small, materialize
 
@@ -61,12 +63,14 @@ def ingest_entries(raw: DataFrame, sources: DataFrame, items: DataFrame, now: Co
     """The whole ingest step. ``raw`` carries its arrival order in ``ord``."""
     cleaned = clean_entries(raw, sources, now, taxonomy)
     plan: Upsert = plan_upsert(items, cleaned, now, cut=lambda df: materialize(df, "upsert"))
-    counts = plan.rows.groupBy("source_id").agg(
-        F.count_if(F.col("action") == "insert").alias("inserted"), F.sum("n_changed").alias("updated")
-    )
+    return Ingest(assign_ids(plan.rows, items), plan.versions, _counts(raw, plan.rows))
+
+
+def _counts(raw: DataFrame, rows: DataFrame) -> DataFrame:
+    """Per source: entries fetched, and items inserted and updated."""
+    counts = rows.groupBy("source_id").agg(F.count_if(F.col("action") == "insert").alias("inserted"), F.sum("n_changed").alias("updated"))
     fetched = raw.groupBy("source_id").agg(F.count("*").alias("fetched"))
-    stats = fetched.join(counts, "source_id", "left").na.fill(0, ["inserted", "updated"])
-    return Ingest(assign_ids(plan.rows, items), plan.versions, stats)
+    return fetched.join(counts, "source_id", "left").na.fill(0, ["inserted", "updated"])
 
 
 class IngestRun(NamedTuple):
@@ -87,6 +91,28 @@ def synced_sources(stored: DataFrame, registry: DataFrame) -> DataFrame:
     return merged.filter("id IS NOT NULL").unionByName(fresh.withColumn("id", top + 1 + F.monotonically_increasing_id()))
 
 
+class _Due(NamedTuple):
+    sources: DataFrame  # the registry after sync
+    raw: DataFrame  # landed entries of due sources
+    attempts: DataFrame  # their fetches, with the source's name
+
+
+def _due(registry: DataFrame, sources: DataFrame, raw: DataFrame, attempts: DataFrame, now: Column) -> _Due:
+    c = F.col
+    known = materialize(synced_sources(sources, registry), "sources")
+    due = broadcast_if_small(L.due_sources(L.active_sources(known), now).select(c("id").alias("source_id")))
+    names = known.select(c("id").alias("source_id"), c("name").alias("source"))
+    tried = attempts.join(due, "source_id", "left_semi").join(names, "source_id", "left")
+    return _Due(known, raw.join(due, "source_id", "left_semi"), tried)
+
+
+def _run(due: _Due, rows: DataFrame, versions: DataFrame, stats: DataFrame, cluster) -> IngestRun:
+    tried = due.attempts.join(stats, "source_id", "left").na.fill(0, ["fetched", "inserted", "updated"])
+    tried = materialize(tried, "attempts")
+    clustered = cluster() if rows.filter("action <> 'seen'").limit(1).count() else None
+    return IngestRun(U.fetch_ledger(due.sources, tried), rows, versions, U.ingest_stats(tried), U.ingest_errors(tried), clustered)
+
+
 def ingest_run(
     registry: DataFrame, sources: DataFrame, raw: DataFrame, attempts: DataFrame, items: DataFrame, clusters: DataFrame, now: Column, taxonomy=None
 ) -> IngestRun:
@@ -95,15 +121,21 @@ def ingest_run(
     ``attempts``: source_id, at, error, not_modified of the fetches. Entries and attempts of sources that are not
     active or not due are left out.
     """
-    c = F.col
-    known = materialize(synced_sources(sources, registry), "sources")
-    due = L.due_sources(L.active_sources(known), now).select(c("id").alias("source_id"))
-    done = ingest_entries(raw.join(broadcast_if_small(due), "source_id", "left_semi"), known, items, now, taxonomy)
+    due = _due(registry, sources, raw, attempts, now)
+    done = ingest_entries(due.raw, due.sources, items, now, taxonomy)
     rows, stats = materialize(done.rows, "rows"), materialize(done.stats, "stats")
-    names = known.select(c("id").alias("source_id"), c("name").alias("source"))
-    tried = attempts.join(broadcast_if_small(due), "source_id", "left_semi").join(stats, "source_id", "left").join(names, "source_id", "left")
-    tried = materialize(tried.na.fill(0, ["fetched", "inserted", "updated"]), "attempts")
-    clustered = None
-    if rows.filter("action <> 'seen'").limit(1).count():
-        clustered = cluster_and_verify(U.apply_upsert(items, rows), known, clusters, now)
-    return IngestRun(U.fetch_ledger(known, tried), rows, done.versions, U.ingest_stats(tried), U.ingest_errors(tried), clustered)
+    return _run(due, rows, done.versions, stats, lambda: cluster_and_verify(U.apply_upsert(items, rows), due.sources, clusters, now))
+
+
+def ingest_run_into(
+    store: ItemStore, registry: DataFrame, sources: DataFrame, raw: DataFrame, attempts: DataFrame, now: Column, taxonomy=None, number: int | None = None
+) -> IngestRun:
+    """As ``ingest_run``, into an item store: keys, bodies and clusters of what landed are looked up, nothing else is read.
+
+    With a ``number`` the upsert of a run that is tried again is not repeated; its counts then are zero.
+    """
+    due = _due(registry, sources, raw, attempts, now)
+    entries = materialize(clean_entries(due.raw, due.sources, now, taxonomy), "entries")
+    done = store.upsert(entries.limit(0) if number is not None and store.has_done(number) else entries, now, number)
+    stats = materialize(_counts(due.raw, done.rows), "stats")
+    return _run(due, done.rows, done.versions, stats, lambda: cluster_changes(store, due.sources, now))

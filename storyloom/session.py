@@ -54,17 +54,36 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _WRITTEN: list[str] = []
 
 
-def release_scratch(spark: SparkSession) -> int:
-    """Delete the tables that ``materialize`` wrote, once no result that reads them is wanted; returns their number."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _WRITTEN:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(conf).delete(place, True)
-    n = len(_WRITTEN)
-    _WRITTEN.clear()
+def _hadoop(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    place, files = _hadoop(spark, path)
+    files.delete(place, True)
+
+
+def list_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """The files and folders that match a glob, in any file system that Spark reads."""
+    place, files = _hadoop(spark, pattern)
+    return [str(status.getPath().toString()) for status in files.globStatus(place) or []]
+
+
+def release_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that ``materialize`` wrote after its first ``since`` ones, once no result that reads them is
+    wanted; returns their number. ``scratch_count`` at the start of a job limits this to what the job wrote."""
+    for path in _WRITTEN[since:]:
+        delete_path(spark, path)
+    n = len(_WRITTEN) - since
+    del _WRITTEN[since:]
     return n
 
 
+def scratch_count() -> int:
+    return len(_WRITTEN)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing a table to the shared folder and reading it back; see ``release_scratch``."""
     path = scratch_path(df.sparkSession, name)

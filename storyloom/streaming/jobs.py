@@ -10,15 +10,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import constants as K
 from ..operators import affinity, feed
-from ..operators.upsert import ITEM_COLUMNS, KEY, assign_ids, plan_upsert
+from ..operators.increments import cluster_changes
+from ..operators.item_store import ItemStore
+from ..operators.upsert import KEY
 from ..plans.ingest import clean_entries
-from ..session import materialize, scratch_path
+from ..session import release_scratch, scratch_count, scratch_path
 
 
 COMPACT_EVERY = 20
@@ -103,41 +108,36 @@ def unique_entries(stream: DataFrame, delay: str = STORY_DELAY) -> DataFrame:
 
 
 def ingest_stream(
-    raw: DataFrame, sources: DataFrame, items: DataFrame, out: str, checkpoint: str, now: Column | Callable[[], Column], taxonomy=None,
-    once_within: str | None = None, every: str | None = None,
+    raw: DataFrame, sources: DataFrame, store: ItemStore, checkpoint: str, now: Column | Callable[[], Column], taxonomy=None,
+    once_within: str | None = None, every: str | None = None, clusters: bool = False, merge_every: int = COMPACT_EVERY,
 ):
-    """Continuous upsert: ``items`` is the table the stream starts from, ``out`` holds ``rows`` and ``versions`` logs.
+    """Continuous upsert into an item store: a micro-batch looks up and rewrites what it touches.
 
+    A batch is one commit, marked with its number, so that a batch that is replayed after a stop changes nothing.
     ``now`` may be a function, called for every batch. With ``once_within`` (a delay such as ``STORY_DELAY``) an
-    entry that lands again unchanged within it is dropped on the way; it then is not seen again either.
+    entry that lands again unchanged within it is dropped on the way; it then is not seen again either. With
+    ``clusters`` the titles that changed are clustered after each batch. Every ``merge_every`` batches the store is
+    merged and what no reader of the last two states needs is deleted.
     """
-    spark = raw.sparkSession
-    schema = T.StructType([items.schema[c] for c in ITEM_COLUMNS])
-    start_log(spark, f"{out}/rows", schema)
     if once_within:
         content = F.sha2(F.to_json(F.struct(*[c for c in raw.columns if c != "ord"])), 256)
         raw = unique_entries(raw.withColumn("fingerprint", content), once_within).drop("fingerprint")
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        begun = scratch_count()
         at = now() if callable(now) and not isinstance(now, Column) else now
-        changed = latest(spark, f"{out}/rows", schema, KEY, before=batch_id)
-        current = items.select(*ITEM_COLUMNS).join(changed, KEY, "left_anti").unionByName(changed)
-        cleaned = clean_entries(batch, sources, at, taxonomy)
-        plan = plan_upsert(current, cleaned, at, cut=lambda df: materialize(df, "stream-upsert"))
-        rows = assign_ids(plan.rows, current).select(*ITEM_COLUMNS)
-        rows.write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
-        plan.versions.write.mode("overwrite").parquet(f"{out}/versions/batch_id={batch_id}")
-        compact(spark, f"{out}/rows", schema, KEY, batch_id)
+        if not store.has_done(batch_id):
+            store.upsert(clean_entries(batch, sources, at, taxonomy), at, batch_id)
+        if clusters:
+            cluster_changes(store, sources, at)
+        if batch_id % merge_every == merge_every - 1:
+            store.merge(most=1)
+            store.vacuum()
+        release_scratch(store.spark, begun)
 
     return run_batches(raw, each, checkpoint, every=every)
 
 
-def stream_items(spark: SparkSession, items: DataFrame, out: str) -> DataFrame:
-    schema = T.StructType([items.schema[c] for c in ITEM_COLUMNS])
-    changed = latest(spark, f"{out}/rows", schema, KEY)
-    return items.select(*ITEM_COLUMNS).join(changed, KEY, "left_anti").unionByName(changed)
-
-
 AFFINITY_SCHEMA = T.StructType([
     T.StructField("profile_id", T.StringType()), T.StructField("dimension", T.StringType()), T.StructField("key", T.StringType()),
     T.StructField("weight", T.DoubleType()), T.StructField("updated_at", T.TimestampType()),
@@ -191,18 +191,76 @@ def activity_at(hours: DataFrame, now: Column) -> DataFrame:
     return hours.groupBy("slug").agg(F.tanh(F.sum(F.col("mass") * _halved(left)) / K.ACTIVITY_SCALE).alias("activity"))
 
 
-def dwell_sessions(visibility: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Visible seconds per reading session; a session's own events are all that is held."""
-    events = visibility.withWatermark("ts", delay).groupBy("profile_id", "item_id", F.session_window("ts", gap).alias("w")).agg(
-        F.sort_array(F.collect_list(F.struct("ts", "visible"))).alias("e")
-    )
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("timestamp").alias("since"))
+DWELL_KEY = ["profile_id", "item_id", "started_at"]
+WITHDRAWN = -1
+_DWELL_STATE = "started bigint, visible_for bigint, last bigint, last_visible boolean, times array<bigint>, visible array<boolean>, shown array<bigint>"
 
-    def step(a: Column, x: Column) -> Column:
-        gone = F.when(a["since"].isNotNull(), (F.unix_micros(x["ts"]) - F.unix_micros(a["since"])) / F.lit(1e6)).otherwise(F.lit(0.0))
-        return F.struct((a["s"] + gone).alias("s"), F.when(x["visible"], x["ts"]).alias("since"))
 
-    seconds = F.floor(F.aggregate("e", start, step)["s"] + 0.5).cast("bigint")
-    return events.select("profile_id", "item_id", F.col("w.start").alias("started_at"), seconds.alias("seconds")).filter(
-        F.col("seconds") >= K.MIN_DWELL_SECONDS
-    )
+def read_sessions(ts: np.ndarray, visible: np.ndarray, gap: int, started: int | None = None, visible_for: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First place, start and visible microseconds of each session of events in order of time.
+
+    ``started`` and ``visible_for`` continue a session whose latest event is the first one given.
+    """
+    steps = np.diff(ts)
+    first = np.concatenate([[0], np.flatnonzero(steps >= gap) + 1])
+    seen = np.append(np.where(visible[:-1] & (steps < gap), steps, 0), 0)
+    starts, sums = ts[first], np.add.reduceat(seen, first)
+    if started is not None:
+        starts[0], sums[0] = started, sums[0] + visible_for
+    return first, starts, sums
+
+
+def dwell_sessions(visibility: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Visible seconds per reading session so far; to be run in update mode with the keys ``DWELL_KEY``.
+
+    The state of a (profile, item) is the running sum and the latest event of its open session, and the events of
+    the last ``delay``, which may still come out of order; a timer drops it once the session can no longer grow. A
+    session comes out with each batch that touches it, so open ones are there at the end of a run. When a late event
+    moves the start of a session, its row under the old start comes out with ``WITHDRAWN`` seconds. Events later than
+    ``delay`` are dropped.
+    """
+    span = visibility.sparkSession.range(1).select(F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {gap}")).alias("us")).first().us
+
+    def step(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        water = state.getCurrentWatermarkMs() * 1000
+        started, visible_for, last, last_visible, times, shown_as, out = state.get if state.exists else (None, 0, None, None, [], [], [])
+        fresh = [(b["ts"].astype("datetime64[us]").astype("int64").to_numpy(), b["visible"].to_numpy(bool)) for b in batches]
+        ts = np.concatenate([np.array(times, np.int64), *(t for t, _ in fresh)])
+        visible = np.concatenate([np.array(shown_as, bool), *(v for _, v in fresh)])
+        on_time = np.arange(len(ts)) < len(times)
+        on_time |= ts > water
+        ts, visible = ts[on_time], visible[on_time]
+        if not len(ts) and not state.exists:
+            return
+        order = np.lexsort((visible, ts))
+        ts, visible = ts[order], visible[order]
+        if started is not None:
+            ts, visible = np.insert(ts, 0, last), np.insert(visible, 0, last_visible)
+        _, starts, sums = read_sessions(ts, visible, span, started, visible_for)
+        rows = [(s, int(v / 1e6 + 0.5)) for s, v in zip(starts.tolist(), sums.tolist(), strict=True)]
+        rows += [(s, WITHDRAWN) for s in out if s not in starts]
+        # Events up to the watermark are settled: the open session goes on from the last of them.
+        settled = int(np.searchsorted(ts, water, side="right")) if started is None else max(1, int(np.searchsorted(ts, water, side="right")))
+        if settled:
+            first, opened, summed = read_sessions(ts[:settled], visible[:settled], span, started, visible_for)
+            started, visible_for, last, last_visible = int(opened[-1]), int(summed[-1]), int(ts[settled - 1]), bool(visible[settled - 1])
+        pending = [s for s in starts.tolist() if started is None or s >= started]
+        state.update((started, visible_for, last, last_visible, ts[settled:].tolist(), visible[settled:].tolist(), pending))
+        state.setTimeoutTimestamp(max((int(ts[-1]) + span) // 1000, water // 1000) + 1)
+        yield pd.DataFrame({
+            "profile_id": key[0], "item_id": key[1], "started_at": pd.to_datetime([s for s, _ in rows], unit="us", utc=True),
+            "seconds": np.array([v for _, v in rows], np.int64),
+        })
+
+    events = visibility.select("profile_id", "item_id", "ts", "visible").withWatermark("ts", delay)
+    kinds = {f.name: f.dataType.simpleString() for f in visibility.schema}
+    out = f"profile_id {kinds['profile_id']}, item_id {kinds['item_id']}, started_at timestamp, seconds bigint"
+    return events.groupBy("profile_id", "item_id").applyInPandasWithState(step, out, _DWELL_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def read_times(sessions: DataFrame) -> DataFrame:
+    """The sessions that count: those with a start that still holds and enough visible time."""
+    return sessions.filter(F.col("seconds") >= K.MIN_DWELL_SECONDS)

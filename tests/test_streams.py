@@ -74,3 +74,62 @@ def test_unique_entries_of_any_admitted_age(spark, tmp_path):
     stream = jobs.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, files_per_batch=1)
     got = jobs.drain(jobs.unique_entries(stream), "unique")
     assert sorted(map(tuple, got.select("guid", "fingerprint").collect())) == sorted({(r[1], r[2]) for r in rows})
+
+
+def plain_sessions(events, gap):
+    """(profile, item, start, seconds) by going through each reader's events in order."""
+    found, by = [], {}
+    for p, i, ts, visible in sorted(events):
+        by.setdefault((p, i), []).append((ts, visible))
+    for key, rows in by.items():
+        session = None
+        for ts, visible in rows:
+            if session is None or ts - session["last"] >= gap:
+                session = {"start": ts, "last": ts, "since": None, "sum": datetime.timedelta()}
+                found.append((key, session))
+            elif session["since"] is not None:
+                session["sum"] += ts - session["since"]
+            session["last"], session["since"] = ts, ts if visible else None
+    return sorted((*k, s["start"], int(s["sum"].total_seconds() + 0.5)) for k, s in found if s["sum"].total_seconds() >= 4.5)
+
+
+def test_dwell_sessions_open_late_and_restarted(spark, tmp_path):
+    """Events in files that overlap by less than the delay, a stop between; open sessions are there after each run."""
+    rng = random.Random(6)
+    gap = datetime.timedelta(minutes=30)
+    events = sorted(
+        ((f"p{rng.randint(0, 2)}", rng.randint(0, 1), START + datetime.timedelta(seconds=rng.randint(0, 60_000), microseconds=rng.choice([0, 400_000])), rng.random() < 0.7) for _ in range(260)),
+        key=lambda e: e[2],
+    )
+    events += [("p9", 1, START, True), ("p9", 1, START, False), ("p9", 1, START + datetime.timedelta(minutes=5), True), ("p9", 1, START + datetime.timedelta(minutes=35), True)]
+    events.sort(key=lambda e: e[2])
+    # Each event may land one file late, by less than the delay.
+    files = [[] for _ in range(8)]
+    for n, e in enumerate(events):
+        at = min(7, n * 8 // len(events))
+        late = at < 7 and (n * 8 / len(events)) % 1 > 0.85 and rng.random() < 0.5
+        files[at + late].append(e)
+    schema, path = "profile_id string, item_id bigint, ts timestamp, visible boolean", str(tmp_path / "in")
+    out, cp, landed = str(tmp_path / "out"), str(tmp_path / "cp"), []
+    for part in (files[:3], files[3:7], files[7:]):
+        for rows in part:
+            landed += rows
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = jobs.file_stream(spark, path, spark.createDataFrame([], schema).schema, files_per_batch=1)
+        got = jobs.read_times(jobs.drain_updates(jobs.dwell_sessions(stream, "30 minutes", "40 minutes"), jobs.DWELL_KEY, "dwell", out, cp))
+        assert sorted(tuple(r) for r in got.select("profile_id", "item_id", "started_at", "seconds").collect()) == plain_sessions(landed, gap)
+    assert len(plain_sessions(landed, gap)) > 20
+
+
+def test_sessions_of_a_hot_reader():
+    """A session's sum does not depend on where its events were settled."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    ts = np.cumsum(rng.integers(0, 40, 5000))
+    visible = rng.random(5000) < 0.5
+    _, starts, sums = jobs.read_sessions(ts, visible, 38)
+    for cut in (1, 17, 2500, 4999):
+        first, opened, summed = jobs.read_sessions(ts[:cut], visible[:cut], 38)
+        _, rest, more = jobs.read_sessions(ts[cut - 1 :], visible[cut - 1 :], 38, opened[-1], summed[-1])
+        assert [*opened[:-1], *rest] == starts.tolist() and [*summed[:-1], *more] == sums.tolist()
