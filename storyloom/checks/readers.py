@@ -410,14 +410,23 @@ TABLES["title_pairs"] = (
 )
 
 
-@check("similar_titles", """WITH t AS (SELECT list_sort(a) AS a, min(id) AS rep, min(source_id) AS lo, max(source_id) AS hi FROM tokens WHERE len(a) > 0 GROUP BY 1),
+SIMILAR_SQL = """WITH t AS (SELECT list_sort(a) AS a, min(id) AS rep, min(source_id) AS lo, max(source_id) AS hi FROM tokens WHERE len(a) > 0 GROUP BY 1),
       p AS (SELECT x.rep AS a, y.rep AS b, len(list_intersect(x.a, y.a)) AS shared, len(x.a) AS n, len(y.a) AS m FROM t x JOIN t y ON x.rep < y.rep AND (x.lo <> y.hi OR x.hi <> y.lo)
         AND 2 * least(len(x.a), len(y.a)) >= greatest(len(x.a), len(y.a)))
-      SELECT a, b, round(shared::double / (n + m - shared), 6) AS similarity FROM p WHERE 3 * shared >= n + m""", "tokens")
+      SELECT a, b, round(shared::double / (n + m - shared), 6) AS similarity FROM p WHERE 3 * shared >= n + m"""
+
+
+@check("similar_titles", SIMILAR_SQL, "tokens")
 def similar_titles(spark, d):
     return similarity.title_pairs(demo.items(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
+@check("similar_titles_crowded", SIMILAR_SQL, "tokens")
+def similar_titles_crowded(spark, d):
+    """The path for crowded token buckets, forced by a low bound."""
+    return similarity.title_pairs(demo.items(spark, d), hot_bucket=6).withColumn("similarity", F.round("similarity", 6))
+
+
 @check("title_sets", "SELECT id, source_id, min(id) OVER (PARTITION BY list_sort(a)) AS set_id FROM tokens WHERE len(a) > 0", "tokens")
 def title_sets(spark, d):
     return similarity.title_sets(demo.items(spark, d)).drop("tokens")

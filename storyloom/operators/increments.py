@@ -2,8 +2,8 @@
 
 After a run every item that has a match in the window is in a cluster. So an item without one can only gain a
 match through a title that is new or changed since, and the pairs of such titles with all others, looked at from
-both sides, are all that a next run needs. They meet through the stored prefixes of the titles; sets that share
-no prefix token with a new title are not read beyond that column.
+both sides, are all that a next run needs. They meet through the rarest tokens of the stored titles; a title
+that shares none of these with a new one is not looked at further.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from ..functions.text import cluster_key
 from ..session import broadcast_if_small, materialize
 from .clusters import Clustered, assign_matched, verification
 from .item_store import ItemStore
-from .similarity import HOT_BUCKET, _two_best, matches_among
+from .similarity import HOT_BUCKET, _two_best, matches_among, prefix_of
 from .upsert import DATE, dense_ids
 
 
@@ -27,8 +27,8 @@ def touched_titles(titles: DataFrame, after: int) -> DataFrame:
     """
     titles = titles.withColumn("fresh", F.col("changed") > after)
     new = titles.where("fresh")
-    tokens = new.select(F.explode("prefix").alias("token")).distinct()
-    near = titles.select("id", F.explode("prefix").alias("token")).join(broadcast_if_small(tokens), "token", "left_semi").select("id")
+    tokens = new.select(F.explode(prefix_of(F.col("ranked"))).alias("token")).distinct()
+    near = titles.select("id", F.explode(prefix_of(F.col("ranked"))).alias("token")).join(broadcast_if_small(tokens), "token", "left_semi").select("id")
     urls = new.where("canonical_url <> ''").select("canonical_url").distinct()
     there = titles.select("id", "canonical_url").join(broadcast_if_small(urls), "canonical_url", "left_semi").select("id")
     return titles.join(near.unionByName(there).distinct(), "id", "left_semi")
@@ -40,12 +40,12 @@ def fresh_matches(titles: DataFrame, places: DataFrame, after: int, hot_bucket:
     ``places`` has ``id`` and ``cluster_id`` of the same items. Rows of items that are in a cluster are not to be used.
     """
     rows = touched_titles(titles, after).join(places.select("id", "cluster_id"), "id")
-    rows = materialize(rows.select("id", "source_id", "canonical_url", "cluster_id", "tokens", "prefix", "fresh"), "touched-titles")
+    rows = materialize(rows.select("id", "source_id", "canonical_url", "cluster_id", "tokens", "ranked", "fresh"), "touched-titles")
     worded = rows.where(F.size("tokens") > 0)
     entries = _two_best(worded.select("tokens", F.lit(1.0).alias("sim"), "id", "source_id", "cluster_id"), "tokens")
-    about = worded.groupBy("tokens").agg(F.max("fresh").alias("fresh"), F.first("prefix").alias("prefix"))
-    sets = entries.join(about, "tokens").select(F.col("e1.id").alias("set_id"), "tokens", F.size("tokens").alias("n"), "e1", "e2", "prefix", "fresh")
-    return matches_among(rows.drop("prefix", "fresh"), materialize(sets, "touched-sets"), hot_bucket)
+    about = worded.groupBy("tokens").agg(F.max("fresh").alias("fresh"), F.first("ranked").alias("ranked"))
+    sets = entries.join(about, "tokens").select(F.col("e1.id").alias("set_id"), "tokens", F.size("tokens").alias("n"), "e1", "e2", "ranked", "fresh")
+    return matches_among(rows.drop("ranked", "fresh"), materialize(sets, "touched-sets"), hot_bucket)
 
 
 def cluster_changes(store: ItemStore, sources: DataFrame, now: Column, hot_bucket: int = HOT_BUCKET) -> Clustered:

@@ -4,8 +4,7 @@
   its old date when it moves.
 * ``keys``: for every key its id, date and fingerprint, by hash bucket. A batch looks its keys up in its own buckets
   and then opens the bodies of the dates that hold one, so its cost follows the batch and not the table.
-* ``titles``: for every item its title tokens and their rarest ones, under an order of tokens that is frozen when
-  the store is made, by date. New titles probe it (see ``increments``).
+* ``titles``: for every item its title tokens, rarest first under an order that is frozen when the store is made, by date. New titles probe it (see ``increments``).
 * ``places``: what clustering decides about an item, newer than its body, by date. It is laid over the bodies when
   they are read, and folded into them when a date is merged.
 * ``versions`` and ``clusters`` only grow.
@@ -31,23 +30,22 @@ MOST_VERSIONS = 8
 PLACE = ["cluster_id", "verification_status"]
 
 _KEYS = "source_id bigint, guid string, id bigint, day date, content_fingerprint string"
-_TITLES = "id bigint, source_id bigint, title string, canonical_url string, published_at timestamp, tokens array<string>, prefix array<string>, changed bigint"
+_TITLES = "id bigint, source_id bigint, title string, canonical_url string, published_at timestamp, tokens array<string>, ranked array<string>, changed bigint"
 _PLACES = "id bigint, cluster_id bigint, verification_status string"
 _VERSIONS = "item_id bigint, title string, excerpt string, content_fingerprint string, status string, captured_at timestamp"
 _CLUSTERS = "id bigint, key string, title string, created_at timestamp"
 
 
-def rarest_tokens(rows: DataFrame, frequency: DataFrame, key: str = "id") -> DataFrame:
-    """The rows with ``prefix``: the tokens, rarest first, of which two sets with similarity of 1/2 or more share one.
+def ranked_tokens(rows: DataFrame, frequency: DataFrame, key: str = "id") -> DataFrame:
+    """The rows with ``ranked``: the tokens, rarest first (see ``similarity.prefix_of``).
 
     Any fixed order of tokens serves; a token that the frozen counts do not know comes first, by name.
     """
     words = rows.select(key, F.explode("tokens").alias("token")).join(frequency, "token", "left")
     # One title's tokens, so the collected list is short.
-    ranked = words.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("r"))
-    length = F.floor(F.size("r") / 2).cast("int") + 1
-    prefix = F.transform(F.slice("r", F.lit(1), length), lambda t: t["token"])
-    return rows.join(ranked.select(key, prefix.alias("prefix")), key, "left").withColumn("prefix", F.coalesce("prefix", F.array().cast("array<string>")))
+    sorted_ = words.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("r"))
+    ranked = F.transform("r", lambda t: t["token"])
+    return rows.join(sorted_.select(key, ranked.alias("ranked")), key, "left").withColumn("ranked", F.coalesce("ranked", F.array().cast("array<string>")))
 
 
 class Looked(NamedTuple):
@@ -84,7 +82,7 @@ class ItemStore:
         frequency.write.mode("overwrite").parquet(f"{store.path}/frequency")
         tops = items.agg(F.max("id").alias("id"), F.max("cluster_id").alias("cluster")).first()
         facts = {"buckets": buckets, "top_id": tops.id or 0, "top_cluster": tops.cluster or 0, "batch": -1, "clustered": 0}
-        changes = {"items": items, "keys": store._key_rows(items, buckets), "titles": rarest_tokens(titles, store.frequency())}
+        changes = {"items": items, "keys": store._key_rows(items, buckets), "titles": ranked_tokens(titles, store.frequency())}
         store.tables.commit(changes, facts)
         return store
 
@@ -172,7 +170,7 @@ class ItemStore:
         moved = found.known.select(*KEY, "day").join(changed.select(*KEY, "id", DATE), KEY).where(f"NOT day <=> {DATE}").select(*KEY, "id", F.col("day").alias(DATE))
         moved = materialize(moved.withColumn(GONE, F.lit(True)), "moved")
         here = F.lit(False).alias(GONE)
-        titles = rarest_tokens(self._title_rows(changed, at.version + 1), self.frequency())
+        titles = ranked_tokens(self._title_rows(changed, at.version + 1), self.frequency())
         changes = {
             "items": dated.select(*ITEM_COLUMNS, DATE, here).unionByName(moved, allowMissingColumns=True),
             "keys": self._key_rows(changed, at.facts["buckets"]),

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..session import broadcast_if_small, materialize
 
+#: Sets that share a key before the key is made longer.
 HOT_BUCKET = 2_000
-SUBSET_MAX_TOKENS = 12
-GRID = 16
+#: Tokens of the longest key; sets that crowd even such a key meet in blocks.
+MAX_LEVEL = 3
 
 
 def _entry() -> Column:
@@ -50,8 +51,17 @@ def story_sets(items: DataFrame) -> DataFrame:
     return _two_best(rows, "tokens").select(F.col("e1.id").alias("set_id"), "tokens", F.size("tokens").alias("n"), "e1", "e2")
 
 
+def prefix_of(ranked: Column, level: int = 1) -> Column:
+    """The rarest tokens of which two sets with similarity >= 1/2 share their first ``level`` common ones, if they have as many.
+
+    Such sets share at least half of either, so the common token number ``level`` has at most n/2 - level + 1 own
+    tokens behind it that are not common.
+    """
+    return F.slice(ranked, F.lit(1), F.floor(F.size(ranked) / 2).cast("int") + level)
+
+
 def order_by_rarity(sets: DataFrame) -> DataFrame:
-    """Add ``prefix``: the rarest tokens of which two sets with similarity >= 1/2 must share one."""
+    """Add ``ranked``: the tokens, rarest first."""
     words = sets.select("set_id", F.explode("tokens").alias("token"))
     frequency = words.groupBy("token").agg(F.count("*").alias("df"))
     ranked = (
@@ -59,97 +69,133 @@ def order_by_rarity(sets: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("r"))
     )
     # One title's tokens, so the collected list is short.
-    length = F.floor(F.size("r") / 2).cast("int") + 1
-    prefix = F.transform(F.slice("r", F.lit(1), length), lambda t: t["token"])
-    return sets.join(ranked.select("set_id", prefix.alias("prefix")), "set_id")
+    return sets.join(ranked.select("set_id", F.transform("r", lambda t: t["token"]).alias("ranked")), "set_id")
 
 
 def _sim(shared: Column, n: Column, m: Column) -> Column:
     return shared / (n + m - shared)
 
 
-def _verified(pairs: DataFrame) -> DataFrame:
-    """Pairs a, b sharing ``token`` to candidate rows for both sides; each pair is looked at once."""
-    shared = F.size(F.array_intersect("a.tokens", "b.tokens"))
-    pairs = (
-        pairs.filter((2 * F.least("a.n", "b.n") >= F.greatest("a.n", "b.n")))
-        .filter(F.array_intersect("a.prefix", "b.prefix")[0] == F.col("token"))
-        .withColumn("shared", shared).filter(3 * F.col("shared") >= F.col("a.n") + F.col("b.n"))
-        .withColumn("sim", _sim(F.col("shared"), F.col("a.n"), F.col("b.n")))
-    )
-    both = F.explode(F.array(
-        F.struct(F.col("a.set_id").alias("set_id"), F.col("b.e1").alias("e1"), F.col("b.e2").alias("e2")),
-        F.struct(F.col("b.set_id").alias("set_id"), F.col("a.e1").alias("e1"), F.col("a.e2").alias("e2")),
-    ))
-    return _candidates(pairs.select("sim", both.alias("s")).select("sim", "s.*"))
+def _met(pairs: DataFrame, level: int) -> DataFrame:
+    """Pairs a, b that met at a key of ``level`` tokens: the similar ones, with ``sim``, each at one key only.
 
+    The place of the key's last token in both sets bounds what they can share; the key must be their first common
+    tokens.
+    """
+    n, m = F.col("a.n"), F.col("b.n")
+    room = level + F.least(n - F.col("a.at"), m - F.col("b.at")) - 1
+    first = F.slice(F.array_intersect(prefix_of(F.col("a.ranked"), level), prefix_of(F.col("b.ranked"), level)), 1, level)
+    shared = F.size(F.array_intersect("a.ranked", "b.ranked"))
+    pairs = pairs.filter((2 * F.least(n, m) >= F.greatest(n, m)) & (3 * room >= n + m)).filter(first == F.col("key"))
+    pairs = pairs.withColumn("shared", shared).filter(3 * F.col("shared") >= n + m)
+    return pairs.select("a", "b", _sim(F.col("shared"), n, m).alias("sim"))
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    """(set_id, sim, e1, e2) to one row per entry."""
-    e = F.explode(F.array_compact(F.array("e1", "e2")))
-    return rows.select("set_id", "sim", e.alias("e")).select("set_id", "sim", "e.id", "e.source_id", "e.cluster_id")
 
+def _wanted(a: Column, b: Column, columns: list[str]) -> Column:
+    """Each pair once, the smaller set first; where sets say whether they are ``fresh``, with a fresh side."""
+    once = (a["n"] < b["n"]) | ((a["n"] == b["n"]) & (a["set_id"] < b["set_id"]))
+    return once & (a["fresh"] | b["fresh"]) if "fresh" in columns else once
 
-def _bucket_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs of a bucket; where the sets say whether they are ``fresh``, only those with a fresh side."""
-    a = buckets.select("token", F.struct("set_id", "tokens", "n", "prefix", "e1", "e2", *_mark(buckets)).alias("a"))
-    b = buckets.select("token", F.struct("set_id", "tokens", "n", "prefix", "e1", "e2", *_mark(buckets)).alias("b"))
-    pairs = a.join(b, "token").filter(F.col("a.set_id") < F.col("b.set_id"))
-    return _verified(pairs.filter(F.col("a.fresh") | F.col("b.fresh")) if _mark(buckets) else pairs)
 
+def _keyed(rows: DataFrame, level: int, columns: list[str], parts: DataFrame | None = None) -> DataFrame:
+    """Similar pairs of the rows ``(key, s)`` within each key.
 
-def _mark(sets: DataFrame) -> list[str]:
-    return ["fresh"] if "fresh" in sets.columns else []
+    From the second level on the band of sizes is part of the key: a set meets sets of its own band and of the
+    next. ``parts`` (key, parts) deals the sets of crowded keys into blocks that meet in pairs.
+    """
+    a, b, on = rows.select("key", F.col("s").alias("a")), rows.select("key", F.col("s").alias("b")), ["key"]
+    if level > 1:
+        band = lambda s: F.floor(F.log2(s["n"])).cast("int")
+        a, b, on = a.withColumn("band", band(F.col("a"))), b.withColumn("band", F.explode(F.array(band(F.col("b")), band(F.col("b")) - 1))), [*on, "band"]
+    if parts is not None:
+        block = lambda s: F.pmod(F.xxhash64(s["set_id"]), F.col("parts"))
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+        a = a.join(parts, "key").withColumn("x", block(F.col("a"))).withColumn("y", every)
+        b = b.join(parts, "key").withColumn("y", block(F.col("b"))).withColumn("x", every)
+        a, b, on = a.drop("parts"), b.drop("parts"), [*on, "x", "y"]
+    return _met(a.join(b, on).filter(_wanted(F.col("a"), F.col("b"), columns)), level)
+
+
+def _side(columns: list[str], at: Column) -> Column:
+    return F.struct(*columns, at.alias("at"))
+
+
+def similar_pairs(sets: DataFrame, hot_bucket: int = HOT_BUCKET) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
+    """Pairs (a, b, sim) of sets with similarity >= 1/2, and what was left out of them: the rows of crowded keys by level.
+
+    ``sets``: set_id, n, ranked and anything else. Sets meet at a token that both hold in their prefix. A token that more than
+    ``hot_bucket`` sets hold is no key by itself: its sets meet at two tokens of longer prefixes, then at three.
+    Left out are the pairs of sets that share exactly the crowded key; as they are similar all the same, they have
+    at most three times as many tokens as the key. Keys of ``MAX_LEVEL`` tokens that are still crowded are compared
+    in blocks of bounded size, so no task holds a crowd.
+    """
+    columns = [c for c in sets.columns if c not in ("tokens", "key")]
+    rows = sets.select("*", F.posexplode(prefix_of(F.col("ranked"))).alias("at", "token"))
+    rows = rows.select(F.array("token").alias("key"), _side(columns, F.col("at")).alias("s"))
+    found, crowds = None, []
+    for level in range(1, MAX_LEVEL + 1):
+        sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > hot_bucket)
+        sizes = materialize(sizes, "crowded")
+        none = sizes.limit(1).count() == 0
+        crowded = broadcast_if_small(sizes.select("key"))
+        pairs = _keyed(rows if none else rows.join(crowded, "key", "left_anti"), level, columns)
+        found = pairs if found is None else found.unionByName(pairs)
+        if none:
+            break
+        hot = rows.join(crowded, "key", "left_semi")
+        if level == MAX_LEVEL:
+            parts = broadcast_if_small(sizes.select("key", F.ceil(F.col("size") / hot_bucket).cast("bigint").alias("parts")))
+            found = found.unionByName(_keyed(hot, level, columns, parts))
+            break
+        hot = materialize(hot, "crowd")
+        crowds.append((level, hot))
+        after = F.expr(f"slice(ranked, 1, cast(floor(size(ranked) / 2) as int) + {level + 1})")
+        longer = hot.select("key", "s.*").withColumn("next", F.filter(F.transform(after, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: x["i"] > F.col("at")))
+        longer = longer.withColumn("next", F.explode("next"))
+        rows = longer.select(F.array_append("key", F.col("next.t")).alias("key"), _side(columns, F.col("next.i")).alias("s"))
+    return found, crowds
 
 
-def _subset_candidates(sets: DataFrame) -> DataFrame:
-    """Near copies in crowded buckets, found through shared subsets of tokens instead of pairs.
+def _candidates(rows: DataFrame) -> DataFrame:
+    """(set_id, sim, e1, e2) to one row per entry."""
+    e = F.explode(F.array_compact(F.array("e1", "e2")))
+    return rows.select("set_id", "sim", e.alias("e")).select("set_id", "sim", "e.id", "e.source_id", "e.cluster_id")
+
 
-    Sets with similarity >= 1/2 share a subset of at least half of either. Every subset keeps only its two
-    best entries per set size, so the work grows with the sets and not with their pairs. The similarity read
-    off a subset is a lower bound that is exact for the true best match.
+def _crowd_candidates(level: int, crowd: DataFrame) -> DataFrame:
+    """Candidates from the other sets of a crowded key that share just the key: two entries for each size, no pairs.
+
+    The similarity read off the key is a lower bound that is exact where the key is all that is shared.
     """
-    half = F.floor((F.col("n") + 1) / 2).cast("int")
-    masks = F.filter(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.col("n")) - 1), lambda x: F.bit_count(x) >= half)
-    exploded = sets.withColumn("mask", F.explode(masks)).select(
-        "set_id", "n", "e1", "e2",
-        F.filter("tokens", lambda t, i: F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0).alias("subset"),
-    )
-    entries = exploded.select("subset", "n", F.explode(F.array_compact(F.array("e1", "e2"))).alias("e")).select(
-        "subset", F.col("n").alias("m"), F.lit(1.0).alias("sim"), "e.id", "e.source_id", "e.cluster_id"
-    )
-    index = _two_best(entries, "subset", "m").withColumnsRenamed({"e1": "i1", "e2": "i2"})
-    c = F.size("subset")
-    hits = exploded.select("set_id", "n", "subset").join(index, "subset").filter(3 * c >= F.col("n") + F.col("m"))
-    return _candidates(hits.select("set_id", _sim(c, F.col("n"), F.col("m")).alias("sim"), F.col("i1").alias("e1"), F.col("i2").alias("e2")))
+    small = crowd.select("key", "s.*").filter(F.col("n") <= 2 * level)
+    entries = _candidates_of_key(small)
+    index = _two_best(entries, "key", "m").withColumnsRenamed({"e1": "i1", "e2": "i2"})
+    hits = small.select("key", "set_id", "n").join(index, "key").filter(F.col("n") + F.col("m") <= 3 * level)
+    return _candidates(hits.select("set_id", _sim(F.lit(level), F.col("n"), F.col("m")).alias("sim"), F.col("i1").alias("e1"), F.col("i2").alias("e2")))
 
 
-def _grid_pairs(buckets: DataFrame, long_sets: DataFrame) -> DataFrame:
-    """Crowded buckets where one side has too many tokens for subsets: the bucket is spread over a grid of tasks."""
-    cell = F.pmod(F.xxhash64("set_id"), F.lit(GRID))
-    side = F.struct("set_id", "tokens", "n", "prefix", "e1", "e2")
-    a = long_sets.select("token", cell.alias("cell"), side.alias("a"))
-    b = buckets.select("token", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(GRID - 1).cast("bigint"))).alias("cell"), side.alias("b"))
-    long_a, long_b = F.col("a.n") > SUBSET_MAX_TOKENS, F.col("b.n") > SUBSET_MAX_TOKENS
-    once = (F.col("a.set_id") != F.col("b.set_id")) & (~(long_a & long_b) | (F.col("a.set_id") < F.col("b.set_id")))
-    return _verified(a.join(b, ["token", "cell"]).filter(once))
+def _candidates_of_key(small: DataFrame) -> DataFrame:
+    e = F.explode(F.array_compact(F.array("e1", "e2")))
+    return small.select("key", F.col("n").alias("m"), F.lit(1.0).alias("sim"), e.alias("e")).select("key", "m", "sim", "e.id", "e.source_id", "e.cluster_id")
 
 
 def similar_sets(sets: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """Per set, its two best entries among other sets with similarity >= 1/2."""
-    buckets = sets.withColumn("token", F.explode("prefix"))
-    crowded = buckets.groupBy("token").agg(F.count("*").alias("size")).filter(F.col("size") > hot_bucket).select("token")
-    if crowded.limit(1).count() == 0:
-        return _two_best(_bucket_pairs(buckets), "set_id")
-    crowded = broadcast_if_small(materialize(crowded, "crowded"))
-    found = _bucket_pairs(buckets.join(crowded, "token", "left_anti"))
-    hot = buckets.join(crowded, "token", "left_semi")
-    hot_sets = hot.drop("token").dropDuplicates(["set_id"])
-    found = found.unionByName(_subset_candidates(hot_sets.filter(F.col("n") <= SUBSET_MAX_TOKENS)))
-    found = found.unionByName(_grid_pairs(hot, hot.filter(F.col("n") > SUBSET_MAX_TOKENS)))
+    pairs, crowds = similar_pairs(sets.select("set_id", "n", "ranked", "e1", "e2", *_mark(sets)), hot_bucket)
+    both = F.explode(F.array(
+        F.struct(F.col("a.set_id").alias("set_id"), F.col("b.e1").alias("e1"), F.col("b.e2").alias("e2")),
+        F.struct(F.col("b.set_id").alias("set_id"), F.col("a.e1").alias("e1"), F.col("a.e2").alias("e2")),
+    ))
+    found = _candidates(pairs.select("sim", both.alias("s")).select("sim", "s.*"))
+    for level, crowd in crowds:
+        found = found.unionByName(_crowd_candidates(level, crowd))
     return _two_best(found, "set_id")
 
 
+def _mark(sets: DataFrame) -> list[str]:
+    return ["fresh"] if "fresh" in sets.columns else []
+
+
 def best_matches(items: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(id, source_id, cluster_id, match_id, match_cluster, similarity) for every item that has a match.
 
@@ -187,7 +233,7 @@ def matches_among(items: DataFrame, sets: DataFrame, hot_bucket: int = HOT_BUCKE
     )
 
 
-def title_pairs(items: DataFrame) -> DataFrame:
+def title_pairs(items: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(a, b, similarity) of every two different titles with similarity >= 1/2 that do not all come from one source.
 
     ``a`` and ``b`` are the lowest ids of the items with each set of title tokens (``title_sets`` has the members), so
@@ -196,17 +242,16 @@ def title_pairs(items: DataFrame) -> DataFrame:
     sets = title_sets(items).groupBy("set_id", "tokens").agg(F.min("source_id").alias("lo"), F.max("source_id").alias("hi"))
     sets = materialize(sets.withColumn("n", F.size("tokens")), "title-sets")
     sets = materialize(order_by_rarity(sets), "pair-sets")
-    side = F.struct("set_id", "tokens", "n", "prefix", "lo", "hi")
-    buckets = sets.withColumn("token", F.explode("prefix"))
-    a, b = buckets.select("token", side.alias("a")), buckets.select("token", side.alias("b"))
-    shared = F.size(F.array_intersect("a.tokens", "b.tokens"))
-    return (
-        a.join(b, "token").filter("a.set_id < b.set_id AND (a.lo <> b.hi OR a.hi <> b.lo)")
-        .filter(2 * F.least("a.n", "b.n") >= F.greatest("a.n", "b.n"))
-        .filter(F.array_intersect("a.prefix", "b.prefix")[0] == F.col("token"))
-        .withColumn("shared", shared).filter(3 * F.col("shared") >= F.col("a.n") + F.col("b.n"))
-        .select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"), _sim(F.col("shared"), F.col("a.n"), F.col("b.n")).alias("similarity"))
-    )
+    pairs, crowds = similar_pairs(sets.drop("tokens"), hot_bucket)
+    for level, crowd in crowds:
+        # Small sets that share just the crowded key; every such pair is part of the result.
+        small = crowd.filter(F.col("s.n") <= 2 * level)
+        a, b = small.select("key", F.col("s").alias("a")), small.select("key", F.col("s").alias("b"))
+        alike = a.join(b, "key").filter(_wanted(F.col("a"), F.col("b"), [])).filter(F.col("a.n") + F.col("b.n") <= 3 * level)
+        alike = alike.filter(F.size(F.array_intersect("a.ranked", "b.ranked")) == level)
+        pairs = pairs.unionByName(alike.select("a", "b", _sim(F.lit(level), F.col("a.n"), F.col("b.n")).alias("sim")))
+    pairs = pairs.filter("a.lo <> b.hi OR a.hi <> b.lo")
+    return pairs.select(F.least("a.set_id", "b.set_id").alias("a"), F.greatest("a.set_id", "b.set_id").alias("b"), F.col("sim").alias("similarity"))
 
 
 def title_sets(items: DataFrame) -> DataFrame:
