@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -193,16 +194,50 @@ def term_pattern(term: str) -> str:
     return f"(?i)(?:^|[^a-z0-9]){escaped}(?:$|[^a-z0-9])"
 
 
-def _matched_terms(text: Column, terms: Column) -> Column:
-    """Terms found in the text. The substring test is cheap and decides nearly all before a pattern runs."""
-    both = F.struct(text.alias("text"), F.lower(text).alias("low"))
-    return bind(both, lambda b: F.filter(terms, lambda x: b["low"].contains(x["term"]) & F.regexp_like(b["text"], x["pattern"])))
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERM = "struct<topic:int,strong:boolean,term:string,pattern:string>"
+
+
+class TermIndex:
+    """Terms by their words, so that a text is looked at once whatever the number of terms.
+
+    The words of a text (runs of a-z and 0-9) and their sequences are looked up in one hashed set; only the terms that
+    are found by their words are tried by pattern, as a term may hold other characters between or around them.
+    """
+
+    def __init__(self, rows: list[dict]):
+        by_words: dict[str, list[dict]] = {}
+        for row in rows:
+            by_words.setdefault(" ".join(re.findall("[a-z0-9]+", row["term"])), []).append(row)
+        self.wordless = by_words.pop("", [])
+        self.by_words = by_words
+        self.lengths = sorted({w.count(" ") + 1 for w in by_words})
+
+    def matched(self, text: Column) -> Column:
+        """The terms that the text holds."""
+        words = F.filter(F.split(F.translate(text, _CAPITALS, _SMALL), "[^a-z0-9]+"), lambda w: w != "")
+        known = list(self.by_words)
+        lookup = F.from_json(F.lit(json.dumps(self.by_words)), f"map<string,array<{_TERM}>>")
+        wordless = F.from_json(F.lit(json.dumps(self.wordless)), f"array<{_TERM}>")
+
+        def sequences(w: Column, n: int) -> Column:
+            if n == 1:
+                return w
+            starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), lambda i: i <= F.size(w) - n + 1)
+            return F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+
+        def found(w: Column) -> Column:
+            hits = F.array_distinct(F.concat(*[F.filter(sequences(w, n), lambda g: g.isin(known)) for n in self.lengths]))
+            return F.concat(wordless, F.flatten(F.transform(hits, lambda g: F.element_at(lookup, g))))
+
+        tried = bind(words, found) if known else wordless
+        return F.filter(tried, lambda x: F.regexp_like(text, x["pattern"]))
 
 
 def classify(title: Column, excerpt: Column, hints: Column, taxonomy=None) -> Column:
     """Up to three topics by weighted term hits; the source's hints when nothing matches.
 
-    The taxonomy is one constant array, so the plan stays small whatever its size.
+    The taxonomy is one constant index, so the plan stays small and a text is read once, whatever its size.
     """
     taxonomy = taxonomy or K.TAXONOMY
     rows = [
@@ -211,7 +246,7 @@ def classify(title: Column, excerpt: Column, hints: Column, taxonomy=None) -> Co
         for strong, terms in ((True, strong_terms), (False, weak_terms))
         for term in terms
     ]
-    terms = F.from_json(F.lit(json.dumps(rows)), "array<struct<topic:int,strong:boolean,term:string,pattern:string>>")
+    terms = TermIndex(rows)
     names = F.from_json(F.lit(json.dumps([topic for topic, _, _ in taxonomy])), "array<string>")
 
     def points(found: Column, topic: Column) -> tuple[Column, Column]:
@@ -232,7 +267,7 @@ def classify(title: Column, excerpt: Column, hints: Column, taxonomy=None) -> Co
         return F.transform(kept, lambda r: F.element_at(names, 1 - r["ord"]))
 
     found = F.struct(
-        _matched_terms(title, terms).alias("title"),
-        _matched_terms(F.coalesce(excerpt, F.lit("")), terms).alias("excerpt"),
+        terms.matched(title).alias("title"),
+        terms.matched(F.coalesce(excerpt, F.lit(""))).alias("excerpt"),
     )
     return bind(bind(found, best), lambda topics: F.when(F.size(topics) > 0, topics).otherwise(hints))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.story import hours_between, recency
 from ..functions.text import bind
-from ..session import broadcast_if_small, materialize
+from ..session import broadcast_if_small, broadcast_of, materialize
 from .diversity import pick_order
 from .filters import SUMMARY_COLUMNS, interests_or_default, since
 
@@ -81,9 +81,10 @@ def reader_state(profiles, affinities, saves, reads, mutes, pool) -> DataFrame:
         F.array_compact(F.array(F.concat(F.lit("author:"), F.lower("author")))),
     )
     tabs = spark.range(1).select(F.explode(_texts([f"topic:{t}" for _, _, ts in K.CATEGORIES for t in ts])).alias("k"))
-    wanted = F.broadcast(pool.select(F.explode(keys).alias("k")).unionByName(tabs).distinct())
-    ids = F.broadcast(pool.select(c("id").alias("item_id")))
-    origins = F.broadcast(pool.select("source_id").distinct())
+    hint = broadcast_of(pool)
+    wanted = hint(pool.select(F.explode(keys).alias("k")).unionByName(tabs).distinct())
+    ids = hint(pool.select(c("id").alias("item_id")))
+    origins = hint(pool.select("source_id").distinct())
 
     def part(df: DataFrame, **fields: Column) -> DataFrame:
         kinds = {
@@ -116,12 +117,16 @@ def _weight_map(entries: Column) -> Column:
 def stored_readers(readers: DataFrame) -> DataFrame:
     """Reader state written once, then spread over the ranking tasks."""
     rows = materialize(readers, "readers")
-    return rows.repartition(ranking_partitions(rows.sparkSession), "profile_id")
+    return rows.repartition(ranking_partitions(rows.sparkSession, rows.count()), "profile_id")
 
 
-def ranking_partitions(spark) -> int:
-    """Reader rows are small but each unpacks the whole pool, so they must not be coalesced by their own size."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+#: Readers that one ranking task takes; each unpacks the whole pool.
+READERS_PER_TASK = 5_000
+
+
+def ranking_partitions(spark, readers: int) -> int:
+    """Reader rows are small but each unpacks the whole pool, so they are dealt by their number and not by their size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-readers // READERS_PER_TASK))
 
 
 def _norm(w: Column) -> Column:
@@ -186,12 +191,20 @@ def ranked_worlds(scored: DataFrame) -> DataFrame:
 def collapsed(worlds: DataFrame) -> DataFrame:
     """Keep the best entry of every cluster in ``ranked``; the others move to ``also``, in the same order."""
 
-    def repeats(e: Column, i: Column) -> Column:
-        return e["cluster_id"].isNotNull() & (F.array_position(F.col("cids"), e["cluster_id"]) <= i)
+    def later(places: Column) -> Column:
+        """By place in ``ranked``: whether an earlier entry has the cluster. Equal clusters stand side by side here."""
+        return F.sort_array(F.transform(places, lambda p, j: F.struct(
+            p["i"].alias("i"), (p["c"].isNotNull() & (j > 0) & F.coalesce(F.get(places, j - 1)["c"] == p["c"], F.lit(False))).alias("again")
+        )))
+
+    def parted(marks: Column) -> Column:
+        also = F.filter("ranked", lambda e, i: F.get(marks, i)["again"])
+        return F.struct(also.alias("also"), F.filter("ranked", lambda e, i: ~F.get(marks, i)["again"]).alias("ranked"))
 
-    return worlds.withColumn("cids", F.col("ranked")["cluster_id"]).withColumns(
-        {"also": F.filter("ranked", repeats), "ranked": F.filter("ranked", lambda e, i: ~repeats(e, i))}
-    ).drop("cids")
+    # Each step is bound, since a column that a lambda names would be worked out for every entry.
+    by_cluster = F.sort_array(F.transform("ranked", lambda e, i: F.struct(e["cluster_id"].alias("c"), i.alias("i"))))
+    both = bind(by_cluster, lambda places: bind(later(places), parted))
+    return worlds.withColumn("both", both).withColumns({"also": F.col("both.also"), "ranked": F.col("both.ranked")}).drop("both")
 
 
 def covered_by(cluster_id: Column, also: Column) -> Column:

@@ -13,7 +13,7 @@ from ..operators import feed as O
 from ..operators.bridges import list_position
 from ..operators.filters import active_sources, in_category, item_summaries
 from ..operators.freshness import source_freshness
-from ..session import broadcast_if_small, materialize
+from ..session import broadcast_if_small, broadcast_of, materialize
 
 TODAY = O.TODAY
 ORDS = {slug: i for i, (slug, _, _) in enumerate(K.CATEGORIES)}
@@ -91,8 +91,8 @@ def stored_readers(t: Tables, pool: DataFrame) -> DataFrame:
 def _picked(readers: DataFrame, pool: DataFrame, now: Column, slugs: Column, limit: int) -> DataFrame:
     """One row per profile and world with its final ``entries`` in order.
 
-    The pool and its clusters are capped at 500 rows, so both joins broadcast them; the rows stay partitioned by
-    profile and the last aggregation needs no shuffle.
+    While the pool is small both joins broadcast it; the rows then stay partitioned by profile and the last aggregation
+    needs no shuffle.
     """
     c = F.col
     scored = O.score_readers(readers, O.pool_array(pool, now, slugs), now)
@@ -103,7 +103,8 @@ def _picked(readers: DataFrame, pool: DataFrame, now: Column, slugs: Column, lim
         O.covered_by(c("cluster_id"), c("also")).alias("covered"),
         F.array_contains("saved", c("id")).alias("saved"), F.array_contains("read", c("id")).alias("read"),
     )
-    rows = rows.join(F.broadcast(_facts(pool, now)), "pick_id", "left").join(F.broadcast(_members(pool)), "cluster_id", "left")
+    hint = broadcast_of(pool)
+    rows = rows.join(hint(_facts(pool, now)), "pick_id", "left").join(hint(_members(pool)), "cluster_id", "left")
     since = F.coalesce("last_feed_opened_at", now - F.expr(f"interval {K.FIRST_VISIT_NEW_HOURS} hours"))
 
     def outlet(o: Column) -> Column:
@@ -129,7 +130,7 @@ def feed_job(t: Tables, now: Column, category: str = TODAY, limit: int = K.FEED_
     readers = stored_readers(t, everything)
     lists = _picked(readers, pool, now, F.array(F.lit(TODAY)), limit).filter(c("slug") == TODAY)
     picks = lists.select("profile_id", F.inline("picks"))
-    about = F.broadcast(pool)
+    about = broadcast_of(everything)(pool)
     entries = picks.select("profile_id", "rank", "id", "score", "exploration", "also_covered_by", "saved", "read").join(about, "id").select(
         "profile_id", "rank", "score", *story_columns(c("saved"), c("read"), F.lit(False), c("exploration"), c("also_covered_by"))
     )
@@ -182,7 +183,7 @@ def worlds_job(t: Tables, now: Column, cut=lambda df: materialize(df, "ranked-wo
     readers = base.join(catch, "profile_id", "left").withColumns(
         {"new_count": F.coalesce("new_count", F.lit(0)), "catch_up": F.coalesce("catch_up", F.array().cast("array<bigint>"))}
     )
-    delivered = stories.join(F.broadcast(pool), "id").select(
+    delivered = stories.join(broadcast_of(pool)(pool), "id").select(
         "profile_id", "position", *story_columns(c("saved"), c("read"), c("is_new"), c("exploration"), c("also_covered_by"))
     )
     return Worlds(worlds, shown.select("profile_id", "slug", "rank", c("id").alias("item_id"), "score", "exploration"), delivered, readers, source_freshness(t.sources, now))

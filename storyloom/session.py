@@ -97,3 +97,8 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def broadcast_of(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS):
+    """``F.broadcast`` for what is made of a stored table that was counted as small, else a function that does nothing."""
+    return F.broadcast if df.limit(max_rows + 1).count() <= max_rows else lambda made: made

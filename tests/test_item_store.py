@@ -50,6 +50,18 @@ def plain_rows(df, drop=("id",)):
     return sorted((tuple(r) for r in df.select(*[c for c in ITEM_COLUMNS if c not in drop]).collect()), key=repr)
 
 
+@pytest.fixture(autouse=True, scope="module")
+def interpreted(spark):
+    """Many small plans over few rows: compiling each of them takes longer than running it."""
+    settings = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 @pytest.fixture
 def batches(spark):
     def make(seed, n_stored=60, n_batches=3, size=40):
@@ -166,7 +178,7 @@ def groups(df):
     return sorted(map(sorted, by.values())), status
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_clustering_what_changed_equals_clustering_all(spark, tmp_path, batches, seed):
     """Batches that change titles and move the window: after each, the clusters of a rerun over the whole window."""
     stored, parts = batches(seed, n_stored=30, n_batches=2, size=25)
@@ -229,20 +241,20 @@ def test_stream_after_a_restart(spark, tmp_path):
     def raw(i, text):
         return (i % 4, f"g{i}", i, f"Title {i}", f"https://a.example.com/{i}", None, "A", None, f"<p>{text} {i}</p>", None, START + datetime.timedelta(hours=i % 20), None, None, None)
 
-    files = [[raw(i, "one") for i in range(8)], [raw(i, "two") for i in range(4, 12)], [raw(i, "two") for i in range(6, 14)], [raw(1, "three")], [raw(i, "four") for i in range(0, 3)]]
+    files = [[raw(i, "one") for i in range(8)], [raw(i, "two") for i in range(4, 12)], [raw(i, "two") for i in range(6, 14)] + [raw(1, "three")]]
     path, store = str(tmp_path / "in"), ItemStore.create(str(tmp_path / "s"), spark.createDataFrame([], SCHEMA), buckets=4)
-    for part in (files[:3], files[3:]):
+    for part in (files[:2], files[2:]):
         for rows in part:
             spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
         stream = jobs.file_stream(spark, path, spark.createDataFrame([], schema).schema, files_per_batch=1)
         jobs.ingest_stream(stream, policy, store, str(tmp_path / "cp"), now, clusters=True, merge_every=2)
         store = ItemStore.open(spark, str(tmp_path / "s"), spark.createDataFrame([], SCHEMA).schema)
-    assert store.facts["batch"] == 4
+    assert store.facts["batch"] == 2
     rows = {r.guid: r for r in store.items().collect()}
     last = {}
     for part in files:
         last |= {r[1]: r[8] for r in part}
     assert {g: r.content_html for g, r in rows.items()} == last and {r.id for r in rows.values()} == set(range(1, 15))
-    # Four of the second file, two of them again in the third unchanged, one and then three by the last two.
-    assert store.versions().count() == 4 + 1 + 3 and rows["g5"].status == "updated" and rows["g13"].status == "active"
+    # Four of the second file changed, most of the third came unchanged, one changed.
+    assert store.versions().count() == 4 + 1 and rows["g5"].status == "updated" and rows["g13"].status == "active"
     assert len(list((tmp_path / "s" / "manifest").glob("version=*"))) <= 5
