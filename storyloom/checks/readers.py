@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from .. import demo
 from ..functions import story as S
+from ..functions import text as T
 from ..operators import affinity, bridges, clusters, feed, filters, freshness, increments, logs, similarity
 from ..operators.item_store import ItemStore
 from ..plans import feeds
@@ -455,6 +456,20 @@ def best_matches_crowded(spark, d):
     return similarity.best_matches(demo.items(spark, d), hot_bucket=12).select("id", "match_id", F.round("similarity", 6).alias("similarity"))
 
 
+@check("title_similarity", f"""WITH m AS ({BEST_SQL}), p AS (SELECT m.id, x.a, y.a AS b FROM m JOIN tokens x ON x.id = m.id JOIN tokens y ON y.id = m.match_id)
+      SELECT id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b))::double / (len(a) + len(b) - len(list_intersect(a, b))), 6) END AS similarity,
+        len(list_intersect(a, b)) AS shared, len(list_distinct(list_concat(a, b))) AS merged FROM p""", "title_pairs")
+def title_similarity(spark, d):
+    """Every title next to its best match in the whole table."""
+    items = materialize(demo.items(spark, d).drop("content_html"), "items")
+    words = items.select("id", T.title_tokens(F.col("title")).alias("a"))
+    pairs = similarity.best_matches(items).select("id", "match_id")
+    return pairs.join(words, "id").join(words.select(F.col("id").alias("match_id"), F.col("a").alias("b")), "match_id").select(
+        "id", F.round(T.jaccard(F.col("a"), F.col("b")), 6).alias("similarity"),
+        F.size(F.array_intersect("a", "b")).cast("bigint").alias("shared"), F.size(F.array_union("a", "b")).cast("bigint").alias("merged"),
+    )
+
+
 def clusters_sql(items: str, own: str, tokens: str = "tokens", pairs: str = "title_pairs", prefix: str = "") -> str:
     """CTEs ending in ``grouped`` (id, group_key), by the sequential rule over ``items`` rows with cluster ids ``own``.
     A ``prefix`` of the CTEs' names lets two runs follow each other.

@@ -154,22 +154,6 @@ def cluster_keys(spark, d):
     return demo.items(spark, d).select("id", T.cluster_key(F.col("title")).alias("cluster_key"))
 
 
-@check("title_similarity", f"""WITH t AS (SELECT id, {TOKENS} AS a, source_id FROM items),
-      p AS (SELECT x.id, x.a, y.a AS b FROM t x JOIN t y ON y.id = x.id + 20)
-      SELECT id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b))::double
-        / (len(a) + len(b) - len(list_intersect(a, b))), 6) END AS similarity,
-        len(list_intersect(a, b)) AS shared, len(list_distinct(list_concat(a, b))) AS merged FROM p""", "items")
-def title_similarity(spark, d):
-    t = demo.items(spark, d).select("id", T.title_tokens(F.col("title")).alias("a"))
-    later = t.select((F.col("id") - 20).alias("id"), F.col("a").alias("b"))
-    return t.join(later, "id").select(
-        "id", F.round(T.jaccard(F.col("a"), F.col("b")), 6).alias("similarity"),
-        F.size(F.array_intersect("a", "b")).cast("bigint").alias("shared"),
-        F.size(F.array_union("a", "b")).cast("bigint").alias("merged"),
-    )
-
-
-
 @check("posts_without_links", f"""SELECT doc_id, {squeeze_sql("regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' reut.rs/' || doc_id || ' , see https://t.co/' || doc_id || '  now', '(?i)https?://[^S]+', '', 'g'), '(?i)\\b[a-z0-9-]+\\.[a-z]{2,6}/[^S]+', '', 'g'), '[S]{2,}', ' ', 'g'), '[S]+([.,;:!?])', '\\1', 'g')".replace('S]', RE2_SPACE + ']')).replace("'[" + RE2_SPACE + "]+', ' ', 'g'), '^ +| +$'", "'^[" + RE2_SPACE + "]+|[" + RE2_SPACE + "]+$', '', 'g'), '^ +| +$'")} AS post_text FROM documents""")
 def posts_without_links(spark, d):
     post = F.concat("text", F.lit(" reut.rs/"), "doc_id", F.lit(" , see https://t.co/"), "doc_id", F.lit("  now"))

@@ -145,3 +145,22 @@ def test_posts(spark):
 def test_controversy(spark):
     got = column(spark, ["60 points · 120 comments on Hacker News", "60 points · 30 comments on Hacker News", "20 points · 90 comments on Hacker News", "no figures"], S.controversy)
     assert got == [pytest.approx(1.0), 0.0, 0.0, 0.0]
+
+
+def test_topic_terms_by_index(spark):
+    """Terms of several words, with punctuation, without words, and many of them: as one pattern after the other."""
+    import random
+    import re
+
+    from storyloom.functions import text as X
+
+    rng = random.Random(3)
+    terms = ["ai", "a.i.", "of the", "u.s.", "#go", "€", "c++", "new york city", "x-ray", "ing", "méxico"] + [f"term{i} {i % 7}" for i in range(600)] + [f"t{i}" for i in range(600)]
+    rows = [{"topic": i % 5, "strong": False, "term": t, "pattern": X.term_pattern(t)} for i, t in enumerate(terms)]
+    pieces = ["AI", "a.i.", " of the ", "OF  THE", "u.s", "U.S.", "#Go", "€", "C++", "New York City", "x ray", "X-Ray", "thing", "ing", "México", " ", ",", "term5 5", "term6-6", "T17", "t18x", "\u212aai", "é"]
+    texts = ["", "ai", None] + ["".join(rng.choice(pieces) + rng.choice(["", " ", ", "]) for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.found for r in df.select("i", X.TermIndex(rows).matched(F.col("t"))["term"].alias("found")).collect()}
+    for i, text in enumerate(texts):
+        want = None if text is None else sorted(t for t in terms if re.search("(?:^|[^a-zA-Z0-9])" + "".join(f"[{c}{c.upper()}]" if c.isascii() and c.isalpha() else re.escape(c) for c in t) + "(?:$|[^a-zA-Z0-9])", text))
+        assert (sorted(got[i]) if got[i] is not None else None) == want, text
