@@ -10,7 +10,7 @@ from .. import constants as K
 from .. import demo
 from ..functions import story as S
 from ..functions import text as T
-from ..operators import affinity, bridges, clusters, feed, filters, freshness, increments, logs, similarity
+from ..operators import affinity, bridges, clusters, feed, filters, freshness, increments, logs, search, similarity
 from ..operators.item_store import ItemStore
 from ..plans import feeds
 from ..plans import signals as signals_plan
@@ -127,22 +127,31 @@ for _name, _of in (("deltas", "signals"), ("affinities", "deltas"), ("saves", "s
 HALF = "2024-01-15"
 
 
-def batched_run(spark, d) -> signals_plan.SignalRun:
-    """The second half of the log as landed batches, one for each reader and hour, on the state after the first half."""
-    c, half = F.col, F.lit(HALF).cast("timestamp")
+def half_state(spark, d) -> signals_plan.ReaderState:
+    """What the first half of the log leaves behind."""
+    c, items = F.col, demo.items(spark, d)
     rows = demo.signals(spark, d).withColumn("created_at", F.date_trunc("hour", "created_at"))
-    items = demo.items(spark, d)
-    before = rows.filter(c("created_at") < half).withColumn("value", F.greatest(F.lit(0.0), F.least("value", F.lit(K.SIGNAL_VALUE_MAX))))
+    before = rows.filter(c("created_at") < F.lit(HALF).cast("timestamp")).withColumn("value", F.greatest(F.lit(0.0), F.least("value", F.lit(K.SIGNAL_VALUE_MAX))))
     hidden = before.filter("type = 'hide_source'").join(items.select(c("id").alias("item_id"), "source_id"), "item_id")
-    stored = signals_plan.ReaderState(
+    return signals_plan.ReaderState(
         materialize(affinity.fold_affinities(before, items), "half-affinities"), logs.save_set(before),
         hidden.groupBy("profile_id", "source_id").agg(F.min("created_at").alias("created_at")),
     )
+
+
+def half_batches(spark, d):
+    """The second half of the log as landed batches, one for each reader and hour."""
+    c = F.col
+    rows = demo.signals(spark, d).withColumn("created_at", F.date_trunc("hour", "created_at"))
     entry = F.to_json(F.struct(c("item_id").alias("itemId"), "type", "value"))
-    batches = rows.filter(c("created_at") >= half).groupBy("profile_id", c("created_at").alias("received_at")).agg(
+    batches = rows.filter(c("created_at") >= F.lit(HALF).cast("timestamp")).groupBy("profile_id", c("created_at").alias("received_at")).agg(
         F.min("id").alias("batch_id"), F.array_sort(F.collect_list(F.struct("id", entry.alias("entry")))).alias("entries"))
     payload = F.concat(F.lit('{"signals": ['), F.array_join(F.transform("entries", lambda e: e["entry"]), ","), F.lit("]}"))
-    return signals_plan.signals_job(batches.select("profile_id", "batch_id", "received_at", payload.alias("payload")), items, stored)
+    return batches.select("profile_id", "batch_id", "received_at", payload.alias("payload"))
+
+
+def batched_run(spark, d) -> signals_plan.SignalRun:
+    return signals_plan.signals_job(half_batches(spark, d), demo.items(spark, d), half_state(spark, d))
 
 
 @check("signal_job_affinities", "SELECT profile_id, dimension, key, round(weight, 6) AS weight, updated_at FROM batched_affinities", "batched_affinities")
@@ -327,6 +336,28 @@ def title_search(spark, d):
     return filters.search_stories(index, " The").select("id", "title")
 
 
+@check("title_searches", """WITH n AS (SELECT DISTINCT lower(trim(substr(title, (1 + id % 20)::int, (2 + id % 9)::int))) AS needle FROM items)
+      SELECT needle, row_number() OVER (PARTITION BY needle ORDER BY id)::int AS place, id, title FROM n JOIN items i ON contains(lower(i.title), needle) WHERE needle <> '' QUALIFY place <= 8""", "items")
+def title_searches(spark, d):
+    """One needle out of every title, all answered in one job from the title index."""
+    titles = materialize(demo.items(spark, d).select("id", "title", F.col("id").alias("position")), "titles")
+    index = search.TitleIndex.build(scratch_path(spark, "title-index"), titles, first=64)
+    return index.search(titles.select(F.substring(F.col("title"), (1 + F.col("id") % 20).cast("int"), (2 + F.col("id") % 9).cast("int")).alias("needle")))
+
+
+@check("reader_searches", SHOWN_SQL + """, x AS (SELECT profile_id, id, min(ord::bigint * 4294967296 + rank) AS position FROM shown GROUP BY ALL),
+      q AS (SELECT DISTINCT profile_id, unnest([substr(profile_id, 2, 1), ['the', 'ing', 'an', 'er'][substr(profile_id, 2)::int % 4 + 1]]) AS needle FROM profiles)
+      SELECT profile_id, needle, row_number() OVER (PARTITION BY profile_id, needle ORDER BY position, x.id)::int AS place, x.id FROM x JOIN q USING (profile_id) JOIN items i ON i.id = x.id
+      WHERE contains(lower(i.title), needle) QUALIFY place <= 8""", "collapsed items profiles")
+def reader_searches(spark, d):
+    """Requests of all readers at once, two of each."""
+    n = F.substring("profile_id", 2, 10).cast("int")
+    asked = F.array(F.substring("profile_id", 2, 1), F.get(F.array(*[F.lit(x) for x in ("the", "ing", "an ", "er")]), n % 4))
+    requests = demo.profiles(spark, d).select("profile_id", F.explode(asked).alias("needle"))
+    index = bridges.search_index(shown_with_topics(spark, d), ("title",))
+    return search.search_readers(index, requests).select("profile_id", "needle", "place", "id")
+
+
 @check("world_search", """SELECT slug, count(*) AS items FROM items JOIN category_topics t ON list_contains(topics, t.topic) WHERE slug IN (SELECT slug FROM categories WHERE contains(lower(label), 'tai') OR contains(slug, 'tai') ORDER BY ord LIMIT 3) GROUP BY slug""", "items category_topics")
 def world_search(spark, d):
     found = filters.search_worlds(feed.category_table(spark), "TAI")

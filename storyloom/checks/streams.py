@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from .. import demo
 from ..operators.item_store import ItemStore
 from ..operators.upsert import ITEM_COLUMNS
+from ..plans.reader_store import ReaderStore
 from ..session import materialize, scratch_path
 from ..streaming import jobs
 from .base import NOW, check
-from .readers import TABLES
-from .stores import raw_entries
+from .readers import HALF, TABLES, half_batches, half_state
+from .stores import SET_SQL, raw_entries
 
 
 def stories(spark, d):
@@ -78,8 +79,9 @@ def stream_affinities(spark, d):
         part.repartition(2, "profile_id").write.mode("append").parquet(path)
     stream = jobs.file_stream(spark, path, signals.schema, files_per_batch=2)
     items = materialize(demo.items(spark, d).select("id", "source_id", "author", "topics"), "facts")
-    jobs.affinity_stream(stream, items, out, scratch_path(spark, "cp"))
-    return jobs.stream_affinities(spark, out).withColumn("weight", F.round("weight", 6))
+    store = ReaderStore.create(spark, out, buckets=8)
+    jobs.affinity_stream(stream, items, store, scratch_path(spark, "cp"))
+    return store.read("affinities").withColumn("weight", F.round("weight", 6))
 
 
 STREAMED = [c for c in ITEM_COLUMNS if c not in ("id", "content_html", "topics")]
@@ -109,3 +111,63 @@ def stream_ingest(spark, d):
     jobs.ingest_stream(stream, materialize(demo.sources(spark, d), "sources"), store, scratch_path(spark, "cp"), demo.now(), demo.TEST_TAXONOMY)
     known = F.when(F.col("id") <= top, F.col("id")).alias("id")
     return store.items().select(known, *STREAMED, F.md5("content_html").alias("body"), F.array_join("topics", ",").alias("topics"))
+
+
+def reader_requests(spark, d):
+    """Batches, mute toggles and new profiles of the second half of the log, each as it landed."""
+    e, at = F.col("event_id"), F.date_trunc("hour", F.col("ts").cast("timestamp")) + F.expr("interval 30 minutes")
+    late = demo.table(spark, d, "events").where(at >= F.lit(HALF).cast("timestamp"))
+    columns = [F.concat(F.lit("p"), "user_id").alias("profile_id"), e.alias("batch_id"), at.alias("received_at")]
+    said = F.element_at(F.array(*[F.lit(x) for x in ("false", "0", '""', "null", "true", "1", '"no"', "{}")]), (e % 8 + 1).cast("int"))
+    source = F.when(e % 10 == 9, F.concat(F.lit('"'), e % 20, F.lit('"'))).otherwise((e % 20).cast("string"))
+    mutes = late.where("event_type IN ('signup', 'click')").select(*columns, F.lit("mute").alias("route"), F.concat(F.lit('{"sourceId": '), source, F.lit(', "muted": '), said, F.lit("}")).alias("payload"))
+    chosen = F.when(e % 4 == 0, F.lit("none")).otherwise(F.concat(F.lit('{"interests": ["nba", 7, "'), "event_type", F.lit('", "'), F.element_at(F.array(F.lit("tech"), F.lit("bogus"), F.lit("media")), (e % 3 + 1).cast("int")), F.lit('"]}')))
+    begun = late.where("event_type = 'error'").select(*columns, F.lit("profile").alias("route"), chosen.alias("payload"))
+    return half_batches(spark, d).withColumn("route", F.lit("signals")).unionByName(mutes).unionByName(begun)
+
+
+def reader_store(spark, d) -> ReaderStore:
+    """The state after the first half, and the requests of the second as two micro-batches."""
+    requests, path = materialize(reader_requests(spark, d), "requests"), scratch_path(spark, "requests")
+    cut = F.col("received_at") < F.lit("2024-01-22").cast("timestamp")
+    for part in (cut, ~cut):
+        requests.where(part).repartition(2, "profile_id").write.mode("append").parquet(path)
+    store = ReaderStore.create(spark, scratch_path(spark, "readers"), half_state(spark, d), demo.profiles(spark, d), buckets=8)
+    stream = jobs.file_stream(spark, path, requests.schema, files_per_batch=2)
+    items = materialize(demo.items(spark, d).select("id", "source_id", "author", "topics"), "facts")
+    jobs.reader_stream(stream, items, store, scratch_path(spark, "cp"))
+    return store
+
+
+LATE_SQL = f"(SELECT *, date_trunc('hour', ts) + INTERVAL 30 MINUTE AS landed FROM events WHERE date_trunc('hour', ts) + INTERVAL 30 MINUTE >= TIMESTAMP '{HALF}')"
+
+
+@check("stream_reader_affinities", "SELECT profile_id, dimension, key, round(weight, 6) AS weight, updated_at FROM batched_affinities", "batched_affinities")
+def stream_reader_affinities(spark, d):
+    return reader_store(spark, d).read("affinities").withColumn("weight", F.round("weight", 6))
+
+
+@check("stream_reader_saves", "SELECT * FROM batched_saves", "batched_saves")
+def stream_reader_saves(spark, d):
+    return reader_store(spark, d).read("saves")
+
+
+@check("stream_reader_mutes", SET_SQL.format(add="muted", keys="profile_id, source_id", log=f"""(
+      SELECT g.id, profile_id, source_id, true AS muted, created_at FROM batched_signals g JOIN docs i ON i.id = g.item_id WHERE type = 'hide_source'
+      UNION ALL SELECT event_id, 'p' || user_id, event_id % 20, event_id % 8 > 3, landed FROM {LATE_SQL} WHERE event_type IN ('signup', 'click') AND event_id % 10 <> 9)"""), "batched_signals docs")
+def stream_reader_mutes(spark, d):
+    """Hidden sources with explicit mutes and unmutes."""
+    return reader_store(spark, d).read("mutes")
+
+
+@check("stream_reader_profiles", f"""WITH asked AS (SELECT 'p' || user_id AS profile_id, arg_max(CASE WHEN event_id % 4 = 0 THEN '' ELSE 'nba' || ['', '', ',tech', ',media'][CASE event_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 4 END] END, (landed, event_id)) AS chosen
+        FROM {LATE_SQL} WHERE event_type = 'error' GROUP BY 1),
+      seen AS (SELECT profile_id, max(created_at) AS last_seen_at FROM batched_signals WHERE created_at >= TIMESTAMP '{HALF}' GROUP BY 1)
+      SELECT profile_id, coalesce(chosen, array_to_string(interests, ',')) AS interests, last_seen_at FROM profiles LEFT JOIN asked USING (profile_id) LEFT JOIN seen USING (profile_id)""", "profiles batched_signals")
+def stream_reader_profiles(spark, d):
+    return reader_store(spark, d).read("profiles").withColumn("interests", F.array_join("interests", ","))
+
+
+@check("stream_reader_log", f"SELECT profile_id, item_id, type, value, created_at FROM batched_signals WHERE created_at >= TIMESTAMP '{HALF}' AND item_id IN (SELECT doc_id FROM documents)", "batched_signals")
+def stream_reader_log(spark, d):
+    return reader_store(spark, d).read("log").drop("id")

@@ -18,11 +18,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import constants as K
-from ..operators import affinity, feed
+from ..operators import feed
 from ..operators.increments import cluster_changes
 from ..operators.item_store import ItemStore
 from ..operators.upsert import KEY
 from ..plans.ingest import clean_entries
+from ..plans.reader_store import ReaderStore
 from ..session import release_scratch, scratch_count, scratch_path
 
 
@@ -138,28 +139,31 @@ def ingest_stream(
     return run_batches(raw, each, checkpoint, every=every)
 
 
-AFFINITY_SCHEMA = T.StructType([
-    T.StructField("profile_id", T.StringType()), T.StructField("dimension", T.StringType()), T.StructField("key", T.StringType()),
-    T.StructField("weight", T.DoubleType()), T.StructField("updated_at", T.TimestampType()),
-])
+def _on_store(stream: DataFrame, store: ReaderStore, fold, items, checkpoint: str, every: str | None, merge_every: int):
+    def each(batch: DataFrame, batch_id: int) -> None:
+        begun = scratch_count()
+        if not store.has_done(batch_id):
+            fold(batch, items() if callable(items) else items, batch_id)
+        if batch_id % merge_every == merge_every - 1:
+            store.merge(most=1)
+            store.vacuum()
+        release_scratch(store.spark, begun)
 
+    return run_batches(stream, each, checkpoint, every=every)
 
-def affinity_stream(signals: DataFrame, items: DataFrame, out: str, checkpoint: str, every: str | None = None):
-    """Continuous affinity fold: every batch continues from the weights stored so far and logs the keys it touched."""
-    spark = signals.sparkSession
-    start_log(spark, out, AFFINITY_SCHEMA)
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        stored = latest(spark, out, AFFINITY_SCHEMA, affinity.KEY, before=batch_id)
-        touched = affinity.fold_affinities(batch, items, stored=stored)
-        touched.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        compact(spark, out, AFFINITY_SCHEMA, affinity.KEY, batch_id)
+def reader_stream(requests: DataFrame, items: DataFrame | Callable[[], DataFrame], store: ReaderStore, checkpoint: str, every: str | None = None, merge_every: int = COMPACT_EVERY):
+    """Landed requests of readers (see ``ReaderStore.apply``) folded as they come: log, affinities, saves, mutes, profiles.
 
-    return run_batches(signals, each, checkpoint, every=every)
+    ``items`` may be a function, called for every batch. A batch is one commit marked with its number, so that one
+    that is replayed changes nothing. Every ``merge_every`` batches the store is merged and old folders are deleted.
+    """
+    return _on_store(requests, store, store.apply, items, checkpoint, every, merge_every)
 
 
-def stream_affinities(spark: SparkSession, out: str) -> DataFrame:
-    return latest(spark, out, AFFINITY_SCHEMA, affinity.KEY)
+def affinity_stream(signals: DataFrame, items: DataFrame | Callable[[], DataFrame], store: ReaderStore, checkpoint: str, every: str | None = None, merge_every: int = COMPACT_EVERY):
+    """Continuous affinity fold of parsed signals: a batch goes on from the weights in the buckets of its profiles."""
+    return _on_store(signals, store, store.fold, items, checkpoint, every, merge_every)
 
 
 def bursts(stories: DataFrame, delay: str = STORY_DELAY) -> DataFrame:

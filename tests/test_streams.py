@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyloom.operators import affinity
+from storyloom.plans.reader_store import ReaderStore
 from storyloom.streaming import jobs
 
 START = datetime.datetime(2026, 5, 1)
@@ -49,7 +50,7 @@ def test_open_windows_and_late_stories(spark, tmp_path, small_bases):
     assert got["today"] == pytest.approx(math.tanh(mass / 40))
 
 
-def test_affinities_after_a_restart(spark, tmp_path, small_bases):
+def test_affinities_after_a_restart(spark, tmp_path):
     """Micro-batches with a stop in between fold to what one fold of the whole log gives."""
     items = spark.createDataFrame([(i, i % 3, f"A{i % 2}", ["tech"]) for i in range(6)], "id bigint, source_id bigint, author string, topics array<string>")
     schema = "id bigint, profile_id string, item_id bigint, type string, value double, created_at timestamp"
@@ -60,10 +61,12 @@ def test_affinities_after_a_restart(spark, tmp_path, small_bases):
         for k in range(0, len(part), 12):
             spark.createDataFrame(part[k : k + 12], schema).coalesce(1).write.mode("append").parquet(path)
         stream = jobs.file_stream(spark, path, spark.createDataFrame([], schema).schema, files_per_batch=1)
-        jobs.affinity_stream(stream, items, out, str(tmp_path / "cp"))
+        store = ReaderStore.create(spark, out, buckets=4)
+        jobs.affinity_stream(stream, items, store, str(tmp_path / "cp"), merge_every=2)
     rounded = lambda df: sorted((r.profile_id, r.dimension, r.key, round(r.weight, 9), r.updated_at) for r in df.collect())
-    assert rounded(jobs.stream_affinities(spark, out)) == rounded(affinity.fold_affinities(spark.createDataFrame(log, schema), items))
-    assert any(p.name != "batch_id=-1" for p in (tmp_path / "out_base").iterdir())
+    assert rounded(store.read("affinities")) == rounded(affinity.fold_affinities(spark.createDataFrame(log, schema), items))
+    # Merged every second batch: what is left on disk are the folders of the last states.
+    assert len(list((tmp_path / "out" / "affinities").glob("*/version=*"))) <= 3 * 4
 
 
 def test_unique_entries_of_any_admitted_age(spark, tmp_path):
