@@ -4,12 +4,14 @@ Items are partitioned by their number of shingles into classes of doubling size.
 document is a run of windows of 2 s shingles that start every s shingles, so that a passage of an item lies
 whole in one of them and their resemblance does not fade with the length of the document. Per hash function
 the minimum of each block of the smallest class is taken once; windows of larger classes are minima of these
-minima. A window that has an item's minimum under one of the functions makes that item a candidate, and all
-candidates are verified by exact containment of their word shingles in the whole document.
+minima. A window that has an item's minimum under one of the functions makes that item a candidate. An item of few
+shingles, which may miss all functions by chance, is a candidate also where one of its shingles stands of which a
+document that contains the item must have one. All candidates are verified by exact containment of their word shingles in the whole document.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
 
@@ -71,6 +73,7 @@ class Index:
         self.size, self.threshold, self.functions = size, threshold, functions
         self.ids, self.sets = [], []
         self.classes: dict[int, list[dict[int, list[int]]]] = {}
+        self.small: dict[int, list[int]] = defaultdict(list)
         for item_id, text in items:
             words = words_of(text or "")
             shingles = shingle_set(words, size)
@@ -80,6 +83,11 @@ class Index:
             self.ids.append(item_id)
             self.sets.append(shingles)
             h = _hashes(words, size)
+            if len(shingles) <= SMALLEST:
+                # A document without any of these lacks too many of the item's shingles.
+                spare = len(shingles) - math.ceil(threshold * len(shingles) - 1e-9) + 1
+                for value in np.unique(h)[:spare].tolist():
+                    self.small[value].append(k)
             width = SMALLEST
             while width < len(shingles):
                 width *= 2
@@ -89,6 +97,8 @@ class Index:
         # The sorted minima, and a bit table of their low bits that answers most look-ups with no.
         self.sorted = {w: [np.array(sorted(t), np.uint32) for t in tables] for w, tables in self.classes.items()}
         self.bits = {w: [self._bit_table(s) for s in per] for w, per in self.sorted.items()}
+        self.small_keys = np.array(sorted(self.small), np.uint32)
+        self.small_bits = self._bit_table(self.small_keys)
 
     @staticmethod
     def _bit_table(values: np.ndarray) -> np.ndarray:
@@ -96,6 +106,17 @@ class Index:
         table[values & np.uint32(0xFFFF)] = True
         return table
 
+    @staticmethod
+    def _add(found: list[set[int]], bits: np.ndarray, keys: np.ndarray, table: dict[int, list[int]], doc: np.ndarray, values: np.ndarray) -> None:
+        """Add the items of all values that are keys of the table to the documents of these values."""
+        maybe = np.nonzero(bits[values & np.uint32(0xFFFF)])[0]
+        if not len(maybe):
+            return
+        asked = values[maybe]
+        hit = maybe[keys[np.minimum(np.searchsorted(keys, asked), len(keys) - 1)] == asked]
+        for d, value in set(zip(doc[hit].tolist(), values[hit].tolist(), strict=True)):
+            found[d].update(table[value])
+
     def candidates(self, hashes: list[np.ndarray]) -> list[set[int]]:
         """Items that share a minimum with a window, for each document."""
         found: list[set[int]] = [set() for _ in hashes]
@@ -115,15 +136,8 @@ class Index:
                 window = mins
                 if len(mins) > 1:
                     window = np.append(np.where(doc[1:] == doc[:-1], np.minimum(mins[1:], mins[:-1]), mins[:-1]), mins[-1])
-                maybe = np.nonzero(self.bits[w][j][window & np.uint32(0xFFFF)])[0]
-                if not len(maybe):
-                    continue
-                keys = self.sorted[w][j]
-                values = window[maybe]
-                hit = maybe[keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values]
-                table = self.classes[w][j]
-                for d, value in set(zip(doc[hit].tolist(), window[hit].tolist(), strict=True)):
-                    found[d].update(table[value])
+                self._add(found, self.bits[w][j], self.sorted[w][j], self.classes[w][j], doc, window)
+        self._add(found, self.small_bits, self.small_keys, self.small, np.repeat(np.arange(len(lens)), lens), flat)
         return found
 
 

@@ -51,6 +51,26 @@ def test_edited_passages_in_long_documents(spark, monkeypatch, block_bytes):
     assert got(found) == want and sum(bool(i) for _, i in want) >= 20
 
 
+def test_items_of_few_shingles_are_all_found():
+    """Thousands of short items, whole or with a changed end, inside documents of hundreds of words."""
+    rng = np.random.default_rng(3)
+    missed = 0
+    for n in (3, 5, 6, 7, 9, 12):
+        items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 100_000, n))) for k in range(400)]
+        index = C.Index(items, C.SHINGLE_WORDS, C.THRESHOLD, C.FUNCTIONS)
+        docs = []
+        for _, item in items:
+            words = item.split()
+            around = [] if n < C.SHINGLE_WORDS else [f"x{x}" for x in rng.integers(0, 100_000, 150)]
+            docs.append(C.words_of(" ".join([*around, *(words[:-1] + ["changed"] if n >= 9 else words), *around])))
+        found = index.candidates([C._hashes(d, C.SHINGLE_WORDS) for d in docs])
+        for k, d in enumerate(docs):
+            held = len(index.sets[k] & C.shingle_set(d)) >= C.THRESHOLD * len(index.sets[k])
+            missed += held and k not in found[k]
+            assert held
+    assert missed == 0
+
+
 def test_odd_documents(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "some words under the MIT license"), (2, "a row without an id")], "item_id long, text string").selectExpr("*", "'x' as items")
     found = C.contained_items(odd_docs, items)
