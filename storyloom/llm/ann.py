@@ -31,6 +31,7 @@ WIDTH = 2.0
 SAMPLE = 10_000
 #: Vectors of a bucket, and visitors of it, that meet in one group on average at most.
 BLOCK = 1024
+FARTHEST = float(1 << 52)
 #: Numbers of the queries that are compared with all points in one pass.
 EXACT_NUMBERS = 1 << 18
 
@@ -51,7 +52,10 @@ class Hasher:
     def slots(self, x: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng([x.shape[1], table])
         a, b = rng.standard_normal((x.shape[1], self.hashes)), rng.random(self.hashes)
-        place = x @ a / (self.width * self.spread.get(x.shape[1], 1.0)) + b
+        with np.errstate(over="ignore", invalid="ignore"):
+            place = (x / (self.width * self.spread.get(x.shape[1], 1.0))) @ a + b
+        # Beyond whole doubles a slot says nothing; such vectors meet at the ends, or in the exact pass.
+        place = np.clip(np.nan_to_num(place), -FARTHEST, FARTHEST)
         slot = np.floor(place)
         return slot.astype(np.int64), place - slot
 
@@ -89,6 +93,19 @@ def _by_dimension(lists: pa.Array):
         yield rows, flat[(ends[rows] - dim)[:, None] + np.arange(dim)]
 
 
+def _distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of ``x`` from ``v``; where squares leave the range of a double, scaled ones."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        gap = x - v
+        d = np.sqrt((gap**2).sum(1))
+        far = np.nonzero(~((d > 1e-150) & np.isfinite(d)))[0]
+        if len(far):
+            most = np.abs(gap[far]).max(1)
+            scale = np.where((most > 0) & np.isfinite(most), most, 1.0)[:, None]
+            d[far] = np.sqrt(((gap[far] / scale) ** 2).sum(1)) * scale[:, 0]
+    return d
+
+
 def _with_buckets(points: DataFrame, hasher: Hasher, visits: bool) -> DataFrame:
     """``id``, ``vector`` and one row for each bucket (of its own, or those it visits)."""
     schema = "id bigint, vector array<double>, buckets array<bigint>"
@@ -120,7 +137,7 @@ def _best_of_group(k: int):
                 own, x = index[q.shape[1]]
                 of, marked = point[own], mark[own]
                 for r, v in zip(rows.tolist(), q, strict=True):
-                    d = np.sqrt(((x - v) ** 2).sum(1))
+                    d = _distances(x, v)
                     best = np.lexsort((marked, of, d))[:k]
                     queries.append(np.full(len(best), visitor[r]))
                     ids.append(of[best])
@@ -154,7 +171,7 @@ def _best_of_all(sent, k: int):
                     for r, v in zip(rows.tolist(), q, strict=True):
                         # A point whose only id is the query's own answers nothing.
                         other = ~(alone & (of == query_id[r]))
-                        d = np.append(best[r][0], np.sqrt(((x - v) ** 2).sum(1))[other])
+                        d = np.append(best[r][0], _distances(x, v)[other])
                         ids = np.append(best[r][1], of[other])
                         marks = np.append(best[r][2], marked[other])
                         near = np.lexsort((marks, ids, d))[:k]
@@ -254,6 +271,16 @@ def nearest(
     return answers.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _deviation(x: np.ndarray) -> float:
+    """Root of the summed variances; by quartiles where some vectors are so long that these are out of range."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        whole = float(np.sqrt(x.var(0).sum()))
+        if not math.isfinite(whole):
+            low, high = np.quantile(x, [0.25, 0.75], axis=0)
+            whole = float(np.sqrt((((high - low) / 1.349) ** 2).sum()))
+    return whole if whole and math.isfinite(whole) else 1.0
+
+
 def _spread(points: DataFrame) -> dict[int, float]:
     """Standard deviation of a normal projection, by vector length: on the sample, for lengths that are rare in it on all rows."""
     sample = points.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
@@ -261,8 +288,8 @@ def _spread(points: DataFrame) -> dict[int, float]:
         return {}
     parts = list(_by_dimension(sample.column("vector").combine_chunks()))
     if sample.num_rows < SAMPLE:
-        return {x.shape[1]: float(np.sqrt(x.var(0).sum())) or 1.0 for _, x in parts}
-    spread = {x.shape[1]: float(np.sqrt(x.var(0).sum())) or 1.0 for _, x in parts if len(x) >= SAMPLE // 10}
+        return {x.shape[1]: _deviation(x) for _, x in parts}
+    spread = {x.shape[1]: _deviation(x) for _, x in parts if len(x) >= SAMPLE // 10}
     rest = points.select(F.size("vector").alias("dim"), "vector").where(~F.col("dim").isin(list(spread)))
     rest = rest.select("dim", F.posexplode("vector").alias("i", "x")).groupBy("dim", "i").agg(F.var_pop("x").alias("v"))
-    return spread | {r.dim: math.sqrt(r.v) or 1.0 for r in rest.groupBy("dim").agg(F.sum("v").alias("v")).collect()}
+    return spread | {r.dim: (math.sqrt(r.v) or 1.0) if math.isfinite(r.v) else 1.0 for r in rest.groupBy("dim").agg(F.sum("v").alias("v")).collect()}

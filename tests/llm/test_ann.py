@@ -80,6 +80,26 @@ def test_outliers_and_small_tables_with_default_parameters(spark, monkeypatch):
             assert np.allclose([s for s, _ in got[q]], [s for s, _ in near])
 
 
+def test_vectors_out_of_the_range_of_squares(spark):
+    """Components whose squares overflow, or vanish, keep their distances and order."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(1, 40)]
+    rows += [(100, [1e200, 0.0, 0.0, 0.0]), (101, [2e200, 0.0, 0.0, 0.0]), (102, [4e200, 3e200, 0.0, 0.0]), (103, [1e-200, 0.0, 0.0, 0.0]), (104, [5e-200, 3e-200, 0.0, 0.0])]
+    rows += [(200, [0.0, 1e-200, 0.0, 0.0])]
+    got = answers(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0))
+
+    def distance(a, b):
+        gap = [x - y for x, y in zip(a, b, strict=True)]
+        most = max(map(abs, gap)) or 1.0
+        return most * float(np.sqrt(sum((g / most) ** 2 for g in gap)))
+
+    of = dict(rows)
+    for q in (100, 200):
+        want = sorted((distance(of[q], v), i) for i, v in rows if i != q)[:10]
+        assert [i for _, i in got[q]] == [i for _, i in want]
+        assert np.allclose([s for s, _ in got[q]], [s for s, _ in want], rtol=1e-12, atol=0)
+
+
 def test_spread_of_rare_lengths_is_measured(spark, monkeypatch):
     monkeypatch.setattr(ann, "SAMPLE", 50)
     rows = [(i, [float(i), 1.0]) for i in range(400)] + [(1000, [0.0, 0.0, 100.0]), (1001, [0.0, 300.0, 100.0])]
