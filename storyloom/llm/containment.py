@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -150,17 +151,17 @@ def _blocks(lens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return first[owner] + within * size, owner
 
 
-def _item_blocks(items: DataFrame, item_id: str, text: str) -> list[list[tuple]]:
-    """The benchmark in blocks of bounded size. It is the query set; the driver holds one row at a time besides them."""
-    blocks, size = [[]], 0
+def _item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple]]:
+    """The benchmark in blocks of bounded size, at least one. The driver holds one of them; broadcast ones lie on disk."""
+    block, size = [], 0
     for row in items.select(item_id, text).toLocalIterator():
         n = len((row[1] or "").encode())
-        if size + n > BLOCK_BYTES and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row[0], row[1]))
+        if size + n > BLOCK_BYTES and block:
+            yield block
+            block, size = [], 0
+        block.append((row[0], row[1]))
         size += n
-    return blocks
+    yield block
 
 
 def contained_items(
