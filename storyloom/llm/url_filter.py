@@ -125,18 +125,19 @@ def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", lab
     and is judged by the model like any other. Repeated rows give repeated results; other columns are not read.
     """
     host, path = split_url(F.col(url))
-    parts = pages.select(F.col(page_id), host.alias("host"), path.alias("path"))
+    # Slices are measured by host and path together.
+    parts = pages.select(F.col(page_id), host.alias("host"), path.alias("path"), F.concat(host, path).alias("__whole"))
     sent = pages.sparkSession.sparkContext.broadcast(fit(labelled_urls() if labelled is None else labelled))
 
     def worker():
         weights, bias = sent.value
 
-        def run(hosts, rows):
-            return [pa.array(_scores(weights, bias, *features(hosts.to_pylist(), rows.column("path").to_pylist())))]
+        def run(_, rows):
+            return [pa.array(_scores(weights, bias, *features(rows.column("host").to_pylist(), rows.column("path").to_pylist())))]
 
         return run
 
-    scored = map_texts(parts, [page_id, "host", "path"], "host", [("score", T.DoubleType())], worker, limit=200_000)
+    scored = map_texts(parts, [page_id, "host", "path"], "__whole", [("score", T.DoubleType())], worker, limit=200_000)
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("score") >= THRESHOLD, "block").otherwise("allow")
     return scored.select(page_id, "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "score")

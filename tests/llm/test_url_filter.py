@@ -66,3 +66,15 @@ def test_empty(spark):
     assert (U._scores(weights, bias, *U.features(["a"], [""])) < U.THRESHOLD).all()
     with pytest.raises(ValueError):
         U.fit([("a", "", True)] * (U.MAX_LABELLED + 1))
+
+
+def test_very_long_paths(spark):
+    """Long paths are slices of their own and score as any other."""
+    urls = [f"https://h{i}.example.org/" + "segment%d/" % i * (30_000 if i % 3 == 0 else 2) + "?q" for i in range(12)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").coalesce(1)
+    got = {r.page_id: r for r in U.judge_urls(pages).collect()}
+    weights, bias = U.fit(U.labelled_urls())
+    for i, url in enumerate(urls):
+        host, path = url[8:-2].split("/", 1)
+        want = U._scores(weights, bias, *U.features([host], ["/" + path]))[0]
+        assert (got[i].host, got[i].path) == (host, "/" + path) and abs(got[i].score - want) < 1e-6
