@@ -127,9 +127,9 @@ for _name, _of in (("deltas", "signals"), ("affinities", "deltas"), ("saves", "s
 HALF = "2024-01-15"
 
 
-def half_state(spark, d) -> signals_plan.ReaderState:
+def half_state(spark, d, items) -> signals_plan.ReaderState:
     """What the first half of the log leaves behind."""
-    c, items = F.col, demo.items(spark, d)
+    c = F.col
     rows = demo.signals(spark, d).withColumn("created_at", F.date_trunc("hour", "created_at"))
     before = rows.filter(c("created_at") < F.lit(HALF).cast("timestamp")).withColumn("value", F.greatest(F.lit(0.0), F.least("value", F.lit(K.SIGNAL_VALUE_MAX))))
     hidden = before.filter("type = 'hide_source'").join(items.select(c("id").alias("item_id"), "source_id"), "item_id")
@@ -151,7 +151,8 @@ def half_batches(spark, d):
 
 
 def batched_run(spark, d) -> signals_plan.SignalRun:
-    return signals_plan.signals_job(half_batches(spark, d), demo.items(spark, d), half_state(spark, d))
+    items = materialize(demo.items(spark, d).select("id", "source_id", "author", "topics"), "facts")
+    return signals_plan.signals_job(half_batches(spark, d), items, half_state(spark, d, items))
 
 
 @check("signal_job_affinities", "SELECT profile_id, dimension, key, round(weight, 6) AS weight, updated_at FROM batched_affinities", "batched_affinities")

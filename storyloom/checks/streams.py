@@ -8,7 +8,7 @@ from .. import demo
 from ..operators.item_store import ItemStore
 from ..operators.upsert import ITEM_COLUMNS
 from ..plans.reader_store import ReaderStore
-from ..session import materialize, scratch_path
+from ..session import list_paths, materialize, scratch_path
 from ..streaming import jobs
 from .base import NOW, check
 from .readers import HALF, TABLES, half_batches, half_state
@@ -68,17 +68,35 @@ def stream_dwell_sessions(spark, d):
     return jobs.read_times(jobs.drain_updates(jobs.dwell_sessions(v, "12 hours"), jobs.DWELL_KEY, "dwell"))
 
 
+def land_slices(slices, path: str) -> int:
+    """Write slices of rows after each other and return the most files of one, to be taken as a micro-batch.
+
+    The files of a slice are dealt by reader over all tasks. Files are taken in the order in which they were written,
+    so that a reader's rows come in the order of the slices wherever a batch ends.
+    """
+    most, before = 1, 0
+    for rows in slices:
+        spark = rows.sparkSession
+        rows.repartition(max(2, spark.sparkContext.defaultParallelism), "profile_id").write.mode("append").parquet(path)
+        written = len(list_paths(spark, f"{path}/part-*"))
+        most, before = max(most, written - before), written
+    return most
+
+
+def stored_facts(spark, d):
+    """What folding a signal needs of its item, derived once."""
+    return materialize(demo.items(spark, d).select("id", "source_id", "author", "topics"), "facts")
+
+
 @check("stream_affinities", "SELECT profile_id, dimension, key, round(weight, 6) AS weight, updated_at FROM affinities", "affinities")
 def stream_affinities(spark, d):
     """Three time slices of the log as three micro-batches."""
     signals = demo.signals(spark, d)
     path, out = scratch_path(spark, "signals"), scratch_path(spark, "affinities")
-    for n, (low, high) in enumerate([("2000-01-01", "2024-01-10"), ("2024-01-10", "2024-01-20"), ("2024-01-20", "2100-01-01")]):
-        part = signals.filter((F.col("created_at") >= F.lit(low).cast("timestamp")) & (F.col("created_at") < F.lit(high).cast("timestamp")))
-        # A slice is one micro-batch: its files are dealt by reader, and as many are taken at a time.
-        part.repartition(2, "profile_id").write.mode("append").parquet(path)
-    stream = jobs.file_stream(spark, path, signals.schema, files_per_batch=2)
-    items = materialize(demo.items(spark, d).select("id", "source_id", "author", "topics"), "facts")
+    bounds = [("2000-01-01", "2024-01-10"), ("2024-01-10", "2024-01-20"), ("2024-01-20", "2100-01-01")]
+    slices = [signals.filter((F.col("created_at") >= F.lit(low).cast("timestamp")) & (F.col("created_at") < F.lit(high).cast("timestamp"))) for low, high in bounds]
+    stream = jobs.file_stream(spark, path, signals.schema, files_per_batch=land_slices(slices, path))
+    items = stored_facts(spark, d)
     store = ReaderStore.create(spark, out, buckets=8)
     jobs.affinity_stream(stream, items, store, scratch_path(spark, "cp"))
     return store.read("affinities").withColumn("weight", F.round("weight", 6))
@@ -130,11 +148,10 @@ def reader_store(spark, d) -> ReaderStore:
     """The state after the first half, and the requests of the second as two micro-batches."""
     requests, path = materialize(reader_requests(spark, d), "requests"), scratch_path(spark, "requests")
     cut = F.col("received_at") < F.lit("2024-01-22").cast("timestamp")
-    for part in (cut, ~cut):
-        requests.where(part).repartition(2, "profile_id").write.mode("append").parquet(path)
-    store = ReaderStore.create(spark, scratch_path(spark, "readers"), half_state(spark, d), demo.profiles(spark, d), buckets=8)
-    stream = jobs.file_stream(spark, path, requests.schema, files_per_batch=2)
-    items = materialize(demo.items(spark, d).select("id", "source_id", "author", "topics"), "facts")
+    files = land_slices([requests.where(part) for part in (cut, ~cut)], path)
+    items = stored_facts(spark, d)
+    store = ReaderStore.create(spark, scratch_path(spark, "readers"), half_state(spark, d, items), demo.profiles(spark, d), buckets=8)
+    stream = jobs.file_stream(spark, path, requests.schema, files_per_batch=files)
     jobs.reader_stream(stream, items, store, scratch_path(spark, "cp"))
     return store
 
