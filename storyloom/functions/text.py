@@ -71,11 +71,21 @@ def decode_entities(text: Column) -> Column:
     return _decode_pieces(text, "&", "^([a-zA-Z]+);", lambda n: F.coalesce(F.try_element_at(named, n), F.lit(" ")))
 
 
-def strip_html(html: Column) -> Column:
+def squeeze_start(text: Column, length: int) -> Column:
+    """``squeeze``, but of a text that stays longer than ``length`` only a beginning longer than that."""
+    start = squeeze(F.substring(text, 1, 4 * length))
+    return bind(start, lambda s: F.when(F.length(s) > length, s).otherwise(squeeze(text)))
+
+
+def _without_markup(html: Column) -> Column:
     text = F.regexp_replace(html, "(?is)<style.*?</style>", "")
     text = F.regexp_replace(text, "(?is)<script.*?</script>", "")
     text = F.when(html.contains("<"), F.regexp_replace(text, "<[^>]+>", " ")).otherwise(html)
-    return squeeze(decode_entities(text))
+    return decode_entities(text)
+
+
+def strip_html(html: Column) -> Column:
+    return squeeze(_without_markup(html))
 
 
 def count_words(html: Column) -> Column:
@@ -89,7 +99,9 @@ def make_excerpt(description: Column, body: Column) -> Column:
     """The publisher's description, else the opening of the body, cut at a word; null when both are empty."""
     said = trim_all(F.coalesce(description, F.lit("")))
     usable = (said != "") & ~F.lower(said).isin(*K.PLACEHOLDER_TEXTS)
-    base = strip_html(F.when(usable, description).otherwise(F.coalesce(body, F.lit(""))))
+    whole = _without_markup(F.when(usable, description).otherwise(F.coalesce(body, F.lit(""))))
+    # What follows the cut is not looked at, however long the body is.
+    base = bind(whole, lambda t: squeeze_start(t, K.EXCERPT_MAX))
 
     def shortened(cut: Column) -> Column:
         last_space = F.length(cut) - F.locate(" ", F.reverse(cut))
@@ -212,6 +224,7 @@ class TermIndex:
         self.wordless = by_words.pop("", [])
         self.by_words = by_words
         self.lengths = sorted({w.count(" ") + 1 for w in by_words})
+        self.openers = {n: sorted({w.split(" ")[0] for w in by_words if w.count(" ") + 1 == n}) for n in self.lengths}
 
     def matched(self, text: Column) -> Column:
         """The terms that the text holds."""
@@ -223,7 +236,9 @@ class TermIndex:
         def sequences(w: Column, n: int) -> Column:
             if n == 1:
                 return w
-            starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), lambda i: i <= F.size(w) - n + 1)
+            # Only the places of a word that begins such a term are joined to texts.
+            opens = F.filter(F.transform(w, lambda x, i: F.when(x.isin(self.openers[n]), i + 1)), lambda i: i.isNotNull())
+            starts = F.filter(opens, lambda i: i <= F.size(w) - n + 1)
             return F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
 
         def found(w: Column) -> Column:
