@@ -61,15 +61,15 @@ def prefix_of(ranked: Column, level: int = 1) -> Column:
 
 
 def order_by_rarity(sets: DataFrame) -> DataFrame:
-    """Add ``ranked``: the tokens, rarest first."""
+    """Add ``ranked``: the tokens, rarest first, as whole numbers in that order, since rows are copied for every key."""
     words = sets.select("set_id", F.explode("tokens").alias("token"))
     frequency = words.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = (
-        words.join(broadcast_if_small(frequency), "token").groupBy("set_id")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("r"))
-    )
+    numbered = frequency.repartitionByRange("df", "token").sortWithinPartitions("df", "token")
+    # Written once: a number must not depend on how often or where it is worked out.
+    codes = materialize(numbered.select("token", F.monotonically_increasing_id().alias("code")), "token-codes")
     # One title's tokens, so the collected list is short.
-    return sets.join(ranked.select("set_id", F.transform("r", lambda t: t["token"]).alias("ranked")), "set_id")
+    ranked = words.join(broadcast_if_small(codes), "token").groupBy("set_id").agg(F.sort_array(F.collect_list("code")).alias("ranked"))
+    return sets.join(ranked, "set_id")
 
 
 def _sim(shared: Column, n: Column, m: Column) -> Column:
