@@ -82,3 +82,11 @@ def test_a_crowd_of_long_titles(spark):
     assert longest == len(rows)
     found = {(min(r.a.set_id, r.b.set_id), max(r.a.set_id, r.b.set_id)) for r in pairs.select("a", "b").collect()}
     assert found == {(i, 20_000 + i) for i in range(0, 20_000, 400)}
+
+
+def test_ranked_tokens_are_numbers_from_the_rarest(spark):
+    df = spark.createDataFrame([(0, 0, "alpha beta gamma", "", None), (1, 1, "beta gamma delta", "", None), (2, 2, "gamma omega", "", None)], SCHEMA)
+    sets = similarity.order_by_rarity(similarity.story_sets(df))
+    assert sets.schema["ranked"].dataType.simpleString() == "array<bigint>"
+    ranked = {r.set_id: r.ranked for r in sets.collect()}
+    assert ranked[0][1:] == ranked[1][1:] and ranked[0][2] == ranked[2][1] and all(r == sorted(set(r)) for r in ranked.values())
