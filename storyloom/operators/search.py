@@ -3,7 +3,9 @@
 Every title is listed under its runs of one to three characters. The titles are cut into levels along their position,
 the first of about ``FIRST`` titles and each further one four times as large. A needle looks up its rarest run, level by
 level, and is done once it has enough hits: a frequent needle ends in the first levels, a rare one has short lists, so no
-needle goes through all titles. Lists lie in folders by level and hash bucket, and a search opens those of its needles.
+needle goes through all titles. A run of three stands there at each of its places with the characters around it, so what
+holds the run but not the needle goes where it is met, and only hits are dealt out and looked up among the titles. Lists
+lie in folders by level and hash bucket, and a search opens those of its needles.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ from ..functions.text import trim_all
 from ..session import broadcast_if_small, list_paths, materialize
 
 RUN = 3
+#: Characters that a list keeps on either side of a run.
+AROUND = 7
 FIRST = 4096
 BUCKETS = 32
 
-_POSTINGS = "gram string, id bigint, level int, bucket int"
+_POSTINGS = "gram string, head string, tail string, id bigint, level int, bucket int"
 _TITLES = "id bigint, title string, position bigint, level int"
 _COUNTS = "gram string, n bigint, bucket int"
 _HITS = "needle string, place int, id bigint, title string"
@@ -38,6 +42,19 @@ def _characters(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
 
+def _listed(letters: DataFrame) -> DataFrame:
+    """The rows with ``gram``: distinct shorter runs, and each place of a whole one with the text around it."""
+    c, text = F.col, lambda start, size: F.array_join(F.slice("letters", start, size), "")
+    keys = [k for k in letters.columns if k != "letters"]
+    short = F.concat(*[_runs(c("letters"), k) for k in range(1, RUN)])
+    short = letters.select(*keys, F.explode(short).alias("gram"), F.lit("").alias("head"), F.lit("").alias("tail"))
+    places = letters.where(F.size("letters") >= RUN).select("*", F.explode(F.sequence(F.lit(1), F.size("letters") - (RUN - 1))).alias("at"))
+    before = F.least(c("at") - 1, F.lit(AROUND))
+    return short.unionByName(places.select(
+        *keys, text(c("at"), F.lit(RUN)).alias("gram"), text(c("at") - before, before).alias("head"), text(c("at") + RUN, F.lit(AROUND)).alias("tail")
+    ))
+
+
 def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int")
 
@@ -65,8 +82,7 @@ class TitleIndex:
         rows = rows.withColumn("level", level)
         rows.hint("rebalance", "level").write.partitionBy("level").mode("overwrite").parquet(f"{index.path}/titles")
         letters = index._read("titles", _TITLES).select("id", "level", _characters(F.lower("title")).alias("letters"))
-        grams = letters.select("id", "level", F.explode(F.concat(*[_runs(F.col("letters"), k) for k in range(1, RUN + 1)])).alias("gram"))
-        grams = grams.withColumn("bucket", _bucket(buckets)).hint("rebalance", "level", "bucket").sortWithinPartitions("level", "bucket", "gram")
+        grams = _listed(letters).withColumn("bucket", _bucket(buckets)).hint("rebalance", "level", "bucket").sortWithinPartitions("level", "bucket", "gram")
         grams.write.partitionBy("level", "bucket").mode("overwrite").parquet(f"{index.path}/postings")
         counts = index._read("postings", _POSTINGS).groupBy("gram", "bucket").agg(F.count("*").alias("n"))
         counts.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").mode("overwrite").parquet(f"{index.path}/counts")
@@ -94,9 +110,15 @@ class TitleIndex:
         return [r.bucket for r in rows.select("bucket").distinct().collect()]
 
     def candidates(self, pending: DataFrame, level: int) -> DataFrame:
-        """``needle`` and ``id`` of the titles of a level that hold the needle's rarest run."""
+        """``needle`` and ``id`` of the titles of a level that hold the needle's rarest run with what is next to it there."""
+        at, n = F.instr(F.col("needle"), F.col("gram")), F.length("gram")
+        asked = pending.select(
+            "needle", "gram", "bucket", F.right(F.substring("needle", F.lit(1), at - 1), F.lit(AROUND)).alias("before"),
+            F.substring("needle", at + n, F.lit(AROUND)).alias("after"),
+        )
         lists = self._read("postings", _POSTINGS).where((F.col("level") == level) & F.col("bucket").isin(self._buckets_of(pending)))
-        return lists.join(broadcast_if_small(pending.select("needle", "gram", "bucket")), ["gram", "bucket"]).select("needle", "id")
+        met = lists.join(broadcast_if_small(asked), ["gram", "bucket"])
+        return met.where(F.endswith("head", F.col("before")) & F.startswith("tail", F.col("after"))).select("needle", "id").distinct()
 
     def search(self, needles: DataFrame, limit: int = K.SEARCH_STORY_LIMIT) -> DataFrame:
         """``needle`` (trimmed, lower-cased), ``place``, ``id`` and ``title`` of the first ``limit`` titles that hold each needle.

@@ -44,6 +44,16 @@ def test_only_lists_of_the_needles_are_opened(spark, tmp_path):
     assert opened == [0]
 
 
+def test_only_hits_leave_the_lists(spark, tmp_path):
+    """Many titles hold the runs of a needle; only those with the needle go on to the look-up, once each."""
+    titles = [(i, f"{i} quiet rain" if i % 10 else f"{i} QUIET-raid, quiet-raid", i) for i in range(400)] + [(900, "ab", 1)]
+    index = TitleIndex.build(str(tmp_path / "i"), spark.createDataFrame(titles, TITLES), buckets=4, first=1000)
+    asked = {"quiet-rai": 40, "t-raid, quiet-r": 40, "uiet ra": 360, "10 quiet-": 4, "quiet rai, long past the end": 0, "ab": 1, "q": 400}
+    pending = index._rarest(spark.createDataFrame([(n,) for n in asked], "needle string"))
+    met = [r.needle for r in index.candidates(pending, 0).collect()]
+    assert {n: met.count(n) for n in asked} == {n: k for n, k in asked.items()}
+
+
 def test_empty(spark, tmp_path):
     index = TitleIndex.build(str(tmp_path / "i"), spark.createDataFrame([], TITLES))
     assert index.search(spark.createDataFrame([("a",)], "needle string")).collect() == []
