@@ -9,13 +9,12 @@ base and the few batches after it, not the whole history.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import constants as K
 from ..operators import feed
@@ -24,7 +23,7 @@ from ..operators.item_store import ItemStore
 from ..operators.upsert import KEY
 from ..plans.ingest import clean_entries
 from ..plans.reader_store import ReaderStore
-from ..session import release_scratch, scratch_count, scratch_path
+from ..session import delete_path, list_paths, materialize, release_scratch, scratch_count, scratch_path
 
 
 COMPACT_EVERY = 20
@@ -89,17 +88,32 @@ def compact(spark: SparkSession, path: str, schema: T.StructType, keys: list[str
         latest(spark, path, schema, keys, before=batch_id + 1).write.mode("overwrite").parquet(f"{path}_base/batch_id={batch_id}")
 
 
-def drain_updates(stream: DataFrame, keys: list[str], name: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+class Folded(NamedTuple):
+    """A stream whose batches are folded with a stored state. ``step(batch, batch_id, path)`` gives what comes out of a
+    batch, goes on from the newest state of an earlier batch under ``path`` and leaves its own there, so that a batch
+    that is replayed gives the same again."""
+
+    stream: DataFrame
+    schema: T.StructType
+    step: Callable[[DataFrame, int, str], DataFrame]
+
+
+def drain_updates(stream: DataFrame | Folded, keys: list[str], name: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Run an aggregation in update mode over everything available: the current row of every key, open windows included."""
-    spark, schema = stream.sparkSession, stream.schema
+    fold, schema = (stream.step, stream.schema) if isinstance(stream, Folded) else (None, stream.schema)
+    source = stream.stream if fold else stream
+    spark = source.sparkSession
     out, checkpoint = out or scratch_path(spark, name), checkpoint or scratch_path(spark, f"{name}-cp")
     start_log(spark, out, schema)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        begun = scratch_count()
+        rows = fold(batch, batch_id, f"{out}_state") if fold else batch
+        rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        release_scratch(spark, begun)
         compact(spark, out, schema, keys, batch_id)
 
-    run_batches(stream, each, checkpoint, "update")
+    run_batches(source, each, checkpoint, "update")
     return latest(spark, out, schema, keys)
 
 
@@ -197,11 +211,9 @@ def activity_at(hours: DataFrame, now: Column) -> DataFrame:
 
 DWELL_KEY = ["profile_id", "item_id", "started_at"]
 WITHDRAWN = -1
-_DWELL_STATE = "started bigint, visible_for bigint, last bigint, last_visible boolean, times array<bigint>, visible array<boolean>, shown array<bigint>"
-
-
 def read_sessions(ts: np.ndarray, visible: np.ndarray, gap: int, started: int | None = None, visible_for: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First place, start and visible microseconds of each session of events in order of time.
+    """First place, start and visible microseconds of each session of events in order of time: the rule of
+    ``dwell_sessions`` over arrays.
 
     ``started`` and ``visible_for`` continue a session whose latest event is the first one given.
     """
@@ -214,55 +226,76 @@ def read_sessions(ts: np.ndarray, visible: np.ndarray, gap: int, started: int |
     return first, starts, sums
 
 
-def dwell_sessions(visibility: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+_OPEN = ["profile_id", "item_id", "ts", "visible", "started", "visible_for", "shown"]
+
+
+def _micros(spark: SparkSession, interval: str) -> int:
+    return spark.range(1).select(F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {interval}")).alias("us")).first().us
+
+
+def _in_sessions(rows: DataFrame, gap: int) -> DataFrame:
+    """``_OPEN`` rows with the ``start`` of their session, the visible microseconds ``seen`` in it so far and the ``next`` event."""
+    c = F.col
+    key = Window.partitionBy("profile_id", "item_id").orderBy("ts", "visible")
+    upto = key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"before": F.lag("ts").over(key), "was_visible": F.lag("visible").over(key), "next": F.lead("ts").over(key)})
+    first = c("before").isNull() | (c("ts") - c("before") >= gap)
+    # The first event of a session adds nothing, unless it goes on from a settled one.
+    rows = rows.withColumns({"first": first, "adds": F.when(first, F.coalesce("visible_for", F.lit(0))).when(c("was_visible"), c("ts") - c("before")).otherwise(0)})
+    rows = rows.withColumn("sum", F.sum("adds").over(upto))
+    begun = F.when(c("first"), F.struct(F.coalesce("started", "ts").alias("start"), (c("sum") - c("adds")).alias("base")))
+    rows = rows.withColumn("begun", F.last(begun, ignorenulls=True).over(upto))
+    return rows.withColumns({"start": c("begun.start"), "seen": c("sum") - c("begun.base")})
+
+
+def dwell_sessions(visibility: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> Folded:
     """Visible seconds per reading session so far; to be run in update mode with the keys ``DWELL_KEY``.
 
-    The state of a (profile, item) is the running sum and the latest event of its open session, and the events of
-    the last ``delay``, which may still come out of order; a timer drops it once the session can no longer grow. A
-    session comes out with each batch that touches it, so open ones are there at the end of a run. When a late event
-    moves the start of a session, its row under the old start comes out with ``WITHDRAWN`` seconds. Events later than
-    ``delay`` are dropped.
+    The state is a table: of each open session of a (profile, item) its running sum with its last settled event, and
+    the events of the last ``delay``, which may still come out of order. It is laid under the events of a batch and
+    all keys are folded by windows in one job; sessions that can no longer grow leave it. A session comes out with
+    each batch that touches it, so open ones are there at the end of a run. When a late event moves the start of a
+    session, its row under the old start comes out with ``WITHDRAWN`` seconds. Events later than ``delay`` are dropped.
     """
-    span = visibility.sparkSession.range(1).select(F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {gap}")).alias("us")).first().us
-
-    def step(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        water = state.getCurrentWatermarkMs() * 1000
-        started, visible_for, last, last_visible, times, shown_as, out = state.get if state.exists else (None, 0, None, None, [], [], [])
-        fresh = [(b["ts"].astype("datetime64[us]").astype("int64").to_numpy(), b["visible"].to_numpy(bool)) for b in batches]
-        ts = np.concatenate([np.array(times, np.int64), *(t for t, _ in fresh)])
-        visible = np.concatenate([np.array(shown_as, bool), *(v for _, v in fresh)])
-        on_time = np.arange(len(ts)) < len(times)
-        on_time |= ts > water
-        ts, visible = ts[on_time], visible[on_time]
-        if not len(ts) and not state.exists:
-            return
-        order = np.lexsort((visible, ts))
-        ts, visible = ts[order], visible[order]
-        if started is not None:
-            ts, visible = np.insert(ts, 0, last), np.insert(visible, 0, last_visible)
-        _, starts, sums = read_sessions(ts, visible, span, started, visible_for)
-        rows = [(s, int(v / 1e6 + 0.5)) for s, v in zip(starts.tolist(), sums.tolist(), strict=True)]
-        rows += [(s, WITHDRAWN) for s in out if s not in starts]
-        # Events up to the watermark are settled: the open session goes on from the last of them.
-        settled = int(np.searchsorted(ts, water, side="right")) if started is None else max(1, int(np.searchsorted(ts, water, side="right")))
-        if settled:
-            first, opened, summed = read_sessions(ts[:settled], visible[:settled], span, started, visible_for)
-            started, visible_for, last, last_visible = int(opened[-1]), int(summed[-1]), int(ts[settled - 1]), bool(visible[settled - 1])
-        pending = [s for s in starts.tolist() if started is None or s >= started]
-        state.update((started, visible_for, last, last_visible, ts[settled:].tolist(), visible[settled:].tolist(), pending))
-        state.setTimeoutTimestamp(max((int(ts[-1]) + span) // 1000, water // 1000) + 1)
-        yield pd.DataFrame({
-            "profile_id": key[0], "item_id": key[1], "started_at": pd.to_datetime([s for s, _ in rows], unit="us", utc=True),
-            "seconds": np.array([v for _, v in rows], np.int64),
-        })
-
-    events = visibility.select("profile_id", "item_id", "ts", "visible").withWatermark("ts", delay)
+    spark, c = visibility.sparkSession, F.col
+    span, wait = _micros(spark, gap), _micros(spark, delay)
     kinds = {f.name: f.dataType.simpleString() for f in visibility.schema}
-    out = f"profile_id {kinds['profile_id']}, item_id {kinds['item_id']}, started_at timestamp, seconds bigint"
-    return events.groupBy("profile_id", "item_id").applyInPandasWithState(step, out, _DWELL_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    keys = f"profile_id {kinds['profile_id']}, item_id {kinds['item_id']}"
+    state = f"{keys}, ts bigint, visible boolean, started bigint, visible_for bigint, shown boolean"
+    events = visibility.select("profile_id", "item_id", "ts", "visible")
+
+    def step(batch: DataFrame, batch_id: int, path: str) -> DataFrame:
+        spark = batch.sparkSession
+        known = sorted(int(f.rsplit("=", 1)[1]) for f in list_paths(spark, f"{path}/batch_id=*"))
+        earlier = max((n for n in known if n < batch_id), default=None)
+        stored, water = spark.createDataFrame([], state), None
+        if earlier is not None:
+            stored = spark.read.schema(state).parquet(f"{path}/batch_id={earlier}/open")
+            water = spark.read.schema("water bigint").parquet(f"{path}/batch_id={earlier}/water").first().water
+        fresh = batch.select("profile_id", "item_id", F.unix_micros("ts").alias("ts"), F.coalesce("visible", F.lit(False)).alias("visible"), F.lit(True).alias("fresh")).where("ts IS NOT NULL")
+        if water is not None:
+            fresh = fresh.where(c("ts") > water)
+        newest = fresh.agg(F.max("ts").alias("ts")).first().ts
+        settled = max(((newest // 1000 * 1000 - wait,) if newest is not None else ()) + ((water,) if water is not None else ()), default=None)
+        rows = materialize(_in_sessions(fresh.unionByName(stored, allowMissingColumns=True), span), "sessions")
+        # Up to the new watermark only the last event of a session that may grow is kept, with what came before it.
+        late = c("ts") > F.lit(settled).cast("bigint")
+        tip = (c("next").isNull() | (c("next") > settled)) & (c("ts") + span > settled)
+        left = rows.where(late | tip).select(
+            "profile_id", "item_id", "ts", "visible", F.when(~late, c("start")).alias("started"), F.when(~late, c("seen")).alias("visible_for"), (c("ts") == c("start")).alias("shown"),
+        )
+        left.select(*_OPEN).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}/open")
+        spark.range(1).select(F.lit(settled).cast("bigint").alias("water")).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}/water")
+        for n in known:
+            if earlier is not None and n < earlier:
+                delete_path(spark, f"{path}/batch_id={n}")
+        moved = F.when(c("shown") & c("started").isNull() & (c("ts") != c("start")), F.struct(c("ts").alias("start"), F.lit(None).cast("bigint").alias("seen"), F.lit(True).alias("fresh")))
+        out = rows.select("profile_id", "item_id", F.inline(F.array_compact(F.array(F.struct("start", "seen", F.coalesce("fresh", F.lit(False)).alias("fresh")), moved))))
+        out = out.groupBy("profile_id", "item_id", "start").agg(F.max("seen").alias("seen"), F.bool_or("fresh").alias("fresh")).where("fresh")
+        seconds = F.coalesce(F.floor(c("seen") / 1e6 + 0.5).cast("bigint"), F.lit(WITHDRAWN).cast("bigint"))
+        return out.select("profile_id", "item_id", F.timestamp_micros("start").alias("started_at"), seconds.alias("seconds"))
+
+    return Folded(events, T._parse_datatype_string(f"{keys}, started_at timestamp, seconds bigint"), step)
 
 
 def read_times(sessions: DataFrame) -> DataFrame:

@@ -125,6 +125,25 @@ def test_dwell_sessions_open_late_and_restarted(spark, tmp_path):
     assert len(plain_sessions(landed, gap)) > 20
 
 
+def test_sessions_of_many_readers_in_one_job(spark, tmp_path):
+    """All keys of a batch are folded by Spark's windows, not one call of Python each; only open sessions stay stored."""
+    at = lambda m: START + datetime.timedelta(minutes=m)
+    schema = "profile_id string, item_id bigint, ts timestamp, visible boolean"
+    first = [(f"p{n}", 1, at(n % 3), True) for n in range(50)] + [("late", 1, at(50), True), ("open", 2, at(58), True), ("open", 2, at(60), None), ("open", 2, None, True)]
+    second = [("late", 1, at(49), True), ("late", 1, at(20), True), ("open", 2, at(61), True), ("p1", 1, at(61), True)]
+    fold, path = jobs.dwell_sessions(spark.createDataFrame([], schema), "30 minutes", "20 minutes"), str(tmp_path / "s")
+    took = []
+    for n, rows in enumerate([first, second, second]):
+        out = fold.step(spark.createDataFrame(rows, schema), min(n, 1), path)
+        assert "Python" not in out._jdf.queryExecution().toString() and "Pandas" not in out._jdf.queryExecution().toString()
+        assert out.schema == fold.schema or out.schema.simpleString() == fold.schema.simpleString()
+        took.append(sorted(tuple(r) for r in out.collect()))
+    assert len(took[0]) == 52 and took[1] == took[2]
+    assert took[1] == [("late", 1, at(49), 60), ("late", 1, at(50), jobs.WITHDRAWN), ("open", 2, at(58), 120), ("p1", 1, at(61), 0)]
+    stored = spark.read.parquet(f"{path}/batch_id=0/open")
+    assert {r.profile_id for r in stored.collect()} == {"late", "open"}
+
+
 def test_sessions_of_a_hot_reader():
     """A session's sum does not depend on where its events were settled."""
     import numpy as np
