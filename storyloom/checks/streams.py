@@ -68,16 +68,17 @@ def stream_dwell_sessions(spark, d):
     return jobs.read_times(jobs.drain_updates(jobs.dwell_sessions(v, "12 hours"), jobs.DWELL_KEY, "dwell"))
 
 
-def land_slices(slices, path: str) -> int:
+def land_slices(slices, path: str, by: str | None = "profile_id") -> int:
     """Write slices of rows after each other and return the most files of one, to be taken as a micro-batch.
 
-    The files of a slice are dealt by reader over all tasks. Files are taken in the order in which they were written,
-    so that a reader's rows come in the order of the slices wherever a batch ends.
+    The files of a slice are dealt by reader over all tasks; without ``by`` they stay as they were read. Files are taken
+    in the order in which they were written, so that a reader's rows come in the order of the slices wherever a batch ends.
     """
     most, before = 1, 0
     for rows in slices:
         spark = rows.sparkSession
-        rows.repartition(max(2, spark.sparkContext.defaultParallelism), "profile_id").write.mode("append").parquet(path)
+        dealt = rows.repartition(max(2, spark.sparkContext.defaultParallelism), by) if by else rows
+        dealt.write.mode("append").parquet(path)
         written = len(list_paths(spark, f"{path}/part-*"))
         most, before = max(most, written - before), written
     return most
@@ -117,15 +118,14 @@ STREAMED = [c for c in ITEM_COLUMNS if c not in ("id", "content_html", "topics")
         CASE WHEN known THEN s.verification_status ELSE c.verification_status END AS verification_status, CASE WHEN NOT landed THEN s.cluster_id END AS cluster_id,
         md5(CASE WHEN landed THEN c.body ELSE s.content_html END) AS body, CASE WHEN landed THEN c.topics ELSE array_to_string(s.topics, ',') END AS topics FROM sides""", "items cleaned")
 def stream_ingest(spark, d):
-    """Two halves of the entries land as files, each file a micro-batch; ids are those of known items."""
+    """Two halves of the entries land as files, each half a micro-batch whatever its size; ids are those of known items."""
     raw = raw_entries(spark, d)
     path = scratch_path(spark, "raw")
-    for half in (0, 1):
-        raw.filter(F.col("ord") % 2 == half).write.mode("append").parquet(path)
+    files = land_slices([raw.filter(F.col("ord") % 2 == half) for half in (0, 1)], path, by=None)
     stored = materialize(demo.items(spark, d).filter("id % 3 <> 0"), "stored")
     store = ItemStore.create(scratch_path(spark, "store"), stored, buckets=8)
     top = store.facts["top_id"]
-    stream = jobs.file_stream(spark, path, raw.schema, files_per_batch=4)
+    stream = jobs.file_stream(spark, path, raw.schema, files_per_batch=files)
     jobs.ingest_stream(stream, materialize(demo.sources(spark, d), "sources"), store, scratch_path(spark, "cp"), demo.now(), demo.TEST_TAXONOMY)
     known = F.when(F.col("id") <= top, F.col("id")).alias("id")
     return store.items().select(known, *STREAMED, F.md5("content_html").alias("body"), F.array_join("topics", ",").alias("topics"))
