@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import sys
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,15 +49,66 @@ def greedy_order(costs, topics, sources, explore, limit, topic_penalty, source_p
     return order
 
 
-def pick_order(
-    costs: Column, topics: Column, sources: Column, explore: Column, limit: int,
+def repeated(clusters: pa.ListArray) -> np.ndarray:
+    """By place in the flat values of the lists: whether an earlier entry of the same list has the cluster."""
+    values, ends = _flat(clusters)
+    at = np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False))
+    owner, ids = np.searchsorted(ends, at, side="right"), values.take(pa.array(at)).to_numpy()
+    order = np.lexsort((ids, owner))  # stable, so that equal clusters stay in the order of their places
+    same = (np.diff(owner[order]) == 0) & (np.diff(ids[order]) == 0)
+    again = np.zeros(len(values), dtype=bool)
+    again[at[order[1:][same]]] = True
+    return again
+
+
+def _flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The values of all lists, one after the other, and where each list ends in them."""
+    return lists.flatten(), np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+
+
+def _numbers(values: pa.Array, missing) -> np.ndarray:
+    return pc.fill_null(values, missing).to_numpy(zero_copy_only=False)
+
+
+def places_in(costs, topics, sources, explore, clusters, limit, topic_penalty, source_penalty, every) -> pa.StructArray:
+    """For each list its ``order`` (see ``greedy_order``) without the entries whose cluster came before, and ``again``: where those are, from 0.
+
+    Only entries that can still be picked are walked: within both penalties of the last base slot, or eligible to explore.
+    """
+    again, (costs, ends) = repeated(clusters), _flat(costs)
+    costs, explore, sources = _numbers(costs, np.nan), _numbers(explore.flatten(), False), _numbers(sources.flatten(), -1)
+    topics = _numbers(pc.dictionary_encode(topics.flatten()).indices, -1)
+    slack = topic_penalty + source_penalty + 1e-9
+    orders, repeats, start = [], [], 0
+    for end in ends.tolist():
+        mine = again[start:end]
+        at = start + np.flatnonzero(~mine)
+        if len(at) > limit:
+            near = int(np.searchsorted(costs[at], costs[at[limit - 1]] + slack, side="right"))
+            far = at[near:]
+            at = np.concatenate([at[:near], far[explore[far]][:limit]])
+        named = [None if t < 0 else t for t in topics[at].tolist()]
+        order = np.array(greedy_order(costs[at].tolist(), named, sources[at].tolist(), explore[at].tolist(), limit, topic_penalty, source_penalty, every), dtype=np.int64)
+        orders.append((np.sign(order) * (at[np.abs(order) - 1] - start + 1)).astype(np.int32))
+        repeats.append(np.flatnonzero(mine).astype(np.int32))
+        start = end
+    kind = pa.list_(pa.int32())
+    return pa.StructArray.from_arrays([pa.array(orders, kind), pa.array(repeats, kind)], ["order", "again"])
+
+
+def picked_places(
+    costs: Column, topics: Column, sources: Column, explore: Column, clusters: Column, limit: int,
     topic_penalty: float = K.SAME_TOPIC_PENALTY, source_penalty: float = K.SAME_SOURCE_PENALTY, every: int = K.EXPLORATION_INTERVAL,
 ) -> Column:
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def order(c: pd.Series, t: pd.Series, s: pd.Series, x: pd.Series) -> pd.Series:
-        return pd.Series([
-            greedy_order(list(a), list(b), list(d), list(e), limit, topic_penalty, source_penalty, every)
-            for a, b, d, e in zip(c, t, s, x)
-        ], dtype=object)
-
-    return order(costs, topics, sources, explore)
+    @F.arrow_udf("order array<int>, again array<int>")
+    def places(c: pa.Array, t: pa.Array, s: pa.Array, x: pa.Array, g: pa.Array) -> pa.Array:
+        return places_in(c, t, s, x, g, limit, topic_penalty, source_penalty, every)
+
+    return places(costs, topics, sources, explore, clusters)
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def repeated_places(clusters: pa.Array) -> pa.Array:
+    again, (_, ends) = repeated(clusters), _flat(clusters)
+    starts = np.concatenate([[0], ends[:-1]])
+    return pa.array([np.flatnonzero(again[a:b]).astype(np.int32) for a, b in zip(starts, ends)], pa.list_(pa.int32()))

@@ -14,7 +14,7 @@ from .. import constants as K
 from ..functions.story import hours_between, recency
 from ..functions.text import bind
 from ..session import broadcast_if_small, broadcast_of, materialize
-from .diversity import pick_order
+from .diversity import picked_places, repeated_places
 from .filters import SUMMARY_COLUMNS, interests_or_default, since
 
 TODAY = K.CATEGORIES[0][0]
@@ -54,8 +54,8 @@ def _pool_entries(pool: DataFrame, now: Column, slugs: Column) -> DataFrame:
     c = F.col
     age = hours_between(now, c("published_at"))
     entries = pool.select(
-        "id", "source_id", "topics", F.transform("topics", lambda t: F.concat(F.lit("topic:"), t)).alias("topic_keys"),
-        F.concat(F.lit("source:"), "source_id").alias("source_key"), F.concat(F.lit("author:"), F.lower("author")).alias("author_key"), "cluster_id", "quality_prior", "published_at", "updated_at",
+        "id", "source_id", "topics", F.concat(F.lit("source:"), "source_id").alias("source_key"),
+        F.concat(F.lit("author:"), F.lower("author")).alias("author_key"), "cluster_id", "quality_prior", "updated_at",
         recency(c("published_at"), c("source_class"), now).alias("recency"), slugs.alias("slugs"),
         F.pow(F.lit(2.0), -F.greatest(F.lit(0.0), age) / K.ACTIVITY_HALF_LIFE_HOURS).alias("mass"),
     )
@@ -63,10 +63,21 @@ def _pool_entries(pool: DataFrame, now: Column, slugs: Column) -> DataFrame:
     return entries.unionByName(entries.sparkSession.range(1).select(*empty))
 
 
+#: What a reader's affinities are looked up by; stories share their values, so each value is scored once a reader.
+_SCORED_BY = ["topics", "source_key", "author_key"]
+
+
 def pool_array(pool: DataFrame, now: Column, slugs: Column) -> Column:
-    """The pool as one array value; safe to hold because the pool is capped."""
+    """The pool as one value; safe to hold because the pool is capped: the stories, and the distinct topic lists, sources
+    and authors, which a story names by their places."""
     entries = _pool_entries(pool, now, slugs)
-    return entries.agg(F.collect_list(F.struct(*entries.columns)).alias("pool")).scalar()
+    whole = entries.agg(F.collect_list(F.struct(*entries.columns)).alias("stories"), *[F.collect_set(k).alias(k) for k in _SCORED_BY])
+
+    def story(e: Column) -> Column:
+        places = [F.array_position(k, e[k]).cast("int").alias(f"{k}_at") for k in _SCORED_BY]
+        return F.struct(*[e[n].alias(n) for n in entries.columns if n not in _SCORED_BY], F.get(e["topics"], F.lit(0)).alias("topic"), *places)
+
+    return whole.select(F.struct(F.transform("stories", story).alias("stories"), *_SCORED_BY).alias("pool")).scalar()
 
 
 def reader_state(profiles, affinities, saves, reads, mutes, pool) -> DataFrame:
@@ -133,26 +144,41 @@ def _norm(w: Column) -> Column:
     return F.tanh(w / K.AFFINITY_TANH_SCALE)
 
 
-def score_readers(readers: DataFrame, entries: Column, now: Column) -> DataFrame:
-    """(profile, story) rows with score and flags, muted sources left out."""
+def score_readers(readers: DataFrame, pool: Column, now: Column) -> DataFrame:
+    """(profile, story) rows with score and flags, muted sources left out.
+
+    Each topic list, source and author is scored once a reader, so a story's row is three look-ups by place.
+    """
     c = F.col
-    rows = readers.select("*", F.inline(entries)).filter(c("id").isNull() | ~F.array_contains("muted", c("source_id")))
-
-    rows = rows.withColumn("tw", F.transform("topic_keys", lambda k: F.try_element_at(c("aff"), k)))
-    known = F.filter("tw", lambda w: w.isNotNull())
-    topic = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, w: s + _norm(w)) / F.size(known)).otherwise(F.lit(0.0))
-    source = F.coalesce(_norm(F.try_element_at("aff", c("source_key"))), F.lit(0.0))
-    author = F.coalesce(_norm(F.try_element_at("aff", c("author_key"))), F.lit(0.0))
-    cold = F.exists(F.arrays_zip("topics", "tw"), lambda z: z["tw"].isNull() & F.array_contains("interests", z["topics"]))
-    unknown = ~F.exists("tw", lambda w: F.coalesce(w > 0, F.lit(False))) & ~F.arrays_overlap("topics", "interests")
+
+    def by_topics(topics: Column) -> Column:
+        weights = F.transform(topics, lambda t: F.try_element_at(c("aff"), F.concat(F.lit("topic:"), t)))
+
+        def terms(tw: Column) -> Column:
+            known = F.filter(tw, lambda w: w.isNotNull())
+            topic = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, w: s + _norm(w)) / F.size(known)).otherwise(F.lit(0.0))
+            cold = F.exists(F.arrays_zip(topics.alias("t"), tw.alias("w")), lambda z: z["w"].isNull() & F.array_contains("interests", z["t"]))
+            unknown = ~F.exists(tw, lambda w: F.coalesce(w > 0, F.lit(False))) & ~F.arrays_overlap(topics, "interests")
+            return F.struct(topic.alias("topic"), cold.alias("cold"), unknown.alias("unknown"))
+
+        return bind(weights, terms)
+
+    def by_key(key: Column) -> Column:
+        return F.coalesce(_norm(F.try_element_at("aff", key)), F.lit(0.0))
+
+    scored = {"topics": by_topics, "source_key": by_key, "author_key": by_key}
+    rows = readers.withColumn("pool", pool)
+    rows = rows.select("*", *[F.transform(c("pool")[k], scored[k]).alias(k) for k in _SCORED_BY])
+    rows = rows.select("*", F.inline("pool.stories")).filter(c("id").isNull() | ~F.array_contains("muted", c("source_id")))
+    topic, source, author = (F.get(k, c(f"{k}_at") - 1) for k in _SCORED_BY)
     w = K.SCORE_WEIGHTS
     score = (
-        w["topic"] * topic + w["source"] * source + w["author"] * author + w["recency"] * c("recency")
-        + w["quality"] * c("quality_prior") + F.when(cold, F.lit(w["seed"])).otherwise(F.lit(0.0))
+        w["topic"] * F.coalesce(topic["topic"], F.lit(0.0)) + w["source"] * F.coalesce(source, F.lit(0.0)) + w["author"] * F.coalesce(author, F.lit(0.0))
+        + w["recency"] * c("recency") + w["quality"] * c("quality_prior") + F.when(topic["cold"], F.lit(w["seed"])).otherwise(F.lit(0.0))
     )
     return rows.select(
         "profile_id", "aff", "saved", "read", "last_feed_opened_at", "updated_at", "slugs", "id", "source_id",
-        F.get("topics", F.lit(0)).alias("topic"), "cluster_id", "mass", score.alias("score"), unknown.alias("explore"),
+        "topic", "cluster_id", "mass", score.alias("score"), topic["unknown"].alias("explore"),
     )
 
 
@@ -174,7 +200,7 @@ def ranked_worlds(scored: DataFrame) -> DataFrame:
     c = F.col
     entry = F.struct((-c("score")).alias("neg"), "id", "source_id", "topic", "cluster_id", "explore")
     empty = c("id").isNull()
-    marks = F.struct("saved", "read", "last_feed_opened_at", _world_affinity(c("slug")).alias("affinity"))
+    marks = F.struct("saved", "read", "last_feed_opened_at", "aff")
     # Only the empty entry keeps the reader's marks, so the rows that are grouped stay narrow.
     rows = scored.withColumn("slug", F.explode("slugs")).select(
         "profile_id", "slug", F.when(~empty, entry).alias("entry"), "mass", "updated_at", F.when(empty, marks).alias("marks")
@@ -185,26 +211,20 @@ def ranked_worlds(scored: DataFrame) -> DataFrame:
             F.max("updated_at").alias("latest_update"), F.first("marks", ignorenulls=True).alias("marks"),
         )
         .select("profile_id", "slug", "ranked", "mass", "latest_update", "marks.*")
+        .withColumn("affinity", _world_affinity(c("slug"))).drop("aff")
     )
 
 
 def collapsed(worlds: DataFrame) -> DataFrame:
     """Keep the best entry of every cluster in ``ranked``; the others move to ``also``, in the same order."""
+    found = worlds.withColumn("again", repeated_places(F.col("ranked")["cluster_id"]))
+    first = F.filter("ranked", lambda e, i: ~F.array_contains("again", i))
+    # One after the other, as ``also`` names places in the list as it was.
+    return found.withColumn("also", _at("again")).withColumn("ranked", first).drop("again")
 
-    def later(places: Column) -> Column:
-        """By place in ``ranked``: whether an earlier entry has the cluster. Equal clusters stand side by side here."""
-        return F.sort_array(F.transform(places, lambda p, j: F.struct(
-            p["i"].alias("i"), (p["c"].isNotNull() & (j > 0) & F.coalesce(F.get(places, j - 1)["c"] == p["c"], F.lit(False))).alias("again")
-        )))
 
-    def parted(marks: Column) -> Column:
-        also = F.filter("ranked", lambda e, i: F.get(marks, i)["again"])
-        return F.struct(also.alias("also"), F.filter("ranked", lambda e, i: ~F.get(marks, i)["again"]).alias("ranked"))
-
-    # Each step is bound, since a column that a lambda names would be worked out for every entry.
-    by_cluster = F.sort_array(F.transform("ranked", lambda e, i: F.struct(e["cluster_id"].alias("c"), i.alias("i"))))
-    both = bind(by_cluster, lambda places: bind(later(places), parted))
-    return worlds.withColumn("both", both).withColumns({"also": F.col("both.also"), "ranked": F.col("both.ranked")}).drop("both")
+def _at(places: str) -> Column:
+    return F.transform(places, lambda i: F.get("ranked", i))
 
 
 def covered_by(cluster_id: Column, also: Column) -> Column:
@@ -213,31 +233,19 @@ def covered_by(cluster_id: Column, also: Column) -> Column:
     return F.when(cluster_id.isNotNull(), same["id"]).otherwise(F.array().cast("array<bigint>"))
 
 
-def prune(ranked: Column, limit: int) -> Column:
-    """Entries that can still be picked: within both penalties of the last base slot, or eligible to explore."""
-    slack = K.SAME_TOPIC_PENALTY + K.SAME_SOURCE_PENALTY + 1e-9
-    bar = F.get(ranked, F.lit(limit - 1))["neg"] + slack
-    near = F.filter(ranked, lambda e: bar.isNull() | (e["neg"] <= bar))
-    far = F.slice(F.filter(ranked, lambda e: (e["neg"] > bar) & e["explore"]), 1, limit)
-    return F.when(bar.isNull(), ranked).otherwise(F.concat(near, far))
-
+def picked(worlds: DataFrame, limit: int, **penalties) -> DataFrame:
+    """Worlds with ``picks`` in place of ``ranked``, and ``also`` as ``collapsed`` gives it.
 
-def rerank(ranked: Column, limit: int, **penalties) -> Column:
-    """Greedy diverse order of a ranked array: rank, id, cluster_id, score and whether the slot explored.
-
-    Only the pick order is computed in Python, over Arrow batches of the few columns it needs; positions come
-    back and the entries never leave the JVM.
+    ``picks`` is the greedy diverse order of the collapsed list: rank, id, cluster_id, score and whether the slot
+    explored. Only places are worked out in Python, over Arrow batches of the few columns it takes; the entries
+    themselves never leave the JVM, and no step in it goes through a whole list.
     """
-    order = pick_order(ranked["neg"], ranked["topic"], ranked["source_id"], ranked["explore"], limit, **penalties)
+    r = F.col("ranked")
+    chosen = worlds.withColumn("at", picked_places(r["neg"], r["topic"], r["source_id"], r["explore"], r["cluster_id"], limit, **penalties))
+
     def entry(o: Column, i: Column) -> Column:
-        return bind(F.get(ranked, F.abs(o) - 1), lambda e: F.struct(
+        return bind(F.get("ranked", F.abs(o) - 1), lambda e: F.struct(
             i.alias("rank"), e["id"].alias("id"), e["cluster_id"].alias("cluster_id"), (-e["neg"]).alias("score"), (o < 0).alias("exploration")
         ))
 
-    return F.transform(order, entry)
-
-
-def reranked(worlds: DataFrame, limit: int, **penalties) -> DataFrame:
-    """Worlds with ``picks`` in place of ``ranked``."""
-    kept = worlds.withColumn("ranked", prune(F.col("ranked"), limit))
-    return kept.withColumn("picks", rerank(F.col("ranked"), limit, **penalties)).drop("ranked")
+    return chosen.withColumns({"also": _at("at.again"), "picks": F.transform("at.order", entry)}).drop("ranked", "at")

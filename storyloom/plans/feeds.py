@@ -96,7 +96,7 @@ def _picked(readers: DataFrame, pool: DataFrame, now: Column, slugs: Column, lim
     """
     c = F.col
     scored = O.score_readers(readers, O.pool_array(pool, now, slugs), now)
-    worlds = O.reranked(O.collapsed(O.ranked_worlds(scored)), limit)
+    worlds = O.picked(O.ranked_worlds(scored), limit)
     world = ["mass", "latest_update", "last_feed_opened_at", "affinity"]
     rows = worlds.select("profile_id", "slug", *world, "also", "saved", "read", F.inline_outer("picks")).select(
         "profile_id", "slug", *world, "rank", c("id").alias("pick_id"), "cluster_id", "score", "exploration",
