@@ -1,8 +1,9 @@
 """Candidate pool, reader state, scoring, cluster collapse and the diverse re-rank.
 
 Every reader meets the same pool of at most 500 stories, so the pool travels to the readers: it is a scalar
-subquery that each reader row unpacks. Readers are hash-partitioned once, on profile_id; scoring, collapse and
-re-rank all happen inside that partitioning, so no reader x story row is ever shuffled.
+subquery that each reader row meets. Readers are hash-partitioned once, on profile_id; scoring, collapse and
+re-rank all happen inside that partitioning, so no reader x story row is ever shuffled. Feeds and worlds rank
+a reader's whole pool in its one row (``picked_worlds``); ``score_readers`` and ``ranked_worlds`` give the rows behind.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from .. import constants as K
 from ..functions.story import hours_between, recency
 from ..functions.text import bind
 from ..session import broadcast_if_small, broadcast_of, materialize
-from .diversity import picked_places, repeated_places
+from .diversity import picked_places, pool_picked, repeated_places, weighed
 from .filters import SUMMARY_COLUMNS, interests_or_default, since
 
 TODAY = K.CATEGORIES[0][0]
@@ -49,7 +50,7 @@ def candidate_pool(items: DataFrame, sources: DataFrame, now: Column, limit: int
     return recent.join(broadcast_if_small(about), "source_id").orderBy(F.desc("published_at"), "id").limit(limit)
 
 
-def _pool_entries(pool: DataFrame, now: Column, slugs: Column) -> DataFrame:
+def _pool_entries(pool: DataFrame, now: Column, slugs: Column, more: list[str] = ()) -> DataFrame:
     """What ranking needs of a story, plus one empty entry so that worlds without stories still get a row."""
     c = F.col
     age = hours_between(now, c("published_at"))
@@ -57,7 +58,7 @@ def _pool_entries(pool: DataFrame, now: Column, slugs: Column) -> DataFrame:
         "id", "source_id", "topics", F.concat(F.lit("source:"), "source_id").alias("source_key"),
         F.concat(F.lit("author:"), F.lower("author")).alias("author_key"), "cluster_id", "quality_prior", "updated_at",
         recency(c("published_at"), c("source_class"), now).alias("recency"), slugs.alias("slugs"),
-        F.pow(F.lit(2.0), -F.greatest(F.lit(0.0), age) / K.ACTIVITY_HALF_LIFE_HOURS).alias("mass"),
+        F.pow(F.lit(2.0), -F.greatest(F.lit(0.0), age) / K.ACTIVITY_HALF_LIFE_HOURS).alias("mass"), *more,
     )
     empty = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "slugs" else _texts([s for s, _, _ in K.CATEGORIES]).alias("slugs") for f in entries.schema]
     return entries.unionByName(entries.sparkSession.range(1).select(*empty))
@@ -67,6 +68,29 @@ def _pool_entries(pool: DataFrame, now: Column, slugs: Column) -> DataFrame:
 _SCORED_BY = ["topics", "source_key", "author_key"]
 
 
+def _terms(pool: Column) -> list[Column]:
+    """What a reader's state says about each topic list, source and author of the pool."""
+    c = F.col
+
+    def by_topics(topics: Column) -> Column:
+        weights = F.transform(topics, lambda t: F.try_element_at(c("aff"), F.concat(F.lit("topic:"), t)))
+
+        def terms(tw: Column) -> Column:
+            known = F.filter(tw, lambda w: w.isNotNull())
+            topic = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, w: s + _norm(w)) / F.size(known)).otherwise(F.lit(0.0))
+            cold = F.exists(F.arrays_zip(topics.alias("t"), tw.alias("w")), lambda z: z["w"].isNull() & F.array_contains("interests", z["t"]))
+            unknown = ~F.exists(tw, lambda w: F.coalesce(w > 0, F.lit(False))) & ~F.arrays_overlap(topics, "interests")
+            return F.struct(topic.alias("topic"), cold.alias("cold"), unknown.alias("unknown"))
+
+        return bind(weights, terms)
+
+    def by_key(key: Column) -> Column:
+        return F.coalesce(_norm(F.try_element_at("aff", key)), F.lit(0.0))
+
+    scored = {"topics": by_topics, "source_key": by_key, "author_key": by_key}
+    return [F.transform(pool[k], scored[k]).alias(k) for k in _SCORED_BY]
+
+
 def pool_array(pool: DataFrame, now: Column, slugs: Column) -> Column:
     """The pool as one value; safe to hold because the pool is capped: the stories, and the distinct topic lists, sources
     and authors, which a story names by their places."""
@@ -151,31 +175,13 @@ def score_readers(readers: DataFrame, pool: Column, now: Column) -> DataFrame:
     """
     c = F.col
 
-    def by_topics(topics: Column) -> Column:
-        weights = F.transform(topics, lambda t: F.try_element_at(c("aff"), F.concat(F.lit("topic:"), t)))
-
-        def terms(tw: Column) -> Column:
-            known = F.filter(tw, lambda w: w.isNotNull())
-            topic = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, w: s + _norm(w)) / F.size(known)).otherwise(F.lit(0.0))
-            cold = F.exists(F.arrays_zip(topics.alias("t"), tw.alias("w")), lambda z: z["w"].isNull() & F.array_contains("interests", z["t"]))
-            unknown = ~F.exists(tw, lambda w: F.coalesce(w > 0, F.lit(False))) & ~F.arrays_overlap(topics, "interests")
-            return F.struct(topic.alias("topic"), cold.alias("cold"), unknown.alias("unknown"))
-
-        return bind(weights, terms)
-
-    def by_key(key: Column) -> Column:
-        return F.coalesce(_norm(F.try_element_at("aff", key)), F.lit(0.0))
-
-    scored = {"topics": by_topics, "source_key": by_key, "author_key": by_key}
     rows = readers.withColumn("pool", pool)
-    rows = rows.select("*", *[F.transform(c("pool")[k], scored[k]).alias(k) for k in _SCORED_BY])
+    rows = rows.select("*", *_terms(c("pool")))
     rows = rows.select("*", F.inline("pool.stories")).filter(c("id").isNull() | ~F.array_contains("muted", c("source_id")))
     topic, source, author = (F.get(k, c(f"{k}_at") - 1) for k in _SCORED_BY)
-    w = K.SCORE_WEIGHTS
-    score = (
-        w["topic"] * F.coalesce(topic["topic"], F.lit(0.0)) + w["source"] * F.coalesce(source, F.lit(0.0)) + w["author"] * F.coalesce(author, F.lit(0.0))
-        + w["recency"] * c("recency") + w["quality"] * c("quality_prior") + F.when(topic["cold"], F.lit(w["seed"])).otherwise(F.lit(0.0))
-    )
+    seed = F.when(topic["cold"], F.lit(K.SCORE_WEIGHTS["seed"])).otherwise(F.lit(0.0))
+    known = [F.coalesce(v, F.lit(0.0)) for v in (topic["topic"], source, author)]
+    score = weighed(K.SCORE_WEIGHTS, *known, c("recency"), c("quality_prior"), seed)
     return rows.select(
         "profile_id", "aff", "saved", "read", "last_feed_opened_at", "updated_at", "slugs", "id", "source_id",
         "topic", "cluster_id", "mass", score.alias("score"), topic["unknown"].alias("explore"),
@@ -249,3 +255,74 @@ def picked(worlds: DataFrame, limit: int, **penalties) -> DataFrame:
         ))
 
     return chosen.withColumns({"also": _at("at.again"), "picks": F.transform("at.order", entry)}).drop("ranked", "at")
+
+
+def world_pool(pool: DataFrame, now: Column, slugs: Column, tabs: list[str], told: list[str]) -> Column:
+    """The pool as ``picked_worlds`` takes it: the columns ``told`` of its stories in order of id, what ranking needs of them as
+    numbers, and for each tab the places of its stories (from 0) and what each source brings to its figures. As small as the
+    capped pool."""
+    entries = _pool_entries(pool, now, slugs, [n for n in told if n != "id"]).filter("id IS NOT NULL")
+    whole = entries.agg(
+        F.sort_array(F.collect_list(F.struct(*entries.columns))).alias("stories"), *[F.collect_set(k).alias(k) for k in _SCORED_BY],
+        F.collect_set(F.get("topics", F.lit(0))).alias("topic"), F.collect_set("cluster_id").alias("cluster"),
+    )
+
+    def numbers(known: str, value) -> Column:
+        return F.transform("stories", lambda e: F.coalesce(F.array_position(known, value(e)).cast("int"), F.lit(0)))
+
+    facts = [
+        numbers("topic", lambda e: F.get(e["topics"], F.lit(0))), numbers("source_key", lambda e: e["source_key"]),
+        numbers("cluster", lambda e: e["cluster_id"]), numbers("topics", lambda e: e["topics"]), numbers("author_key", lambda e: e["author_key"]),
+    ]
+    # Stories without a figure come last.
+    worth = [F.transform("stories", lambda e: F.coalesce(e[n], F.lit(-1e300))) for n in ("recency", "quality_prior")]
+
+    def world(slug: str) -> Column:
+        mine = F.filter("stories", lambda e: F.array_contains(e["slugs"], slug))
+
+        def brought(source: Column) -> Column:
+            of = F.filter(mine, lambda e: e["source_id"] == source)
+            mass = F.aggregate(of, F.lit(0.0), lambda s, e: s + e["mass"])
+            return F.struct(source.alias("source_id"), mass.alias("mass"), F.array_max(of["updated_at"]).alias("updated_at"))
+
+        sources = F.transform(F.array_distinct(mine["source_id"]), brought)
+        holds = F.transform("stories", lambda e, i: F.when(F.array_contains(e["slugs"], slug), i))
+        return F.struct(F.lit(slug).alias("slug"), sources.alias("sources"), F.array_compact(holds).alias("places"))
+
+    return whole.select(F.struct(
+        F.transform("stories", lambda e: F.struct(*[e[n].alias(n) for n in told])).alias("stories"), F.array(*facts).alias("facts"),
+        F.array(*worth).alias("worth"), *_SCORED_BY, F.array(*[world(s) for s in tabs]).alias("worlds"),
+    )).scalar()
+
+
+def picked_worlds(readers: DataFrame, pool: Column, limit: int, entry, **penalties) -> DataFrame:
+    """(profile, slug) rows with ``picks`` in the greedy diverse order, for ``pool`` as ``world_pool`` gives it, and the world's figures.
+
+    A reader stays one row until its worlds are complete: its terms by topic list, source and author go to Python, where numpy
+    scores and ranks the pool for a batch of readers, and places in the pool come back. ``entry(rank, pick, stories)`` makes a pick of its ``at``, ``exploration``, ``score`` and ``covered``.
+    """
+    c = F.col
+
+    def world(w: Column) -> Column:
+        slug, heard = w["world"]["slug"], F.filter(w["world"]["sources"], lambda s: ~F.array_contains("muted", s["source_id"]))
+        return bind(heard, lambda h: F.struct(
+            slug.alias("slug"), F.transform(w["picks"], lambda p, i: entry(i, p, c("pool.stories"))).alias("picks"),
+            F.aggregate(h["mass"], F.lit(0.0), lambda s, m: s + m).alias("mass"), F.array_max(h["updated_at"]).alias("latest_update"),
+            _world_affinity(slug).alias("affinity"),
+        ))
+
+    kept = ["profile_id", "aff", "saved", "read", "muted", "last_feed_opened_at"]
+    topics, sources, authors = _terms(c("pool"))
+    # No term of a muted source, so that its stories are left out.
+    muted = F.transform("muted", lambda s: F.concat(F.lit("source:"), s))
+    heard = bind(muted, lambda m: F.transform(F.arrays_zip(c("pool.source_key").alias("k"), sources.alias("w")), lambda z: F.when(~F.array_contains(m, z["k"]), z["w"])))
+    taken = F.struct(
+        topics.alias("topics"), heard.alias("sources"), authors.alias("authors"),
+        *[c(f"pool.{n}").alias(n) for n in ("facts", "worth")], c("pool.worlds.places").alias("places"),
+    )
+    # The pool is a value of the query: it is named anew above the picks, so that it does not travel beside them.
+    rows = readers.withColumn("pool", pool).select(*kept, F.inline(F.array(taken)))
+    picks = pool_picked(*[c(n) for n in ("topics", "sources", "authors", "facts", "worth", "places")], limit, **penalties)
+    rows = rows.select(*kept, picks.alias("picks")).withColumn("pool", pool)
+    worlds = F.transform(F.arrays_zip(c("pool.worlds").alias("world"), c("picks").alias("picks")), world)
+    return rows.select("profile_id", "last_feed_opened_at", F.inline(worlds))

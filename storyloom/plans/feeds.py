@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.story import hours_between, reading_minutes
+from ..functions.text import bind
 from ..operators import feed as O
 from ..operators.bridges import list_position
 from ..operators.filters import active_sources, in_category, item_summaries
@@ -66,21 +67,11 @@ def story_columns(saved: Column, read: Column, is_new: Column, exploration: Colu
     ]
 
 
-def _facts(pool: DataFrame, now: Column) -> DataFrame:
-    c = F.col
-    age = hours_between(now, c("published_at"))
-    fast = c("source_class").isin("news", "social")
-    return pool.select(
-        c("id").alias("pick_id"), "published_at", (age < K.BREAKING_CLUSTER_HOURS).alias("young"),
-        ((age < K.BREAKING_BURST_MINUTES / 60.0) & fast).alias("burst"),
-    )
-
-
-def _members(pool: DataFrame) -> DataFrame:
-    """Stories per cluster within the pool, to name the outlets behind a collapsed entry."""
-    return pool.filter("cluster_id IS NOT NULL").groupBy("cluster_id").agg(
-        F.collect_list(F.struct("id", "source_name", "url")).alias("members")
-    )
+def _told(pool: DataFrame, now: Column) -> DataFrame:
+    """The pool with what a world's figures take from a story's age."""
+    age = hours_between(now, F.col("published_at"))
+    fast = F.col("source_class").isin("news", "social")
+    return pool.withColumns({"young": age < K.BREAKING_CLUSTER_HOURS, "burst": (age < K.BREAKING_BURST_MINUTES / 60.0) & fast})
 
 
 def stored_readers(t: Tables, pool: DataFrame) -> DataFrame:
@@ -88,36 +79,26 @@ def stored_readers(t: Tables, pool: DataFrame) -> DataFrame:
     return O.stored_readers(O.reader_state(t.profiles, t.affinities, t.saves, t.reads, t.mutes, pool))
 
 
-def _picked(readers: DataFrame, pool: DataFrame, now: Column, slugs: Column, limit: int) -> DataFrame:
-    """One row per profile and world with its final ``entries`` in order.
+def _picked(readers: DataFrame, pool: DataFrame, now: Column, slugs: Column, limit: int, tabs: list[str]) -> DataFrame:
+    """One row per profile and world with its final ``picks`` in order.
 
-    While the pool is small both joins broadcast it; the rows then stay partitioned by profile and the last aggregation
-    needs no shuffle.
+    A pick names stories by their place in the pool, which is one value, so nothing is joined or shuffled for it.
     """
-    c = F.col
-    scored = O.score_readers(readers, O.pool_array(pool, now, slugs), now)
-    worlds = O.picked(O.ranked_worlds(scored), limit)
-    world = ["mass", "latest_update", "last_feed_opened_at", "affinity"]
-    rows = worlds.select("profile_id", "slug", *world, "also", "saved", "read", F.inline_outer("picks")).select(
-        "profile_id", "slug", *world, "rank", c("id").alias("pick_id"), "cluster_id", "score", "exploration",
-        O.covered_by(c("cluster_id"), c("also")).alias("covered"),
-        F.array_contains("saved", c("id")).alias("saved"), F.array_contains("read", c("id")).alias("read"),
-    )
-    hint = broadcast_of(pool)
-    rows = rows.join(hint(_facts(pool, now)), "pick_id", "left").join(hint(_members(pool)), "cluster_id", "left")
     since = F.coalesce("last_feed_opened_at", now - F.expr(f"interval {K.FIRST_VISIT_NEW_HOURS} hours"))
 
-    def outlet(o: Column) -> Column:
-        member = F.filter("members", lambda m: m["id"] == o)[0]
-        return F.struct(member["source_name"].alias("source_name"), member["url"].alias("url"))
+    def entry(rank: Column, p: Column, stories: Column) -> Column:
+        def outlet(place: Column) -> Column:
+            return bind(F.get(stories, place), lambda e: F.struct(e["source_name"].alias("source_name"), e["url"].alias("url")))
 
-    entry = F.struct(
-        "rank", c("pick_id").alias("id"), "score", "exploration", F.transform("covered", outlet).alias("also_covered_by"), "saved", "read",
-        (c("published_at") > since).alias("is_new"), "published_at", "young", "burst",
-    )
-    return rows.select("profile_id", "slug", *world, F.when(c("pick_id").isNotNull(), entry).alias("entry")).groupBy("profile_id", "slug").agg(
-        F.sort_array(F.collect_list("entry")).alias("picks"), *[F.first(w).alias(w) for w in world]
-    )
+        return bind(F.get(stories, p["at"]), lambda e: F.struct(
+            rank.alias("rank"), e["id"].alias("id"), p["score"].alias("score"), p["exploration"].alias("exploration"),
+            F.transform(p["covered"], outlet).alias("also_covered_by"), F.array_contains("saved", e["id"]).alias("saved"),
+            F.array_contains("read", e["id"]).alias("read"), (e["published_at"] > since).alias("is_new"),
+            e["published_at"].alias("published_at"), e["young"].alias("young"), e["burst"].alias("burst"),
+        ))
+
+    told = ["id", "published_at", "young", "burst", "source_name", "url"]
+    return O.picked_worlds(readers, O.world_pool(_told(pool, now), now, slugs, tabs, told), limit, entry)
 
 
 def feed_job(t: Tables, now: Column, category: str = TODAY, limit: int = K.FEED_LIMIT, candidates: int = K.CANDIDATE_LIMIT) -> Feed:
@@ -126,9 +107,9 @@ def feed_job(t: Tables, now: Column, category: str = TODAY, limit: int = K.FEED_
     topics = next(topics for slug, _, topics in K.CATEGORIES if slug == category)
     everything = stored_pool(t, now, candidates)
     pool = in_category(everything, topics)
-    # Every scoped story sits in one list; the empty entry puts all tabs in, so only the first is kept.
     readers = stored_readers(t, everything)
-    lists = _picked(readers, pool, now, F.array(F.lit(TODAY)), limit).filter(c("slug") == TODAY)
+    # Every scoped story sits in one list.
+    lists = _picked(readers, pool, now, F.array(F.lit(TODAY)), limit, [TODAY])
     picks = lists.select("profile_id", F.inline("picks"))
     about = broadcast_of(everything)(pool)
     entries = picks.select("profile_id", "rank", "id", "score", "exploration", "also_covered_by", "saved", "read").join(about, "id").select(
@@ -161,7 +142,7 @@ def worlds_job(t: Tables, now: Column, cut=lambda df: materialize(df, "ranked-wo
     """All worlds of every profile. ``cut`` stores the ranked worlds, which several outputs read."""
     c = F.col
     pool = stored_pool(t, now, candidates)
-    ranked = cut(_picked(stored_readers(t, pool), pool, now, O.slugs_of(c("topics")), K.WORLD_LIMIT))
+    ranked = cut(_picked(stored_readers(t, pool), pool, now, O.slugs_of(c("topics")), K.WORLD_LIMIT, list(ORDS)))
     labels = F.create_map(*[F.lit(x) for slug, label, _ in K.CATEGORIES for x in (slug, label)])
     ords = F.create_map(*[F.lit(x) for slug, i in ORDS.items() for x in (slug, i)])
     breaking = F.exists("picks", lambda p: (F.size(p["also_covered_by"]) >= 1) & p["young"]) | (
