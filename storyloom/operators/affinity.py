@@ -27,8 +27,12 @@ def unopened_impressions(signals: DataFrame) -> DataFrame:
     return kept.select(*signals.columns).unionByName(signals.filter("type <> 'impression'"))
 
 
-def affinity_deltas(signals: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per affinity key a signal touches: its item's topics, source and author."""
+def affinity_deltas(signals: DataFrame, items: DataFrame, by_profile: bool = False) -> DataFrame:
+    """One row per affinity key a signal touches: its item's topics, source and author.
+
+    ``by_profile`` shuffles the signals by profile before they are taken apart, so that grouping by key needs no shuffle of
+    its keys; for profiles of bounded histories only.
+    """
     c = F.col
     facts = items.select(c("id").alias("item_id"), "source_id", "author", "topics")
     delta, share = c("delta"), c("delta") * K.SOURCE_AUTHOR_SHARE
@@ -43,10 +47,11 @@ def affinity_deltas(signals: DataFrame, items: DataFrame) -> DataFrame:
             F.array(F.struct(F.lit("author").alias("dimension"), F.lower("author").alias("key"), share.alias("delta"))),
         ).otherwise(F.array().cast("array<struct<dimension:string,key:string,delta:double>>")),
     )
+    rows = signals.select("id", "profile_id", "item_id", "type", "created_at", signal_delta(c("type"), c("value")).alias("delta")).join(facts, "item_id")
+    if by_profile:
+        rows = rows.repartition("profile_id")
     return (
-        signals.select("id", "profile_id", "item_id", "type", "created_at", signal_delta(c("type"), c("value")).alias("delta"))
-        .join(facts, "item_id")
-        .select("id", "profile_id", "created_at", F.explode(touched).alias("k"))
+        rows.select("id", "profile_id", "created_at", F.explode(touched).alias("k"))
         .select("profile_id", "k.dimension", "k.key", F.unix_micros("created_at").alias("t"), "id", "k.delta")
     )
 
@@ -154,10 +159,10 @@ def fold_affinities(
     collected. Profiles over the bound take the chunked path.
     """
     busy = signals.groupBy("profile_id").agg(F.count("*").alias("n")).filter(F.col("n") > heavy_profile).select("profile_id")
-    deltas = affinity_deltas(signals, items)
+    deltas = affinity_deltas(signals, items, by_profile=True)
     if busy.limit(1).count() == 0:
         return _fold_short(deltas, stored)
-    light = affinity_deltas(signals.join(busy, "profile_id", "left_anti"), items)
+    light = affinity_deltas(signals.join(busy, "profile_id", "left_anti"), items, by_profile=True)
     heavy = affinity_deltas(signals.join(busy, "profile_id", "left_semi"), items)
     return _fold_short(light, stored).unionByName(_fold_long(heavy, stored))
 
